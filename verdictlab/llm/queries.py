@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from verdictlab.llm import decontam, lang_id, mixing, quality, sharding
+from verdictlab.llm import decontam, lang_id, mixing, near_dedup, quality, sharding
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -39,6 +39,10 @@ def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_duplicates(_table(spark, sf_dir, "documents"))
+
+
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = quality.line_rules(_table(spark, sf_dir, "documents").select("doc_id", "text"), with_text=False)
     names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"]
@@ -51,6 +55,7 @@ def queries() -> dict:
         "op2_mixing": op2_mixing,
         "op3_sharding": op3_sharding,
         "op4_decontamination": op4_decontamination,
+        "op6_near_dedup": op6_near_dedup,
         "op8_quality_rules": op8_quality_rules,
     }
 
