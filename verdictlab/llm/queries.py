@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from verdictlab.llm import decontam, lang_id, mixing, near_dedup, quality, sharding, url_filter
+from verdictlab.llm import decontam, lang_id, mixing, near_dedup, quality, secret_scan, sharding, url_filter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -39,6 +39,16 @@ def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = secret_scan.scan(docs, secret_scan.train(secret_scan.samples(docs)))
+    base, spans = F.col("secrets.base"), F.col("secrets.spans")
+    return found.select(
+        "doc_id", *[secret_scan.count(base, k).alias(f"n_{k}") for k in ("assign", "access", "hex")],
+        F.sha2(secret_scan.listed(base), 256).alias("base_sha256"), secret_scan.listed(spans).alias("spans"),
+    )
+
+
 def op6_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(_table(spark, sf_dir, "documents"))
 
@@ -70,6 +80,7 @@ def queries() -> dict:
         "op2_mixing": op2_mixing,
         "op3_sharding": op3_sharding,
         "op4_decontamination": op4_decontamination,
+        "op5_secret_scan": op5_secret_scan,
         "op6_near_dedup": op6_near_dedup,
         "op7_url_filters": op7_url_filters,
         "op8_quality_rules": op8_quality_rules,
