@@ -17,7 +17,7 @@ STRIDE = 7
 
 def classes(signatures: DataFrame, prepare: Callable[[DataFrame], Callable[[DataFrame], DataFrame]]) -> DataFrame:
     """``(id, class)`` for each ``id`` of ``signatures(id, keys array<bigint>)`` that has a similar partner; the class
-    is named by its smallest id.
+    is named by its smallest id. Rows of one id have the same keys and may be repeated.
 
     ``prepare(ids)`` gets the ids that share a key with another one and returns ``verify``, which keeps the truly
     similar ones of ``pairs(a, b)``. In each bucket of equal keys the members are compared with one leader, the
@@ -33,9 +33,10 @@ def classes(signatures: DataFrame, prepare: Callable[[DataFrame], Callable[[Data
     e = e.select("id", "pos", F.xxhash64("pos", "val").alias("key"))
     found = verify = None
     for depth in range(DEPTH):
+        e = e.repartition("key")  # one shuffle serves the sizes and the join
         n = e.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("lo"), F.max("id").alias("hi"))
         n = n.filter("lo <> hi").select("key", "n")
-        m = materialise(e.join(n, "key"))
+        m = materialise(e.join(n, "key").dropDuplicates(["id", "key"]))
         if m.isEmpty():
             break
         if verify is None:
@@ -54,7 +55,7 @@ def classes(signatures: DataFrame, prepare: Callable[[DataFrame], Callable[[Data
         open_ = materialise(named.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo <> hi").select("key"))
         if depth + 1 == DEPTH or open_.isEmpty():
             break
-        more = m.join(open_, "key", "left_semi").join(signatures, "id")
+        more = m.join(open_, "key", "left_semi").join(signatures.dropDuplicates(["id"]), "id")
         at = (F.col("pos") + STRIDE * (depth + 1)) % F.size("keys") + 1
         e = more.select("id", "pos", F.xxhash64("key", F.element_at("keys", at.cast("int"))).alias("key"))
     if found is None:

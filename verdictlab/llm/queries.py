@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from verdictlab.llm import decontam, lang_id, mixing, near_dedup, quality, secret_scan, sharding, url_filter
+from verdictlab.llm import decontam, lang_id, line_dedup, mixing, near_dedup, quality, secret_scan, sharding, substring_dedup, url_filter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -74,6 +74,14 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *[F.col("line_rules")[n].alias(n) for n in names])
 
 
+def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.repeated_spans(_table(spark, sf_dir, "documents"))
+
+
+def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.fuzzy_lines(_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict:
     return {
         "op1_language_id": op1_language_id,
@@ -84,6 +92,8 @@ def queries() -> dict:
         "op6_near_dedup": op6_near_dedup,
         "op7_url_filters": op7_url_filters,
         "op8_quality_rules": op8_quality_rules,
+        "op9_substring_dedup": op9_substring_dedup,
+        "op10_line_dedup": op10_line_dedup,
     }
 
 
