@@ -126,29 +126,39 @@ def with_weight(docs: DataFrame, quality: DataFrame | None, key: str = "doc_id",
         return docs.withColumn("__weight", F.lit(1.0))
     q = quality.filter(F.col(key).isNotNull()).groupBy(F.col(key).alias("__id")).agg(F.avg("quality").alias("__q"))
     w = F.when(F.col("__q") >= 0.5, good).when(F.col("__q") < 0.5, poor).otherwise(1.0)
-    return docs.join(q, F.col(key) == F.col("__id"), "left").withColumn("__weight", w).drop("__id", "__q")
+    # labels grow with the documents, so this is a sort-merge join at every size
+    return docs.join(q.hint("merge"), F.col(key) == F.col("__id"), "left").withColumn("__weight", w).drop("__id", "__q")
 
 
-def mix(docs: DataFrame, quality: DataFrame | None = None, text: str = "text", key: str = "doc_id", seed: int = 0) -> DataFrame:
-    """``docs`` with the struct column ``mix`` (see ``draw``): how often each document enters the mixture.
+def _slim(docs: DataFrame, quality: DataFrame | None, text: str, key: str, seed: int) -> DataFrame:
+    """``(key, source, size, k)``: the texts are counted before anything is joined, so they aren't moved."""
+    d = docs.select(F.col(key), F.col("source"), word_count(F.col(text)).alias("size"))
+    d = with_weight(d, quality, key)
+    k = sample_key(F.coalesce(F.col(key).cast("string"), F.lit("")), F.col("__weight"), seed)
+    return materialise(d.select(F.col(key), "source", "size", k.alias("k")))
+
+
+def sizes(docs: DataFrame, quality: DataFrame | None, text: str = "text", key: str = "doc_id", seed: int = 0) -> DataFrame:
+    """``(key, size, source_size, target, copies, taken)``, one row per row of ``docs``: how often each document enters
+    the mixture.
 
     Whole epochs of a source come first; the rest of its budget goes to its documents in the order of their
     exponential keys (scaled by quality weights), up to a prefix sum within the budget, and to one closing document
     that fits the remaining gap best. No document is taken more than three times. The budget's prefix sum is found
     from sums over slices of the key order, so only one slice of each source is ever sorted. Null text has size 0,
     a null source is a source of its own; rows of one ``key`` share a sampling key and are drawn together (so
-    repeated rows agree); a null key hashes like a value. An empty table stays empty.
+    repeated rows agree); null keys share one. An empty table stays empty.
     """
-    d = with_weight(docs, quality, key)
-    k = sample_key(F.coalesce(F.col(key).cast("string"), F.lit("")), F.col("__weight"), seed)
-    slim = materialise(d.select(F.col("source"), word_count(F.col(text)).alias("size"), k.alias("key")))
-    return draw(d, plan(slim), k, word_count(F.col(text))).drop("__weight")
+    slim = _slim(docs, quality, text, key, seed)
+    found = draw(slim, plan(slim.select("source", "size", F.col("k").alias("key"))), F.col("k"), F.col("size"))
+    return found.select(key, "size", "mix.*")
 
 
-def sizes(docs: DataFrame, quality: DataFrame | None, text: str = "text", key: str = "doc_id", seed: int = 0) -> DataFrame:
-    """``(key, size, source_size, target, copies, taken)``: the same decisions, without reading the texts twice."""
-    d = with_weight(docs, quality, key)
-    k = sample_key(F.coalesce(F.col(key).cast("string"), F.lit("")), F.col("__weight"), seed)
-    slim = materialise(d.select(F.col(key), F.col("source"), word_count(F.col(text)).alias("size"), k.alias("key")))
-    found = draw(slim, plan(slim), F.col("key"), F.col("size"))
-    return found.select(key, "size", "mix.*")
+def mix(docs: DataFrame, quality: DataFrame | None = None, text: str = "text", key: str = "doc_id", seed: int = 0) -> DataFrame:
+    """The mixture itself: each row of ``docs`` as often as ``sizes`` says (rows with no copy go), all columns kept."""
+    slim = _slim(docs, quality, text, key, seed)
+    found = draw(slim, plan(slim.select("source", "size", F.col("k").alias("key"))), F.col("k"), F.col("size"))
+    copies = found.filter("mix.copies > 0").select(F.col(key).alias("__id"), F.col("source").alias("__from"), F.col("mix.copies").cast("int").alias("__n")).distinct()
+    same = F.col(key).eqNullSafe(F.col("__id")) & F.col("source").eqNullSafe(F.col("__from"))
+    d = docs.join(copies.hint("merge"), same)
+    return d.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__n")))).drop("__id", "__from", "__n", "__copy")
