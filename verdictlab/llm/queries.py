@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+import corpus_pipeline
 from verdictlab.llm import decontam, lang_id, line_dedup, mixing, near_dedup, quality, secret_scan, sharding, substring_dedup, url_filter
 
 
@@ -94,6 +95,7 @@ def queries() -> dict:
         "op8_quality_rules": op8_quality_rules,
         "op9_substring_dedup": op9_substring_dedup,
         "op10_line_dedup": op10_line_dedup,
+        "pipeline": corpus_pipeline.run,
     }
 
 
