@@ -53,7 +53,7 @@ def targets(sources: DataFrame, weights: tuple = (5, 2, 1), most: int = 3) -> Da
 def plan(rows: DataFrame) -> DataFrame:
     """One row per source of ``(source, source_size, target, epochs, cut, closing)`` from
     ``rows(source, size, key)``: each document is taken ``epochs`` times, once more where its key is up to ``cut``,
-    and once more where its key is ``closing``."""
+    and once more where its key is among ``closing``."""
     at = F.floor((F.lit(1.0) - F.exp(-F.col("key"))) * SLICES)
     rows = rows.withColumn("slice", F.least(at, F.lit(SLICES - 1)).cast("int"))
     per_slice = materialise(rows.groupBy("source", "slice").agg(F.sum("size").alias("size")))
@@ -87,16 +87,23 @@ def plan(rows: DataFrame) -> DataFrame:
         F.coalesce(F.col("cut"), -F.log(F.lit(1.0) - F.col("slice") / F.lit(float(SLICES))) * F.lit(1.0 - 1e-12)).alias("cut"),
         (F.col("rest") - F.coalesce(F.col("got"), F.col("before"))).alias("gap"),
     )
-    # one closing document per source: of those not drawn, the one whose size is nearest to the gap, if it helps
-    cut = materialise(cut)
-    left = rows.alias("a").join(cut.alias("b"), same).filter(F.col("key") > F.col("cut")).groupBy("a.source", "key").agg(F.sum("size").alias("size"), F.first("gap").alias("gap"))
-    closing = left.filter((F.col("size") > 0) & (F.abs(F.col("size") - F.col("gap")) < F.col("gap"))).groupBy("source").agg(
-        F.min(F.struct(F.abs(F.col("size") - F.col("gap")).alias("off"), "key")).alias("x")
-    )
+    # closing documents, one a round: of those not drawn the largest that fits the gap, at last the one nearest to it
+    state = materialise(cut.withColumn("closing", F.array().cast("array<double>")))
+    for at_most in (True, True, False):
+        own = state.filter("gap > 0").withColumnRenamed("source", "__s")
+        left = rows.join(own, F.col("source").eqNullSafe(F.col("__s"))).filter((F.col("key") > F.col("cut")) & ~F.array_contains("closing", F.col("key")))
+        left = left.groupBy("source", "key").agg(F.sum("size").alias("size"), F.first("gap").alias("gap"))
+        off = F.abs(F.col("size") - F.col("gap"))
+        helps = (F.col("size") > 0) & (F.col("size") <= F.col("gap") if at_most else off < F.col("gap"))
+        pick = left.filter(helps).groupBy("source").agg(F.min(F.struct(off.alias("off"), "key", "size")).alias("x"))
+        found = state.alias("a").join(pick.alias("b"), same, "left")
+        state = materialise(found.select(
+            "a.source", "cut", (F.col("gap") - F.coalesce("x.size", F.lit(0))).alias("gap"),
+            F.concat("closing", F.array_compact(F.array("x.key"))).alias("closing"),
+        ))
     return (
-        s.alias("a").join(cut.alias("b"), same, "left").select("a.*", "cut")
-        .alias("a").join(closing.alias("b"), same, "left")
-        .select("a.source", "source_size", "target", "epochs", F.coalesce("cut", F.lit(-1.0)).alias("cut"), F.col("x.key").alias("closing"))
+        s.alias("a").join(state.alias("b"), same, "left")
+        .select("a.source", "source_size", "target", "epochs", F.coalesce("cut", F.lit(-1.0)).alias("cut"), F.coalesce("closing", F.array().cast("array<double>")).alias("closing"))
     )
 
 
@@ -111,7 +118,7 @@ def draw(docs: DataFrame, plans: DataFrame, key: Column, size: Column, out: str
     p = F.broadcast(p) if _small(plans) else p
     d = docs.withColumn("__key", key).withColumn("__size", size)
     d = d.join(p, F.col("source").eqNullSafe(F.col("__s")), "left")
-    more = ((F.col("__key") <= F.col("__p.cut")) | F.coalesce(F.col("__key") == F.col("__p.closing"), F.lit(False))).cast("long")
+    more = ((F.col("__key") <= F.col("__p.cut")) | F.array_contains("__p.closing", F.col("__key"))).cast("long")
     copies = F.col("__p.epochs") + more
     found = F.struct(
         F.col("__p.source_size").alias("source_size"), F.col("__p.target").alias("target"),
@@ -143,8 +150,8 @@ def sizes(docs: DataFrame, quality: DataFrame | None, text: str = "text", key: s
     the mixture.
 
     Whole epochs of a source come first; the rest of its budget goes to its documents in the order of their
-    exponential keys (scaled by quality weights), up to a prefix sum within the budget, and to one closing document
-    that fits the remaining gap best. No document is taken more than three times. The budget's prefix sum is found
+    exponential keys (scaled by quality weights), up to a prefix sum within the budget, and to at most three closing
+    documents that fit the remaining gap best. No document is taken more than three times. The budget's prefix sum is found
     from sums over slices of the key order, so only one slice of each source is ever sorted. Null text has size 0,
     a null source is a source of its own; rows of one ``key`` share a sampling key and are drawn together (so
     repeated rows agree); null keys share one. An empty table stays empty.
