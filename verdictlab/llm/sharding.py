@@ -29,6 +29,25 @@ def pack(loads: np.ndarray, shards: int) -> np.ndarray:
         best = int(np.lexsort((np.arange(shards), -left[:, 0], -score, ~fits))[0]) if s.any() else 0
         out[i] = best
         left[best] -= s
+    return _even(loads[:, 0], out, shards)
+
+
+def _even(size: np.ndarray, out: np.ndarray, shards: int, tolerance: float = 0.002) -> np.ndarray:
+    """The law of equal bytes comes first: while the fullest and the emptiest shard differ by more than ``tolerance``
+    of a shard, the unit whose size is nearest to half the difference moves from the one to the other."""
+    load = np.bincount(out, size, shards)
+    for _ in range(4 * len(size)):
+        high, low = int(load.argmax()), int(load.argmin())
+        gap = load[high] - load[low]
+        if gap <= tolerance * load.sum() / shards:
+            break
+        own = np.flatnonzero((out == high) & (size > 0))
+        best = own[np.abs(size[own] - gap / 2).argmin()]
+        if size[best] >= gap:
+            break
+        out[best] = low
+        load[high] -= size[best]
+        load[low] += size[best]
     return out
 
 
