@@ -11,6 +11,7 @@ from verdictlab.functions.shared import materialise, shared_dir
 from verdictlab.operators import aggregates as ag, clusters as cl, diff as df_, gates, joins, ordered, sampling as sa
 from verdictlab.plans import views
 from verdictlab.plans.views import sql, table
+from verdictlab.streaming import incremental as inc
 from verdictlab.sources import catalog as cat, corpus as src, snapshot as snap
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -787,7 +788,45 @@ def g10(s, d):
     return cat.describes(c, "commit7")
 
 
-# --- time windows (the streams themselves are tested against these) --------------------------------------------------
+# --- streams, each run until it has read what is there --------------------------------------------------------------
+
+
+def _stream(s: SparkSession, d: str, name: str) -> DataFrame:
+    # a pattern, for the file source takes a plain path as a folder and these may be single files
+    return s.readStream.schema(table(s, d, name).schema).parquet(f"{d}/{name}.parque[t]")
+
+
+@query("t1_classify_stream", sql("SELECT * FROM verdicts_new"))
+def t1(s, d):
+    at = _folder(s)
+    inc.classify_stream(views.corpus_of(_stream(s, d, "documents")), rules.new_rules(), f"{at}/out", f"{at}/checkpoint").awaitTermination()
+    return s.read.parquet(f"{at}/out")
+
+
+@query("t2_approved_address_stream", ORACLE["w5_approved_address"])
+def t2(s, d):
+    at, name = _folder(s), "spark.sql.streaming.stateStore.providerClass"
+    e = _stream(s, d, "events").withColumn("spam", F.col("event_type") == "error")
+    before = s.conf.get(name)
+    s.conf.set(name, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        out = inc.approved_email_stream(e, "user_id", "event_id", "spam").writeStream.format("parquet").option("path", f"{at}/out")
+        out.option("checkpointLocation", f"{at}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    finally:
+        s.conf.set(name, before)
+    return s.read.parquet(f"{at}/out").select(F.col("id").alias("event_id"), F.col("key").alias("user_id"), "spam", "trusted", "final_spam")
+
+
+@query("t3_throughput_stream", "SELECT time_bucket(INTERVAL 1 hour, ts) AS window_start, count(*) AS n FROM events GROUP BY 1")
+def t3_stream(s, d):
+    at = _folder(s)
+    put = lambda batch, _: batch.write.mode("overwrite").parquet(f"{at}/out")
+    out = inc.throughput(_stream(s, d, "events"), "ts", "1 hour", "10 minutes").writeStream.outputMode("complete").foreachBatch(put)
+    out.option("checkpointLocation", f"{at}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    return s.read.parquet(f"{at}/out").withColumn("window_start", F.col("window_start").cast("timestamp_ntz"))
+
+
+# --- time windows ----------------------------------------------------------------------------------------------------
 
 
 @query("t3_throughput", "SELECT w AS window_start, n, round(n / max(n) OVER (), 6) AS of_best FROM (SELECT time_bucket(INTERVAL 1 hour, ts) AS w, count(*) AS n FROM events GROUP BY 1)")

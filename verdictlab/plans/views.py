@@ -13,11 +13,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def corpus(spark: SparkSession, d: str) -> DataFrame:
+    return corpus_of(table(spark, d, "documents"))
+
+
+def corpus_of(docs: DataFrame) -> DataFrame:
+    """The corpus view of a documents table, or of a stream of one."""
     n, b = F.col("doc_id"), F.expr("doc_id div 16")
     text = lambda *c: F.concat(*[F.lit(x) if isinstance(x, str) else x.cast("string") for x in c])
     url = F.when((n % 16 == 0) & (b % 3 != 2), text("http://l", b)).when((n % 16 == 1) & (b % 3 != 0), text("http://l", b - 1)).otherwise("")
     kind = F.when(n % 10 == 0, "trackback").when(n % 10 == 1, "pingback").when(n % 10 == 2, "").otherwise("comment")
-    return table(spark, d, "documents").select(
+    return docs.select(
         n.alias("comment_id"), F.when(n % 37 == 0, "").otherwise(F.col("text")).alias("content"), F.col("source").alias("author"),
         text("User", b * 4 + F.expr("doc_id div 4") % 4, "@example.com ").alias("author_email"), url.alias("author_url"),
         text("ip", b * 4 + n % 4).alias("author_ip"), F.lit("").alias("agent"), kind.alias("type"), "lang",

@@ -30,37 +30,37 @@ def classify_stream(stream: DataFrame, ruleset: Ruleset, sink: str, checkpoint:
     return stream.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-class _Trust(StatefulProcessor):
-    """State by key: the id of the first approved row."""
+def approved_email_stream(stream: DataFrame, key: str, order: str, spam: str) -> DataFrame:
+    """``(id, key, spam, trusted, final_spam)``: the batch rule ``approved_email`` with the first approved id as state.
+    Batches must come in the order of ids; inside a batch rows may come in any order. Rows without a key are left out.
+    Needs the RocksDB state store."""
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.first = handle.getValueState("first", "id long")
+    class Trust(StatefulProcessor):
+        """State by key: the id of the first approved row. Defined here, so that it travels to the workers by value."""
 
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        all_ = pd.concat(list(rows)).sort_values("id")
-        first = self.first.get()[0] if self.first.exists() else None
-        ok = all_.loc[~all_["spam"], "id"]
-        if len(ok) and (first is None or int(ok.min()) < first):
-            first = int(ok.min())
-            self.first.update((first,))
-        trusted = all_["id"] > first if first is not None else pd.Series(False, index=all_.index)
-        yield pd.DataFrame({"id": all_["id"], "key": key[0], "spam": all_["spam"], "trusted": trusted, "final_spam": all_["spam"] & ~trusted})
+        def init(self, handle: StatefulProcessorHandle) -> None:
+            self.first = handle.getValueState("first", "id long")
 
-    def close(self) -> None:
-        pass
+        def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+            all_ = pd.concat(list(rows)).sort_values("id")
+            first = self.first.get()[0] if self.first.exists() else None
+            ok = all_.loc[~all_["spam"], "id"]
+            if len(ok) and (first is None or int(ok.min()) < first):
+                first = int(ok.min())
+                self.first.update((first,))
+            trusted = all_["id"] > first if first is not None else pd.Series(False, index=all_.index)
+            yield pd.DataFrame({"id": all_["id"], "key": key[0], "spam": all_["spam"], "trusted": trusted, "final_spam": all_["spam"] & ~trusted})
 
+        def close(self) -> None:
+            pass
 
-def approved_email_stream(stream: DataFrame, key: str, order: str, spam: str) -> DataFrame:
-    """``(id, key, spam, trusted, final_spam)``: the batch rule ``approved_email`` with the first approved id as state.
-    Batches must come in the order of ids; inside a batch rows may come in any order. Rows without a key are left out.
-    Needs the RocksDB state store."""
     rows = stream.filter(F.col(key).isNotNull()).select(F.col(order).alias("id"), F.col(key).alias("key"), F.col(spam).alias("spam"))
     kind = dict(rows.dtypes)["key"]
-    return rows.groupBy("key").transformWithStateInPandas(_Trust(), f"id long, key {kind}, spam boolean, trusted boolean, final_spam boolean", "Append", "None")
+    return rows.groupBy("key").transformWithStateInPandas(Trust(), f"id long, key {kind}, spam boolean, trusted boolean, final_spam boolean", "Append", "None")
 
 
 def throughput(stream: DataFrame, ts: str, width: str, late: str) -> DataFrame:
     """``(window_start, n)`` per time window; rows later than ``late`` behind the newest are dropped (Spark counts them
     in the query's progress as ``numRowsDroppedByWatermark``)."""
-    g = stream.withWatermark(ts, late).groupBy(F.window(ts, width).alias("w")).agg(F.count(F.lit(1)).alias("n"))
+    g = stream.withColumn(ts, F.col(ts).cast("timestamp")).withWatermark(ts, late).groupBy(F.window(ts, width).alias("w")).agg(F.count(F.lit(1)).alias("n"))
     return g.select(F.col("w.start").alias("window_start"), "n")
