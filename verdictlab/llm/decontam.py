@@ -7,7 +7,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
-from verdictlab.llm.text import WORD_TABLE
+from verdictlab.llm.text import WORD_TABLE, bounded_batches
 
 _TRANSLATE = bytes(b or 32 for b in WORD_TABLE.tobytes())
 
@@ -142,6 +142,7 @@ def match(docs: DataFrame, items: DataFrame, text: str = "text", item_key: str =
     named ``out`` is replaced and all others pass through.
     """
     spark = docs.sparkSession
+    bounded_batches(spark)
     numbers = _blocks(items, item_key, item_text, max_words)
     rows = items.select(F.col(item_key).cast("string").alias("k"), F.col(item_text).alias("t")).filter("k is not null and t is not null")
     for no in numbers:
@@ -206,7 +207,7 @@ def remove_spans(docs: DataFrame, text: str = "text", out: str = "contamination"
         for t, spans in zip(texts, found, strict=True):
             spans = spans.as_py()
             if not t.is_valid or not spans:
-                done.append(t.as_py())
+                done.append(None)  # unchanged: the JVM has it
                 continue
             raw = t.as_py().encode()
             c = np.frombuffer(raw.translate(_TRANSLATE), np.uint8) != 32
@@ -219,7 +220,7 @@ def remove_spans(docs: DataFrame, text: str = "text", out: str = "contamination"
             done.append(b"".join([*parts, raw[at:]]).decode())
         return pa.array(done, pa.string())
 
-    return docs.withColumn(text, cut.asNondeterministic()(F.col(text), F.col(out)["spans"]))
+    return docs.withColumn(text, F.coalesce(cut.asNondeterministic()(F.col(text), F.col(out)["spans"]), F.col(text)))
 
 
 def items_digest(out: str = "contamination"):

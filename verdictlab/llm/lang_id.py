@@ -9,7 +9,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from verdictlab.llm.text import blocks, byte_table
+from verdictlab.llm.text import blocks, bounded_batches, byte_table
 
 #: Family of a language code. A code that isn't listed is a family of its own.
 FAMILIES = {
@@ -157,6 +157,7 @@ def predict(docs: DataFrame, model: Model, text: str = "text", out: str = "langu
     null or empty or has no letter, or nothing was learned. Rows are judged one by one: repeated rows agree, an
     empty table stays empty, other columns pass through.
     """
+    bounded_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.arrow_udf("struct<lang: string, score: double>")

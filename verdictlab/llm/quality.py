@@ -5,9 +5,10 @@ from __future__ import annotations
 from collections import Counter
 
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
+from verdictlab.llm.text import bounded_batches
+
 SPACE = b" \t\n\x0b\x0c\r"
 SYMBOLS = b"#*$%&|<>"
 UPPER = bytes(range(65, 91))
@@ -84,12 +85,13 @@ def judge(text: bytes, max_lost: float, with_text: bool) -> tuple:
     repeat = repeated_words(words)
     failed = n < 50 or 100 * repeat > 50 * n
     share = lost / word_chars if word_chars else 0.0
+    kept = not failed and share <= max_lost
     clean = None
-    if with_text:
+    if with_text and kept and removed:  # only what changed goes back to the JVM
         gone = set(removed)
-        clean = b"\n".join(x for i, x in enumerate(lines) if i not in gone).decode() if gone else text.decode()
+        clean = b"\n".join(x for i, x in enumerate(lines) if i not in gone)
     symbols = len(text) - len(text.translate(None, SYMBOLS))
-    return n, word_chars, symbols, dup, repeat, failed, not failed and share <= max_lost, share, removed, clean
+    return n, word_chars, symbols, dup, repeat, failed, kept, share, removed, clean
 
 
 def line_rules(docs: DataFrame, text: str = "text", out: str = "line_rules", max_lost: float = 0.5, with_text: bool = True) -> DataFrame:
@@ -99,10 +101,11 @@ def line_rules(docs: DataFrame, text: str = "text", out: str = "line_rules", max
     shouted), *navigation* (menu bars, or a stub without an end mark) or *boilerplate* (equal to an earlier line
     of the text, a few words over and over, or a stock phrase). Failing lines are taken out of ``text``; the
     document is rejected when it fails the base limits (under 50 words, or over half its words in repeated
-    three-word windows) or when the failing lines held more than ``max_lost`` of its characters. ``text`` is null
-    unless ``with_text``. Null text counts as empty: no words, so it is rejected. Each row is judged alone, so
+    three-word windows) or when the failing lines held more than ``max_lost`` of its characters. ``text`` is
+    the cleaned text of a kept document; it is null for others, and unless ``with_text``. Null text counts as empty: no words, so it is rejected. Each row is judged alone, so
     repeated rows and ties get equal results, and an empty table stays empty; other columns pass through.
     """
+    bounded_batches(docs.sparkSession)
     kind = pa.struct([
         ("n_words", pa.int64()), ("word_chars", pa.int64()), ("n_symbols", pa.int64()), ("n_dup_lines", pa.int64()),
         ("n_repeat_words", pa.int64()), ("base_failed", pa.bool_()), ("kept", pa.bool_()), ("lost_share", pa.float64()),
@@ -111,9 +114,16 @@ def line_rules(docs: DataFrame, text: str = "text", out: str = "line_rules", max
 
     @F.arrow_udf(RESULT)
     def rules(texts: pa.Array) -> pa.Array:
-        raw = pc.fill_null(texts, "").cast(pa.large_string()).cast(pa.large_binary())
-        rows = [judge(t.as_py(), max_lost, with_text) for t in raw]
-        cols = list(zip(*rows, strict=True)) if rows else [[] for _ in kind]
-        return pa.StructArray.from_arrays([pa.array(c, f.type) for c, f in zip(cols, kind, strict=True)], fields=list(kind))
-
-    return docs.withColumn(out, rules.asNondeterministic()(F.col(text)))
+        parts = []
+        for at in range(0, len(texts), 512):
+            rows = [judge((t or "").encode(), max_lost, with_text) for t in texts.slice(at, 512).to_pylist()]
+            cols = [pa.array(c, pa.binary() if f.name == "text" else f.type) for c, f in zip(zip(*rows, strict=True), kind, strict=True)]
+            cols[-1] = cols[-1].cast(pa.string())
+            parts.append(pa.StructArray.from_arrays(cols, fields=list(kind)))
+        return pa.concat_arrays(parts) if parts else pa.array([], kind)
+
+    judged = docs.withColumn(out, rules.asNondeterministic()(F.col(text)))
+    if not with_text:
+        return judged
+    own = F.col(out)
+    return judged.withColumn(out, own.withField("text", F.when(own["kept"], F.coalesce(own["text"], F.col(text)))))

@@ -7,10 +7,23 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark.sql import SparkSession
 
 #: Bytes of text worked on at once; a longer document is a block of its own.
 BLOCK_BYTES = 1 << 20
 
+#: Rows of an Arrow batch at most: it bounds what a Python worker, and the JVM beside it, hold of long texts at once.
+BATCH_ROWS = 1000
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Set the session's Arrow batches to ``BATCH_ROWS``, unless they are smaller already. The setting counts when a
+    plan runs, which is after an operator has returned, so it stays."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= BATCH_ROWS:
+        spark.conf.set(name, BATCH_ROWS)
+
+
 _MIX1, _MIX2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 _BASE = np.uint64(0x100000001B3)
