@@ -9,13 +9,13 @@ from pyspark.sql import DataFrame, functions as F
 from verdictlab.functions.shared import materialise
 from verdictlab.operators.components import connected_components
 
-#: A bucket that turns out to hold several classes is split by so many further signatures, one after another.
+#: Passes: a bucket that turns out to hold several classes is split by one more signature in each further pass.
 DEPTH = 3
 #: Distance between the signatures that are joined to a deeper key.
 STRIDE = 7
 
 
-def classes(signatures: DataFrame, prepare: Callable[[DataFrame], Callable[[DataFrame], DataFrame]]) -> DataFrame:
+def classes(signatures: DataFrame, prepare: Callable[[DataFrame], Callable[[DataFrame], DataFrame]], depth: int = DEPTH) -> DataFrame:
     """``(id, class)`` for each ``id`` of ``signatures(id, keys array<bigint>)`` that has a similar partner; the class
     is named by its smallest id. Rows of one id have the same keys and may be repeated.
 
@@ -26,13 +26,13 @@ def classes(signatures: DataFrame, prepare: Callable[[DataFrame], Callable[[Data
     and links are aggregates and equi-joins. Each id is first compared with the leader it meets most often; further
     leaders are only asked where the classes found so far leave the two apart. Buckets in which members stay apart
     from their leader are then split by one more signature, their members (linked ones too) get new leaders, and so
-    on ``DEPTH`` times. Every member of every bucket takes part; there is no cap on members, leaders or links.
+    on, in ``depth`` passes. Every member of every bucket takes part; there is no cap on members, leaders or links.
     """
     spark = signatures.sparkSession
     e = signatures.select("id", F.posexplode("keys").alias("pos", "val"))
     e = e.select("id", "pos", F.xxhash64("pos", "val").alias("key"))
     found = verify = None
-    for depth in range(DEPTH):
+    for level in range(depth):
         e = e.repartition("key")  # one shuffle serves the sizes and the join
         n = e.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("lo"), F.max("id").alias("hi"))
         n = n.filter("lo <> hi").select("key", "n")
@@ -53,10 +53,10 @@ def classes(signatures: DataFrame, prepare: Callable[[DataFrame], Callable[[Data
         # buckets whose members are still apart
         named = m.join(found.select(F.col("node").alias("id"), "component"), "id", "left").withColumn("c", F.coalesce("component", "id"))
         open_ = materialise(named.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo <> hi").select("key"))
-        if depth + 1 == DEPTH or open_.isEmpty():
+        if level + 1 == depth or open_.isEmpty():
             break
         more = m.join(open_, "key", "left_semi").join(signatures.dropDuplicates(["id"]), "id")
-        at = (F.col("pos") + STRIDE * (depth + 1)) % F.size("keys") + 1
+        at = (F.col("pos") + STRIDE * (level + 1)) % F.size("keys") + 1
         e = more.select("id", "pos", F.xxhash64("key", F.element_at("keys", at.cast("int"))).alias("key"))
     if found is None:
         return spark.createDataFrame([], "id bigint, class bigint")
