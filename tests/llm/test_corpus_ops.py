@@ -265,3 +265,15 @@ def test_fuzzy_lines_equal_brute_force(spark):
     for i, t in docs[:40]:
         assert clean[i] == "\n".join(x for n, x in enumerate(t.split("\n")) if (i, n) not in got or got[i, n]["is_kept"])
     assert line_dedup.fuzzy_lines(df.filter("false")).count() == 0
+
+
+def test_lines_that_share_only_the_last_bands_are_linked(spark):
+    """Pairs of a Jaccard similarity of 0.8 to 0.86 that share no bucket of the first eight bands."""
+    pairs = [
+        ("eclzxxhytobxthmevecizkuajpebtcloedmnscyijaigyccalwmnkryzzuhgzxzbozhnnn", "ecl0xxhytobxthmevecizkuajpebtcloedmnscyijaigyccalwmnkryzzuhgzxzbozh1nn"),
+        ("njhseqbgiqqctbdyxkerevkctkewqattshdnronyyfyujyqdskiphsbeugajbrmybspzdm", "n0hseqbgiqqctbdyxkerevkctkewqattshdnronyyfyujyqdskiphsbeugajbrmybsp1dm"),
+        ("qrtspxzctexmlmhlwacmrfbegvxbqgoabidzzlvdyqxemtuswokmcpigmhpkqttvcvezzm", "qr0spxzctexmlmhlwacmrfbegvxbqgoabidzzlvdyqxemtuswokmcpigmhpkqttvcve1zm"),
+    ]
+    df = spark.createDataFrame([(10 * i + j, x) for i, p in enumerate(pairs) for j, x in enumerate(p)], "doc_id long, text string")
+    got = {r["doc_id"]: r["kept_doc_id"] for r in line_dedup.fuzzy_lines(df).collect()}
+    assert got == {k: k // 10 * 10 for k in got} and len(got) == 6
