@@ -7,6 +7,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -277,3 +278,23 @@ def test_lines_that_share_only_the_last_bands_are_linked(spark):
     df = spark.createDataFrame([(10 * i + j, x) for i, p in enumerate(pairs) for j, x in enumerate(p)], "doc_id long, text string")
     got = {r["doc_id"]: r["kept_doc_id"] for r in line_dedup.fuzzy_lines(df).collect()}
     assert got == {k: k // 10 * 10 for k in got} and len(got) == 6
+
+
+def test_lines_unlike_their_leader_are_linked(spark, monkeypatch):
+    """All lines share all buckets, so there is one leader; two others are similar to each other but not to it."""
+    rng = random.Random(15)
+    v = vocabulary(rng)
+    a = prose(rng, v, 30)
+    texts = [prose(rng, v, 30) for _ in range(20)] + [a, a + " end"]
+
+    digests = [r[0]["digest"] for r in line_dedup._lines(pa.array(texts)).to_pylist()]
+    assert digests.index(min(digests)) < 20  # the leader, as all meet equally often
+
+    def same_keys(t: pa.Array) -> pa.Array:
+        rows = line_dedup._lines(t).to_pylist()
+        return pa.array([[x | {"keys": x["keys"] and [7] * 10} for x in r] for r in rows], line_dedup._lines(t).type)
+
+    monkeypatch.setattr(line_dedup, "_lines", same_keys)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r["kept_doc_id"] for r in line_dedup.fuzzy_lines(df).collect()}
+    assert got == {i: 20 if i == 21 else i for i in range(22)}

@@ -104,6 +104,13 @@ def _sets(lines: pa.Array) -> np.ndarray:
     return np.concatenate(keys)
 
 
+def _tokens(lines: pa.Array) -> pa.Array:
+    """The shingle set of each line as a list."""
+    keys = _sets(lines)
+    sizes = np.bincount((keys >> np.uint64(32)).astype(np.int64), minlength=len(lines))
+    return list_array(pa.array((keys & np.uint64(0xFFFFFFFF)).astype(np.int64)), sizes)
+
+
 def _similarity(a: pa.Array, b: pa.Array) -> pa.Array:
     """Exact Jaccard similarity of the shingle sets of two lines each."""
     out = [np.zeros(0)]
@@ -146,9 +153,10 @@ def fuzzy_lines(docs: DataFrame, text: str = "text", key: str = "doc_id", simila
             p = pairs.join(v.select(F.col("id").alias("b"), F.col("x").alias("y")), "b").join(v.withColumnRenamed("id", "a"), "a")
             return p.withColumn("s", similarity("x", "y")).filter(F.col("s") >= similar).select("a", "b")
 
-        return verify
+        toks = F.arrow_udf(_tokens, "array<bigint>").asNondeterministic()
+        return verify, lambda ids: v.join(ids, "id").select("id", toks("x").alias("toks"))
 
-    found = classes(signatures, prepare)
+    found = classes(signatures, prepare, similar)
     first = slim.groupBy("digest").agg(F.min(F.struct("doc", "no")).alias("first"))
     named = first.join(found, F.col("digest") == F.col("id"), "left").withColumn("class", F.coalesce("class", "digest"))
     named = materialise(named.select("digest", "class", "first"))

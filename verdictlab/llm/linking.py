@@ -13,25 +13,30 @@ from verdictlab.operators.components import connected_components
 DEPTH = 3
 #: Distance between the signatures that are joined to a deeper key.
 STRIDE = 7
+#: Members of a block: what one task of the exact finish pairs with the other members of a token.
+BLOCK = 2000
 
 
-def classes(signatures: DataFrame, prepare: Callable[[DataFrame], Callable[[DataFrame], DataFrame]], depth: int = DEPTH) -> DataFrame:
+def classes(signatures: DataFrame, prepare: Callable[[DataFrame], tuple[Callable, Callable]], similar: float, depth: int = DEPTH) -> DataFrame:
     """``(id, class)`` for each ``id`` of ``signatures(id, keys array<bigint>)`` that has a similar partner; the class
     is named by its smallest id. Rows of one id have the same keys and may be repeated.
 
     ``prepare(ids)`` gets the ids that share a key with another one and returns ``verify``, which keeps the truly
-    similar ones of ``pairs(a, b)``. In each bucket of equal keys the members are compared with one leader, the
+    similar ones of ``pairs(a, b)``, and ``tokens``, which gives ``(id, toks array<bigint>)`` of some of the ids: sets
+    whose Jaccard similarity is no less than the similarity that ``verify`` asks to be ``similar`` or more. In each bucket of equal keys the members are compared with one leader, the
     member that meets most others over all buckets (an original meets its copies more often than they meet each
     other). So pairs grow with the members, not with their square, and a bucket is never gathered: sizes, leaders
     and links are aggregates and equi-joins. Each id is first compared with the leader it meets most often; further
     leaders are only asked where the classes found so far leave the two apart. Buckets in which members stay apart
     from their leader are then split by one more signature, their members (linked ones too) get new leaders, and so
-    on, in ``depth`` passes. Every member of every bucket takes part; there is no cap on members, leaders or links.
+    on, in ``depth`` passes. Buckets that still hold several classes besides their leader are finished exactly
+    (``_finish``). So two ids that share a bucket and are similar always end in one class; there is no cap on members,
+    leaders or links.
     """
     spark = signatures.sparkSession
     e = signatures.select("id", F.posexplode("keys").alias("pos", "val"))
     e = e.select("id", "pos", F.xxhash64("pos", "val").alias("key"))
-    found = verify = None
+    found = verify = tokens = buckets = None
     for level in range(depth):
         e = e.repartition("key")  # one shuffle serves the sizes and the join
         n = e.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("lo"), F.max("id").alias("hi"))
@@ -40,18 +45,21 @@ def classes(signatures: DataFrame, prepare: Callable[[DataFrame], Callable[[Data
         if m.isEmpty():
             break
         if verify is None:
-            verify = prepare(m.select("id").distinct())
+            verify, tokens = prepare(m.select("id").distinct())
         central = m.groupBy("id").agg(F.sum("n").alias("weight"))
         lead = m.join(central, "id").groupBy("key").agg(F.max(F.struct("weight", (-F.col("id")).alias("neg"))).alias("x"))
         lead = lead.select("key", (-F.col("x.neg")).alias("leader"))
-        met = m.join(lead, "key").filter("id <> leader").groupBy(F.col("id").alias("a"), F.col("leader").alias("b")).agg(F.count(F.lit(1)).alias("n"))
+        met = m.join(lead, "key").filter("id <> leader")
+        if buckets is None:
+            buckets = met = materialise(met.select("key", "id", "leader"))
+        met = met.groupBy(F.col("id").alias("a"), F.col("leader").alias("b")).agg(F.count(F.lit(1)).alias("n"))
         met = materialise(_apart(met, found))
         first = met.groupBy("a").agg(F.max_by("b", F.struct("n", (-F.col("b")).alias("neg"))).alias("b"))
         found = _grow(found, verify(first))
         rest = _apart(met.join(first, ["a", "b"], "left_anti").select("a", "b"), found)
         found = _grow(found, verify(rest))
         # buckets whose members are still apart
-        named = m.join(found.select(F.col("node").alias("id"), "component"), "id", "left").withColumn("c", F.coalesce("component", "id"))
+        named = _named(m, found)
         open_ = materialise(named.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo <> hi").select("key"))
         if level + 1 == depth or open_.isEmpty():
             break
@@ -60,6 +68,7 @@ def classes(signatures: DataFrame, prepare: Callable[[DataFrame], Callable[[Data
         e = more.select("id", "pos", F.xxhash64("key", F.element_at("keys", at.cast("int"))).alias("key"))
     if found is None:
         return spark.createDataFrame([], "id bigint, class bigint")
+    found = _finish(buckets, found, verify, tokens, similar)
     return found.select(F.col("node").alias("id"), F.col("component").alias("class"))
 
 
@@ -81,3 +90,39 @@ def _apart(pairs: DataFrame, found: DataFrame | None) -> DataFrame:
         own = found.select(F.col("node").alias(side), F.col("component").alias(f"c{side}"))
         pairs = pairs.join(own, side, "left")
     return pairs.filter(F.coalesce(F.col("ca") != F.col("cb"), F.lit(True))).drop("ca", "cb")
+
+
+def _named(ids: DataFrame, found: DataFrame) -> DataFrame:
+    """``ids(id, ...)`` with the class ``c`` that each has so far."""
+    own = found.select(F.col("node").alias("id"), "component")
+    return ids.join(own, "id", "left").withColumn("c", F.coalesce("component", "id")).drop("component")
+
+
+def _finish(buckets: DataFrame, found: DataFrame, verify: Callable, tokens: Callable, similar: float) -> DataFrame:
+    """``found`` with all links between members of the open ``buckets(key, id)``, which are given without their leaders:
+    those have been compared with all members. An exact prefix-filtered join: tokens are ordered by rarity, and sets of
+    a Jaccard similarity of ``similar`` share one of their first ``n - ceil(similar * n) + 1`` tokens. Only pairs of
+    different classes are made; the members of a token are paired in blocks, so a common token is no single task."""
+    named = _named(buckets.select("key", "id"), found)
+    open_ = named.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo <> hi").select("key")
+    ids = materialise(named.join(open_, "key", "left_semi").select("id", "c").distinct())
+    if ids.isEmpty():
+        return found
+    e = materialise(tokens(ids.select("id")).select("id", F.size("toks").alias("size"), F.explode("toks").alias("tok")))
+    rarity = e.groupBy("tok").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    # tokens of one set only come first in the order, and can't be shared
+    x = e.join(rarity, "tok").groupBy("id", "size").agg(F.array_sort(F.collect_list(F.struct("n", "tok"))).alias("x"))
+    least = lambda n: F.ceil(n - 1e-9)
+    prefix = (F.col("size") - least(similar * F.col("size")) + 1 - (F.col("size") - F.size("x"))).cast("int")
+    x = x.withColumn("alone", F.col("size") - F.size("x")).withColumn("x", F.slice("x", 1, F.greatest(prefix, F.lit(0))))
+    x = x.select("id", "size", "alone", F.posexplode("x").alias("pos", "x")).select(
+        "id", F.col("x.tok").alias("tok"), "size", (F.col("size") - F.col("alone") - F.col("pos")).alias("left")
+    )
+    x = materialise(x.join(ids, "id"))
+    both = x.groupBy("tok").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.ceil(F.count(F.lit(1)) / F.lit(BLOCK)).cast("int").alias("blocks"))
+    x = x.join(both.filter("lo <> hi").select("tok", "blocks"), "tok")
+    one = x.withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    two = x.select("tok", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), *[F.col(c).alias(f"{c}_b") for c in ("id", "size", "left", "c")])
+    need = least(similar / (1 + similar) * (F.col("size") + F.col("size_b")))
+    pairs = one.join(two, ["tok", "block"]).filter((F.col("id") < F.col("id_b")) & (F.col("c") != F.col("c_b")) & (F.least("left", "left_b") >= need))
+    return _grow(found, verify(materialise(pairs.select(F.col("id").alias("a"), F.col("id_b").alias("b")).distinct())))

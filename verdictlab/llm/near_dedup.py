@@ -68,6 +68,12 @@ def _kmers(texts: pa.Array) -> pa.Array:
     return pa.array(out, pa.binary())
 
 
+def _sets(kmers: pa.Array) -> pa.Array:
+    """The set of the labelled k-mers of each document; aligned k-mers are among those that two sets share."""
+    sets = [np.unique(np.frombuffer(x, np.uint32)).astype(np.int64) for x in kmers.to_pylist()]
+    return list_array(pa.array(np.concatenate([np.zeros(0, np.int64), *sets])), np.array([len(x) for x in sets], np.int64))
+
+
 def alignment(a: np.ndarray, b: np.ndarray, similar: float) -> float:
     """Similarity of two k-mer sequences: aligned k-mers over all k-mers of either. The alignment is the longest
     common subsequence inside the band that a similarity of ``similar`` allows; 0 where that can't be reached.
@@ -134,9 +140,10 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", si
             p = pairs.join(v.select(F.col("id").alias("b"), F.col("x").alias("y")), "b").join(v.withColumnRenamed("id", "a"), "a")
             return p.withColumn("s", _similarity(similar)(F.col("x"), F.col("y"))).filter(F.col("s") >= similar).select("a", "b")
 
-        return verify
+        toks = F.arrow_udf(_sets, "array<bigint>").asNondeterministic()
+        return verify, lambda ids: v.join(ids, "id").select("id", toks("x").alias("toks"))
 
-    found = classes(signatures, prepare)
+    found = classes(signatures, prepare, similar)
     named = reps.join(found.withColumnRenamed("id", "rep"), "rep", "left").select("digest", "copies", F.coalesce("class", "rep").alias("class_id"))
     out = slim.join(named, "digest", "left").select(
         F.col("id").alias(key), F.coalesce("class_id", "id").alias("class_id"), "n_words", F.coalesce("copies", F.lit(1)).cast("long").alias("copies")
