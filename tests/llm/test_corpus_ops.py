@@ -298,3 +298,23 @@ def test_lines_unlike_their_leader_are_linked(spark, monkeypatch):
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     got = {r["doc_id"]: r["kept_doc_id"] for r in line_dedup.fuzzy_lines(df).collect()}
     assert got == {i: 20 if i == 21 else i for i in range(22)}
+
+
+def test_groups_that_fit_a_shard_stay_whole(spark):
+    """A hundredth of all rows in one group, and pairs in a table of fewer rows than there are bundles."""
+    g = F.when(F.col("id") < 20, -1).otherwise(F.col("id") % 1000)
+    df = spark.range(2000).select(F.col("id").alias("doc_id"), F.concat(F.lit("text "), g).alias("text"), g.alias("g"))
+    got = sharding.shard(df, 8).join(df.select("doc_id", "g"), "doc_id").cache()
+    assert got.groupBy("g").agg(F.countDistinct("shard").alias("n")).filter("n > 1").count() == 0
+    load = [r["x"] for r in got.groupBy("shard").agg(F.sum("size").alias("x")).collect()]
+    assert len(load) == 8 and max(load) - min(load) <= 0.03 * sum(load) / 8
+
+
+def test_groups_are_cut_only_where_they_must():
+    fine = np.ones((800, 3))
+    pieces = np.full((40, 3), 5.0)
+    both = sharding.pack_groups(np.concatenate((fine, pieces[:16])), np.array([str(i) for i in range(800)] + ["g"] * 16), 8)
+    assert len(set(both[800:])) == 1
+    over = sharding.pack_groups(np.concatenate((fine, pieces)), np.array([str(i) for i in range(800)] + ["g"] * 40), 8)
+    assert len(set(over[800:])) > 1
+    assert len(sharding.pack_groups(np.zeros((0, 3)), np.zeros(0, str), 8)) == 0

@@ -10,6 +10,8 @@ from verdictlab.llm.mixing import word_count
 
 #: Units placed: at most so many bundles of small groups, and about as many large groups or pieces of them.
 BUNDLES = 4096
+#: Groups are kept whole while the bytes of the shards differ by no more than this part of a shard.
+TOLERANCE = 0.01
 #: Rows numbered by one task when slots are given out.
 SLOT_ROWS = 50_000
 
@@ -51,6 +53,31 @@ def _even(size: np.ndarray, out: np.ndarray, shards: int, tolerance: float = 0.0
     return out
 
 
+def pack_groups(loads: np.ndarray, group: np.ndarray, shards: int) -> np.ndarray:
+    """Shard of each unit, where the units of one ``group`` are pieces of it and stay together. Cut are groups that no
+    shard can hold and, as equal bytes come first, the largest of the others (twice as many each time) while the bytes
+    are less even than ``TOLERANCE``."""
+    total = loads.sum(0)
+    share = (loads / np.where(total > 0, total, 1)) * shards
+    names, own = np.unique(group, return_inverse=True)
+    whole = np.zeros((len(names), loads.shape[1]))
+    np.add.at(whole, own, share)
+    several = np.bincount(own, minlength=len(names)) > 1
+    size = whole.max(1, initial=0)
+    cut = several & (size > 1)
+    more = 1
+    while True:
+        _, unit = np.unique(np.where(cut[own], len(names) + np.arange(len(own)), own), return_inverse=True)
+        merged = np.zeros((unit.max(initial=-1) + 1, loads.shape[1]))
+        np.add.at(merged, unit, loads)
+        out = pack(merged, shards)
+        left = np.flatnonzero(several & ~cut)
+        if not len(left) or np.ptp(np.bincount(out, merged[:, 0], shards)) <= TOLERANCE * total[0] / shards:
+            return out[unit]
+        cut[left[np.argsort(-size[left], kind="stable")[:more]]] = True
+        more *= 2
+
+
 def _sums() -> list:
     return [F.sum("size").alias("size"), F.sum("tokens").alias("tokens"), F.count(F.lit(1)).alias("n")]
 
@@ -69,9 +96,9 @@ def place(docs: DataFrame, shards: int = 8, text: str = "text", key: str = "doc_
     and ``(unit, shard)``.
 
     Groups of equal texts are found by a 64-bit hash. A group below a 4096th of the whole is bundled with others by
-    that hash (two texts of one hash merely share a bundle); larger groups are units of their own, and are cut by a
-    hash of ``key`` into pieces of that size, for no shard could hold a group of a third of all rows. So there are at
-    most a few times 4096 units whatever the input, and only those reach the driver.
+    that hash (two texts of one hash merely share a bundle); larger groups are units of their own, whose loads are known
+    for pieces of that size, by a hash of ``key``. A group stays whole unless it exceeds a shard or the bytes wouldn't be
+    even (``pack_groups``). So there are at most a few times 4096 units whatever the input, and only those reach the driver.
     """
     raw = F.encode(F.coalesce(F.col(text), F.lit("")), "UTF-8")
     slim = materialise(docs.select(
@@ -90,7 +117,8 @@ def place(docs: DataFrame, shards: int = 8, text: str = "text", key: str = "doc_
     ))
     rows = _with_unit(slim, large)
     loads = rows.groupBy("unit").agg(*_sums()).orderBy("unit").collect()
-    put = pack(np.array([[r["size"], r["tokens"], r["n"]] for r in loads], float).reshape(-1, 3), shards)
+    sums = np.array([[r["size"], r["tokens"], r["n"]] for r in loads], float).reshape(-1, 3)
+    put = pack_groups(sums, np.array([r["unit"].split("-")[0] for r in loads], str), shards)
     units = docs.sparkSession.createDataFrame([(r["unit"], int(s)) for r, s in zip(loads, put, strict=True)], "unit string, shard int")
     cell = F.pmod(F.xxhash64("id", "h"), F.lit(max(32, (all_["n"] or 0) // SLOT_ROWS)))
     return rows.join(F.broadcast(units), "unit").drop("unit").withColumn("__cell", cell), large, units
