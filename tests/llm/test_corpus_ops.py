@@ -195,31 +195,95 @@ def test_alignment_is_ordered_and_banded():
     assert near_dedup.alignment(a, c, 0.8) == pytest.approx(99 / 101)
 
 
-def test_repeated_passages(spark):
+def passages_hold(rows, got):
+    """Every span stands earlier; every 50 words that stand earlier have a span; whole lines and texts as a set."""
+    texts = sorted({(i, h, t) for i, h, t in rows})
+    words = {(i, h): [(m.group(), m.start(), m.end()) for m in WORD.finditer("".join(c.lower() if c.isascii() else c for c in t))] for i, h, t in texts}
+    spans = {}
+    for r in got:
+        spans.setdefault((r["doc_id"], r["text_hash"]), []).append(r)
+    seen50, seen17, lines = set(), set(), set()
+    for i, h, t in texts:
+        w = words[i, h]
+        own = spans.get((i, h), [])
+        new17, at = [], 0
+        repeated_line = [False] * len(w)
+        for line in t.split("\n"):
+            n = len(norm(line))
+            k = tuple(x[0] for x in w[at : at + n])
+            if n and k in lines:
+                repeated_line[at : at + n] = [True] * n
+            lines.add(k)
+            at += n
+        covered = [any(r["start"] <= x[1] and x[2] <= r["end"] for r in own) for x in w]
+        assert all(c for c, f in zip(covered, repeated_line, strict=True) if f)
+        fine = list(repeated_line)
+        for k in range(len(w) - 16):
+            x = tuple(y[0] for y in w[k : k + 17])
+            if x in seen17:
+                fine[k : k + 17] = [True] * 17
+            seen17.add(x)
+        whole = any(r["kind"] == "text" for r in own)
+        assert whole or all(f for c, f in zip(covered, fine, strict=True) if c)
+        for k in range(len(w) - 49):
+            x = tuple(y[0] for y in w[k : k + 50])
+            assert x not in seen50 or any(covered[k : k + 50])
+            seen50.add(x)
+        for r in own:
+            assert len(norm(t[r["start"] : r["end"]])) == r["n_words"]
+
+
+def test_repeated_passages_hold_against_brute_force(spark):
     rng = random.Random(13)
     v = vocabulary(rng)
-    passage = prose(rng, v, 60)
+    shared = [prose(rng, v, rng.choice([8, 20, 50, 51, 60, 120])) for _ in range(12)]
+    rows = []
+    for i in range(60):
+        parts = []
+        for _ in range(rng.randint(1, 4)):
+            own = rng.choice([prose(rng, v, rng.randint(1, 60)), rng.choice(shared)])
+            cut = own.split()
+            k = rng.randint(0, len(cut))
+            parts.append(rng.choice([own, own.upper(), " ".join(cut[:k]), " ".join(cut[k:]), own.replace(" ", ", ", 3), own.replace(" ", "\n", 1)]))
+        rows.append((i, rng.choice(["\n", " ", "é "]).join(parts)))
+    rows += [(60, rows[3][1]), (60, rows[4][1]), (60, rows[4][1]), (61, "a " * 3000), (62, "x y " * 900), (63, "a " * 2000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    h = {(r["doc_id"], r["text"]): r["h"] for r in df.select("*", F.xxhash64("text").alias("h")).collect()}
+    got = substring_dedup.repeated_spans(df.repartition(5)).collect()
+    passages_hold([(i, h[i, t], t) for i, t in rows], got)
+    assert len({(r["doc_id"], r["text_hash"], r["start"]) for r in got}) == len(got)
+
+
+def test_a_short_line_in_many_documents(spark):
+    rng = random.Random(14)
+    v = vocabulary(rng)
+    line = prose(rng, v, 10)
+    df = spark.createDataFrame([(i, f"{prose(rng, v, 30)}\n{line}\n{prose(rng, v, 9)}") for i in range(50)], "doc_id long, text string")
+    got = substring_dedup.repeated_spans(df).collect()
+    assert sorted(r["doc_id"] for r in got) == list(range(1, 50)) and {(r["kind"], r["n_words"], r["first_doc_id"]) for r in got} == {("line", 10, 0)}
+    assert substring_dedup.repeated_spans(df, min_line_words=11).count() == 0
+
+
+def test_passages_set_into_lines(spark):
+    rng = random.Random(15)
+    v = vocabulary(rng)
+    passage = prose(rng, v, 51)
     docs = {i: prose(rng, v, 80) for i in range(30)}
-    for i in (3, 7, 20):
-        docs[i] = docs[i][:100] + "\n" + passage.upper() + "\n" + docs[i][100:]
-    for i in (9, 25):  # set into a line
+    for i in (3, 9, 25):
         w = docs[i].split()
         docs[i] = " ".join([*w[:30], passage, *w[30:]])
-    rows = [*docs.items(), (40, None), (41, ""), (42, "!!"), (None, passage), (43, docs[7]), (43, docs[7]), (44, "a " * 20000)]
-    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("start", F.lit("x")).withColumn("no", F.lit(1))
+    rows = [*docs.items(), (40, None), (41, ""), (42, "!!"), (None, passage), (43, docs[7]), (43, docs[7])]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("start", F.lit("x")).withColumn("no", F.lit(1)).withColumn("h", F.lit(0))
     spans = substring_dedup.repeated_spans(df.repartition(4))
-    got = spans.collect()
-    by = {}
-    for r in got:
-        by.setdefault(r["doc_id"], []).append(r)
-        t = dict(rows)[r["doc_id"]]
-        assert len(norm(t[r["start"] : r["end"]])) == r["n_words"] >= 16
-    assert set(by) - {44} == {7, 9, 20, 25, 43} and {r["first_doc_id"] for i in (7, 9, 20, 25) for r in by[i]} == {3}
-    assert len(norm(docs[7][by[7][0]["start"] : by[7][0]["end"]])) >= 60
-    assert all(sum(r["n_words"] for r in by[i]) >= 16 for i in (9, 25))  # its ends lie in units of the line around it
+    got = {r["doc_id"]: r for r in spans.collect()}
+    assert sorted(got) == [9, 25, 43] and spans.count() == 3
+    for i in (9, 25):
+        r = got[i]
+        assert passage in docs[i][r["start"] : r["end"]] and r["n_words"] <= 53 and (r["kind"], r["first_doc_id"]) == ("passage", 3)
+    assert (got[43]["kind"], got[43]["first_doc_id"]) == ("text", 7)
     clean = {r["doc_id"]: r for r in substring_dedup.remove_spans(df.filter("doc_id < 40"), spans).collect()}
     assert clean[3]["text"] == docs[3] and clean[0]["text"] == docs[0] and clean[0]["removed_spans"] == []
-    assert passage.upper() not in clean[7]["text"] and len(clean[7]["removed_spans"]) == len(by[7])
+    assert passage not in clean[9]["text"] and len(clean[9]["removed_spans"]) == 1
     assert substring_dedup.repeated_spans(df.filter("false")).count() == 0
 
 

@@ -76,7 +76,14 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return substring_dedup.repeated_spans(_table(spark, sf_dir, "documents"))
+    """Lines shorter than a seed are left to ``op9_whole_lines``: half of all documents hold a stock line of a few words."""
+    return substring_dedup.repeated_spans(_table(spark, sf_dir, "documents"), min_line_words=substring_dedup.SEED)
+
+
+def op9_whole_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Repeated texts and lines of any length, without passages inside lines."""
+    found = substring_dedup.repeated_spans(_table(spark, sf_dir, "documents"), passages=False)
+    return found.select("doc_id", "start", "end", "n_words", "kind", "first_doc_id", "first_start")
 
 
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -94,6 +101,7 @@ def queries() -> dict:
         "op7_url_filters": op7_url_filters,
         "op8_quality_rules": op8_quality_rules,
         "op9_substring_dedup": op9_substring_dedup,
+        "op9_whole_lines": op9_whole_lines,
         "op10_line_dedup": op10_line_dedup,
         "pipeline": corpus_pipeline.run,
     }

@@ -1,4 +1,4 @@
-"""Substring dedup by line hashing: repeated passages are found by the digests of their units."""
+"""Substring dedup by line hashing: repeated lines by their digests, and repeated passages inside lines by seeds."""
 
 from __future__ import annotations
 
@@ -7,96 +7,268 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
 from verdictlab.functions.shared import materialise
-from verdictlab.llm.text import blocks, code_point_ends, list_array, mix, words
+from verdictlab.llm.text import blocks, bounded_batches, code_point_ends, list_array, mix, words
 
-#: A unit ends with its line, or inside a line after a word whose hash (with its two neighbours') is a multiple of CUT.
-CUT = 8
-#: Words of the shortest run of repeated units that is taken out.
-MIN_WORDS = 16
+#: Words of a seed: the shortest repeat inside a line that is taken out.
+SEED = 17
+#: Words of the passages that can't be missed: of any so many consecutive words, at least one seed is chosen.
+PASSAGE = 50
+#: Code points on either side of a run of seeds in which the run may be extended word by word.
+MARGIN = 600
+#: A digest with more than this part of all occurrences is hot; so at most 10,000 digests are.
+HOT = 1e-4
 
-UNITS = "array<struct<no: int, start: int, end: int, n_words: int, digest: bigint>>"
+UNITS = "array<struct<line: boolean, at: int, n: int, start: int, end: int, digest: bigint>>"
+RUNS = "array<struct<at: int, n: int, start: int, end: int, first_start: int>>"
+
+
+def _runs_of(h: np.ndarray, k: int) -> np.ndarray:
+    """Hash of every ``k`` consecutive values, by doubling."""
+    part, size, out, done = h, 1, None, 0
+    while True:
+        if k & size:
+            if out is None:
+                out, done = part, size
+            else:
+                n = len(h) - done - size + 1
+                out, done = mix(out[:n] * np.uint64(0x100000001B3) + part[done : done + n]), done + size
+        if done == k:
+            return out
+        part, size = mix(part[:-size] * np.uint64(0x100000001B3) + part[size:]), 2 * size
+
+
+def seeds(h: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """``(first word, digest)`` of the chosen seeds: in every ``PASSAGE`` consecutive words of a document, the seed of
+    the smallest hash. So equal passages choose equal seeds, wherever they stand."""
+    none = np.zeros(0, np.int64), np.zeros(0, np.uint64)
+    if len(h) < PASSAGE:
+        return none
+    g = _runs_of(h, SEED)
+    # hash in the upper bits, and in the lower ones the place, falling, so that the last of equal ones is smallest
+    low = np.uint64((1 << 24) - 1)
+    key = (g & ~low) | (low - (np.arange(len(g), dtype=np.uint64) & low))
+    width = PASSAGE - SEED + 1
+    size = 1
+    while 2 * size <= width:
+        key = np.minimum(key[:-size], key[size:])
+        size *= 2
+    n = len(g) - width + 1
+    key = np.minimum(key[:n], key[width - size : width - size + n])
+    doc = np.repeat(np.arange(len(first) - 1), np.diff(first))
+    key, at = key[doc[:n] == doc[PASSAGE - 1 : PASSAGE - 1 + n]], np.flatnonzero(doc[:n] == doc[PASSAGE - 1 : PASSAGE - 1 + n])
+    if not len(at):
+        return none
+    at = at + ((low - (key & low)).astype(np.int64) - at & int(low))
+    at = at[np.concatenate(([True], at[1:] != at[:-1]))]
+    # of equal seeds in a row (words over and over), the first and last of each stretch of a window's width will do
+    new = np.concatenate(([True], (g[at[1:]] != g[at[:-1]]) | (doc[at[1:]] != doc[at[:-1]])))
+    run = np.cumsum(new) - 1
+    stretch = (at - at[new][run]) // width
+    edge = np.concatenate(([True], (run[1:] != run[:-1]) | (stretch[1:] != stretch[:-1]), [True]))
+    at = at[edge[:-1] | edge[1:]]
+    return at, g[at]
 
 
 def _units(texts: pa.Array) -> pa.Array:
-    """Units of each text with code-point offsets and a digest of their normalised words."""
-    cols: list[list[np.ndarray]] = [[] for _ in range(5)]
-    sizes = []
+    """Per text: number of words and digest of all of them, and the lines and seeds with word and code-point offsets."""
+    cols: list[list[np.ndarray]] = [[] for _ in range(6)]
+    sizes, counts, digests = [], [], []
     for _, data, offs in blocks(texts):
         first, start, end, h = words(data, offs)
+        n_docs = len(offs) - 1
+        counts.append(np.diff(first))
         if not len(h):
-            sizes.append(np.zeros(len(offs) - 1, np.int64))
+            sizes.append(np.zeros(n_docs, np.int64))
+            digests.append(np.zeros(n_docs, np.uint64))
             continue
+
+        def digest(begin, stop, salt):
+            n = stop - begin
+            place = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+            own = h[np.repeat(begin, n) + place] * (mix(place.astype(np.uint64)) | np.uint64(1))
+            return mix(np.add.reduceat(own, np.cumsum(n) - n) + n.astype(np.uint64) + np.uint64(salt))
+
+        full = np.diff(first) > 0
+        whole = np.zeros(n_docs, np.uint64)
+        whole[full] = digest(first[:-1][full], first[1:][full], 1 << 40)
+        digests.append(whole)
         lines = np.concatenate(([0], np.cumsum(data == 10)))
         cut = np.zeros(len(h), bool)
         cut[:-1] = lines[start[1:]] > lines[end[:-1]]
-        around = h.copy()
-        around[1:] += h[:-1] * np.uint64(3)
-        around[:-1] += h[1:] * np.uint64(5)
-        cut |= mix(around) % np.uint64(CUT) == 0
-        last = first[1:][first[1:] > first[:-1]] - 1
-        cut[last] = True
-        stop = np.flatnonzero(cut)
-        begin = np.concatenate(([0], stop[:-1] + 1))
-        n = stop - begin + 1
-        place = np.arange(len(h)) - np.repeat(begin, n)
-        digest = mix(np.add.reduceat(h * (mix(place.astype(np.uint64)) | np.uint64(1)), begin) + n.astype(np.uint64))
-        at = np.searchsorted(begin, first)
+        cut[first[1:][full] - 1] = True
+        stop = np.flatnonzero(cut) + 1
+        begin = np.concatenate(([0], stop[:-1]))
+        at, found = seeds(h, first)
+        begin, stop, digest_of = np.concatenate((begin, at)), np.concatenate((stop, at + SEED)), np.concatenate((digest(begin, stop, 0), mix(found + np.uint64(SEED))))
+        is_line = np.arange(len(begin)) < len(begin) - len(at)
+        doc = np.searchsorted(first, begin, "right") - 1
+        order = np.argsort(doc, kind="stable")
+        begin, stop, digest_of, is_line, doc = begin[order], stop[order], digest_of[order], is_line[order], doc[order]
         points = code_point_ends(data)
-        base = points[offs[:-1]]
-        per = np.diff(at)
-        doc = np.repeat(np.arange(len(per)), per)
-        for col, x in zip(cols, (np.arange(len(begin)) - at[:-1][doc], points[start[begin]] - base[doc], points[end[stop]] - base[doc], n, digest.view(np.int64)), strict=True):
+        base = points[offs[:-1]][doc]
+        for col, x in zip(cols, (is_line, begin - first[doc], stop - begin, points[start[begin]] - base, points[end[stop - 1]] - base, digest_of.view(np.int64)), strict=True):
             col.append(x)
-        sizes.append(per)
+        sizes.append(np.bincount(doc, minlength=n_docs))
     flat = [np.concatenate(c) if c else np.zeros(0, np.int64) for c in cols]
-    kinds = (pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.int64())
-    rows = pa.StructArray.from_arrays([pa.array(c.astype(k.to_pandas_dtype()), k) for c, k in zip(flat, kinds, strict=True)], names=["no", "start", "end", "n_words", "digest"])
-    return list_array(rows, np.concatenate(sizes) if sizes else np.zeros(0, np.int64))
+    kinds = (pa.bool_(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.int64())
+    units = pa.StructArray.from_arrays([pa.array(c.astype(k.to_pandas_dtype()), k) for c, k in zip(flat, kinds, strict=True)], names=["line", "at", "n", "start", "end", "digest"])
+    join = lambda parts, kind: np.concatenate(parts) if parts else np.zeros(0, kind)
+    made = [pa.array(join(counts, np.int64), pa.int64()), pa.array(join(digests, np.uint64).view(np.int64)), list_array(units, join(sizes, np.int64))]
+    return pa.StructArray.from_arrays(made, names=["n_words", "digest", "units"])
+
+
+class _Slice:
+    """The words of a piece of a text that begins at code point ``offset``: hashes and code-point offsets."""
+
+    def __init__(self, text: str, offset: int):
+        data = np.frombuffer(text.encode(), np.uint8)
+        _, start, end, self.hash = words(data, np.array([0, len(data)]))
+        points = code_point_ends(data) + offset
+        self.start, self.end = points[start], points[end]
+        # a word at the margin may be the rest of a longer one
+        self.low, self.high = int(offset > 0), len(self.hash)
+
+
+def _equal(a: np.ndarray, b: np.ndarray) -> int:
+    """Length of the common beginning."""
+    n, done, size = min(len(a), len(b)), 0, 32
+    while done < n:
+        off = np.flatnonzero(a[done : min(done + size, n)] != b[done : min(done + size, n)])
+        if len(off):
+            return done + int(off[0])
+        done, size = done + size, 2 * size
+    return n
+
+
+def _extend(text: str, at: int, more: bool, first: str, first_at: int, first_more: bool, pairs: list[dict]) -> list[dict]:
+    """The maximal runs of equal words around the seeds (``start`` in the text, ``first`` in the original) inside the
+    two pieces, which begin at code points ``at`` and ``first_at``; ``more`` tells that the text goes on behind."""
+    a, b = _Slice(text, at), _Slice(first, first_at)
+    a.high -= more
+    b.high -= first_more
+    x = np.searchsorted(a.start, [p["start"] for p in pairs])
+    y = np.searchsorted(b.start, [p["first"] for p in pairs])
+    base = np.array([p["at"] for p in pairs]) - x
+    out, until = [], -1
+    for k in np.lexsort((y, x)):
+        i, j = int(x[k]), int(y[k])
+        if i + SEED <= until:  # inside a run already
+            continue
+        back = _equal(a.hash[a.low : i][::-1], b.hash[b.low : j][::-1]) if i >= a.low and j >= b.low else 0
+        ahead = _equal(a.hash[i : a.high], b.hash[j : b.high])
+        if ahead < SEED:  # two seeds of one digest, but other words
+            continue
+        until = max(until, i + ahead)
+        out.append({"at": int(base[k]) + i - back, "n": back + ahead, "start": int(a.start[i - back]), "end": int(a.end[i + ahead - 1]), "first_start": int(b.start[j - back])})
+    return out
+
+
+def _extended(texts: pa.Array, ats: pa.Array, mores: pa.Array, firsts: pa.Array, first_ats: pa.Array, first_mores: pa.Array, pairs: pa.Array) -> pa.Array:
+    rows = zip(texts, ats, mores, firsts, first_ats, first_mores, pairs, strict=True)
+    kind = pa.list_(pa.struct([(n, pa.int32()) for n in ("at", "n", "start", "end", "first_start")]))
+    return pa.array([_extend(*(x.as_py() for x in r)) for r in rows], kind)
+
+
+def _firsts(e: DataFrame, rank: list[str]) -> DataFrame:
+    """``e`` without the first of each digest, the others with the struct ``first`` of its ``rank`` columns. Digests
+    are pre-aggregated; hot ones (a bounded number) are joined by broadcast, so no task gets all rows of a digest."""
+    own = F.struct(*rank)
+    first = e.groupBy("digest").agg(F.min(own).alias("first"), F.max(own).alias("last"), F.count(F.lit(1)).alias("many"))
+    first = materialise(first.filter("first <> last").select("digest", "first", "many"))
+    hot = first.filter(F.col("many") > HOT * e.count())  # fewer than 1 / HOT rows, whatever the input
+    hot = hot.select("digest", F.col("first").alias("hot"))
+    marked = e.join(F.broadcast(hot), "digest", "left")
+    rest = marked.filter("hot is null").drop("hot").join(first.drop("many"), "digest")
+    return marked.filter("hot is not null").withColumnRenamed("hot", "first").unionByName(rest).filter(own != F.col("first"))
+
 
+def repeated_spans(docs: DataFrame, text: str = "text", key: str = "doc_id", min_line_words: int = 1, passages: bool = True) -> DataFrame:
+    """``(key, text_hash, start, end, n_words, kind, first_key, first_start)``: what stands earlier already.
 
-def repeated_spans(docs: DataFrame, text: str = "text", key: str = "doc_id", min_words: int = MIN_WORDS) -> DataFrame:
-    """``(key, start, end, n_words, n_units, first_key, first_start)``: passages that stand earlier somewhere else.
+    Units are whole texts and whole lines, normalised to words (A-Z lower, no punctuation); their digests are grouped
+    over all documents. Of equal units the one of the smallest key (then of the smallest ``text_hash``), then the
+    first in its text, is kept; all others are repeats, of any length, or lines from ``min_line_words`` words on.
+    With ``passages``, repeats inside lines and across them are found too: seeds of ``SEED`` consecutive words,
+    chosen so that any ``PASSAGE`` consecutive words hold one, are grouped likewise, and each repeated seed is
+    extended word by word along the text in which its first occurrence stands. So each span of a passage is a run of
+    at least ``SEED`` words that stands earlier, and no ``PASSAGE`` consecutive words that stand earlier in a text
+    are without a span.
 
-    Units are the lines, cut further inside at places that depend on three neighbouring words only, so that a passage
-    set into different lines falls into the same units but for its ends. Units are normalised to words (A-Z lower, no
-    punctuation). Of equal units the one of the smallest key, then the first in its text, is the original; the others
-    are repeats. Adjoining repeats form a span, which counts from ``min_words`` words on. Offsets are code points of
-    the original text, the end exclusive; ``first_key`` and ``first_start`` tell where the original of the span's
-    first unit stands.
+    Overlapping repeats of a text are one span. ``kind`` is ``text``, ``line`` or ``passage`` by its first part.
+    Offsets are code points of the original text, the end exclusive; ``first_key`` and ``first_start`` tell where the
+    original of that part stands.
 
-    Digests are pre-aggregated before they are grouped and joined back by an equi-join, so a unit that a third of
-    all documents hold is never gathered. Keys are integers; rows with a null key are left out; rows of one key count
-    as one document, of which each (key, unit number) is taken once. Null, empty and wordless texts have no units. An
-    empty table gives no rows.
+    Keys are integers; rows with a null key are left out. Rows of one key with different texts are documents of their
+    own, told apart by ``text_hash``; repeated rows of one key and text count once. Null, empty and wordless texts have
+    no units. An empty table gives no rows; other columns aren't read.
     """
-    units = F.arrow_udf(_units, UNITS).asNondeterministic()
-    rows = docs.filter(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("id"), units(F.col(text)).alias("u"))
-    e = materialise(rows.select("id", F.inline("u")))
-    rank = F.struct("id", "no", "start")
-    first = e.groupBy("digest").agg(F.min(rank).alias("first"), F.max(F.struct("id", "no")).alias("last"))
-    first = first.filter(F.struct("first.id", "first.no") != F.col("last")).select("digest", "first")
-    d = e.join(first, "digest").filter((F.col("id") != F.col("first.id")) | (F.col("no") != F.col("first.no")))
-    d = d.dropDuplicates(["id", "no"])
-    run = F.col("no") - F.row_number().over(Window.partitionBy("id").orderBy("no"))
-    spans = d.withColumn("run", run).groupBy("id", "run").agg(
-        F.min("start").alias("start"), F.max("end").alias("end"), F.sum("n_words").cast("long").alias("n_words"),
-        F.count(F.lit(1)).alias("n_units"), F.min_by("first", "no").alias("first"),
+    bounded_batches(docs.sparkSession)
+    source = docs.filter(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("id"), F.xxhash64(F.col(text)).alias("h"), F.col(text).alias("t"))
+    units = F.arrow_udf(_units, f"struct<n_words: bigint, digest: bigint, units: {UNITS}>").asNondeterministic()
+    base = materialise(source.withColumn("u", units("t")).select("id", "h", "u.*").filter("n_words > 0"))
+
+    # whole texts first: a copy has no unit of its own that isn't in its original
+    copies = materialise(_firsts(base.select("id", "h", "digest").distinct(), ["id", "h"]).select("id", "h", "first"))
+    ends = F.transform("units", lambda x: x["end"])
+    starts = F.transform("units", lambda x: x["start"])
+    one = base.dropDuplicates(["id", "h"])
+    found = one.join(copies, ["id", "h"]).select(
+        "id", "h", F.lit(0).alias("at"), F.col("n_words").cast("int").alias("n"), F.array_min(starts).alias("start"), F.array_max(ends).alias("end"),
+        F.lit("text").alias("kind"), F.col("first.id").alias("first_id"), F.lit(0).alias("first_start"),
+    )
+    e = base.join(copies, ["id", "h"], "left_anti").select("id", "h", F.inline("units"))
+    e = materialise(e.filter(F.col("line") & (F.col("n") >= min_line_words) | (F.lit(passages) & ~F.col("line"))).distinct())
+    again = materialise(_firsts(e, ["id", "h", "at", "start"]))
+    found = found.unionByName(again.filter("line").select(
+        "id", "h", "at", "n", "start", "end", F.lit("line").alias("kind"), F.col("first.id").alias("first_id"), F.col("first.start").alias("first_start")
+    ))
+    if passages:
+        found = found.unionByName(_passages(source, again.filter("not line")))
+    # islands of overlapping spans
+    by = Window.partitionBy("id", "h").orderBy("start", F.col("end").desc(), "kind", "first_id", "first_start")
+    reach = F.max("end").over(by.rowsBetween(Window.unboundedPreceding, -1))
+    new = F.coalesce(F.col("start") >= reach, F.lit(True)).cast("int")
+    island = F.sum("new").over(by.rowsBetween(Window.unboundedPreceding, 0))
+    found = found.withColumn("new", new).withColumn("island", island)
+    head = F.max_by(F.struct("kind", "first_id", "first_start"), "new")
+    return found.groupBy("id", "h", "island").agg(
+        F.min("start").alias("start"), F.max("end").alias("end"), (F.max(F.col("at") + F.col("n")) - F.min("at")).cast("long").alias("n_words"), head.alias("x")
+    ).select(F.col("id").alias(key), F.col("h").alias("text_hash"), "start", "end", "n_words", "x.kind", F.col("x.first_id").alias(f"first_{key}"), F.col("x.first_start").alias("first_start"))
+
+
+def _passages(source: DataFrame, again: DataFrame) -> DataFrame:
+    """Runs of equal words around the repeated seeds ``again``. Only pieces of the two texts travel: from ``MARGIN``
+    before the first of the seeds that a text shares with an original to ``MARGIN`` behind the last."""
+    pairs = again.groupBy("id", "h", F.col("first.id").alias("fid"), F.col("first.h").alias("fh")).agg(
+        F.min("start").alias("low"), F.max("end").alias("high"), F.min("first.start").alias("flow"),
+        F.max(F.col("first.start") + F.col("end") - F.col("start")).alias("fhigh"),
+        F.collect_list(F.struct("at", "start", F.col("first.start").alias("first"))).alias("pairs"),
     )
-    return spans.filter(F.col("n_words") >= min_words).select(
-        F.col("id").alias(key), "start", "end", "n_words", "n_units", F.col("first.id").alias(f"first_{key}"), F.col("first.start").alias("first_start")
-    )
+    one = source.join(again.select("id", "h").unionByName(again.select("first.id", "first.h")).distinct(), ["id", "h"], "left_semi")
+    one = materialise(one.dropDuplicates(["id", "h"]))
+
+    def piece(p: DataFrame, low: str, high: str, name: str) -> DataFrame:
+        at = F.greatest(F.col(low) - MARGIN, F.lit(0))
+        p = p.withColumn(f"{name}_at", at).withColumn(f"{name}_more", F.length("t") > F.col(high) + MARGIN)
+        return p.withColumn(name, F.substring("t", at + 1, F.col(high) + MARGIN - at)).drop("t", low, high)
+
+    p = piece(pairs.join(one, ["id", "h"]), "low", "high", "a")
+    p = piece(p.join(one.select(F.col("id").alias("fid"), F.col("h").alias("fh"), "t"), ["fid", "fh"]), "flow", "fhigh", "b")
+    extended = F.arrow_udf(_extended, RUNS).asNondeterministic()
+    p = p.select("id", "h", "fid", extended("a", "a_at", "a_more", "b", "b_at", "b_more", "pairs").alias("runs"))
+    return p.select("id", "h", "fid", F.inline("runs")).select("id", "h", "at", "n", "start", "end", F.lit("passage").alias("kind"), F.col("fid").alias("first_id"), "first_start")
 
 
 def remove_spans(docs: DataFrame, spans: DataFrame, text: str = "text", key: str = "doc_id", out: str = "removed_spans") -> DataFrame:
     """``docs`` without the spans of ``repeated_spans``; the array column ``out`` keeps their original offsets.
-    Documents without a span stay as they are. Rows of one key lose the same spans."""
-    own = spans.groupBy(F.col(key).alias("__id")).agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("__spans"))
-    d = docs.drop(out).join(own, F.col(key).cast("long") == F.col("__id"), "left")
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("t"))
+    Documents without a span stay as they are. Repeated rows of one key and text lose the same spans."""
+    own = spans.groupBy(F.col(key).alias("__id"), F.col("text_hash").alias("__h")).agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("__spans"))
+    d = docs.drop(out).join(own, (F.col(key).cast("long") == F.col("__id")) & (F.xxhash64(F.col(text)) == F.col("__h")), "left")
+    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("t"))
     cut = F.aggregate(
         "__spans", start,
-        lambda acc, x: F.struct(x["end"].alias("at"), F.concat(acc["t"], F.substring(F.col(text), acc["at"] + 1, x["start"] - acc["at"])).alias("t")),
-        lambda acc: F.concat(acc["t"], F.substring(F.col(text), acc["at"] + 1, F.length(F.col(text)))),
+        lambda acc, x: F.struct(x["end"].alias("at"), F.array_append(acc["t"], F.substring(F.col(text), acc["at"] + 1, x["start"] - acc["at"])).alias("t")),
+        lambda acc: F.concat(F.array_join(acc["t"], ""), F.substring(F.col(text), acc["at"] + 1, F.length(F.col(text)))),
     )
     none = F.array().cast("array<struct<start: int, end: int>>")
-    return d.withColumn(text, F.when(F.col("__spans").isNull(), F.col(text)).otherwise(cut)).withColumn(out, F.coalesce("__spans", none)).drop("__id", "__spans")
+    return d.withColumn(text, F.when(F.col("__spans").isNull(), F.col(text)).otherwise(cut)).withColumn(out, F.coalesce("__spans", none)).drop("__id", "__h", "__spans")

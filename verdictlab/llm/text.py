@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -12,16 +13,18 @@ from pyspark.sql import SparkSession
 #: Bytes of text worked on at once; a longer document is a block of its own.
 BLOCK_BYTES = 1 << 20
 
-#: Rows of an Arrow batch at most: it bounds what a Python worker, and the JVM beside it, hold of long texts at once.
-BATCH_ROWS = 1000
+#: Rows and bytes of an Arrow batch at most: they bound what a Python worker, and the JVM beside it, hold of long texts.
+BATCH_ROWS, BATCH_BYTES = 1000, 1 << 23
 
 
 def bounded_batches(spark: SparkSession) -> None:
-    """Set the session's Arrow batches to ``BATCH_ROWS``, unless they are smaller already. The setting counts when a
-    plan runs, which is after an operator has returned, so it stays."""
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(spark.conf.get(name)) <= BATCH_ROWS:
-        spark.conf.set(name, BATCH_ROWS)
+    """Bound the session's Arrow batches by ``BATCH_ROWS`` and ``BATCH_BYTES`` (one longer text is a batch of its own),
+    unless they are smaller already. The settings count when a plan runs, which is after an operator has returned, so
+    they stay."""
+    for name, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS), ("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)):
+        now = re.fullmatch(r"(-?\d+)b?", str(spark.conf.get(name)).lower())
+        if not now or not 0 < int(now[1]) <= most:
+            spark.conf.set(name, most)
 
 
 _MIX1, _MIX2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
