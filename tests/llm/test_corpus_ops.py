@@ -351,14 +351,14 @@ def test_lines_unlike_their_leader_are_linked(spark, monkeypatch):
     a = prose(rng, v, 30)
     texts = [prose(rng, v, 30) for _ in range(20)] + [a, a + " end"]
 
-    digests = [r[0]["digest"] for r in line_dedup._lines(pa.array(texts)).to_pylist()]
+    digests = [r[0]["digest"] for r in line_dedup._Lines()(pa.array(texts)).to_pylist()]
     assert digests.index(min(digests)) < 20  # the leader, as all meet equally often
 
     def same_keys(t: pa.Array) -> pa.Array:
-        rows = line_dedup._lines(t).to_pylist()
-        return pa.array([[x | {"keys": x["keys"] and [7] * 10} for x in r] for r in rows], line_dedup._lines(t).type)
+        made = line_dedup._Lines()(t)
+        return pa.array([[x | {"keys": x["keys"] and [7] * 10} for x in r] for r in made.to_pylist()], made.type)
 
-    monkeypatch.setattr(line_dedup, "_lines", same_keys)
+    monkeypatch.setattr(line_dedup, "_lines", lambda: same_keys)
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     got = {r["doc_id"]: r["kept_doc_id"] for r in line_dedup.fuzzy_lines(df).collect()}
     assert got == {i: 20 if i == 21 else i for i in range(22)}

@@ -9,41 +9,53 @@ from pyspark.sql import DataFrame, functions as F
 
 from verdictlab.functions.shared import materialise
 from verdictlab.llm.linking import classes
-from verdictlab.llm.text import blocks, byte_table, code_point_ends, list_array, mix
+from verdictlab.llm.text import blocks, bounded_batches, byte_table, code_point_ends, list_array, mix
 
-#: Bytes of a shingle; least Jaccard similarity; bands and minima of a band.
+#: Characters of a shingle; least Jaccard similarity; bands and minima of a band.
 SHINGLE, SIMILAR, BANDS, ROWS = 8, 0.8, 10, 3
 _HASHES = BANDS * ROWS
 _ODD = (mix(np.arange(1, _HASHES + 1, dtype=np.uint64)) >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
 _XOR = (mix(np.arange(501, _HASHES + 501, dtype=np.uint64)) >> np.uint64(32)).astype(np.uint32)
-_FOLD = byte_table(b"\t\n\x0b\x0c\r ")
+#: ASCII characters, folded; white space is 0.
+_FOLD = byte_table(b"\t\n\x0b\x0c\r ")[:128].astype(np.uint32)
+#: Digests that a task remembers, so as not to send the signature of a line again.
+REMEMBERED = 1 << 19
 
-LINES = "array<struct<no: int, start: int, end: int, digest: bigint, keys: array<bigint>>>"
+LINES = "array<struct<no: int, start: int, end: int, digest: bigint, keys: array<bigint>, folded: string>>"
 
 
-def _split(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, ...]:
-    """``(folded bytes, document, number, start, end, first folded byte plus the end)`` of the lines that have a
-    visible character; a line's end takes in its line feed. White space is left out of the folded bytes."""
-    c = _FOLD[data]
-    seen = c != 0
-    begin = np.union1d(np.flatnonzero(data == 10) + 1, offs[:-1])
-    begin = begin[begin < len(data)]
-    stop = np.concatenate((begin[1:], [len(data)])).astype(np.int64)
+def _characters(data: np.ndarray) -> np.ndarray:
+    """Code points of UTF-8 bytes."""
+    return np.frombuffer(data.tobytes().decode("utf-8", "replace").encode("utf-32-le"), np.uint32)
+
+
+def _folded(c: np.ndarray) -> np.ndarray:
+    return np.where(c < 128, _FOLD[np.minimum(c, 127)], c)
+
+
+def _split(c: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, ...]:
+    """``(folded characters, document, number, start, end, first folded character plus the end)`` of the lines that have
+    a visible character; a line's end takes in its line feed. White space is left out of the folded characters."""
+    f = _folded(c)
+    seen = f != 0
+    begin = np.union1d(np.flatnonzero(c == 10) + 1, offs[:-1])
+    begin = begin[begin < len(c)]
+    stop = np.concatenate((begin[1:], [len(c)])).astype(np.int64)
     doc = np.searchsorted(offs, begin, "right") - 1
     new = np.flatnonzero(np.diff(doc, prepend=-1))
     no = np.arange(len(begin)) - np.repeat(new, np.diff(np.append(new, len(begin))))
     count = np.concatenate(([0], np.cumsum(seen)))
     has = count[stop] > count[begin]
-    return c[seen], doc[has], no[has], begin[has], stop[has], np.append(count[begin[has]], count[-1])
+    return f[seen], doc[has], no[has], begin[has], stop[has], np.append(count[begin[has]], count[-1])
 
 
 def _hashes(c: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Shingle hashes of folded lines laid end to end (``at``: first byte of each plus the end); a line shorter than
-    a shingle is one shingle. Returns (first shingle of each line plus the end, hashes)."""
+    """Shingle hashes of folded lines laid end to end (``at``: first character of each plus the end); a line shorter
+    than a shingle is one shingle. Returns (first shingle of each line plus the end, hashes)."""
     size = np.diff(at)
     n = np.maximum(size - SHINGLE + 1, 1)
     first = np.concatenate(([0], np.cumsum(n)))
-    pad = np.concatenate((c, np.zeros(SHINGLE, np.uint8))).astype(np.uint64)
+    pad = np.concatenate((c, np.zeros(SHINGLE, c.dtype))).astype(np.uint64)
     h = np.zeros(len(c) + 1, np.uint64)
     for i in range(SHINGLE):
         h = h * np.uint64(0x100000001B3) + pad[i : i + len(h)]
@@ -57,62 +69,83 @@ def _hashes(c: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return first, (mix(x) >> np.uint64(32)).astype(np.uint32)
 
 
-def _lines(texts: pa.Array) -> pa.Array:
-    """Lines of each text: number, code-point offsets, digest of the folded line, and its band keys. A line that was
-    met before in this batch has the same digest and comes without keys: they are a function of the digest."""
-    cols: list[list[np.ndarray]] = [[] for _ in range(5)]
-    sizes = [np.zeros(0, np.int64)]
-    for _, data, offs in blocks(texts, 1 << 18):
-        folded, doc, no, begin, stop, at = _split(data, offs)
-        sizes.append(np.bincount(doc, minlength=len(offs) - 1))
-        if not len(doc):
-            continue
-        first, h = _hashes(folded, at)
-        points = code_point_ends(data)
-        base = points[offs[:-1]][doc]
-        minima = np.empty((_HASHES, len(doc)), np.uint32)
-        for i in range(_HASHES):
-            minima[i] = np.minimum.reduceat((h ^ _XOR[i]) * _ODD[i], first[:-1])
-        band = np.zeros((BANDS, len(doc)), np.uint64)
-        for r in range(ROWS):
-            band = mix(band + minima[r::ROWS])
-        place = np.arange(len(h)) - np.repeat(first[:-1], np.diff(first))
-        digest = np.add.reduceat(h * (mix(place.astype(np.uint64)) | np.uint64(1)), first[:-1])
-        digest = mix(digest + np.diff(at).astype(np.uint64))
-        end = stop - (data[stop - 1] == 10)
-        for col, x in zip(cols, (no, points[begin] - base, points[end] - base, digest.view(np.int64), band.T), strict=True):
-            col.append(x)
-    no, start, end, digest = (np.concatenate(c) if c else np.zeros(0, np.int64) for c in cols[:4])
-    band = np.concatenate(cols[4]) if cols[4] else np.zeros((0, BANDS), np.uint64)
-    fresh = np.zeros(len(digest), bool)
-    fresh[np.unique(digest, return_index=True)[1]] = True
-    keys = list_array(pa.array(band[fresh].ravel().view(np.int64)), BANDS * fresh)
-    keys = pc.if_else(pa.array(fresh), keys, pa.scalar(None, keys.type))
-    made = [pa.array(x.astype(np.int32)) for x in (no, start, end)] + [pa.array(digest), keys]
-    return list_array(pa.StructArray.from_arrays(made, names=["no", "start", "end", "digest", "keys"]), np.concatenate(sizes))
-
-
-def _sets(lines: pa.Array) -> np.ndarray:
-    """The shingle set of each line: row number and 32-bit hash in one number, sorted, distinct."""
+def _spread(first: np.ndarray, pick: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places of all items of the picked groups, end to end, and the first place of each group in that order."""
+    size = np.diff(first)[pick]
+    at = np.cumsum(size) - size
+    return np.arange(size.sum()) + np.repeat(first[:-1][pick] - at, size), at
+
+
+class _Lines:
+    """Lines of each text: number, code-point offsets, digest of the folded line; and its band keys and folded
+    characters, unless this task has just sent them: they are a function of the digest."""
+
+    def __init__(self):
+        self.sent: set[int] = set()
+
+    def __call__(self, texts: pa.Array) -> pa.Array:
+        cols: list[list[np.ndarray]] = [[np.zeros(0, np.int64)] for _ in range(4)]
+        sizes, bands, fresh, folded = [np.zeros(0, np.int64)], [np.zeros((0, BANDS), np.uint64)], [np.zeros(0, bool)], []
+        for _, data, offs in blocks(texts, 1 << 18):
+            c, offs = _characters(data), code_point_ends(data)[offs]
+            f, doc, no, begin, stop, at = _split(c, offs)
+            sizes.append(np.bincount(doc, minlength=len(offs) - 1))
+            if not len(doc):
+                continue
+            first, h = _hashes(f, at)
+            place = np.arange(len(h)) - np.repeat(first[:-1], np.diff(first))
+            digest = np.add.reduceat(h * (mix(place.astype(np.uint64)) | np.uint64(1)), first[:-1])
+            digest = mix(digest + np.diff(at).astype(np.uint64)).view(np.int64)
+            new = np.zeros(len(digest), bool)
+            new[np.unique(digest, return_index=True)[1]] = True
+            new[new] = [x not in self.sent for x in digest[new].tolist()]
+            fresh.append(new)
+            if len(self.sent) > REMEMBERED:
+                self.sent.clear()
+            self.sent.update(digest[new].tolist())
+            pick = np.flatnonzero(new)
+            if len(pick):
+                own, start = _spread(first, pick)
+                own = h[own]
+                band = np.zeros((len(pick), BANDS), np.uint64)
+                for i in range(_HASHES):
+                    band[:, i // ROWS] = mix(band[:, i // ROWS] + np.minimum.reduceat((own ^ _XOR[i]) * _ODD[i], start))
+                bands.append(band)
+                own, start = _spread(at, pick)
+                text = f[own].tobytes().decode("utf-32-le", "replace")
+                folded += [text[a:b] for a, b in zip(start.tolist(), [*start[1:].tolist(), len(own)], strict=True)]
+            base = offs[:-1][doc]
+            for col, x in zip(cols, (no, begin - base, stop - (c[stop - 1] == 10) - base, digest), strict=True):
+                col.append(x)
+        no, start, end, digest = (np.concatenate(c) for c in cols)
+        new = np.concatenate(fresh)
+        keys = list_array(pa.array(np.concatenate(bands).ravel().view(np.int64)), BANDS * new)
+        keys = pc.if_else(pa.array(new), keys, pa.scalar(None, keys.type))
+        at = np.where(new, np.cumsum(new) - 1, 0)
+        text = pa.array(folded or [""], pa.string()).take(pa.array(at, mask=~new))
+        made = [pa.array(x.astype(np.int32)) for x in (no, start, end)] + [pa.array(digest), keys, text]
+        return list_array(pa.StructArray.from_arrays(made, names=["no", "start", "end", "digest", "keys", "folded"]), np.concatenate(sizes))
+
+
+def _sets(folded: pa.Array) -> np.ndarray:
+    """The shingle set of each folded line: row number and 32-bit hash in one number, sorted, distinct."""
     keys = [np.zeros(0, np.uint64)]
-    for row, data, offs in blocks(lines):
-        c = _FOLD[data]
-        seen = c != 0
-        first, h = _hashes(c[seen], np.concatenate(([0], np.cumsum(seen)))[offs])
+    for row, data, offs in blocks(folded):
+        first, h = _hashes(_characters(data), code_point_ends(data)[offs])
         owner = np.repeat(np.arange(row, row + len(offs) - 1, dtype=np.uint64), np.diff(first))
         keys.append(np.unique(owner << np.uint64(32) | h))
     return np.concatenate(keys)
 
 
-def _tokens(lines: pa.Array) -> pa.Array:
+def _tokens(folded: pa.Array) -> pa.Array:
     """The shingle set of each line as a list."""
-    keys = _sets(lines)
-    sizes = np.bincount((keys >> np.uint64(32)).astype(np.int64), minlength=len(lines))
+    keys = _sets(folded)
+    sizes = np.bincount((keys >> np.uint64(32)).astype(np.int64), minlength=len(folded))
     return list_array(pa.array((keys & np.uint64(0xFFFFFFFF)).astype(np.int64)), sizes)
 
 
 def _similarity(a: pa.Array, b: pa.Array) -> pa.Array:
-    """Exact Jaccard similarity of the shingle sets of two lines each."""
+    """Exact Jaccard similarity of the shingle sets of two folded lines each."""
     out = [np.zeros(0)]
     for at in range(0, len(a), 256):
         x, y = _sets(a.slice(at, 256)), _sets(b.slice(at, 256))
@@ -125,28 +158,28 @@ def _similarity(a: pa.Array, b: pa.Array) -> pa.Array:
 
 
 def fuzzy_lines(docs: DataFrame, text: str = "text", key: str = "doc_id", similar: float = SIMILAR) -> DataFrame:
-    """``(key, line_no, start, end, kept_key, kept_line_no, is_kept)``, one row per line that has a visible character.
+    """``(key, text_hash, line_no, start, end, kept_key, kept_text_hash, kept_line_no, is_kept)``, one row per line that
+    has a visible character.
 
-    Lines are folded (A-Z lower, no white space) and shingled by eight bytes. Lines of one class, linked by a Jaccard
-    similarity of ``similar`` or more of their shingle sets, keep the line of the smallest key, then number: it is
-    named in each row and stands for the class. Equal folded lines are one line from the start. Offsets are code points
-    of the original text, the line feed left out.
+    Lines are folded (A-Z lower, no white space) and shingled by eight characters. Lines of one class, linked by a
+    Jaccard similarity of ``similar`` or more of their shingle sets, keep the line of the smallest key, then
+    ``text_hash``, then number: it is named in each row and stands for the class. Equal folded lines are one line from
+    the start. Offsets are code points of the original text, the line feed left out.
 
-    Keys are integers; rows with a null key are left out; repeated rows (and rows of one key) count as one document.
-    Null and empty texts have no lines; an empty table gives no rows; other columns aren't read.
+    Keys are integers; rows with a null key are left out. Rows of one key with different texts are documents of their
+    own, told apart by ``text_hash``; repeated rows of one key and text count once. Null and empty texts have no lines;
+    an empty table gives no rows; other columns aren't read.
     """
-    lines = F.arrow_udf(_lines, LINES).asNondeterministic()
-    rows = docs.filter(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("doc"), lines(F.col(text)).alias("l"))
-    rows = materialise(rows.select("doc", F.inline("l")))
-    slim = rows.select("doc", "no", "start", "end", "digest")
-    signatures = rows.filter("keys is not null").select(F.col("digest").alias("id"), "keys")
+    bounded_batches(docs.sparkSession)
+    lines = F.arrow_udf(_lines(), LINES).asNondeterministic()
+    rows = docs.filter(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("doc"), F.xxhash64(F.col(text)).alias("h"), lines(F.col(text)).alias("l"))
+    rows = materialise(rows.select("doc", "h", F.inline("l")))
+    slim = rows.select("doc", "h", "no", "start", "end", "digest")
+    sent = rows.filter("keys is not null")
+    signatures = materialise(sent.select(F.col("digest").alias("id"), "keys").dropDuplicates(["id"]))
 
     def prepare(ids: DataFrame):
-        one = slim.join(ids, F.col("digest") == F.col("id")).groupBy("id").agg(F.min(F.struct("doc", "no", "start", "end")).alias("x"))
-        one = one.select("id", "x.*")
-        t = docs.select(F.col(key).cast("long").alias("doc"), F.col(text).alias("t")).join(one, "doc")
-        t = t.select("id", F.substring("t", F.col("start") + 1, F.col("end") - F.col("start")).alias("x"))
-        v = materialise(t.groupBy("id").agg(F.max("x").alias("x")))
+        v = materialise(sent.select(F.col("digest").alias("id"), F.col("folded").alias("x")).join(ids, "id").dropDuplicates(["id"]))
         similarity = F.arrow_udf(_similarity, "double").asNondeterministic()
 
         def verify(pairs: DataFrame) -> DataFrame:
@@ -157,19 +190,32 @@ def fuzzy_lines(docs: DataFrame, text: str = "text", key: str = "doc_id", simila
         return verify, lambda ids: v.join(ids, "id").select("id", toks("x").alias("toks"))
 
     found = classes(signatures, prepare, similar)
-    first = slim.groupBy("digest").agg(F.min(F.struct("doc", "no")).alias("first"))
+    first = slim.groupBy("digest").agg(F.min(F.struct("doc", "h", "no")).alias("first"))
     named = first.join(found, F.col("digest") == F.col("id"), "left").withColumn("class", F.coalesce("class", "digest"))
     named = materialise(named.select("digest", "class", "first"))
     keep = named.groupBy("class").agg(F.min("first").alias("keep"))
-    named = named.join(keep, "class").select("digest", "keep.*").toDF("digest", f"kept_{key}", "kept_line_no")
-    out = slim.dropDuplicates(["doc", "no"]).join(named, "digest")
-    out = out.select(F.col("doc").alias(key), F.col("no").alias("line_no"), "start", "end", f"kept_{key}", "kept_line_no")
-    return out.withColumn("is_kept", (F.col(key) == F.col(f"kept_{key}")) & (F.col("line_no") == F.col("kept_line_no")))
+    named = named.join(keep, "class").select("digest", "keep")
+    out = slim.dropDuplicates(["doc", "h", "no"]).join(named, "digest")
+    return out.select(
+        F.col("doc").alias(key), F.col("h").alias("text_hash"), F.col("no").alias("line_no"), "start", "end",
+        F.col("keep.doc").alias(f"kept_{key}"), F.col("keep.h").alias("kept_text_hash"), F.col("keep.no").alias("kept_line_no"),
+        (F.struct("doc", "h", "no") == F.col("keep")).alias("is_kept"),
+    )
+
+
+def _lines():
+    """A function for one task each: what it remembers begins anew there."""
+    state = {}
+
+    def lines(texts: pa.Array) -> pa.Array:
+        return state.setdefault("lines", _Lines())(texts)
+
+    return lines
 
 
 def remove_lines(docs: DataFrame, lines: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
     """``docs`` without the lines that aren't kept in ``lines`` (of ``fuzzy_lines``); other documents stay as they are."""
-    gone = lines.filter(~F.col("is_kept")).groupBy(F.col(key).alias("__id")).agg(F.collect_set("line_no").alias("__gone"))
-    d = docs.join(gone, F.col(key).cast("long") == F.col("__id"), "left")
+    gone = lines.filter(~F.col("is_kept")).groupBy(F.col(key).alias("__id"), F.col("text_hash").alias("__h")).agg(F.collect_set("line_no").alias("__gone"))
+    d = docs.join(gone, (F.col(key).cast("long") == F.col("__id")) & (F.xxhash64(F.col(text)) == F.col("__h")), "left")
     left = F.filter(F.split(F.col(text), "\n"), lambda x, i: ~F.array_contains(F.col("__gone"), i))
-    return d.withColumn(text, F.when(F.col("__gone").isNull(), F.col(text)).otherwise(F.array_join(left, "\n"))).drop("__id", "__gone")
+    return d.withColumn(text, F.when(F.col("__gone").isNull(), F.col(text)).otherwise(F.array_join(left, "\n"))).drop("__id", "__h", "__gone")

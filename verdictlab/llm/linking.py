@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, functions as F
 from verdictlab.functions.shared import materialise
 from verdictlab.operators.components import connected_components
 
-#: Passes: a bucket that turns out to hold several classes is split by one more signature in each further pass.
+#: Passes: the members of a bucket that are unlike its leader are split by one more signature in each further pass.
 DEPTH = 3
 #: Distance between the signatures that are joined to a deeper key.
 STRIDE = 7
@@ -19,90 +19,68 @@ BLOCK = 2000
 
 def classes(signatures: DataFrame, prepare: Callable[[DataFrame], tuple[Callable, Callable]], similar: float, depth: int = DEPTH) -> DataFrame:
     """``(id, class)`` for each ``id`` of ``signatures(id, keys array<bigint>)`` that has a similar partner; the class
-    is named by its smallest id. Rows of one id have the same keys and may be repeated.
+    is named by its smallest id. There is one row per id.
 
     ``prepare(ids)`` gets the ids that share a key with another one and returns ``verify``, which keeps the truly
     similar ones of ``pairs(a, b)``, and ``tokens``, which gives ``(id, toks array<bigint>)`` of some of the ids: sets
-    whose Jaccard similarity is no less than the similarity that ``verify`` asks to be ``similar`` or more. In each bucket of equal keys the members are compared with one leader, the
-    member that meets most others over all buckets (an original meets its copies more often than they meet each
-    other). So pairs grow with the members, not with their square, and a bucket is never gathered: sizes, leaders
-    and links are aggregates and equi-joins. Each id is first compared with the leader it meets most often; further
-    leaders are only asked where the classes found so far leave the two apart. Buckets in which members stay apart
-    from their leader are then split by one more signature, their members (linked ones too) get new leaders, and so
-    on, in ``depth`` passes. Buckets that still hold several classes besides their leader are finished exactly
-    (``_finish``). So two ids that share a bucket and are similar always end in one class; there is no cap on members,
-    leaders or links.
+    whose Jaccard similarity is no less than ``similar`` where ``verify`` keeps the pair.
+
+    In each bucket of equal keys the members are compared with one leader, the member that meets most others over all
+    buckets (an original meets its copies more often than they meet each other). So pairs grow with the members, not
+    with their square, and a bucket is never gathered: sizes, leaders and links are aggregates and equi-joins. Members
+    that are unlike their leader are split by one more signature and get new leaders, in ``depth`` passes. Then the
+    classes are the connected components of all links, and buckets whose members besides the leader still belong to several
+    classes are finished exactly (``_finish``). So two ids that share a bucket and are similar always end in one
+    class; there is no cap on members, leaders or links.
     """
     spark = signatures.sparkSession
     e = signatures.select("id", F.posexplode("keys").alias("pos", "val"))
     e = e.select("id", "pos", F.xxhash64("pos", "val").alias("key"))
-    found = verify = tokens = buckets = None
+    links = done = verify = tokens = buckets = None
     for level in range(depth):
-        e = e.repartition("key")  # one shuffle serves the sizes and the join
-        n = e.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("lo"), F.max("id").alias("hi"))
-        n = n.filter("lo <> hi").select("key", "n")
-        m = materialise(e.join(n, "key").dropDuplicates(["id", "key"]))
+        # the counts are written first: a hot key is then split by AQE in the join, which feeds a write only
+        n = materialise(e.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"))
+        m = materialise(e.join(n, "key"))
         if m.isEmpty():
             break
         if verify is None:
-            verify, tokens = prepare(m.select("id").distinct())
+            verify, tokens = prepare(materialise(m.select("id").distinct()))
         central = m.groupBy("id").agg(F.sum("n").alias("weight"))
-        lead = m.join(central, "id").groupBy("key").agg(F.max(F.struct("weight", (-F.col("id")).alias("neg"))).alias("x"))
-        lead = lead.select("key", (-F.col("x.neg")).alias("leader"))
-        met = m.join(lead, "key").filter("id <> leader")
+        lead = m.select("key", "id").join(central, "id").groupBy("key").agg(F.max(F.struct("weight", (-F.col("id")).alias("neg"))).alias("x"))
+        met = materialise(m.drop("n").join(lead.select("key", (-F.col("x.neg")).alias("leader")), "key").filter("id <> leader"))
+        pairs = met.select(F.col("id").alias("a"), F.col("leader").alias("b")).distinct()
+        if done is not None:
+            pairs = pairs.join(done, ["a", "b"], "left_anti")
+        pairs = materialise(pairs)
+        found = materialise(verify(pairs).select("a", "b"))
+        done = pairs if done is None else done.unionByName(pairs)
+        links = found if links is None else links.unionByName(found)
+        unlike = met.join(links.select(F.col("a").alias("id"), F.col("b").alias("leader")), ["id", "leader"], "left_anti").select("id", "pos", "key")
         if buckets is None:
-            buckets = met = materialise(met.select("key", "id", "leader"))
-        met = met.groupBy(F.col("id").alias("a"), F.col("leader").alias("b")).agg(F.count(F.lit(1)).alias("n"))
-        met = materialise(_apart(met, found))
-        first = met.groupBy("a").agg(F.max_by("b", F.struct("n", (-F.col("b")).alias("neg"))).alias("b"))
-        found = _grow(found, verify(first))
-        rest = _apart(met.join(first, ["a", "b"], "left_anti").select("a", "b"), found)
-        found = _grow(found, verify(rest))
-        # buckets whose members are still apart
-        named = _named(m, found)
-        open_ = materialise(named.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo <> hi").select("key"))
-        if level + 1 == depth or open_.isEmpty():
+            buckets = met.select("key", "id")
+        if level + 1 == depth:
             break
-        more = m.join(open_, "key", "left_semi").join(signatures.dropDuplicates(["id"]), "id")
         at = (F.col("pos") + STRIDE * (level + 1)) % F.size("keys") + 1
-        e = more.select("id", "pos", F.xxhash64("key", F.element_at("keys", at.cast("int"))).alias("key"))
-    if found is None:
+        e = unlike.join(signatures, "id").select("id", "pos", F.xxhash64("key", F.element_at("keys", at.cast("int"))).alias("key"))
+    if links is None:
         return spark.createDataFrame([], "id bigint, class bigint")
-    found = _finish(buckets, found, verify, tokens, similar)
+    found = _finish(buckets, links, verify, tokens, similar)
     return found.select(F.col("node").alias("id"), F.col("component").alias("class"))
 
 
-def _grow(found: DataFrame | None, new: DataFrame) -> DataFrame:
-    """The classes ``(node, component)``, with the links ``new(a, b)`` added."""
-    new = materialise(new.select("a", "b"))
-    if found is not None:
-        if new.isEmpty():
-            return found
-        new = new.unionByName(found.select(F.col("node").alias("a"), F.col("component").alias("b")))
-    return materialise(connected_components(new))
-
-
-def _apart(pairs: DataFrame, found: DataFrame | None) -> DataFrame:
-    """``pairs(a, b)`` whose ends aren't in one class yet."""
-    if found is None:
-        return pairs
-    for side in ("a", "b"):
-        own = found.select(F.col("node").alias(side), F.col("component").alias(f"c{side}"))
-        pairs = pairs.join(own, side, "left")
-    return pairs.filter(F.coalesce(F.col("ca") != F.col("cb"), F.lit(True))).drop("ca", "cb")
-
-
 def _named(ids: DataFrame, found: DataFrame) -> DataFrame:
     """``ids(id, ...)`` with the class ``c`` that each has so far."""
     own = found.select(F.col("node").alias("id"), "component")
     return ids.join(own, "id", "left").withColumn("c", F.coalesce("component", "id")).drop("component")
 
 
-def _finish(buckets: DataFrame, found: DataFrame, verify: Callable, tokens: Callable, similar: float) -> DataFrame:
-    """``found`` with all links between members of the open ``buckets(key, id)``, which are given without their leaders:
-    those have been compared with all members. An exact prefix-filtered join: tokens are ordered by rarity, and sets of
-    a Jaccard similarity of ``similar`` share one of their first ``n - ceil(similar * n) + 1`` tokens. Only pairs of
-    different classes are made; the members of a token are paired in blocks, so a common token is no single task."""
+def _finish(buckets: DataFrame, links: DataFrame, verify: Callable, tokens: Callable, similar: float) -> DataFrame:
+    """The classes ``(node, component)`` of ``links``, and of all links between members of the open
+    ``buckets(key, id)``, which are given without their leaders: those have been compared with all members. An exact
+    prefix-filtered join: tokens are ordered by rarity, and sets of a Jaccard similarity of ``similar`` share one of their first
+    ``n - ceil(similar * n) + 1`` tokens. Only pairs of different classes are made; the members of a token are paired in
+    blocks, so a common token is no single task."""
+    found = materialise(connected_components(links))
     named = _named(buckets.select("key", "id"), found)
     open_ = named.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo <> hi").select("key")
     ids = materialise(named.join(open_, "key", "left_semi").select("id", "c").distinct())
@@ -125,4 +103,7 @@ def _finish(buckets: DataFrame, found: DataFrame, verify: Callable, tokens: Call
     two = x.select("tok", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), *[F.col(c).alias(f"{c}_b") for c in ("id", "size", "left", "c")])
     need = least(similar / (1 + similar) * (F.col("size") + F.col("size_b")))
     pairs = one.join(two, ["tok", "block"]).filter((F.col("id") < F.col("id_b")) & (F.col("c") != F.col("c_b")) & (F.least("left", "left_b") >= need))
-    return _grow(found, verify(materialise(pairs.select(F.col("id").alias("a"), F.col("id_b").alias("b")).distinct())))
+    more = materialise(verify(materialise(pairs.select(F.col("id").alias("a"), F.col("id_b").alias("b")).distinct())).select("a", "b"))
+    if more.isEmpty():
+        return found
+    return connected_components(more.unionByName(found.select(F.col("node").alias("a"), F.col("component").alias("b"))))

@@ -18,13 +18,26 @@ _ODD = mix(np.arange(1, SKETCHES + 1, dtype=np.uint64)) | np.uint64(1)
 _XOR = mix(np.arange(101, SKETCHES + 101, dtype=np.uint64))
 
 
+#: k-mers of a text that are hashed at once.
+PIECE = 1 << 14
+
+
 def sketch(x: np.ndarray) -> np.ndarray:
     """Order MinHash of the occurrence-labelled k-mers ``x`` (in text order): for each of ``SKETCHES`` random orders,
-    the ``MINIMA`` smallest k-mers, put back into text order and hashed as a sequence."""
-    v = (x[None, :] ^ _XOR[:, None]) * _ODD[:, None]
-    v ^= v >> np.uint64(29)
+    the ``MINIMA`` smallest k-mers, put back into text order and hashed as a sequence. A long text goes through in
+    pieces, of which each leaves its smallest k-mers."""
     take = min(MINIMA, len(x))
-    at = np.argpartition(v, take - 1, axis=1)[:, :take] if take < len(x) else np.tile(np.arange(len(x)), (SKETCHES, 1))
+    best = at = None
+    for p in range(0, len(x), PIECE):
+        v = (x[None, p : p + PIECE] ^ _XOR[:, None]) * _ODD[:, None]
+        v ^= v >> np.uint64(29)
+        places = np.broadcast_to(np.arange(p, p + v.shape[1]), v.shape)
+        if best is not None:
+            v, places = np.hstack((best, v)), np.hstack((at, places))
+        if take < v.shape[1]:
+            least = np.argpartition(v, take - 1, axis=1)[:, :take]
+            v, places = np.take_along_axis(v, least, 1), np.take_along_axis(places, least, 1)
+        best, at = v, places
     at = np.sort(at, axis=1)
     out = np.full(SKETCHES, take, np.uint64)
     for i in range(take):
@@ -110,31 +123,31 @@ def _similarity(similar: float):
 
 
 def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", similar: float = SIMILAR) -> DataFrame:
-    """``(key, class_id, n_words, copies, is_kept)``, one row per key: documents of one class are near copies of each
-    other, by links of a similarity of ``similar`` or more; ``class_id`` is the smallest key of the class and
-    ``is_kept`` tells that document; ``copies`` counts the rows of equal words.
+    """``(key, text_hash, class_id, n_words, copies, is_kept)``, one row per document: documents of one class are near
+    copies of each other, by links of a similarity of ``similar`` or more; ``class_id`` is the smallest key of the class,
+    ``is_kept`` tells the document of that key (and of the smallest ``text_hash``); ``copies`` counts the documents of
+    equal words.
 
     Words are normalised (A-Z lower, no punctuation); k-mers are five words, labelled by occurrence; a shorter text
     is one k-mer. Texts of equal words are one class from the start and are compared once. A text without words
-    (null and empty too) is a class of its own. Keys are integers; rows with a null key are left out; repeated rows
-    and rows of one key count as one document, by its smallest digest. An empty table gives no rows.
+    (null and empty too) is a class of its own. Keys are integers; rows with a null key are left out. Rows of one key
+    with different texts are documents of their own, told apart by ``text_hash``; repeated rows of one key and text
+    count once. An empty table gives no rows.
     """
     bounded_batches(docs.sparkSession)
     sketches = F.arrow_udf(_sketches, "struct<n_words: bigint, digest: bigint, keys: array<bigint>>").asNondeterministic()
     kmers = F.arrow_udf(_kmers, "binary").asNondeterministic()
-    rows = docs.filter(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("id"), sketches(F.col(text)).alias("s"))
-    rows = rows.select("id", "s.*")
-    base = materialise(rows)
-    slim = base.groupBy("id").agg(F.min(F.struct("digest", "n_words")).alias("x")).select("id", "x.*")
+    source = docs.filter(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("id"), F.xxhash64(F.col(text)).alias("h"), F.col(text).alias("t"))
+    base = materialise(source.select("id", "h", sketches("t").alias("s")).select("id", "h", "s.*"))
+    slim = base.select("id", "h", "n_words", "digest").distinct()
     own = slim.filter(F.col("digest").isNotNull())
-    reps = materialise(own.groupBy("digest").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("copies")))
-    signatures = base.join(reps.select(F.col("rep").alias("id"), "digest"), ["id", "digest"]).dropDuplicates(["id"]).select("id", "keys")
-    signatures = materialise(signatures)
+    reps = materialise(own.groupBy("digest").agg(F.min(F.struct("id", "h")).alias("rep"), F.count(F.lit(1)).alias("copies")))
+    signatures = materialise(base.filter(F.col("digest").isNotNull()).select(F.col("digest").alias("id"), "keys").dropDuplicates(["id"]))
 
     def prepare(ids: DataFrame):
-        t = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("t")).join(ids, "id")
-        v = t.select("id", kmers(F.col("t")).alias("x"))
-        v = materialise(v.groupBy("id").agg(F.max("x").alias("x")))
+        one = materialise(reps.join(ids, F.col("digest") == F.col("id")).select("rep.id", "rep.h", "digest"))
+        v = source.join(one, ["id", "h"]).select(F.col("digest").alias("id"), kmers("t").alias("x"))
+        v = materialise(v.dropDuplicates(["id"]))
 
         def verify(pairs: DataFrame) -> DataFrame:
             p = pairs.join(v.select(F.col("id").alias("b"), F.col("x").alias("y")), "b").join(v.withColumnRenamed("id", "a"), "a")
@@ -144,17 +157,20 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", si
         return verify, lambda ids: v.join(ids, "id").select("id", toks("x").alias("toks"))
 
     found = classes(signatures, prepare, similar)
-    named = reps.join(found.withColumnRenamed("id", "rep"), "rep", "left").select("digest", "copies", F.coalesce("class", "rep").alias("class_id"))
-    out = slim.join(named, "digest", "left").select(
-        F.col("id").alias(key), F.coalesce("class_id", "id").alias("class_id"), "n_words", F.coalesce("copies", F.lit(1)).cast("long").alias("copies")
-    )
-    return out.withColumn("is_kept", F.col(key) == F.col("class_id"))
+    named = reps.join(found.withColumnRenamed("id", "digest"), "digest", "left").withColumn("class", F.coalesce("class", "digest"))
+    keep = named.groupBy("class").agg(F.min("rep").alias("keep"))
+    named = named.join(keep, "class").select("digest", "copies", "keep")
+    this = F.struct("id", "h")
+    kept = F.coalesce("keep", this)
+    return slim.join(named, "digest", "left").select(
+        F.col("id").alias(key), F.col("h").alias("text_hash"), kept["id"].alias("class_id"), "n_words",
+        F.coalesce("copies", F.lit(1)).cast("long").alias("copies"), (this == kept).alias("is_kept"),
+    )
 
 
 def keep_one(docs: DataFrame, text: str = "text", key: str = "doc_id", similar: float = SIMILAR) -> DataFrame:
     """``docs`` with one document of each class, the one of the smallest key; rows with a null key stay as they are.
-    Rows of one key are one document: they stay or go together."""
-    found = near_duplicates(docs, text, key, similar).filter(~F.col("is_kept")).select(F.col(key).alias("__gone"))
-    return docs.join(found, F.col(key).cast("long") == F.col("__gone"), "left_anti")
-
-
+    Repeated rows of one key and text are one document: they stay or go together."""
+    found = near_duplicates(docs, text, key, similar).filter(~F.col("is_kept")).select(F.col(key).alias("__gone"), F.col("text_hash").alias("__h"))
+    # written first, so that a small table is broadcast by its known size and texts aren't moved
+    return docs.join(materialise(found), (F.col(key).cast("long") == F.col("__gone")) & (F.xxhash64(F.col(text)) == F.col("__h")), "left_anti")

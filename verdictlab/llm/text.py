@@ -86,14 +86,25 @@ def words(data: np.ndarray, offs: np.ndarray, table: np.ndarray = WORD_TABLE) ->
         return np.zeros(len(offs), np.int64), start, end, np.zeros(0, np.uint64)
     size = end - start
     first = np.concatenate(([0], np.cumsum(size)[:-1]))
-    power = np.ones(int(size.max()), np.uint64)
-    power[1:] = _BASE
-    power = np.multiply.accumulate(power)
-    place = np.arange(int(size.sum())) - np.repeat(first, size)
-    h = np.add.reduceat(c[is_word].astype(np.uint64) * power[place], first)
+    low, high = _powers(_BASE, 1 << 16), _powers(_powers(_BASE, (1 << 16) + 1)[-1], (int(size.max()) >> 16) + 1)
+    letters = c[is_word]
+    h = np.zeros(len(start), np.uint64)
+    # in pieces, for eight-byte numbers of a whole long text would take many times its size
+    for p in range(0, len(letters), BLOCK_BYTES):
+        q = min(p + BLOCK_BYTES, len(letters))
+        a, b = int(np.searchsorted(first, p, "right")) - 1, int(np.searchsorted(first, q, "left"))
+        begin = np.maximum(first[a:b], p)
+        place = np.arange(p, q) - np.repeat(first[a:b], np.diff(np.append(begin, q)))
+        h[a:b] += np.add.reduceat(letters[p:q].astype(np.uint64) * low[place & 0xFFFF] * high[place >> 16], begin - p)
     return np.searchsorted(start, offs), start, end, mix(h + size.astype(np.uint64) * _STEP)
 
 
+def _powers(base: np.uint64, n: int) -> np.ndarray:
+    out = np.ones(n, np.uint64)
+    out[1:] = base
+    return np.multiply.accumulate(out)
+
+
 def shingles(h: np.ndarray, first: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     """``(first shingle of each document plus the end, hash)``: every k consecutive words of a document;
     a document of fewer words, but not none, has one shingle of all of them."""
@@ -128,7 +139,7 @@ def occurrence_labels(x: np.ndarray, at: np.ndarray) -> np.ndarray:
 
 def code_point_ends(data: np.ndarray) -> np.ndarray:
     """Number of characters that begin before each byte position (one longer than ``data``)."""
-    return np.concatenate(([0], np.cumsum((data & 0xC0) != 0x80)))
+    return np.concatenate((np.zeros(1, np.int32), np.cumsum((data & 0xC0) != 0x80, dtype=np.int32)))
 
 
 def list_array(values: pa.Array, sizes: np.ndarray) -> pa.ListArray:
