@@ -80,6 +80,25 @@ def test_mixture(spark, seed):
     assert mixing.sizes(df.filter("false"), labels).count() == 0 and mixing.mix(df.filter("false"), None).count() == 0
 
 
+def test_empty_documents_of_a_tripled_source(spark):
+    """Where whole epochs use up a budget, rows without words aren't taken once more."""
+    rows = [(i, "w" if i % 2 else "", "small") for i in range(200)] + [(1000 + i, "w " * 100, "large") for i in range(100)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = mixing.sizes(df, None).collect()
+    assert {r["copies"] for r in got if r["doc_id"] < 200} == {3} and max(r["copies"] for r in got) <= 3
+
+
+def test_a_very_long_text_is_sketched_in_pieces():
+    x = np.random.default_rng(1).integers(0, 1 << 63, 3 * near_dedup.PIECE + 5, np.uint64)
+    v = (x[None, :] ^ near_dedup._XOR[:, None]) * near_dedup._ODD[:, None]
+    v ^= v >> np.uint64(29)
+    at = np.sort(np.argsort(v, axis=1)[:, : near_dedup.MINIMA], axis=1)
+    want = np.arange(near_dedup.SKETCHES, dtype=np.uint64) * np.uint64(near_dedup.MINIMA + 1) + np.uint64(near_dedup.MINIMA)
+    for i in range(near_dedup.MINIMA):
+        want = near_dedup.mix(want ^ x[at[:, i]])
+    assert (near_dedup.sketch(x) == want).all()
+
+
 def test_better_documents_are_drawn_first(spark):
     df = spark.range(4000).select(F.col("id").alias("doc_id"), F.lit("one two").alias("text"), F.when(F.col("id") < 2000, "a").otherwise("b").alias("source"))
     q = df.filter("doc_id >= 2000").select("doc_id", (F.col("doc_id") % 2).cast("int").alias("quality"))

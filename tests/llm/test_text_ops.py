@@ -1,8 +1,10 @@
 """Quality rules, language ID, decontamination, secrets and URLs against plain versions, with edge rows."""
 
 import hashlib
+import math
 import random
 import re
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -58,6 +60,15 @@ def test_quality_edges(spark):
     assert quality.line_rules(edge(spark).filter("false")).count() == 0
 
 
+def test_quality_of_a_very_long_text(spark):
+    """Three million words in a line, and as many in short lines: whole texts, in bounded memory."""
+    words = " ".join(f"word{i % 70001}." for i in range(3_000_000))
+    df = spark.createDataFrame([(1, words), (2, words.replace(". ", ".\n"))], "doc_id long, text string")
+    got = {r["doc_id"]: r["line_rules"] for r in quality.line_rules(df, with_text=False).collect()}
+    assert got[1]["n_words"] == got[2]["n_words"] == got[1]["n_repeat_words"] == 3_000_000 and got[1]["base_failed"]
+    assert got[2]["n_dup_lines"] == 3_000_000 - 70001
+
+
 def test_languages(spark):
     rng = random.Random(5)
     words = {"en": "the and with from that this have over".split(), "de": "der und mit von dass diese haben über".split(), "fr": "le et avec de que cette avoir sur été".split(), "es": "el y con de que esta haber sobre más".split()}
@@ -159,6 +170,49 @@ def test_secrets(spark):
     assert "Python" not in plan and "Arrow" not in plan
 
 
+def plain_markov(labelled, smooth=0.5):
+    """Transition counts and log ratios, token by token."""
+    k, n = len(secret_scan.ALPHABET), Counter()
+    for token, random_ in labelled:
+        n.update((random_, a, b) for a, b in zip(token, token[1:]) if a in secret_scan.ALPHABET and b in secret_scan.ALPHABET)
+    ratio = {}
+    for a in secret_scan.ALPHABET:
+        total = {z: sum(n[z, a, b] for b in secret_scan.ALPHABET) + smooth * k for z in (True, False)}
+        for b in secret_scan.ALPHABET:
+            ratio[a, b] = math.log((n[True, a, b] + smooth) / total[True]) - math.log((n[False, a, b] + smooth) / total[False])
+    return lambda t: sum(ratio[x] for x in zip(t, t[1:])) / (len(t) - 1)
+
+
+def test_planted_keys(spark):
+    """Keys of several alphabets without a keyword in front, among ordinary identifiers; and the models by hand."""
+    rng = random.Random(21)
+    alphabets = ["ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", "0123456789abcdefghijklmnopqrstuvwxyz", secret_scan.ALPHABET[:-4], secret_scan.ALPHABET[:-1]]
+    docs = [(i, english(rng, 80)) for i in range(80)]
+    keys, plain = [], []
+    for i in range(60):
+        own = "".join(rng.choice(alphabets[i % 4]) for _ in range(rng.randint(28, 44))).strip("=")
+        word = rng.choice("_-").join(english(rng, 6).replace(".", "").split())
+        docs.append((100 + i, f"{english(rng, 10)} {own} {english(rng, 10)} {word} end"))
+        keys.append(own), plain.append(word)
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    labelled = secret_scan.samples(df.filter("doc_id < 100")).cache()
+    model = secret_scan.train(labelled)
+    by_hand = plain_markov([(r["token"], r["random"]) for r in labelled.collect()])
+    scored = spark.createDataFrame([(t,) for t in keys + plain], "t string").select("t", secret_scan.score(F.col("t"), model.ratios).alias("s")).collect()
+    assert all(r["s"] == pytest.approx(by_hand(r["t"]), abs=1e-4) for r in scored)
+    found = set()
+    for r in secret_scan.scan(df.filter("doc_id >= 100"), model).collect():
+        found |= {r["text"][x["start"] : x["end"]] for x in r["secrets"]["spans"]}
+    assert len(found & set(keys)) >= 0.95 * len(keys) and not found & set(plain)
+
+
+def test_many_matches_in_one_text(spark):
+    text = " ".join(f"token={'ab' * 4}{i} AKIA{'Z' * 16}{i}" for i in range(600))
+    df = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    got = df.select(secret_scan.base_spans(F.col("text")).alias("s")).first()["s"]
+    assert [tuple(x) for x in got] == base_by_hand(text)
+
+
 RULES = [url_filter.Rule("org", "/", "allow"), url_filter.Rule("example.org", "/es/", "block"), url_filter.Rule("com", "/de/", "block")]
 
 

@@ -7,6 +7,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
+from verdictlab.functions.shared import materialise
 from verdictlab.llm.text import WORD_TABLE, bounded_batches
 
 _TRANSLATE = bytes(b or 32 for b in WORD_TABLE.tobytes())
@@ -123,40 +124,45 @@ SPAN = "array<struct<start: int, end: int, longest: int>>"
 RESULT = f"struct<n_words: bigint, spans: {SPAN}, items: array<string>>"
 
 
-def _blocks(items: DataFrame, key: str, text: str, max_words: int) -> list[int]:
-    """Block numbers: items are dealt by a running sum of their words, so that an automaton has a bounded size."""
-    n = F.sum(F.size(F.regexp_extract_all(F.coalesce(F.col(text), F.lit("")), F.lit(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"), F.lit(0))))
-    total = items.agg(n.alias("n")).first()["n"] or 0
-    return list(range(max(1, -(-total // max_words))))
+WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 
 
-def match(docs: DataFrame, items: DataFrame, text: str = "text", item_key: str = "item_id", item_text: str = "text", out: str = "contamination", window: int = 13, max_words: int = 2_000_000) -> DataFrame:
+def _n_blocks(items: DataFrame, text: str, max_words: int) -> int:
+    """Into how many blocks the items are dealt, so that an automaton has a bounded size."""
+    n = F.sum(F.regexp_count(F.coalesce(F.col(text), F.lit("")), F.lit(WORD)))
+    return max(1, -(-(items.agg(n.alias("n")).first()["n"] or 0) // max_words))
+
+
+def match(docs: DataFrame, items: DataFrame, text: str = "text", item_key: str = "item_id", item_text: str = "text", out: str = "contamination", window: int = 13, max_words: int = 200_000) -> DataFrame:
     """``docs`` with the struct column ``out``: ``n_words``, ``spans`` (word positions that lie in an occurrence of
     ``window`` consecutive words of an item, or of a whole shorter item, with the longest match inside) and ``items``
     (the items met, as strings, sorted).
 
-    The test items are put into suffix automata of about ``max_words`` words each; more items than that are dealt
-    into blocks by a hash of their key, each streamed over the documents in turn, so neither the driver nor a
-    broadcast holds more than one block. Items without words, or without a key, are left out; equal items are
-    all named. Null text has no words. Documents are judged row by row; an empty table stays empty; a column
-    named ``out`` is replaced and all others pass through.
+    The test items are put into suffix automata of about ``max_words`` words each (a kilobyte a word). More items than
+    that are dealt into blocks by a hash of their key, which are streamed over the documents one after the other: the
+    result of a block is written before the next automaton is made and the last one is let go, so neither the
+    driver, nor a broadcast, nor a worker holds more than one. Items without words, or without a key, are left out;
+    equal items are all named. Null text has no words. Documents are judged row by row; an empty table stays empty; a
+    column named ``out`` is replaced and all others pass through.
     """
     spark = docs.sparkSession
     bounded_batches(spark)
-    numbers = _blocks(items, item_key, item_text, max_words)
+    blocks = _n_blocks(items, item_text, max_words)
     rows = items.select(F.col(item_key).cast("string").alias("k"), F.col(item_text).alias("t")).filter("k is not null and t is not null")
-    for no in numbers:
-        own = rows.filter(F.pmod(F.xxhash64("k"), F.lit(len(numbers))) == no).collect()
+    for no in range(blocks):
+        own = rows.filter(F.pmod(F.xxhash64("k"), F.lit(blocks)) == no).collect()
         listed = sorted((r["k"], tokens(r["t"].encode())) for r in own)
         shared = spark.sparkContext.broadcast(Automaton([(k, w) for k, w in listed if w], window))
         found = _matcher(shared)(F.col(text))
         if no == 0:
             docs = docs.withColumn(out, found)
         else:
-            before = F.col(out)
-            docs = docs.withColumn(f"{out}__next", found)
-            now = F.col(f"{out}__next")
-            docs = docs.withColumn(out, F.struct(now["n_words"].alias("n_words"), _join_spans(before["spans"], now["spans"]).alias("spans"), F.array_sort(F.array_union(before["items"], now["items"])).alias("items"))).drop(f"{out}__next")
+            before, now = F.col(out), F.col(f"{out}__next")
+            both = F.struct(now["n_words"].alias("n_words"), _join_spans(before["spans"], now["spans"]).alias("spans"), F.array_sort(F.array_union(before["items"], now["items"])).alias("items"))
+            docs = docs.withColumn(f"{out}__next", found).withColumn(out, both).drop(f"{out}__next")
+        if no + 1 < blocks:
+            docs = materialise(docs)
+            shared.destroy()
     return docs
 
 

@@ -107,7 +107,7 @@ class _Lines:
             if len(pick):
                 own, start = _spread(first, pick)
                 own = h[own]
-                band = np.zeros((len(pick), BANDS), np.uint64)
+                band = np.tile(np.arange(BANDS, dtype=np.uint64), (len(pick), 1))
                 for i in range(_HASHES):
                     band[:, i // ROWS] = mix(band[:, i // ROWS] + np.minimum.reduceat((own ^ _XOR[i]) * _ODD[i], start))
                 bands.append(band)
@@ -176,18 +176,18 @@ def fuzzy_lines(docs: DataFrame, text: str = "text", key: str = "doc_id", simila
     rows = materialise(rows.select("doc", "h", F.inline("l")))
     slim = rows.select("doc", "h", "no", "start", "end", "digest")
     sent = rows.filter("keys is not null")
-    signatures = materialise(sent.select(F.col("digest").alias("id"), "keys").dropDuplicates(["id"]))
+    signatures = sent.select(F.col("digest").alias("id"), "keys")
 
     def prepare(ids: DataFrame):
         v = materialise(sent.select(F.col("digest").alias("id"), F.col("folded").alias("x")).join(ids, "id").dropDuplicates(["id"]))
         similarity = F.arrow_udf(_similarity, "double").asNondeterministic()
 
-        def verify(pairs: DataFrame) -> DataFrame:
+        def score(pairs: DataFrame) -> DataFrame:
             p = pairs.join(v.select(F.col("id").alias("b"), F.col("x").alias("y")), "b").join(v.withColumnRenamed("id", "a"), "a")
-            return p.withColumn("s", similarity("x", "y")).filter(F.col("s") >= similar).select("a", "b")
+            return p.withColumn("s", similarity("x", "y")).filter(F.col("s") >= 2 * similar - 1).select("a", "b", "s")
 
         toks = F.arrow_udf(_tokens, "array<bigint>").asNondeterministic()
-        return verify, lambda ids: v.join(ids, "id").select("id", toks("x").alias("toks"))
+        return score, lambda ids: v.join(ids, "id").select("id", toks("x").alias("toks"))
 
     found = classes(signatures, prepare, similar)
     first = slim.groupBy("digest").agg(F.min(F.struct("doc", "h", "no")).alias("first"))

@@ -3,87 +3,100 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, functions as F
 
 from verdictlab.functions.shared import materialise
 from verdictlab.operators.components import connected_components
 
-#: Passes: the members of a bucket that are unlike its leader are split by one more signature in each further pass.
-DEPTH = 3
-#: Distance between the signatures that are joined to a deeper key.
-STRIDE = 7
+#: Rounds in which the members of a bucket that are unlike its leaders so far get a new leader.
+ROUNDS = 4
 #: Members of a block: what one task of the exact finish pairs with the other members of a token.
 BLOCK = 2000
 
 
-def classes(signatures: DataFrame, prepare: Callable[[DataFrame], tuple[Callable, Callable]], similar: float, depth: int = DEPTH) -> DataFrame:
+def classes(signatures: DataFrame, prepare: Callable[[DataFrame], tuple[Callable, Callable]], similar: float, rounds: int = ROUNDS) -> DataFrame:
     """``(id, class)`` for each ``id`` of ``signatures(id, keys array<bigint>)`` that has a similar partner; the class
-    is named by its smallest id. There is one row per id.
+    is named by its smallest id. Keys of different bands differ; rows of one id have the same keys and may be repeated.
 
-    ``prepare(ids)`` gets the ids that share a key with another one and returns ``verify``, which keeps the truly
-    similar ones of ``pairs(a, b)``, and ``tokens``, which gives ``(id, toks array<bigint>)`` of some of the ids: sets
-    whose Jaccard similarity is no less than ``similar`` where ``verify`` keeps the pair.
+    ``prepare(ids)`` gets the ids that share a key with another one and returns ``score``, which gives
+    ``(a, b, s)`` of those ``pairs(a, b)`` whose similarity ``s`` is ``2 * similar - 1`` or more, and ``tokens``, which gives
+    ``(id, toks array<bigint>)`` of some of the ids: sets whose Jaccard similarity is no less than ``s``. ``1 - s`` is
+    a metric.
 
     In each bucket of equal keys the members are compared with one leader, the member that meets most others over all
     buckets (an original meets its copies more often than they meet each other). So pairs grow with the members, not
     with their square, and a bucket is never gathered: sizes, leaders and links are aggregates and equi-joins. Members
-    that are unlike their leader are split by one more signature and get new leaders, in ``depth`` passes. Then the
-    classes are the connected components of all links, and buckets whose members besides the leader still belong to several
-    classes are finished exactly (``_finish``). So two ids that share a bucket and are similar always end in one
-    class; there is no cap on members, leaders or links.
+    that are unlike their leader get a new one among themselves, in up to ``rounds`` rounds. The classes are the
+    connected components of all links. What could still be missing is finished exactly (``_finish``): pairs of members
+    unlike all leaders; and pairs of a member like a leader with one unlike it. By the triangle inequality the latter
+    can only be similar where the second is ``2 * similar - 1`` or more like the leader. So two ids that share a bucket
+    and are similar always end in one class; there is no cap on members, leaders or links.
     """
     spark = signatures.sparkSession
-    e = signatures.select("id", F.posexplode("keys").alias("pos", "val"))
-    e = e.select("id", "pos", F.xxhash64("pos", "val").alias("key"))
-    links = done = verify = tokens = buckets = None
-    for level in range(depth):
-        # the counts are written first: a hot key is then split by AQE in the join, which feeds a write only
-        n = materialise(e.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"))
-        m = materialise(e.join(n, "key"))
+    e = signatures.select("id", F.explode("keys").alias("key"))
+    # the keys are written first: a hot one is then split by AQE in the join, which feeds a write only
+    n = e.groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).filter("lo <> hi").select("key")
+    m = materialise(e.join(materialise(n), "key").distinct())
+    scored = done = score = tokens = None
+    like, near = [], []
+    for _ in range(rounds):
         if m.isEmpty():
             break
-        if verify is None:
-            verify, tokens = prepare(materialise(m.select("id").distinct()))
-        central = m.groupBy("id").agg(F.sum("n").alias("weight"))
-        lead = m.select("key", "id").join(central, "id").groupBy("key").agg(F.max(F.struct("weight", (-F.col("id")).alias("neg"))).alias("x"))
-        met = materialise(m.drop("n").join(lead.select("key", (-F.col("x.neg")).alias("leader")), "key").filter("id <> leader"))
+        if score is None:
+            score, tokens = prepare(materialise(m.select("id").distinct()))
+        n = m.groupBy("key").agg(F.count(F.lit(1)).alias("n"))
+        central = m.join(n, "key").groupBy("id").agg(F.sum("n").alias("weight"))
+        lead = m.join(central, "id").groupBy("key").agg(F.max(F.struct("weight", (-F.col("id")).alias("neg"))).alias("x"))
+        met = materialise(m.join(lead.select("key", (-F.col("x.neg")).alias("leader")), "key").filter("id <> leader"))
         pairs = met.select(F.col("id").alias("a"), F.col("leader").alias("b")).distinct()
         if done is not None:
             pairs = pairs.join(done, ["a", "b"], "left_anti")
         pairs = materialise(pairs)
-        found = materialise(verify(pairs).select("a", "b"))
+        new = materialise(score(pairs).select("a", "b", "s"))
+        scored = new if scored is None else scored.unionByName(new)
         done = pairs if done is None else done.unionByName(pairs)
-        links = found if links is None else links.unionByName(found)
-        unlike = met.join(links.select(F.col("a").alias("id"), F.col("b").alias("leader")), ["id", "leader"], "left_anti").select("id", "pos", "key")
-        if buckets is None:
-            buckets = met.select("key", "id")
-        if level + 1 == depth:
-            break
-        at = (F.col("pos") + STRIDE * (level + 1)) % F.size("keys") + 1
-        e = unlike.join(signatures, "id").select("id", "pos", F.xxhash64("key", F.element_at("keys", at.cast("int"))).alias("key"))
-    if links is None:
+        judged = materialise(met.join(scored.select(F.col("a").alias("id"), F.col("b").alias("leader"), "s"), ["id", "leader"], "left"))
+        like.append(judged.filter(F.col("s") >= similar).select("key", "id", "leader"))
+        near.append(judged.filter(F.col("s") < similar).select("key", "id", "leader"))
+        unlike = judged.filter(F.col("s").isNull() | (F.col("s") < similar)).select("id", "key")
+        two = unlike.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("key")
+        m = materialise(unlike.join(two, "key").select("id", "key"))
+    if scored is None:
         return spark.createDataFrame([], "id bigint, class bigint")
-    found = _finish(buckets, links, verify, tokens, similar)
+    links = scored.filter(F.col("s") >= similar).select("a", "b")
+    found = materialise(connected_components(links))
+    open_ = _open(m, reduce(DataFrame.unionByName, like), reduce(DataFrame.unionByName, near), found)
+    found = _finish(open_, found, lambda pairs: score(pairs).filter(F.col("s") >= similar), tokens, similar)
     return found.select(F.col("node").alias("id"), F.col("component").alias("class"))
 
 
+def _open(left: DataFrame, like: DataFrame, near: DataFrame, found: DataFrame) -> DataFrame:
+    """``(id, c)`` of all that may have a similar partner of another class ``c``: members of a bucket that no leader is
+    like (``left``), and members ``near`` a leader of another class with those that are ``like`` it in that bucket."""
+    named = _named(left, found)
+    keys = named.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo <> hi").select("key")
+    first = named.join(keys, "key", "left_semi").select("id", "c")
+    near = _named(near, found).withColumnRenamed("c", "own")
+    near = materialise(_named(near.withColumnsRenamed({"id": "other", "leader": "id"}), found).filter("c <> own"))
+    beside = like.join(near.select("key", F.col("id").alias("leader")).distinct(), ["key", "leader"], "left_semi").select("id")
+    both = near.select(F.col("other").alias("id"), F.col("own").alias("c")).unionByName(_named(beside.distinct(), found))
+    return first.unionByName(both).distinct()
+
+
 def _named(ids: DataFrame, found: DataFrame) -> DataFrame:
     """``ids(id, ...)`` with the class ``c`` that each has so far."""
     own = found.select(F.col("node").alias("id"), "component")
     return ids.join(own, "id", "left").withColumn("c", F.coalesce("component", "id")).drop("component")
 
 
-def _finish(buckets: DataFrame, links: DataFrame, verify: Callable, tokens: Callable, similar: float) -> DataFrame:
-    """The classes ``(node, component)`` of ``links``, and of all links between members of the open
-    ``buckets(key, id)``, which are given without their leaders: those have been compared with all members. An exact
-    prefix-filtered join: tokens are ordered by rarity, and sets of a Jaccard similarity of ``similar`` share one of their first
-    ``n - ceil(similar * n) + 1`` tokens. Only pairs of different classes are made; the members of a token are paired in
-    blocks, so a common token is no single task."""
-    found = materialise(connected_components(links))
-    named = _named(buckets.select("key", "id"), found)
-    open_ = named.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo <> hi").select("key")
-    ids = materialise(named.join(open_, "key", "left_semi").select("id", "c").distinct())
+def _finish(open_: DataFrame, found: DataFrame, verify: Callable, tokens: Callable, similar: float) -> DataFrame:
+    """The classes ``(node, component)`` ``found``, and of all links between the members of ``open_(id, c)``. An exact
+    prefix-filtered join: tokens are ordered by rarity, and sets of a Jaccard similarity of ``similar`` share one of
+    their first ``n - ceil(similar * n) + 1`` tokens. Only pairs of different classes are made; the members of a token
+    are paired in blocks, so a common token is no single task."""
+    ids = materialise(open_)
     if ids.isEmpty():
         return found
     e = materialise(tokens(ids.select("id")).select("id", F.size("toks").alias("size"), F.explode("toks").alias("tok")))

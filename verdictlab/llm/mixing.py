@@ -16,10 +16,11 @@ def word_count(text: Column) -> Column:
 
 
 def sample_key(key: Column, weight: Column, seed: int) -> Column:
-    """Exponential key -ln(u)/w; the smallest keys are drawn first. ``u`` is a hash of ``key``, so reruns agree."""
-    h = F.shiftrightunsigned(F.xxhash64(key.cast("string"), F.lit(seed)), 11)
-    u = (h + F.lit(0.5)) / F.lit(float(1 << 53))
-    return -F.log(u) / weight
+    """Exponential key -ln(u)/w; the smallest keys are drawn first. ``u`` comes from 52 bits of the MD5 of ``seed`` and
+    ``key``, so reruns agree."""
+    digest = F.md5(F.encode(F.concat(F.lit(f"{seed}:"), key.cast("string")), "UTF-8"))
+    h = F.conv(F.substring(digest, 1, 13), 16, 10).cast("long")
+    return -F.log((h + F.lit(0.5)) / F.lit(float(1 << 52))) / weight
 
 
 def targets(sources: DataFrame, weights: tuple = (5, 2, 1), most: int = 3) -> DataFrame:
@@ -53,7 +54,7 @@ def targets(sources: DataFrame, weights: tuple = (5, 2, 1), most: int = 3) -> Da
 def plan(rows: DataFrame) -> DataFrame:
     """One row per source of ``(source, source_size, target, epochs, cut, closing)`` from
     ``rows(source, size, key)``: each document is taken ``epochs`` times, once more where its key is up to ``cut``,
-    and once more where its key is among ``closing``."""
+    and once more where its key is among ``closing``. Where less than a word is left after the epochs, nothing is."""
     at = F.floor((F.lit(1.0) - F.exp(-F.col("key"))) * SLICES)
     rows = rows.withColumn("slice", F.least(at, F.lit(SLICES - 1)).cast("int"))
     per_slice = materialise(rows.groupBy("source", "slice").agg(F.sum("size").alias("size")))
@@ -68,7 +69,7 @@ def plan(rows: DataFrame) -> DataFrame:
     sums = per_slice.withColumn("upto", F.sum("size").over(run))
     cross = (
         sums.alias("a").join(F.broadcast(s.select("source", "rest")).alias("b") if _small(s) else s.select("source", "rest").alias("b"), same)
-        .filter(F.col("upto") > F.col("rest"))
+        .filter((F.col("rest") >= 1) & (F.col("upto") > F.col("rest")))
         .groupBy("a.source", "rest")
         .agg(F.min(F.struct("slice", (F.col("upto") - F.col("size")).alias("before"))).alias("at"))
         .select("source", "rest", F.col("at.slice").alias("slice"), F.col("at.before").alias("before"))

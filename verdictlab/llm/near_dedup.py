@@ -39,7 +39,7 @@ def sketch(x: np.ndarray) -> np.ndarray:
             v, places = np.take_along_axis(v, least, 1), np.take_along_axis(places, least, 1)
         best, at = v, places
     at = np.sort(at, axis=1)
-    out = np.full(SKETCHES, take, np.uint64)
+    out = np.arange(SKETCHES, dtype=np.uint64) * np.uint64(MINIMA + 1) + np.uint64(take)
     for i in range(take):
         out = mix(out ^ x[at[:, i]])
     return out
@@ -90,7 +90,8 @@ def _sets(kmers: pa.Array) -> pa.Array:
 def alignment(a: np.ndarray, b: np.ndarray, similar: float) -> float:
     """Similarity of two k-mer sequences: aligned k-mers over all k-mers of either. The alignment is the longest
     common subsequence inside the band that a similarity of ``similar`` allows; 0 where that can't be reached.
-    Labelled k-mers are distinct, so it is a longest increasing run of partner positions."""
+    Labelled k-mers are distinct, so it is a longest increasing run of partner positions. One minus it is the edit
+    distance with insertions and deletions only, normalised so that it is a metric."""
     n, m = len(a), len(b)
     need = similar * (n + m) / (1 + similar)
     if min(n, m) < need - 1e-9:
@@ -149,12 +150,13 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", si
         v = source.join(one, ["id", "h"]).select(F.col("digest").alias("id"), kmers("t").alias("x"))
         v = materialise(v.dropDuplicates(["id"]))
 
-        def verify(pairs: DataFrame) -> DataFrame:
+        def score(pairs: DataFrame) -> DataFrame:
             p = pairs.join(v.select(F.col("id").alias("b"), F.col("x").alias("y")), "b").join(v.withColumnRenamed("id", "a"), "a")
-            return p.withColumn("s", _similarity(similar)(F.col("x"), F.col("y"))).filter(F.col("s") >= similar).select("a", "b")
+            least = 2 * similar - 1
+            return p.withColumn("s", _similarity(least)(F.col("x"), F.col("y"))).filter(F.col("s") >= least).select("a", "b", "s")
 
         toks = F.arrow_udf(_sets, "array<bigint>").asNondeterministic()
-        return verify, lambda ids: v.join(ids, "id").select("id", toks("x").alias("toks"))
+        return score, lambda ids: v.join(ids, "id").select("id", toks("x").alias("toks"))
 
     found = classes(signatures, prepare, similar)
     named = reps.join(found.withColumnRenamed("id", "digest"), "digest", "left").withColumn("class", F.coalesce("class", "digest"))

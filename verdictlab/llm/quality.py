@@ -2,96 +2,130 @@
 
 from __future__ import annotations
 
-from collections import Counter
-
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from verdictlab.llm.text import bounded_batches
+from verdictlab.llm.text import blocks, bounded_batches, byte_table, list_array, mix, words
 
 SPACE = b" \t\n\x0b\x0c\r"
-SYMBOLS = b"#*$%&|<>"
-UPPER = bytes(range(65, 91))
-LETTERS = UPPER + bytes(range(97, 123))
-PUNCTUATION = bytes(i for i in range(33, 127) if not chr(i).isalnum())
-CONTINUED = bytes(range(0x80, 0xC0))
 TERMINAL = (b".", b"!", b"?", b":", b";", b'"', b"'", b")", b"\xe2\x80\xa6", b"\xe2\x80\x9d")
+#: Stock phrases of web pages, lower case, in the languages at hand.
 BOILERPLATE = (
     b"all rights reserved", b"cookie policy", b"privacy policy", b"terms of use", b"terms of service",
     b"click here", b"subscribe to our", b"sign up for", b"share this", b"enable javascript",
+    b"alle rechte vorbehalten", b"nutzungsbedingungen", b"hier klicken", b"newsletter abonnieren", b"javascript aktivieren",
+    b"tous droits r\xc3\xa9serv\xc3\xa9s", b"politique de confidentialit\xc3\xa9", b"conditions d'utilisation", b"cliquez ici", b"activer javascript",
+    b"todos los derechos reservados", b"pol\xc3\xadtica de privacidad", b"t\xc3\xa9rminos de uso", b"haga clic aqu\xc3\xad", b"habilitar javascript",
 )
 
+_WORDS = byte_table(SPACE, lower=False)
+
+
+def _class(members: bytes) -> np.ndarray:
+    t = np.zeros(256, bool)
+    t[list(members)] = True
+    return t
+
+
+_UPPER = _class(bytes(range(65, 91)))
+_LETTERS = _UPPER | _class(bytes(range(97, 123)))
+_PUNCTUATION = _class(bytes(i for i in range(33, 127) if not chr(i).isalnum()))
+_SYMBOLS = _class(b"#*$%&|<>")
+_SOLID = ~_class(SPACE)
+_VISIBLE = _SOLID & ~_class(bytes(range(0x80, 0xC0)))
+
 RESULT = (
     "struct<n_words: bigint, word_chars: bigint, n_symbols: bigint, n_dup_lines: bigint, n_repeat_words: bigint,"
     " base_failed: boolean, kept: boolean, lost_share: double, removed_lines: array<int>, text: string>"
 )
 
 
-def repeated_words(words: list[bytes]) -> int:
-    """Words inside a window of three consecutive words that the text holds twice or more."""
-    windows = list(zip(words, words[1:], words[2:], strict=False))
-    if len(set(windows)) == len(windows):
-        return 0
-    count = Counter(windows)
-    total = free = 0
-    for i, w in enumerate(windows):
-        if count[w] > 1:
-            total += i + 3 - max(free, i)
-            free = i + 3
-    return total
-
-
-def failed_rule(line: bytes, words: list[bytes]) -> str | None:
-    """The first rule that a line (with at least one word) fails."""
-    n = len(words)
-    solid = len(line.translate(None, SPACE))
-    marks = solid - len(line.translate(None, SPACE + PUNCTUATION))
-    if marks > (0.15 if n >= 5 else 0.4) * solid:
-        return "punctuation"
-    letters = len(line) - len(line.translate(None, LETTERS))
-    if n >= 5 and len(line) - len(line.translate(None, UPPER)) > 0.6 * letters:
-        return "punctuation"
-    bars = sum(1 for w in words if len(w) <= 3 and not w.translate(None, PUNCTUATION)) if marks else 0
-    if bars >= 3 and 5 * bars >= n or n < 3 and not line.rstrip(SPACE).endswith(TERMINAL):
-        return "navigation"
-    if n >= 30 and len(set(words)) ** 2 < 4 * n:
-        return "boilerplate"
-    if n <= 20 and any(p in (low := line.lower()) for p in BOILERPLATE) and low:
-        return "boilerplate"
-    return None
-
-
-def judge(text: bytes, max_lost: float, with_text: bool) -> tuple:
-    words = text.split()
-    n = len(words)
-    word_chars = len(text.translate(None, SPACE + CONTINUED))
+def repeated_words(h: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """By document: words inside a window of three consecutive words that the document holds twice or more."""
+    n = len(first) - 1
+    doc = np.repeat(np.arange(n), np.diff(first))
+    if len(h) < 3:
+        return np.zeros(n, np.int64)
+    at = np.flatnonzero(doc[:-2] == doc[2:])
+    w = mix(mix(mix(h[at]) + h[at + 1]) + h[at + 2]) + doc[at].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    w = mix(w)
+    order = np.argsort(w)
+    same = w[order][1:] == w[order][:-1]
+    twice = np.zeros(len(w), bool)
+    twice[order[1:][same]] = True
+    twice[order[:-1][same]] = True
+    hit = np.zeros(len(h), bool)
+    for i in range(3):
+        hit[at[twice] + i] = True
+    return np.bincount(doc[hit], minlength=n)
+
+
+def _judge(data: np.ndarray, offs: np.ndarray, max_lost: float, with_text: bool) -> tuple:
+    """The fields of ``RESULT`` for a block of documents."""
+    n_docs = len(offs) - 1
+    count = lambda table: np.concatenate((np.zeros(1, np.int32), np.cumsum(table[data], dtype=np.int32)))
+    first, start, end, h = words(data, offs, _WORDS)
+    n_words, repeat = np.diff(first), repeated_words(h, first)
+    visible, symbols = count(_VISIBLE), count(_SYMBOLS)
+    word_chars, n_symbols = np.diff(visible[offs]), np.diff(symbols[offs])
+    del symbols
+
+    begin = np.union1d(np.flatnonzero(data == 10) + 1, offs[:-1])
+    begin = begin[begin < len(data)]
+    stop = np.concatenate((begin[1:], [len(data)])).astype(np.int64)
+    doc = np.searchsorted(offs, begin, "right") - 1
+    new = np.flatnonzero(np.diff(doc, prepend=-1))
+    no = np.arange(len(begin)) - np.repeat(new, np.diff(np.append(new, len(begin))))
+    line = np.searchsorted(begin, start, "right") - 1
+    n = np.bincount(line, minlength=len(begin))
+
+    per_line = lambda table: (c := count(table))[stop] - c[begin]
+    mark = count(_PUNCTUATION)
+    marks, solid = mark[stop] - mark[begin], per_line(_SOLID)
+    menu = (end - start <= 3) & (mark[end] - mark[start] == end - start)
+    bars = np.bincount(line[menu], minlength=len(begin))
+    del mark
+    bad = marks > np.where(n >= 5, 0.15, 0.4) * solid  # punctuation
+    bad |= (n >= 5) & (per_line(_UPPER) > 0.6 * per_line(_LETTERS))
+    bad |= (bars >= 3) & (5 * bars >= n)  # navigation
+    big = np.flatnonzero(n[line] >= 30)  # a few words over and over
+    if len(big):
+        one = np.unique(mix(h[big] + line[big].astype(np.uint64) * np.uint64(0xBF58476D1CE4E5B9)), return_index=True)[1]
+        distinct = np.bincount(line[big[one]], minlength=len(begin))
+        bad |= (n >= 30) & (distinct**2 < 4 * n)
+
+    dup = np.zeros(len(begin), bool)
     seen: set[bytes] = set()
-    dup = lost = 0
-    removed = []
-    lines = text.split(b"\n")
-    for i, line in enumerate(lines):
-        own = line.split()
-        if not own:
+    raw, last = data.tobytes(), -1
+    whole = raw.lower()
+    phrases = [p for p in BOILERPLATE if p in whole]
+    for i in np.flatnonzero(n > 0).tolist():
+        if doc[i] != last:
+            seen, last = set(), doc[i]
+        text = raw[begin[i] : stop[i]].removesuffix(b"\n")
+        if text in seen:
+            dup[i] = True
             continue
-        if line in seen:
-            dup += 1
-            bad = True
-        else:
-            seen.add(line)
-            bad = failed_rule(line, own) is not None
-        if bad:
-            removed.append(i)
-            lost += len(line.translate(None, SPACE + CONTINUED))
-    repeat = repeated_words(words)
-    failed = n < 50 or 100 * repeat > 50 * n
-    share = lost / word_chars if word_chars else 0.0
-    kept = not failed and share <= max_lost
-    clean = None
-    if with_text and kept and removed:  # only what changed goes back to the JVM
-        gone = set(removed)
-        clean = b"\n".join(x for i, x in enumerate(lines) if i not in gone)
-    symbols = len(text) - len(text.translate(None, SYMBOLS))
-    return n, word_chars, symbols, dup, repeat, failed, kept, share, removed, clean
+        seen.add(text)
+        if not bad[i] and n[i] <= 20:
+            low = text.lower()
+            bad[i] = n[i] < 3 and not text.rstrip(SPACE).endswith(TERMINAL) or any(p in low for p in phrases)
+    bad = (bad | dup) & (n > 0)
+
+    lost = np.bincount(doc[bad], (visible[stop] - visible[begin])[bad], n_docs)
+    failed = (n_words < 50) | (100 * repeat > 50 * n_words)
+    share = np.where(word_chars > 0, lost / np.maximum(word_chars, 1), 0.0)
+    kept = ~failed & (share <= max_lost)
+    gone = np.bincount(doc[bad], minlength=n_docs)
+    clean: list[bytes | None] = [None] * n_docs
+    if with_text:  # only what changed goes back to the JVM
+        at = np.concatenate(([0], np.cumsum(gone)))
+        own = no[bad]
+        for d in np.flatnonzero(kept & (gone > 0)).tolist():
+            skip = set(own[at[d] : at[d + 1]].tolist())
+            clean[d] = b"\n".join(x for i, x in enumerate(raw[offs[d] : offs[d + 1]].split(b"\n")) if i not in skip)
+    return n_words, word_chars, n_symbols, np.bincount(doc[dup], minlength=n_docs), repeat, failed, kept, share, (no[bad], gone), clean
 
 
 def line_rules(docs: DataFrame, text: str = "text", out: str = "line_rules", max_lost: float = 0.5, with_text: bool = True) -> DataFrame:
@@ -106,19 +140,17 @@ def line_rules(docs: DataFrame, text: str = "text", out: str = "line_rules", max
     repeated rows and ties get equal results, and an empty table stays empty; other columns pass through.
     """
     bounded_batches(docs.sparkSession)
-    kind = pa.struct([
-        ("n_words", pa.int64()), ("word_chars", pa.int64()), ("n_symbols", pa.int64()), ("n_dup_lines", pa.int64()),
-        ("n_repeat_words", pa.int64()), ("base_failed", pa.bool_()), ("kept", pa.bool_()), ("lost_share", pa.float64()),
-        ("removed_lines", pa.list_(pa.int32())), ("text", pa.string()),
-    ])
+    kinds = (pa.int64(),) * 5 + (pa.bool_(), pa.bool_(), pa.float64(), pa.list_(pa.int32()), pa.string())
+    names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "lost_share", "removed_lines", "text"]
+    kind = pa.struct(list(zip(names, kinds, strict=True)))
 
     @F.arrow_udf(RESULT)
     def rules(texts: pa.Array) -> pa.Array:
         parts = []
-        for at in range(0, len(texts), 512):
-            rows = [judge((t or "").encode(), max_lost, with_text) for t in texts.slice(at, 512).to_pylist()]
-            cols = [pa.array(c, pa.binary() if f.name == "text" else f.type) for c, f in zip(zip(*rows, strict=True), kind, strict=True)]
-            cols[-1] = cols[-1].cast(pa.string())
+        for _, data, offs in blocks(texts):
+            *plain, (no, gone), clean = _judge(data, offs, max_lost, with_text)
+            cols = [pa.array(c, k) for c, k in zip(plain, kinds, strict=False)]
+            cols += [list_array(pa.array(no, pa.int32()), gone), pa.array(clean, pa.binary()).cast(pa.string())]
             parts.append(pa.StructArray.from_arrays(cols, fields=list(kind)))
         return pa.concat_arrays(parts) if parts else pa.array([], kind)
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 import corpus_pipeline
-from verdictlab.llm import decontam, lang_id, line_dedup, mixing, near_dedup, quality, secret_scan, sharding, substring_dedup, url_filter
+from verdictlab.llm import decontam, lang_id, line_dedup, mixing, near_dedup, oracle, quality, secret_scan, sharding, substring_dedup, url_filter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -108,4 +108,9 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict:
-    return {}
+    return {
+        "op2_mixing": oracle.MIXING,
+        "op4_decontamination": oracle.DECONTAMINATION,
+        "op8_quality_rules": oracle.QUALITY,
+        "op9_whole_lines": oracle.WHOLE_LINES,
+    }
