@@ -55,18 +55,19 @@ def _hashes(c: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     size = np.diff(at)
     n = np.maximum(size - SHINGLE + 1, 1)
     first = np.concatenate(([0], np.cumsum(n)))
-    pad = np.concatenate((c, np.zeros(SHINGLE, c.dtype))).astype(np.uint64)
-    h = np.zeros(len(c) + 1, np.uint64)
-    for i in range(SHINGLE):
-        h = h * np.uint64(0x100000001B3) + pad[i : i + len(h)]
+    h = np.concatenate((c, np.zeros(SHINGLE, c.dtype))).astype(np.uint64)
+    step, base = 1, 0x9E3779B97F4A7C15
+    while step < SHINGLE:  # of 2, of 4, of 8 characters
+        h = h[:-step] * np.uint64(base) + h[step:]
+        step, base = 2 * step, base * base % (1 << 64)
     line = np.repeat(np.arange(len(n)), n)
-    x = h[np.minimum(np.arange(first[-1]) + (at[:-1] - first[:-1])[line], len(h) - 1)]
+    x = h[np.arange(first[-1]) + (at[:-1] - first[:-1])[line]]
     for i in np.flatnonzero(size < SHINGLE):
         y = int(size[i])
-        for b in pad[at[i] : at[i + 1]].tolist():
-            y = (y * 0x100000001B3 + b) % (1 << 64)
+        for b in c[at[i] : at[i + 1]].tolist():
+            y = (y * 0x9E3779B97F4A7C15 + b + 1) % (1 << 64)
         x[first[i]] = y
-    return first, (mix(x) >> np.uint64(32)).astype(np.uint32)
+    return first, ((x ^ (x >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9) >> np.uint64(32)).astype(np.uint32)
 
 
 def _spread(first: np.ndarray, pick: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -87,14 +88,17 @@ class _Lines:
         cols: list[list[np.ndarray]] = [[np.zeros(0, np.int64)] for _ in range(4)]
         sizes, bands, fresh, folded = [np.zeros(0, np.int64)], [np.zeros((0, BANDS), np.uint64)], [np.zeros(0, bool)], []
         for _, data, offs in blocks(texts, 1 << 18):
-            c, offs = _characters(data), code_point_ends(data)[offs]
+            c = _characters(data)
+            if len(c) < len(data):
+                offs = code_point_ends(data)[offs]
             f, doc, no, begin, stop, at = _split(c, offs)
             sizes.append(np.bincount(doc, minlength=len(offs) - 1))
             if not len(doc):
                 continue
             first, h = _hashes(f, at)
             place = np.arange(len(h)) - np.repeat(first[:-1], np.diff(first))
-            digest = np.add.reduceat(h * (mix(place.astype(np.uint64)) | np.uint64(1)), first[:-1])
+            turn = mix(np.arange(int(np.diff(first).max()), dtype=np.uint64)) | np.uint64(1)
+            digest = np.add.reduceat(h * turn[place], first[:-1])
             digest = mix(digest + np.diff(at).astype(np.uint64)).view(np.int64)
             new = np.zeros(len(digest), bool)
             new[np.unique(digest, return_index=True)[1]] = True
@@ -131,7 +135,8 @@ def _sets(folded: pa.Array) -> np.ndarray:
     """The shingle set of each folded line: row number and 32-bit hash in one number, sorted, distinct."""
     keys = [np.zeros(0, np.uint64)]
     for row, data, offs in blocks(folded):
-        first, h = _hashes(_characters(data), code_point_ends(data)[offs])
+        c = _characters(data)
+        first, h = _hashes(c, offs if len(c) == len(data) else code_point_ends(data)[offs])
         owner = np.repeat(np.arange(row, row + len(offs) - 1, dtype=np.uint64), np.diff(first))
         keys.append(np.unique(owner << np.uint64(32) | h))
     return np.concatenate(keys)

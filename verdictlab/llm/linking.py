@@ -31,7 +31,7 @@ def classes(signatures: DataFrame, prepare: Callable[[DataFrame], tuple[Callable
     that are unlike their leader get a new one among themselves, in up to ``rounds`` rounds. The classes are the
     connected components of all links. What could still be missing is finished exactly (``_finish``): pairs of members
     unlike all leaders; and pairs of a member like a leader with one unlike it. By the triangle inequality the latter
-    can only be similar where the second is ``2 * similar - 1`` or more like the leader. So two ids that share a bucket
+    can only be similar where their similarities to the leader differ by no more than ``1 - similar``. So two ids that share a bucket
     and are similar always end in one class; there is no cap on members, leaders or links.
     """
     spark = signatures.sparkSession
@@ -58,8 +58,8 @@ def classes(signatures: DataFrame, prepare: Callable[[DataFrame], tuple[Callable
         scored = new if scored is None else scored.unionByName(new)
         done = pairs if done is None else done.unionByName(pairs)
         judged = materialise(met.join(scored.select(F.col("a").alias("id"), F.col("b").alias("leader"), "s"), ["id", "leader"], "left"))
-        like.append(judged.filter(F.col("s") >= similar).select("key", "id", "leader"))
-        near.append(judged.filter(F.col("s") < similar).select("key", "id", "leader"))
+        like.append(judged.filter(F.col("s") >= similar).select("key", "id", "leader", "s"))
+        near.append(judged.filter(F.col("s") < similar).select("key", "id", "leader", "s"))
         unlike = judged.filter(F.col("s").isNull() | (F.col("s") < similar)).select("id", "key")
         two = unlike.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("key")
         m = materialise(unlike.join(two, "key").select("id", "key"))
@@ -67,21 +67,26 @@ def classes(signatures: DataFrame, prepare: Callable[[DataFrame], tuple[Callable
         return spark.createDataFrame([], "id bigint, class bigint")
     links = scored.filter(F.col("s") >= similar).select("a", "b")
     found = materialise(connected_components(links))
-    open_ = _open(m, reduce(DataFrame.unionByName, like), reduce(DataFrame.unionByName, near), found)
+    open_ = _open(m, reduce(DataFrame.unionByName, like), reduce(DataFrame.unionByName, near), found, 1 - similar)
     found = _finish(open_, found, lambda pairs: score(pairs).filter(F.col("s") >= similar), tokens, similar)
     return found.select(F.col("node").alias("id"), F.col("component").alias("class"))
 
 
-def _open(left: DataFrame, like: DataFrame, near: DataFrame, found: DataFrame) -> DataFrame:
+def _open(left: DataFrame, like: DataFrame, near: DataFrame, found: DataFrame, apart: float) -> DataFrame:
     """``(id, c)`` of all that may have a similar partner of another class ``c``: members of a bucket that no leader is
-    like (``left``), and members ``near`` a leader of another class with those that are ``like`` it in that bucket."""
+    like (``left``), and members ``near`` a leader of another class with those that are ``like`` it in that bucket, if
+    their similarities ``s`` to it are no more than ``apart`` from each other."""
     named = _named(left, found)
     keys = named.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo <> hi").select("key")
     first = named.join(keys, "key", "left_semi").select("id", "c")
+    apart += 1e-9
     near = _named(near, found).withColumnRenamed("c", "own")
-    near = materialise(_named(near.withColumnsRenamed({"id": "other", "leader": "id"}), found).filter("c <> own"))
-    beside = like.join(near.select("key", F.col("id").alias("leader")).distinct(), ["key", "leader"], "left_semi").select("id")
-    both = near.select(F.col("other").alias("id"), F.col("own").alias("c")).unionByName(_named(beside.distinct(), found))
+    near = _named(near.withColumnsRenamed({"id": "other", "leader": "id"}), found).filter("c <> own").withColumnsRenamed({"id": "leader", "s": "t"})
+    least = like.groupBy("key", "leader").agg(F.min("s").alias("least"))
+    near = materialise(near.join(least, ["key", "leader"]).filter(F.col("t") >= F.col("least") - apart).select("key", "leader", "other", "own", "t"))
+    most = near.groupBy("key", "leader").agg(F.max("t").alias("most"))
+    beside = like.join(most, ["key", "leader"]).filter(F.col("s") <= F.col("most") + apart).select("id").distinct()
+    both = near.select(F.col("other").alias("id"), F.col("own").alias("c")).unionByName(_named(beside, found))
     return first.unionByName(both).distinct()
 
 
