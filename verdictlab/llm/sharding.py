@@ -31,23 +31,33 @@ def pack(loads: np.ndarray, shards: int) -> np.ndarray:
         best = int(np.lexsort((np.arange(shards), -left[:, 0], -score, ~fits))[0]) if s.any() else 0
         out[i] = best
         left[best] -= s
-    return _even(loads[:, 0], out, shards)
+    return _even(loads, out, shards)
 
 
-def _even(size: np.ndarray, out: np.ndarray, shards: int, tolerance: float = 0.002) -> np.ndarray:
+def _even(loads: np.ndarray, out: np.ndarray, shards: int, tolerance: float = 0.002, most: float = 0.02) -> np.ndarray:
     """The law of equal bytes comes first: while the fullest and the emptiest shard differ by more than ``tolerance``
-    of a shard, the unit whose size is nearest to half the difference moves from the one to the other."""
+    of a shard, the unit whose size is nearest to half the difference moves from the one to the other. Units that would
+    lift the other loads of the emptiest shard over ``most`` above the mean only move if there are no others."""
+    size = loads[:, 0]
     load = np.bincount(out, size, shards)
+    others = np.array([np.bincount(out, x, shards) for x in loads.T[1:]])
+    room = loads.sum(0)[1:] / shards * (1 + most)
     for _ in range(4 * len(size)):
         high, low = int(load.argmax()), int(load.argmin())
         gap = load[high] - load[low]
         if gap <= tolerance * load.sum() / shards:
             break
         own = np.flatnonzero((out == high) & (size > 0))
+        mild = own[(others[:, low] + loads[own, 1:] <= room).all(1) & (size[own] < gap)]
+        own = mild if len(mild) else own
+        if not len(own):
+            break
         best = own[np.abs(size[own] - gap / 2).argmin()]
         if size[best] >= gap:
             break
         out[best] = low
+        others[:, high] -= loads[best, 1:]
+        others[:, low] += loads[best, 1:]
         load[high] -= size[best]
         load[low] += size[best]
     return out
