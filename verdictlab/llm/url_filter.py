@@ -98,15 +98,16 @@ def fit(labelled: DataFrame, max_urls: int = 2000, rounds: int = 300, rate: floa
     if not len(y) or y.min() == y.max():
         w[-1] = 1.0 if len(y) and y[0] else -1.0
         return w
-    x = np.zeros((len(got), DIM), np.float32)
-    for i, _, d, f in _matrix_terms(pa.array([r["host"] for r in got]), pa.array([r["path"] for r in got])):
-        np.add.at(x, (d + i, f), 1)
-    x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-9)
+    # counts of n-grams as (URL, feature, part of the URL's unit vector): few of the features occur in a URL
+    terms = [(d + i) * DIM + f for i, _, d, f in _matrix_terms(pa.array([r["host"] for r in got]), pa.array([r["path"] for r in got]))]
+    cell, count = np.unique(np.concatenate(terms), return_counts=True)
+    row, feature = cell // DIM, cell % DIM
+    part = count / np.sqrt(np.bincount(row, count.astype(float) ** 2, len(got)))[row]
     speed = np.zeros(DIM + 1)
     for _ in range(rounds):
-        p = 1 / (1 + np.exp(-(x @ w[:-1] + w[-1])))
+        p = 1 / (1 + np.exp(-(np.bincount(row, w[feature] * part, len(got)) + w[-1])))
         g = (p - y) / len(y)
-        step = np.concatenate((x.T @ g + ridge * w[:-1], [g.sum()]))
+        step = np.concatenate((np.bincount(feature, part * g[row], DIM) + ridge * w[:-1], [g.sum()]))
         speed = 0.9 * speed - 4 * rate * step
         w += speed
     return w
