@@ -77,8 +77,8 @@ def _svm(x: np.ndarray, y: np.ndarray, c: float = 1.0, rounds: int = 25) -> np.n
 
 
 def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id", max_docs: int = 1200) -> Model:
-    """Fit on a bounded sample: at most ``max_docs`` labelled rows, shared evenly by the languages, each with its
-    whole text. Rows are chosen by a hash of ``key``, so reruns agree. Rows without text, language or key are left
+    """Fit on a bounded sample: at most ``max_docs`` labelled rows, shared evenly by the languages (of more than that,
+    by the most frequent ones), each with its whole text. Rows are chosen by a hash of ``key``, so reruns agree. Rows without text, language or key are left
     out. No rows give a model that answers ``und``."""
     rows = labelled.filter(F.col(text).isNotNull() & F.col(lang).isNotNull() & F.col(key).isNotNull()).select(
         F.col(lang).alias("lang"), F.col(text).alias("text"), F.xxhash64(F.col(key), F.lit(11)).alias("h")
@@ -86,7 +86,10 @@ def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", key: str =
     count = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
     if not count:
         return Model([], [])
-    each = max(1, max_docs // len(count))
+    # more languages than rows: those with the most labels
+    count = dict(sorted(count.items(), key=lambda x: (-x[1], x[0]))[:max_docs])
+    rows = rows.filter(F.col("lang").isin(*count))
+    each = max_docs // len(count)
     # a hash threshold first, so that few texts are moved; then the exact bound
     shares = F.create_map(*[F.lit(v) for k, n in count.items() for v in (k, min(1.0, 2 * (each + 20) / n))])
     draw = F.shiftrightunsigned("h", 11) / F.lit(float(1 << 53))
