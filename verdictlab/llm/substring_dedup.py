@@ -206,18 +206,19 @@ def repeated_spans(docs: DataFrame, text: str = "text", key: str = "doc_id", min
     source = docs.filter(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("id"), F.xxhash64(F.col(text)).alias("h"), F.col(text).alias("t"))
     units = F.arrow_udf(_units, f"struct<n_words: bigint, digest: bigint, units: {UNITS}>").asNondeterministic()
     base = materialise(source.withColumn("u", units("t")).select("id", "h", "u.*").filter("n_words > 0"))
+    twice = materialise(base.groupBy("id", "h").agg(F.count(F.lit(1)).alias("k")).filter("k > 1").select("id", "h"))
+    if not twice.isEmpty():  # repeated rows of one key and text count once
+        base = base.join(twice, ["id", "h"], "left_anti").unionByName(base.join(twice, ["id", "h"], "left_semi").dropDuplicates(["id", "h"]))
 
     # whole texts first: a copy has no unit of its own that isn't in its original
-    copies = materialise(_firsts(base.select("id", "h", "digest").distinct(), ["id", "h"]).select("id", "h", "first"))
-    ends = F.transform("units", lambda x: x["end"])
-    starts = F.transform("units", lambda x: x["start"])
-    one = base.dropDuplicates(["id", "h"])
-    found = one.join(copies, ["id", "h"]).select(
-        "id", "h", F.lit(0).alias("at"), F.col("n_words").cast("int").alias("n"), F.array_min(starts).alias("start"), F.array_max(ends).alias("end"),
-        F.lit("text").alias("kind"), F.col("first.id").alias("first_id"), F.lit(0).alias("first_start"),
+    copies = materialise(_firsts(base.select("id", "h", "digest"), ["id", "h"]).select("id", "h", "first"))
+    ends = F.array_max(F.transform("units", lambda x: x["end"])).alias("end")
+    starts = F.array_min(F.transform("units", lambda x: x["start"])).alias("start")
+    found = base.select("id", "h", F.col("n_words").cast("int").alias("n"), starts, ends).join(copies, ["id", "h"]).select(
+        "id", "h", F.lit(0).alias("at"), "n", "start", "end", F.lit("text").alias("kind"), F.col("first.id").alias("first_id"), F.lit(0).alias("first_start")
     )
     e = base.join(copies, ["id", "h"], "left_anti").select("id", "h", F.inline("units"))
-    e = materialise(e.filter(F.col("line") & (F.col("n") >= min_line_words) | (F.lit(passages) & ~F.col("line"))).distinct())
+    e = materialise(e.filter(F.col("line") & (F.col("n") >= min_line_words) | (F.lit(passages) & ~F.col("line"))))
     again = materialise(_firsts(e, ["id", "h", "at", "start"]))
     found = found.unionByName(again.filter("line").select(
         "id", "h", "at", "n", "start", "end", F.lit("line").alias("kind"), F.col("first.id").alias("first_id"), F.col("first.start").alias("first_start")
