@@ -1,7 +1,10 @@
+from decimal import Decimal
+
 import pytest
 from pyspark.sql import functions as F
 
 from verdictlab.functions.scalars import salt_check
+from verdictlab.functions.shared import shared_dir
 from verdictlab.operators.gates import GateError
 from verdictlab.sources import catalog as cat, corpus as src, snapshot as snap
 
@@ -89,3 +92,33 @@ def test_catalogue(spark, rows):
     cat.assert_describes({"commit_sha": "c", "corpus_token": "tok"}, "c", "snap-tok.gz")
     with pytest.raises(GateError):
         cat.assert_describes({"commit_sha": "c", "corpus_token": "tok"}, "c", "snap.gz")
+
+
+def test_corpus_over_jdbc(spark):
+    """Partitioned by id, unsigned ids (a decimal there) as longs, and only the corpus columns."""
+    url = "jdbc:derby:memory:corpus;create=true"
+    cols = "comment_id decimal(20,0), content string, author string, author_email string, author_url string, author_ip string, agent string, type string, other string"
+    rows = [(i, f"text {i}", "a", "e@x", "", "1.2.3.4", "", "comment", "x") for i in range(1, 41)]
+    spark.createDataFrame([(Decimal(r[0]), *r[1:]) for r in rows], cols).write.format("jdbc").options(url=url, dbtable="comments", driver="org.apache.derby.jdbc.EmbeddedDriver").save()
+    got = src.read_corpus(spark, {"url": url, "dbtable": "comments", "driver": "org.apache.derby.jdbc.EmbeddedDriver", "lower": 1, "upper": 41}, partitions=4)
+    assert got.rdd.getNumPartitions() == 4 and dict(got.dtypes)["comment_id"] == "bigint"
+    assert sorted(tuple(r) for r in got.collect()) == [r[:8] for r in rows]
+
+
+def test_shared_folder_on_a_cluster():
+    """Only a local session gets a folder of its own; elsewhere the setting is asked for."""
+
+    class Context:
+        master = "spark://somewhere:7077"
+
+        def getConf(self):
+            return {}
+
+        def getCheckpointDir(self):
+            return None
+
+    class Session:
+        conf, sparkContext = {}, Context()
+
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        shared_dir(Session())

@@ -9,10 +9,15 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``; a temporary one, for tests, only where that is unset."""
+    """The folder named by ``spark.checkpoint.dir``. Only a local session in which that is unset gets a temporary one;
+    on a cluster it would be another folder on each machine, so there it is an error."""
     at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not at:
-        at = spark.sparkContext.getCheckpointDir() or f"file://{tempfile.mkdtemp(prefix='verdictlab-')}"
+        at = spark.sparkContext.getCheckpointDir()
+    if not at and not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all machines share")
+    if not at:
+        at = f"file://{tempfile.mkdtemp(prefix='verdictlab-')}"
         spark.conf.set("spark.checkpoint.dir", at)
     return at.rstrip("/")
 
