@@ -55,9 +55,11 @@ def test_identity_clusters(spark, parts):
     assert cl.skew(cl.shard_sizes(sh, 4)).first()["total"] == len(data)
 
 
-def test_mode_guard():
+def test_mode_guard(spark):
     cl.check_mode("identity", ("db-spam",))
     cl.check_mode("email")
+    modes = spark.createDataFrame([("email", ["db-spam"]), ("email", ["bbcode"]), ("identity", ["db-spam"]), ("mod", [])], "m string, r array<string>")
+    assert [r[0] for r in modes.select(cl.mode_fits(F.col("m"), F.col("r"))).collect()] == [False, True, True, False]
     for bad in (("email", ("db-spam",)), ("mod", ())):
         with pytest.raises(ValueError):
             cl.check_mode(*bad)
@@ -87,7 +89,7 @@ def test_order_dependent_rules_equal_a_fold(spark, seed):
     sd = spark.createDataFrame([(i,) for i in seeds], "comment_id long")
     want = {i for i, x in fold(data, seeds, trust=False).items() if x[2]}
     assert {r[0] for r in ordered.db_spam(df, sd).collect()} == want
-    got = {r["comment_id"]: (r["trusted"], r["repeat"], r["spam"]) for r in ordered.ordered_rules(df, cl.identity_clusters(df), sd).collect()}
+    got = {r["comment_id"]: (r["trusted"], r["repeat"], r["spam"]) for r in ordered.ordered_rules(df, sd).collect()}
     assert got == fold(data, seeds)
     with_spam = df.join(sd.withColumn("s", F.lit(True)), "comment_id", "left").withColumn("s", F.coalesce("s", F.lit(False))).withColumn("author_email", F.expr("nullif(author_email, '')"))
     got = {r["comment_id"]: (r["trusted"], r["final_spam"]) for r in ordered.approved_email(with_spam, "author_email", "comment_id", "s").collect()}

@@ -7,7 +7,6 @@ import re
 from collections.abc import Callable
 from dataclasses import dataclass, field, replace
 
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from verdictlab.functions.scalars import LINKBACKS, norm_type, reaction
@@ -129,17 +128,18 @@ def new_rules() -> Ruleset:
 
 
 def detect_language(text: Column) -> Column:
-    """The language whose small words the text has most of (``und`` without any); an Arrow UDF."""
-    known = {k: frozenset(v.split()) for k, v in STOP_WORDS.items()}
-
-    @F.arrow_udf("string")
-    def guess(texts: pa.Array) -> pa.Array:
-        out = []
-        for t in texts.to_pylist():
-            words = (t or "").lower().split()
-            n = {k: sum(w in s for w in words) for k, s in known.items()}
-            best = max(sorted(n), key=n.__getitem__)
-            out.append(best if n[best] else "und")
-        return pa.array(out, pa.string())
-
-    return guess(text)
+    """The language whose small words the text has most of (ties: the first by code; ``und`` without any)."""
+    words = F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0))
+    found = []
+    for no, (code, listed) in enumerate(sorted(STOP_WORDS.items())):
+        own = F.array(*[F.lit(w) for w in sorted(set(listed.split()))])
+        n = F.size(F.filter(words, lambda w: F.array_contains(own, w)))  # noqa: B023
+        found.append(F.struct(n.alias("n"), F.lit(-no).alias("place"), F.lit(code).alias("code")))
+    best = F.array_max(F.array(*found))
+    return F.when(best["n"] > 0, best["code"]).otherwise("und")
+
+
+def bypass(corpus: DataFrame, column: str) -> DataFrame:
+    """The corpus with ``column`` emptied: a rule that reads it (the decoy's path, say) can't match, and the others
+    show what they would have caught by themselves."""
+    return corpus.withColumn(column, F.lit(None).cast(corpus.schema[column].dataType))

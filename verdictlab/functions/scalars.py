@@ -11,9 +11,9 @@ from pyspark.sql import Column, DataFrame, functions as F
 BLANKS = " \t\n\r\0\x0b"
 COLUMNS = ("comment_id", "content", "author", "author_email", "author_url", "author_ip", "agent", "type")
 LINKBACKS = ("trackback", "pingback", "pings")
-#: Code-point ranges of scripts that are written without spaces between words: Thai, Lao, Tibetan, Myanmar, Khmer,
-#: kana, Bopomofo and Hangul compatibility letters, CJK, Hangul syllables, CJK compatibility, half-width forms.
-SPACELESS = "[฀-໿ༀ-࿿က-႟ᄀ-ᇿក-៿぀-ヿ㄰-㆏㐀-䶿一-鿿가-힯豈-﫿]"
+#: Code-point ranges of scripts that are written without spaces between words. CJK, kana, Hangul, Thai,
+#: Lao, Khmer, Myanmar, Tibetan.
+SPACELESS = "[\u4e00-\u9fff\u3040-\u30ff\uac00-\ud7af\u0e00-\u0e7f\u0e80-\u0eff\u1780-\u17ff\u1000-\u109f\u0f00-\u0fff]"
 
 
 def folded(c: Column) -> Column:

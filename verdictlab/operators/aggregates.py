@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window, functions as F
 
 from verdictlab.functions.scalars import is_spam, row_crc, row_hash
-from verdictlab.operators.offsets import with_running_sum
+from verdictlab.operators.offsets import with_row_number, with_running_sum
 
 
 def corpus_fingerprint(df: DataFrame, columns: tuple[str, ...], crc: bool = False) -> DataFrame:
@@ -51,12 +51,16 @@ def crosstab(verdicts: DataFrame, origins: DataFrame) -> DataFrame:
 
 
 def latency_profile(df: DataFrame, col: str, slow: float) -> DataFrame:
-    """Median, mean, rows of ``slow`` and over, and their share of all time."""
+    """Median, mean, rows of ``slow`` and over, and their share of all time. The median comes from row numbers that are
+    counted in range-partitioned pieces, so no task holds all values."""
     v = F.col(col)
     a = df.agg(
-        F.count(v).alias("n"), F.round(F.percentile(v, 0.5), 6).alias("median"), F.round(F.avg(v), 6).alias("mean"), F.count_if(v >= slow).alias("slow"),
+        F.count(v).alias("n"), F.round(F.avg(v), 6).alias("mean"), F.count_if(v >= slow).alias("slow"),
         F.sum(F.when(v >= slow, v)).alias("t"), F.sum(v).alias("all"), F.round(F.max(v), 6).alias("worst"),
     )
+    ranked = with_row_number(df.filter(v.isNotNull()).select(v.alias("v")), [F.asc("v")], "at").crossJoin(a.select("n"))  # one row of totals
+    middle = F.col("at").isin(F.floor((F.col("n") + 1) / 2), F.ceil((F.col("n") + 1) / 2))
+    a = a.crossJoin(ranked.filter(middle).agg(F.round(F.avg("v"), 6).alias("median")))  # one row each
     return a.select("n", "median", "mean", "slow", F.round(F.coalesce(F.col("t"), F.lit(0.0)) / F.col("all"), 6).alias("slow_share"), "worst")
 
 

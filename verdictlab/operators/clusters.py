@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from verdictlab.functions.scalars import anchor, identity_keys, shard_of
 from verdictlab.functions.shared import materialise
@@ -42,6 +42,11 @@ def check_mode(mode: str, rules: tuple[str, ...] = ()) -> None:
         raise ValueError("cluster mode 'email' needs the rule 'db-spam' off")
 
 
+def mode_fits(mode: Column, rules: Column) -> Column:
+    """The boolean form of ``check_mode``, over columns: the mode and the array of rules."""
+    return mode.isin("identity", "email") & ~((mode == "email") & F.array_contains(rules, "db-spam"))
+
+
 def assign_shards(clusters: DataFrame, n: int) -> DataFrame:
     """``(comment_id, cluster, shard)``; a cluster is never split."""
     return clusters.withColumn("shard", shard_of(F.col("cluster"), n))

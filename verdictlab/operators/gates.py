@@ -40,6 +40,11 @@ def gate(summary: DataFrame, fail: bool = True) -> int:
     return n
 
 
+def flipped(summary: DataFrame) -> DataFrame:
+    """``(spam_flips, fails)``: what ``gate`` decides, as a row."""
+    return summary.select("spam_flips", (F.col("spam_flips") > 0).alias("fails"))
+
+
 def assert_unique(df: DataFrame, col: str) -> None:
     two = df.groupBy(col).agg(F.count(F.lit(1)).alias("n")).filter("n > 1").limit(1).collect()
     if two:
@@ -50,6 +55,11 @@ def duplicated(df: DataFrame, col: str) -> DataFrame:
     return df.groupBy(col).agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
 
 
+def nonempty(df: DataFrame) -> DataFrame:
+    """``(n, ok)``: what ``assert_nonempty`` asks, as a row."""
+    return df.agg(F.count(F.lit(1)).alias("n")).select("n", (F.col("n") > 0).alias("ok"))
+
+
 def assert_nonempty(df: DataFrame, what: str = "result") -> None:
     if df.isEmpty():
         raise GateError(f"{what} is empty")

@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 from verdictlab.functions.scalars import identity_keys
@@ -30,7 +27,7 @@ def db_spam(df: DataFrame, seeds: DataFrame, max_rounds: int = 200) -> DataFrame
 
     A monotone fixpoint over the least spam id of each key; only keys whose least id fell are looked at again. It
     takes as many rounds as the longest chain of contagion; each is an aggregate and an equi-join, written to the
-    shared folder. Raises when ``max_rounds`` don't settle it (``ordered_rules`` has no such bound).
+    shared folder.Raises when ``max_rounds`` don't settle it.
     """
     keys = materialise(identity_keys(df).distinct())
     spam = materialise(seeds.select("comment_id", F.lit(True).alias("seed")).distinct())
@@ -52,37 +49,31 @@ def db_spam(df: DataFrame, seeds: DataFrame, max_rounds: int = 200) -> DataFrame
     raise RuntimeError(f"the repeat rule did not settle in {max_rounds} rounds")
 
 
-def ordered_rules(df: DataFrame, clusters: DataFrame, seeds: DataFrame) -> DataFrame:
+def ordered_rules(df: DataFrame, seeds: DataFrame, max_rounds: int = 200) -> DataFrame:
     """``(comment_id, content_spam, repeat, trusted, spam)`` with both order-dependent rules at once.
 
     In id order: a comment whose e-mail has an earlier approved comment is trusted, so not spam; else it is spam when
-    its content is, or when it shares an address, e-mail or URL with an earlier spam. Not monotone, so it is a fold:
-    rows are dealt by cluster, sorted, and folded batch by batch, with state for one cluster at a time. A cluster is
-    sequential by nature; ``clusters.skew`` reports one that is too large.
+    its content is, or when it shares an address, e-mail or URL with an earlier spam. Not monotone, but each comment
+    depends on earlier ones only: what has an earlier spam, or an earlier approved one, is told by the least id per key.
+    So all comments are judged anew from the least ids of the last round until nothing changes, after as many rounds as
+    the longest chain of comments that decide each other. Each round is aggregates and equi-joins, written to the
+    shared folder; no key or cluster is gathered. Raises when ``max_rounds`` don't settle it.
     """
-    k = identity_keys(df).groupBy("comment_id").agg(F.collect_list("key").alias("keys"))
-    d = df.select("comment_id").join(clusters, "comment_id").join(k, "comment_id", "left")
-    d = d.join(seeds.select("comment_id", F.lit(True).alias("content_spam")), "comment_id", "left")
-    d = d.select("cluster", "comment_id", "keys", F.coalesce("content_spam", F.lit(False)).alias("content_spam"))
-    d = d.repartition("cluster").sortWithinPartitions("cluster", "comment_id")
-    return d.mapInPandas(_fold, "comment_id long, content_spam boolean, repeat boolean, trusted boolean, spam boolean")
-
-
-def _fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    cluster, spam_keys, approved = None, set(), set()
-    for b in batches:
-        rows = []
-        for c, i, keys, content in zip(b["cluster"], b["comment_id"], b["keys"], b["content_spam"], strict=True):
-            if c != cluster:
-                cluster, spam_keys, approved = c, set(), set()
-            keys = list(keys) if keys is not None else []
-            email = next((x for x in keys if x.startswith("e:")), None)
-            trusted = email in approved
-            repeat = any(x in spam_keys for x in keys)
-            spam = not trusted and (content or repeat)
-            if spam:
-                spam_keys.update(keys)
-            elif email is not None:
-                approved.add(email)
-            rows.append((i, bool(content), repeat, trusted, bool(spam)))
-        yield pd.DataFrame(rows, columns=["comment_id", "content_spam", "repeat", "trusted", "spam"])
+    keys = materialise(identity_keys(df).distinct())
+    content = df.select("comment_id").join(seeds.select("comment_id", F.lit(True).alias("content_spam")).distinct(), "comment_id", "left")
+    content = content.select("comment_id", F.coalesce("content_spam", F.lit(False)).alias("content_spam"))
+    now = materialise(content.withColumn("repeat", F.lit(False)).withColumn("trusted", F.lit(False)).withColumn("spam", F.col("content_spam")))
+    for _ in range(max_rounds):
+        k = keys.join(now.select("comment_id", "spam"), "comment_id")
+        first = k.groupBy("key").agg(F.min(F.when(F.col("spam"), F.col("comment_id"))).alias("bad"), F.min(F.when(~F.col("spam"), F.col("comment_id"))).alias("good"))
+        hit = keys.join(first, "key").groupBy("comment_id").agg(
+            F.max(F.coalesce(F.col("bad") < F.col("comment_id"), F.lit(False))).alias("repeat"),
+            F.max(F.coalesce((F.col("good") < F.col("comment_id")) & F.col("key").startswith("e:"), F.lit(False))).alias("trusted"),
+        )
+        new = now.select("comment_id", "content_spam", F.col("spam").alias("was")).join(hit, "comment_id", "left")
+        new = new.withColumn("repeat", F.coalesce("repeat", F.lit(False))).withColumn("trusted", F.coalesce("trusted", F.lit(False)))
+        new = materialise(new.withColumn("spam", ~F.col("trusted") & (F.col("content_spam") | F.col("repeat"))))
+        now = new.drop("was")
+        if new.filter("spam <> was").isEmpty():
+            return now
+    raise RuntimeError(f"the ordered rules did not settle in {max_rounds} rounds")

@@ -209,10 +209,11 @@ def p4(s, d):
     return views.reasons(s, d).select("comment_id", sc.origin_label(F.col("reason"), "unflagged").alias("label"), sc.origin_label(F.col("reason"), "ham").alias("stratum"))
 
 
+SPACELESS = r"[\x{4E00}-\x{9FFF}\x{3040}-\x{30FF}\x{AC00}-\x{D7AF}\x{0E00}-\x{0E7F}\x{0E80}-\x{0EFF}\x{1780}-\x{17FF}\x{1000}-\x{109F}\x{0F00}-\x{0FFF}]"
 P5_TEXT = "content || CASE WHEN comment_id % 5 = 0 THEN '漢字' WHEN comment_id % 5 = 1 THEN 'ไทย' WHEN comment_id % 5 = 2 THEN 'é' ELSE '' END"
 
 
-@query("p5_script_class", sql(f"SELECT comment_id, CASE WHEN regexp_matches({P5_TEXT}, '{sc.SPACELESS}') THEN 'spaceless' ELSE 'latin' END AS script FROM corpus"))
+@query("p5_script_class", sql(f"SELECT comment_id, CASE WHEN regexp_matches({P5_TEXT}, '{SPACELESS}') THEN 'spaceless' ELSE 'latin' END AS script FROM corpus"))
 def p5(s, d):
     more = F.when(F.col("comment_id") % 5 == 0, "漢字").when(F.col("comment_id") % 5 == 1, "ไทย").when(F.col("comment_id") % 5 == 2, "é").otherwise("")
     return views.corpus(s, d).select("comment_id", sc.script_class(F.concat("content", more)).alias("script"))
@@ -283,7 +284,15 @@ def p15(s, d):
     return views.big_new(s, d).select("id", sc.direction(F.col("status")).alias("direction"))
 
 
-@query("p16_shard_of")
+#: CRC-32 of an ASCII string, bit by bit.
+CRC32 = (
+    "xor(4294967295, list_reduce(list_prepend(CAST(4294967295 AS BIGINT), list_transform(range(1, length({0}) + 1), lambda i: CAST(ascii(substr({0}, i, 1)) AS BIGINT))), "
+    "lambda c, b: list_reduce(list_prepend(xor(c, b), range(CAST(8 AS BIGINT))), lambda x, n: CASE WHEN x % 2 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END)))"
+)
+EMAIL_CLUSTERS = "emails AS (SELECT comment_id, CASE WHEN trim(author_email) = '' THEN 'c:' || comment_id ELSE 'e:' || lower(trim(author_email)) END AS cluster FROM corpus)"
+
+
+@query("p16_shard_of", sql(f"SELECT comment_id, cluster, CAST({CRC32.format('cluster')} % 8 AS INTEGER) AS shard FROM emails", EMAIL_CLUSTERS))
 def p16(s, d):
     return cl.assign_shards(cl.email_clusters(views.corpus(s, d)), 8)
 
@@ -444,6 +453,24 @@ def a5(s, d):
     return ag.corpus_fingerprint(views.corpus(s, d), sc.COLUMNS)
 
 
+def _pad_sql(key: str, byte: int) -> str:
+    """The key (64 ASCII characters at most) as 64 bytes, each xor ``byte``, in hex."""
+    return f"array_to_string(list_transform(range(1, 65), lambda i: format('{{:02x}}', xor(CASE WHEN i <= length({key}) THEN ascii(substr({key}, i, 1)) ELSE 0 END, {byte}))), '')"
+
+
+def _hmac_sql(key: str, message: str) -> str:
+    return f"sha256(unhex({_pad_sql(key, 92)}) || unhex(sha256(unhex({_pad_sql(key, 54)}) || encode({message}))))"
+
+
+@query("p9_corpus_salt", sql(f"SELECT comment_id, substr({_hmac_sql('salt', chr(39) + 'id:' + chr(39) + ' || comment_id')}, 1, 16) AS pid, substr({_hmac_sql('salt', repr('salt-check'))}, 1, 16) AS salt_check, substr({_hmac_sql('fingerprint', repr('corpus-token'))}, 1, 8) AS token FROM corpus CROSS JOIN salts",
+    f"print AS ({PRINT.format(MD5_CORPUS, 'corpus')})", "keyed AS (SELECT fingerprint, fingerprint || chr(0) || 'extra' AS k FROM print)", f"salts AS (SELECT fingerprint, {_hmac_sql('k', repr('verdict-salt'))} AS salt FROM keyed)"))
+def p9_corpus(s, d):
+    c = views.corpus(s, d)
+    fingerprint = ag.corpus_fingerprint(c, sc.COLUMNS).first()["fingerprint"]
+    salt = sc.derive_salt(fingerprint, "extra")
+    return c.select("comment_id", sc.pseudonym(F.col("comment_id"), salt).alias("pid"), F.lit(sc.salt_check(salt)).alias("salt_check"), F.lit(sc.corpus_token(fingerprint)).alias("token"))
+
+
 @query("a6_content_digest", sql(PRINT.format(MD5.format("id, status, coalesce('=' || reason, '-')"), "big_new")))
 def a6(s, d):
     return ag.content_digest(views.big_new(s, d))
@@ -468,7 +495,7 @@ def a8(s, d):
 
 
 STRATA = f"""strata AS (SELECT c.comment_id, coalesce(nullif(r.reason, ''), 'ham') AS old_reason, CASE WHEN v.id IS NULL THEN '(unclassified)' ELSE coalesce(v.reason, '(none)') END AS new_reason,
-  CASE WHEN type = '' THEN 'comment' ELSE type END AS type, CASE WHEN regexp_matches(content, '{sc.SPACELESS}') THEN 'spaceless' ELSE 'latin' END AS script
+  CASE WHEN type = '' THEN 'comment' ELSE type END AS type, CASE WHEN regexp_matches(content, '{SPACELESS}') THEN 'spaceless' ELSE 'latin' END AS script
   FROM corpus c LEFT JOIN reasons r ON c.comment_id = r.comment_id LEFT JOIN verdicts_new v ON v.id = CAST(c.comment_id AS VARCHAR))"""
 STRIDE = """chosen AS (SELECT comment_id FROM (SELECT *, row_number() OVER (PARTITION BY old_reason, new_reason, type, script ORDER BY comment_id) - 1 AS p, count(*) OVER (PARTITION BY old_reason, new_reason, type, script) AS size FROM strata)
   WHERE old_reason NOT IN ('css', 'ham') OR size <= 7 OR list_contains(list_transform(range(7), lambda i: CAST(floor(i * (CAST(size AS DOUBLE) / 7)) AS BIGINT)), p))"""
@@ -634,11 +661,19 @@ def c2(s, d):
     return cl.email_clusters(views.corpus(s, d))
 
 
-@query("c3_assign_shards")
+@query("c3_assign_shards", sql(f"SELECT comment_id, cluster, CAST({CRC32.format('cluster')} % 8 AS INTEGER) AS shard FROM named JOIN (SELECT first_id, min(key) AS cluster FROM keys JOIN clusters USING (comment_id) GROUP BY first_id) USING (first_id)",
+    KEYS, CLUSTERS, "named AS (SELECT comment_id, first_id FROM clusters)"))
 def c3(s, d):
     return cl.assign_shards(cl.identity_clusters(views.corpus(s, d)), 8)
 
 
+@query("c4_mode_fits", sql("SELECT path, shard_mode, workers, shard_mode IN ('identity', 'email') AND NOT (shard_mode = 'email' AND workers = '4') AS fits FROM (SELECT path, shard_mode, soft_workers AS workers FROM catalog)"))
+def c4(s, d):
+    c = views.catalog(s, d).select("path", "shard_mode", F.col("soft")["workers"].alias("workers"))
+    own = F.when(F.col("workers") == "4", F.array(F.lit("db-spam"), F.lit("bbcode"))).otherwise(F.array(F.lit("bbcode")))
+    return c.select("path", "shard_mode", "workers", cl.mode_fits(F.col("shard_mode"), own).alias("fits"))
+
+
 @query("c5_cluster_profile", sql("SELECT size, count(*) AS n, round(max(max(size)) OVER () / sum(sum(size)) OVER (), 6) AS largest_share FROM (SELECT first_id, count(*) AS size FROM clusters GROUP BY first_id) GROUP BY size", CLUSTERS))
 def c5(s, d):
     return cl.cluster_profile(cl.identity_clusters(views.corpus(s, d)))
@@ -696,7 +731,13 @@ def r7(s, d):
     return rules.classify(views.corpus(s, d), rules.Ruleset((rules.language(["en", "fr"]),)))
 
 
-@query("r7_detect_language")
+def _small_words(code: str) -> str:
+    own = ", ".join(f"'{w}'" for w in sorted(set(rules.STOP_WORDS[code].split())))
+    return f"struct_pack(n := len(list_filter(w, lambda x: list_contains([{own}], x))), place := {-sorted(rules.STOP_WORDS).index(code)}, code := '{code}')"
+
+
+@query("r7_detect_language", sql(f"SELECT comment_id, lang, CASE WHEN best.n > 0 THEN best.code ELSE 'und' END AS found FROM (SELECT comment_id, lang, list_max([{', '.join(map(_small_words, sorted(rules.STOP_WORDS)))}]) AS best"
+    r" FROM (SELECT comment_id, lang, regexp_extract_all(lower(coalesce(content, '')), '[^\x20\x09-\x0D]+') AS w FROM corpus))"))
 def r7_detect(s, d):
     return views.corpus(s, d).select("comment_id", "lang", rules.detect_language(F.col("content")).alias("found"))
 
@@ -724,16 +765,22 @@ def r10(s, d):
     return ordered.db_spam(views.corpus(s, d), _seeds(s, d))
 
 
-@query("r11_ordered_rules")
+# a fold over the ids of each cluster, all clusters abreast, with the spam keys and approved e-mails so far
+@query("r11_ordered_rules", sql("SELECT comment_id, content_spam, repeat, trusted, spam FROM fold WHERE n > 0", KEYS, SEEDS, CLUSTERS,
+    "own AS (SELECT comment_id, list(key) AS keys, max(key) FILTER (key LIKE 'e:%') AS email FROM keys GROUP BY comment_id)",
+    "r AS (SELECT comment_id, first_id, row_number() OVER (PARTITION BY first_id ORDER BY comment_id) AS n, keys, email, comment_id IN (SELECT comment_id FROM seeds) AS content_spam FROM clusters LEFT JOIN own USING (comment_id))",
+    "fold AS (SELECT DISTINCT CAST(0 AS BIGINT) AS n, first_id, CAST(NULL AS BIGINT) AS comment_id, false AS content_spam, false AS repeat, false AS trusted, false AS spam, CAST([] AS VARCHAR[]) AS bad, CAST([] AS VARCHAR[]) AS good FROM clusters"
+    " UNION ALL SELECT n, first_id, comment_id, content_spam, repeat, trusted, spam, CASE WHEN spam THEN list_concat(bad, keys) ELSE bad END, CASE WHEN NOT spam AND email IS NOT NULL THEN list_append(good, email) ELSE good END"
+    " FROM (SELECT *, NOT trusted AND (content_spam OR repeat) AS spam FROM (SELECT r.n, r.first_id, r.comment_id, r.content_spam, r.keys, r.email, f.bad, f.good, coalesce(list_has_any(f.bad, r.keys), false) AS repeat, coalesce(list_contains(f.good, r.email), false) AS trusted"
+    " FROM fold f JOIN r ON r.first_id = f.first_id AND r.n = f.n + 1)))", recursive=True))
 def r11(s, d):
-    c = materialise(views.corpus(s, d).drop("content", "lang"))
-    return ordered.ordered_rules(c, cl.identity_clusters(c), _seeds(s, d))
+    return ordered.ordered_rules(materialise(views.corpus(s, d).drop("content", "lang")), _seeds(s, d))
 
 
 @query("r12_bypass", sql(VERDICT.format(r="rest"), FULL))
 def r12(s, d):
     c, rs = _full_rules(s, d)
-    return rules.classify(c.withColumn("history", F.lit(None).cast("string")), rs)
+    return rules.classify(rules.bypass(c, "history"), rs)
 
 
 @query("r13_user_rule", sql("SELECT CAST(comment_id AS VARCHAR) AS id, CASE WHEN length(content) > 5000 THEN 'spam' ELSE '1' END AS status, CASE WHEN length(content) > 5000 THEN 'long' END AS reason FROM corpus WHERE content <> ''"))
@@ -749,6 +796,16 @@ def g1(s, d):
     return gates.comparable(df_.summary(_big(s, d)))
 
 
+@query("g2_gate", sql("SELECT spam_flips, spam_flips > 0 AS fails FROM totals", TOTALS.format(a="verdicts_old", b="verdicts_new")))
+def g2(s, d):
+    return gates.flipped(df_.summary(_diff(s, d)))
+
+
+@query("g9_nonempty", sql("SELECT count(*) AS n, count(*) > 0 AS ok FROM verdicts_new"))
+def g9(s, d):
+    return gates.nonempty(views.verdicts_new(s, d))
+
+
 @query("g3_usable", sql("SELECT path, CASE WHEN schema <> 2 THEN 'schema' WHEN commit_sha IS DISTINCT FROM 'commit7' THEN 'commit' WHEN salt_check <> 'check1' THEN 'salt' END AS refusal FROM catalog"))
 def g3(s, d):
     return cat.usable(views.catalog(s, d), 2, "commit7", "check1").select("path", "refusal")
