@@ -11,7 +11,7 @@ from verdictlab.functions.shared import materialise
 from verdictlab.operators.components import connected_components
 
 #: Rounds in which the members of a bucket that are unlike its leaders so far get a new leader.
-ROUNDS = 4
+ROUNDS = 2
 #: Members of a block: what one task of the exact finish pairs with the other members of a token.
 BLOCK = 2000
 
