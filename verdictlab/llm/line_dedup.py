@@ -184,7 +184,7 @@ def fuzzy_lines(docs: DataFrame, text: str = "text", key: str = "doc_id", simila
     signatures = sent.select(F.col("digest").alias("id"), "keys")
 
     def prepare(ids: DataFrame):
-        v = materialise(sent.select(F.col("digest").alias("id"), F.col("folded").alias("x")).join(ids, "id").dropDuplicates(["id"]))
+        v = materialise(sent.select(F.col("digest").alias("id"), F.col("folded").alias("x")).join(ids.hint("merge"), "id").dropDuplicates(["id"]))
         similarity = F.arrow_udf(_similarity, "double").asNondeterministic()
 
         def score(pairs: DataFrame) -> DataFrame:

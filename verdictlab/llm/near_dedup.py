@@ -147,7 +147,8 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", si
 
     def prepare(ids: DataFrame):
         one = materialise(reps.join(ids, F.col("digest") == F.col("id")).select("rep.id", "rep.h", "digest"))
-        v = source.join(one, ["id", "h"]).select(F.col("digest").alias("id"), kmers("t").alias("x"))
+        # this table grows with the documents, so it is a sort-merge join at every size
+        v = source.join(one.hint("merge"), ["id", "h"]).select(F.col("digest").alias("id"), kmers("t").alias("x"))
         v = materialise(v.dropDuplicates(["id"]))
 
         def score(pairs: DataFrame) -> DataFrame:
@@ -174,5 +175,5 @@ def keep_one(docs: DataFrame, text: str = "text", key: str = "doc_id", similar:
     """``docs`` with one document of each class, the one of the smallest key; rows with a null key stay as they are.
     Repeated rows of one key and text are one document: they stay or go together."""
     found = near_duplicates(docs, text, key, similar).filter(~F.col("is_kept")).select(F.col(key).alias("__gone"), F.col("text_hash").alias("__h"))
-    # written first, so that a small table is broadcast by its known size and texts aren't moved
-    return docs.join(materialise(found), (F.col(key).cast("long") == F.col("__gone")) & (F.xxhash64(F.col(text)) == F.col("__h")), "left_anti")
+    # this table grows with the documents, so it is a sort-merge join at every size
+    return docs.join(found.hint("merge"), (F.col(key).cast("long") == F.col("__gone")) & (F.xxhash64(F.col(text)) == F.col("__h")), "left_anti")
