@@ -123,3 +123,17 @@ FROM texts t JOIN l2 ON t.doc_id = l2.doc_id WHERE t.doc_id > t.first_doc_id GRO
 UNION ALL
 SELECT doc_id, s, e, CAST(len(w) AS BIGINT), 'line', first_doc_id, first_start FROM l3 WHERE nth > 1 AND doc_id IN (SELECT doc_id FROM texts WHERE doc_id = first_doc_id)
 """
+
+#: The parts of all vectors that can be coded, equal ones counted; the codebooks of each round; the final codes.
+_BEGIN = """kept AS MATERIALIZED (SELECT row_number() OVER () AS r, vec_id, label, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+parts AS MATERIALIZED (SELECT r, vec_id, p, v[p * len(v) // 4 + 1 : (p + 1) * len(v) // 4] AS x FROM kept, range(4) AS q(p)),
+d AS MATERIALIZED (SELECT p, x, count(*) AS n FROM parts GROUP BY p, x),
+c0 AS MATERIALIZED (SELECT p, i, x FROM (SELECT p, x, row_number() OVER (PARTITION BY p ORDER BY vec_id) - 1 AS i FROM parts) WHERE i < 256)"""
+_ASSIGN = "a{0} AS MATERIALIZED (SELECT d.p, d.x, any_value(d.n) AS n, min({{'e': list_sum(list_transform(list_zip(d.x, c.x), lambda z: (z[1] - z[2]) * (z[1] - z[2]))), 'i': c.i}}) AS best FROM d JOIN c{0} c ON c.p = d.p GROUP BY d.p, d.x)"
+_MEANS = """c{1} AS MATERIALIZED (SELECT c.p, c.i, coalesce(m.x, c.x) AS x FROM c{0} c LEFT JOIN (SELECT p, i, list((s - ((s % n) + n) % n) // n ORDER BY k) AS x
+  FROM (SELECT p, best.i AS i, k, CAST(sum(n * x[k]) AS BIGINT) AS s, CAST(sum(n) AS BIGINT) AS n FROM a{0}, (SELECT unnest(range(1, len(any_value(x)) + 1)) AS k FROM d) GROUP BY ALL) GROUP BY p, i) m ON m.p = c.p AND m.i = c.i)"""
+_CODES = """coded AS (SELECT r, any_value(vec_id) AS vec_id, string_agg(lpad(lower(to_hex(best.i)), 2, '0'), '' ORDER BY p) AS code, CAST(sum(best.e) AS BIGINT) AS error FROM parts JOIN a4 USING (p, x) GROUP BY r)
+SELECT coded.vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error,
+  (SELECT sha256(string_agg(array_to_string(x, ','), ',' ORDER BY p, i)) FROM c4) AS codebooks_sha256 FROM coded JOIN kept USING (r)"""
+VECTOR_CODES = "WITH " + ",\n".join([_BEGIN, *[t.format(k, k + 1) for k in range(4) for t in (_ASSIGN, _MEANS)], _ASSIGN.format(4), _CODES])

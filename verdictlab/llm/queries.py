@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 import corpus_pipeline
-from verdictlab.llm import decontam, lang_id, line_dedup, mixing, near_dedup, oracle, quality, secret_scan, sharding, substring_dedup, url_filter
+from verdictlab.functions.shared import materialise
+from verdictlab.llm import bpe, decontam, lang_id, line_dedup, mixing, near_dedup, oracle, quality, secret_scan, sharding, substring_dedup, url_filter, vector_codes
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -90,6 +91,28 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.fuzzy_lines(_table(spark, sf_dir, "documents"))
 
 
+def op12_byte_bpe(spark: SparkSession, sf_dir: str, vocabulary: str = "byte_bpe_multi_50k.tiktoken") -> DataFrame:
+    import public_tokenizers
+
+    merges = bpe.Merges(bpe.load_ranks(public_tokenizers.path(vocabulary)), public_tokenizers.PATTERN)
+    found = bpe.encode(_table(spark, sf_dir, "documents").select("doc_id", "text"), merges)
+    found = bpe.decode(found.select("doc_id", "ids"), merges)
+    return found.select(
+        "doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(bpe.packed(F.col("ids")), 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = _table(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label")
+    books = vector_codes.train(vectors)
+    coded = vector_codes.encode(vectors, books)
+    c = F.col("vector_code")
+    coded = materialise(coded.select("vec_id", "label", vector_codes.hex_code(c["code"]).alias("code"), c["error"].alias("error")))
+    found = vector_codes.label_errors(coded)
+    return found.select("vec_id", "code", "error", "label_error", F.lit(books.digest()).alias("codebooks_sha256"))
+
+
 def queries() -> dict:
     return {
         "op1_language_id": op1_language_id,
@@ -103,6 +126,8 @@ def queries() -> dict:
         "op9_substring_dedup": op9_substring_dedup,
         "op9_whole_lines": op9_whole_lines,
         "op10_line_dedup": op10_line_dedup,
+        "op12_byte_bpe": op12_byte_bpe,
+        "op13_vector_codes": op13_vector_codes,
         "pipeline": corpus_pipeline.run,
     }
 
@@ -113,4 +138,5 @@ def oracle_sql() -> dict:
         "op4_decontamination": oracle.DECONTAMINATION,
         "op8_quality_rules": oracle.QUALITY,
         "op9_whole_lines": oracle.WHOLE_LINES,
+        "op13_vector_codes": oracle.VECTOR_CODES,
     }
