@@ -137,3 +137,63 @@ _CODES = """coded AS (SELECT r, any_value(vec_id) AS vec_id, string_agg(lpad(low
 SELECT coded.vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error,
   (SELECT sha256(string_agg(array_to_string(x, ','), ',' ORDER BY p, i)) FROM c4) AS codebooks_sha256 FROM coded JOIN kept USING (r)"""
 VECTOR_CODES = "WITH " + ",\n".join([_BEGIN, *[t.format(k, k + 1) for k in range(4) for t in (_ASSIGN, _MEANS)], _ASSIGN.format(4), _CODES])
+
+#: CRC-32 of an ASCII string, bit by bit.
+_CRC32 = (
+    "xor(4294967295, list_reduce(list_prepend(CAST(4294967295 AS BIGINT), list_transform(range(1, length({0}) + 1), lambda i: CAST(ascii(substr({0}, i, 1)) AS BIGINT))), "
+    "lambda c, b: list_reduce(list_prepend(xor(c, b), range(CAST(8 AS BIGINT))), lambda x, n: CASE WHEN x % 2 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END)))"
+)
+
+
+def _moves(to: int) -> str:
+    """The cheapest way, then the least, into a state by one row: from any state, after up to two inserts. A way is its cost,
+    its audit and the repaired rows."""
+    new = {"s": "system", "u": "user", "a": "assistant"}
+    ways = []
+    for state in range(4):
+        at, inserted, lines = state, "", ""
+        for n in range(3):
+            ways += [(state, 5 * n + 2, inserted + "D", to == at, "true", f"'{lines}'")]
+            for role, then in {0: {"s": 1, "u": 2}, 1: {"u": 2}, 2: {"a": 3}, 3: {"u": 2}}[at].items():
+                ways.append((state, 5 * n, inserted + "K", to == then, f"NOT gone AND initial = '{role}'", f"'{lines}' || chr(10) || line"))
+                if role != "s":
+                    ways.append((state, 5 * n + 1, inserted + "R", to == then, "NOT gone", f"'{lines}' || chr(10) || '{new[role]}:' || text"))
+            role = "a" if at == 2 else "u"
+            at, inserted, lines = (3 if role == "a" else 2), inserted + "I", lines + "\n" + new[role] + ":"
+    listed = [
+        f"CASE WHEN {cond} THEN {{'c': f.w{s}.c + {cost}{'' if edits.endswith('D') else ' + CASE WHEN fault = 3 THEN 5 ELSE 0 END'}, 'a': f.w{s}.a || '{edits}', 't': f.w{s}.t || {made}}} END"
+        for s, cost, edits, fits, cond, made in ways if fits
+    ]
+    return f"list_min([{', '.join(listed) or 'CAST(NULL AS ' + _WAY + ')'}])"
+
+
+_WAY = "STRUCT(c BIGINT, a VARCHAR, t VARCHAR)"
+_NOWHERE = f"CAST({{'c': 1000000000, 'a': '', 't': ''}} AS {_WAY})"
+
+#: The damage, the faults, and a fold over the turns of all conversations abreast with the best way into each state.
+CONVERSATIONS = rf"""
+WITH RECURSIVE d0 AS (SELECT conv_id, turn, coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ') AS k, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text FROM conversations),
+d1 AS (SELECT *, {_CRC32.format("k")} % 20 AS m FROM d0),
+d2 AS (
+  SELECT conv_id, turn, CASE WHEN m = 4 THEN 'user' ELSE role END AS role, CASE WHEN m = 1 THEN '' WHEN m = 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text, unnest(range(CASE WHEN m = 3 THEN 2 ELSE 1 END)) AS copy
+  FROM d1 WHERE m <> 0),
+d3 AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, copy) AS n, substr(role, 1, 1) AS initial, regexp_replace(text, '[\x20\x09-\x0D]', '', 'g') AS solid FROM d2),
+d4 AS (SELECT *, CASE WHEN solid = '' THEN 1 WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY n) > 1 THEN 2 WHEN NOT regexp_matches(solid, '[.!?]$') THEN 3 ELSE 0 END AS fault,
+  lag(initial) OVER (PARTITION BY conv_id ORDER BY n) AS before FROM d3),
+r AS MATERIALIZED (SELECT *, fault IN (1, 2) AS gone, role || ':' || text AS line FROM d4),
+counts AS (
+  SELECT conv_id, CASE WHEN max(turn) IS NULL THEN 0 ELSE max(turn) - min(turn) + 1 - count(DISTINCT turn) END AS gaps, count(*) FILTER (fault = 1) AS blank, count(*) FILTER (fault = 2) AS duplicate, count(*) FILTER (fault = 3) AS truncated,
+    count(*) FILTER (before IS NOT NULL AND before || initial NOT IN ('su', 'ua', 'au')) AS illegal, max(n) AS n FROM r GROUP BY conv_id),
+fold AS (
+  SELECT conv_id, CAST(0 AS BIGINT) AS n, CAST({{'c': 0, 'a': '', 't': ''}} AS {_WAY}) AS w0, {_NOWHERE} AS w1, {_NOWHERE} AS w2, {_NOWHERE} AS w3 FROM counts
+  UNION ALL
+  SELECT r.conv_id, r.n, coalesce({_moves(0)}, {_NOWHERE}), coalesce({_moves(1)}, {_NOWHERE}), coalesce({_moves(2)}, {_NOWHERE}), coalesce({_moves(3)}, {_NOWHERE})
+  FROM fold f JOIN r ON r.conv_id IS NOT DISTINCT FROM f.conv_id AND r.n = f.n + 1),
+best AS (
+  SELECT f.conv_id, list_min([w0, {{'c': w1.c + 10, 'a': w1.a || 'II', 't': w1.t || chr(10) || 'user:' || chr(10) || 'assistant:'}}, {{'c': w2.c + 5, 'a': w2.a || 'I', 't': w2.t || chr(10) || 'assistant:'}}, w3]) AS w
+  FROM fold f JOIN counts c ON c.conv_id IS NOT DISTINCT FROM f.conv_id AND c.n = f.n),
+ids AS (SELECT DISTINCT conv_id FROM conversations)
+SELECT ids.conv_id, CAST(coalesce(gaps, 0) AS BIGINT) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal,
+  CAST(coalesce(w.c, 0) AS BIGINT) AS cost, coalesce(w.a, '') AS audit, sha256(coalesce(substr(w.t, 2), '')) AS repaired_sha256
+FROM ids LEFT JOIN counts c ON c.conv_id IS NOT DISTINCT FROM ids.conv_id LEFT JOIN best b ON b.conv_id IS NOT DISTINCT FROM ids.conv_id
+"""

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 import corpus_pipeline
 from verdictlab.functions.shared import materialise
-from verdictlab.llm import bpe, decontam, lang_id, line_dedup, mixing, near_dedup, oracle, quality, secret_scan, sharding, substring_dedup, url_filter, vector_codes
+from verdictlab.llm import bpe, conversations, decontam, lang_id, line_dedup, mixing, near_dedup, oracle, quality, secret_scan, sharding, substring_dedup, url_filter, vector_codes
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -91,6 +91,24 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.fuzzy_lines(_table(spark, sf_dir, "documents"))
 
 
+def _damaged(rows: DataFrame) -> DataFrame:
+    """The damage of the contract: a row goes, loses its text or its marks, stands there twice, or is the user's."""
+    part = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(" "))
+    k = F.crc32(F.encode(F.concat(part("conv_id"), F.lit(":"), part("turn")), "UTF-8")) % 20
+    text = F.when(k == 1, "").when(k == 2, F.regexp_replace(part("text"), "[.!?]", "")).otherwise(part("text"))
+    times = F.explode(F.array_repeat(F.lit(0), F.when(k == 0, 0).when(k == 3, 2).otherwise(1)))
+    return rows.select("conv_id", "turn", F.when(k == 4, "user").otherwise(part("role")).alias("role"), text.alias("text"), times).drop("col")
+
+
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    fixed = conversations.repair(_damaged(rows))
+    found = fixed.report.join(conversations.audits(fixed.edits).withColumnRenamed("conv", "__conv"), F.col("conv").eqNullSafe(F.col("__conv")), "left").drop("__conv")
+    found = rows.select("conv_id").distinct().join(found, F.col("conv_id").eqNullSafe(F.col("conv")), "left")
+    counts = [F.coalesce(n, F.lit(0)).cast("long").alias(n) for n in ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")]
+    return found.select("conv_id", *counts, F.coalesce("audit", F.lit("")).alias("audit"), F.coalesce("repaired_sha256", F.sha2(F.lit(""), 256)).alias("repaired_sha256"))
+
+
 def op12_byte_bpe(spark: SparkSession, sf_dir: str, vocabulary: str = "byte_bpe_multi_50k.tiktoken") -> DataFrame:
     import public_tokenizers
 
@@ -126,6 +144,7 @@ def queries() -> dict:
         "op9_substring_dedup": op9_substring_dedup,
         "op9_whole_lines": op9_whole_lines,
         "op10_line_dedup": op10_line_dedup,
+        "op11_conversation_repair": op11_conversation_repair,
         "op12_byte_bpe": op12_byte_bpe,
         "op13_vector_codes": op13_vector_codes,
         "pipeline": corpus_pipeline.run,
@@ -138,5 +157,6 @@ def oracle_sql() -> dict:
         "op4_decontamination": oracle.DECONTAMINATION,
         "op8_quality_rules": oracle.QUALITY,
         "op9_whole_lines": oracle.WHOLE_LINES,
+        "op11_conversation_repair": oracle.CONVERSATIONS,
         "op13_vector_codes": oracle.VECTOR_CODES,
     }

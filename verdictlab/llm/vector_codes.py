@@ -99,8 +99,8 @@ def parts_of(rows: DataFrame, n_parts: int, n_entries: int, key: str, vector: st
     v = rows.filter(usable(F.col(vector))).withColumn("__v", integers(F.col(vector)))
     seeds = v.select(key, "__v").filter(F.col(key).isNotNull() & (F.size("__v") % n_parts == 0)).orderBy(key, "__v")
     size = next((len(r["__v"]) for r in seeds.take(1)), 0)
-    first = np.array([r["__v"] for r in seeds.filter(F.size("__v") == size).take(n_entries)], np.int64).reshape(-1, size)
-    return v.filter(F.size("__v") == size), Codebooks(np.split(first, n_parts, axis=1) if size else []), size // n_parts
+    first = [r["__v"] for r in seeds.filter(F.size("__v") == size).take(n_entries)] if size else []
+    return v.filter(F.size("__v") == size), Codebooks(np.split(np.array(first, np.int64), n_parts, axis=1) if size else []), size // n_parts
 
 
 def train(rows: DataFrame, n_parts: int = 4, n_entries: int = 256, rounds: int = 4, key: str = "vec_id", vector: str = "embedding") -> Codebooks:
