@@ -81,15 +81,16 @@ def fold(data, seeds, trust=True, repeat=True):
 
 
 @pytest.mark.parametrize("seed", range(3))
-def test_order_dependent_rules_equal_a_fold(spark, seed):
+@pytest.mark.parametrize("block", [7, 1000])
+def test_order_dependent_rules_equal_a_fold(spark, seed, block):
     rng = random.Random(seed)
     data = comments(rng, 50)
     seeds = set(rng.sample(range(50), 5))
     df = spark.createDataFrame(rng.sample(data, len(data)), SCHEMA).repartition(3)
     sd = spark.createDataFrame([(i,) for i in seeds], "comment_id long")
     want = {i for i, x in fold(data, seeds, trust=False).items() if x[2]}
-    assert {r[0] for r in ordered.db_spam(df, sd).collect()} == want
-    got = {r["comment_id"]: (r["trusted"], r["repeat"], r["spam"]) for r in ordered.ordered_rules(df, sd).collect()}
+    assert {r[0] for r in ordered.db_spam(df, sd, block).collect()} == want
+    got = {r["comment_id"]: (r["trusted"], r["repeat"], r["spam"]) for r in ordered.ordered_rules(df, sd, block).collect()}
     assert got == fold(data, seeds)
     with_spam = df.join(sd.withColumn("s", F.lit(True)), "comment_id", "left").withColumn("s", F.coalesce("s", F.lit(False))).withColumn("author_email", F.expr("nullif(author_email, '')"))
     got = {r["comment_id"]: (r["trusted"], r["final_spam"]) for r in ordered.approved_email(with_spam, "author_email", "comment_id", "s").collect()}
@@ -101,6 +102,24 @@ def test_order_dependent_rules_equal_a_fold(spark, seed):
     assert got == {r[0]: (bool(r[2]) and first.get(r[2], 10**9) < r[0], r[0] in seeds and not (bool(r[2]) and first.get(r[2], 10**9) < r[0])) for r in data}
 
 
+@pytest.mark.parametrize("block", [1200, 10_000])
+def test_a_chain_of_any_length(spark, block):
+    # each comment shares its address with the one before and its URL with the one after; some e-mails are known by then
+    data = [(i, f"ip{i // 2}", f"e{i % 900}@x" if i % 50 == 7 else "", f"u{(i + 1) // 2}") for i in range(5000)]
+    df, sd = spark.createDataFrame(data, SCHEMA).repartition(6), spark.createDataFrame([(0,), (4000,)], "comment_id long")
+    assert ordered.db_spam(df, sd, block).count() == 5000
+    got = {r["comment_id"]: (r["trusted"], r["repeat"], r["spam"]) for r in ordered.ordered_rules(df, sd, block).collect()}
+    assert got == fold(data, {0, 4000})
+
+
+def test_repeated_comments_and_seeds_that_are_not_there(spark):
+    data = [(0, "a", "", ""), (1, "a", "", ""), (1, "a", "", ""), (2, None, None, None)]
+    df, sd = spark.createDataFrame(data, SCHEMA), spark.createDataFrame([(0,), (0,), (77,)], "comment_id long")
+    assert sorted(tuple(r) for r in ordered.db_spam(df, sd).collect()) == [(0, True), (1, False), (77, True)]
+    assert sorted((r["comment_id"], r["spam"]) for r in ordered.ordered_rules(df, sd).collect()) == [(0, True), (1, True), (2, False)]
+    assert ordered.ordered_rules(df.limit(0), sd).count() == 0
+
+
 def test_no_seeds(spark):
     df = spark.createDataFrame(comments(random.Random(0), 5), SCHEMA)
     assert ordered.db_spam(df, spark.createDataFrame([], "comment_id long")).count() == 0

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from verdictlab.functions.scalars import identity_keys
@@ -21,59 +24,109 @@ def approved_email(df: DataFrame, key: str, order: str, spam: str) -> DataFrame:
     return j.withColumn("trusted", trusted).withColumn("final_spam", F.col(spam) & ~F.col("trusted")).drop("__k", "__first")
 
 
-def db_spam(df: DataFrame, seeds: DataFrame, max_rounds: int = 200) -> DataFrame:
+#: Comments that one task folds at once; it holds the states of their keys.
+BLOCK = 200_000
+
+_FOLDED = "block int, comment_id long, content_spam boolean, repeat boolean, trusted boolean, spam boolean, key string, bad boolean, good boolean"
+
+
+def db_spam(df: DataFrame, seeds: DataFrame, block: int = BLOCK) -> DataFrame:
     """``(comment_id, seed)`` of every comment that is spam by itself (``seeds``) or shares an address, e-mail or URL
-    with an earlier spam.
+    with an earlier spam. Folded as in ``ordered_rules``, for chains of any length."""
+    found = _fold_in_blocks(df, seeds, False, block)
+    return found.filter("spam").select("comment_id", F.col("content_spam").alias("seed"))
 
-    A monotone fixpoint over the least spam id of each key; only keys whose least id fell are looked at again. It
-    takes as many rounds as the longest chain of contagion; each is an aggregate and an equi-join, written to the
-    shared folder.Raises when ``max_rounds`` don't settle it.
-    """
-    keys = materialise(identity_keys(df).distinct())
-    spam = materialise(seeds.select("comment_id", F.lit(True).alias("seed")).distinct())
-    new = spam.select("comment_id")
-    low = None
-    for _ in range(max_rounds):
-        mine = keys.join(new, "comment_id").groupBy("key").agg(F.min("comment_id").alias("low"))
-        if low is not None:
-            both = low.withColumnRenamed("low", "was").join(mine, "key", "full_outer")
-            fell = materialise(both.select("key", F.least("low", "was").alias("low"), (F.col("was").isNull() | (F.col("low") < F.col("was"))).alias("fell")))
-        else:
-            fell = materialise(mine.withColumn("fell", F.lit(True)))
-        low = fell.select("key", "low")
-        hit = keys.join(fell.filter("fell").select("key", "low"), "key").filter("comment_id > low").select("comment_id").distinct()
-        new = materialise(hit.join(spam, "comment_id", "left_anti"))
-        if new.isEmpty():
-            return spam
-        spam = materialise(spam.unionByName(new.select("comment_id", F.lit(False).alias("seed"))))
-    raise RuntimeError(f"the repeat rule did not settle in {max_rounds} rounds")
-
-
-def ordered_rules(df: DataFrame, seeds: DataFrame, max_rounds: int = 200) -> DataFrame:
+
+def ordered_rules(df: DataFrame, seeds: DataFrame, block: int = BLOCK) -> DataFrame:
     """``(comment_id, content_spam, repeat, trusted, spam)`` with both order-dependent rules at once.
 
     In id order: a comment whose e-mail has an earlier approved comment is trusted, so not spam; else it is spam when
-    its content is, or when it shares an address, e-mail or URL with an earlier spam. Not monotone, but each comment
-    depends on earlier ones only: what has an earlier spam, or an earlier approved one, is told by the least id per key.
-    So all comments are judged anew from the least ids of the last round until nothing changes, after as many rounds as
-    the longest chain of comments that decide each other. Each round is aggregates and equi-joins, written to the
-    shared folder; no key or cluster is gathered. Raises when ``max_rounds`` don't settle it.
+    its content is, or when it shares an address, e-mail or URL with an earlier spam.
+
+    Ids are cut into ranges of ``block`` comments or so. Each is folded in order by one task, all side by side, and tells which
+    keys it leaves with a spam or an approved comment. A range is folded again if ranges before it have left keys of its own
+    in another state than it was folded with, until none has changed. The first range is right at once, and each pass
+    makes at least the next one right, so the passes are bounded by the ranges, not by the length of a chain; only ranges
+    that changed are read again, and only keys of more than one range are looked at. No key or cluster is gathered.
+    Repeated rows of an id are one comment. Each pass is written to the shared folder.
     """
-    keys = materialise(identity_keys(df).distinct())
-    content = df.select("comment_id").join(seeds.select("comment_id", F.lit(True).alias("content_spam")).distinct(), "comment_id", "left")
-    content = content.select("comment_id", F.coalesce("content_spam", F.lit(False)).alias("content_spam"))
-    now = materialise(content.withColumn("repeat", F.lit(False)).withColumn("trusted", F.lit(False)).withColumn("spam", F.col("content_spam")))
-    for _ in range(max_rounds):
-        k = keys.join(now.select("comment_id", "spam"), "comment_id")
-        first = k.groupBy("key").agg(F.min(F.when(F.col("spam"), F.col("comment_id"))).alias("bad"), F.min(F.when(~F.col("spam"), F.col("comment_id"))).alias("good"))
-        hit = keys.join(first, "key").groupBy("comment_id").agg(
-            F.max(F.coalesce(F.col("bad") < F.col("comment_id"), F.lit(False))).alias("repeat"),
-            F.max(F.coalesce((F.col("good") < F.col("comment_id")) & F.col("key").startswith("e:"), F.lit(False))).alias("trusted"),
-        )
-        new = now.select("comment_id", "content_spam", F.col("spam").alias("was")).join(hit, "comment_id", "left")
-        new = new.withColumn("repeat", F.coalesce("repeat", F.lit(False))).withColumn("trusted", F.coalesce("trusted", F.lit(False)))
-        new = materialise(new.withColumn("spam", ~F.col("trusted") & (F.col("content_spam") | F.col("repeat"))))
-        now = new.drop("was")
-        if new.filter("spam <> was").isEmpty():
-            return now
-    raise RuntimeError(f"the ordered rules did not settle in {max_rounds} rounds")
+    return _fold_in_blocks(df, seeds, True, block).select("comment_id", "content_spam", "repeat", "trusted", "spam")
+
+
+def _fold_in_blocks(df: DataFrame, seeds: DataFrame, trust: bool, block: int) -> DataFrame:
+    none = F.lit(None)
+    own = identity_keys(df).select("comment_id", "key", F.lit(False).alias("seed"))
+    both = own.unionByName(seeds.select("comment_id", none.cast("string").alias("key"), F.lit(True).alias("seed")))
+    rows = materialise(both.groupBy("comment_id").agg(F.array_sort(F.collect_set("key")).alias("keys"), F.max("seed").alias("content_spam")))
+    if trust:  # seeds that aren't comments of df have no keys
+        rows = rows.filter(F.size("keys") > 0)
+    n = max(1, -(-rows.count() // block))
+    rows = materialise(rows.repartitionByRange(n, "comment_id").withColumn("block", F.spark_partition_id()))
+    found = materialise(_folded(rows, None, trust))
+    of_keys = found.filter("key is not null").select("block", "key", "bad", "good")
+    many = of_keys.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("key")
+    shared = materialise(of_keys.join(many, "key", "left_semi").withColumn("was_bad", F.lit(False)).withColumn("was_good", F.lit(False)))
+    done = found.filter("key is null")
+    while True:
+        first = shared.groupBy("key").agg(F.min(F.when(F.col("bad"), F.col("block"))).alias("b"), F.min(F.when(F.col("good"), F.col("block"))).alias("g"))
+        before = lambda c: F.coalesce(F.col(c) < F.col("block"), F.lit(False))
+        told = materialise(shared.join(first, "key").select("block", "key", "bad", "good", "was_bad", "was_good", before("b").alias("now_bad"), before("g").alias("now_good")))
+        stale = told.filter("now_bad <> was_bad or now_good <> was_good").select("block").distinct()
+        if stale.isEmpty():
+            return done
+        again = rows.join(stale, "block", "left_semi")
+        given = told.join(stale, "block", "left_semi").filter("now_bad or now_good").select("block", "key", F.col("now_bad").alias("bad"), F.col("now_good").alias("good"))
+        new = materialise(_folded(again, given, trust))
+        states = new.filter("key is not null").select("block", "key", F.col("bad").alias("new_bad"), F.col("good").alias("new_good"))
+        j = told.join(states, ["block", "key"], "left")
+        shared = materialise(j.select("block", "key", F.coalesce("new_bad", "bad").alias("bad"), F.coalesce("new_good", "good").alias("good"), F.col("now_bad").alias("was_bad"), F.col("now_good").alias("was_good")))
+        done = materialise(done.join(stale, "block", "left_anti").unionByName(new.filter("key is null")))
+
+
+def _folded(rows: DataFrame, given: DataFrame | None, trust: bool) -> DataFrame:
+    """The comments of each block with their verdicts, and the keys of each block with their states at its end."""
+    none = F.lit(None)
+    cols = ["block", "comment_id", "keys", "content_spam", "bad", "good"]
+    flat = rows.select("block", "comment_id", "keys", "content_spam", none.cast("boolean").alias("bad"), none.cast("boolean").alias("good"))
+    if given is not None:
+        flat = flat.unionByName(given.select("block", none.cast("long").alias("comment_id"), F.array("key").alias("keys"), none.cast("boolean").alias("content_spam"), "bad", "good"))
+    n = rows.select("block").distinct().count()
+    # what is given comes in front of the comments
+    flat = flat.repartition(max(n, 1), "block").sortWithinPartitions("block", F.col("comment_id").asc_nulls_first()).select(*cols)
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["block", "comment_id", "content_spam", "repeat", "trusted", "spam", "key", "bad", "good"]
+        now, bad, good, seen, spam_of, good_of = None, set(), set(), set(), set(), set()
+        for b in batches:
+            out = []
+            for block, id_, keys, content, was_bad, was_good in zip(*(b[c].to_pylist() for c in cols), strict=True):
+                if block != now:
+                    out += [(now, None, None, None, None, None, k, k in spam_of, k in good_of) for k in seen]
+                    now, bad, good, seen, spam_of, good_of = block, set(), set(), set(), set(), set()
+                if id_ is None:
+                    if was_bad:
+                        bad.add(keys[0])
+                    if was_good:
+                        good.add(keys[0])
+                    continue
+                repeat = any(k in bad for k in keys)
+                trusted = trust and any(k in good for k in keys if k[:2] == "e:")
+                spam = not trusted and (content or repeat)
+                seen.update(keys)
+                if spam:
+                    bad.update(keys)
+                    spam_of.update(keys)
+                else:
+                    mail = [k for k in keys if k[:2] == "e:"]
+                    good.update(mail)
+                    good_of.update(mail)
+                out.append((block, id_, content, repeat, trusted, spam, None, None, None))
+            yield _batch(out, names)
+        yield _batch([(now, None, None, None, None, None, k, k in spam_of, k in good_of) for k in seen], names)
+
+    return flat.mapInArrow(fold, _FOLDED)
+
+
+def _batch(rows: list[tuple], names: list[str]) -> pa.RecordBatch:
+    kinds = [pa.int32(), pa.int64(), *[pa.bool_()] * 4, pa.string(), pa.bool_(), pa.bool_()]
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True) if rows else [[]] * 9, kinds, strict=True)], names=names)
