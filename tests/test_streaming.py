@@ -1,47 +1,114 @@
+import random
 import time
+from datetime import datetime, timedelta
 
 from pyspark.sql import functions as F
 
 from verdictlab.functions import rules
-from verdictlab.operators.ordered import approved_email
+from verdictlab.operators.ordered import approved_email, first_approved
 from verdictlab.streaming import incremental as inc
 
 
+def comments(spark, low, high):
+    return spark.range(low, high).select(F.col("id").alias("comment_id"), F.concat(F.lit("mail a@b.cd "), "id").alias("content"), F.lit("").alias("type"))
+
+
 def test_no_comment_twice(spark, tmp_path, rows):
-    c = spark.range(60).select(F.col("id").alias("comment_id"), F.concat(F.lit("mail a@b.cd "), "id").alias("content"), F.lit("").alias("type"))
+    c = comments(spark, 0, 60)
     read = lambda: spark.readStream.schema(c.schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
     c.filter("comment_id < 40").repartition(3).write.parquet(f"{tmp_path}/in")
-    run = lambda: inc.classify_stream(read(), rules.old_rules(), f"{tmp_path}/out", f"{tmp_path}/cp").awaitTermination()
+    run = lambda cp="cp": inc.classify_stream(read(), rules.old_rules(), f"{tmp_path}/out", f"{tmp_path}/{cp}", width=16).awaitTermination()
     run()
     c.filter("comment_id >= 30").write.mode("append").parquet(f"{tmp_path}/in")  # some again
     run()
     run()
-    assert rows(spark.read.parquet(f"{tmp_path}/out")) == rows(rules.classify(c, rules.old_rules()))
+    want = rows(rules.classify(c, rules.old_rules()))
+    assert rows(inc.read_sink(spark, f"{tmp_path}/out")) == want
+    run("another")  # knows nothing of the first run but what the sink has
+    assert rows(inc.read_sink(spark, f"{tmp_path}/out")) == want
 
 
-def test_trust_by_state_equals_batch(spark, tmp_path, rows):
-    e = spark.range(90).select(F.col("id"), (F.col("id") % 7).alias("k"), (F.col("id") * 5 % 11 < 4).alias("s"))
-    for i in range(3):
-        e.filter(f"id >= {i * 30} and id < {i * 30 + 30}").orderBy(F.rand(3)).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
-        time.sleep(1.1)  # files are read by age
-    stream = spark.readStream.schema(e.schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
-    out = inc.approved_email_stream(stream, "k", "id", "s")
-    q = out.writeStream.format("parquet").option("path", f"{tmp_path}/out").option("checkpointLocation", f"{tmp_path}/cp").trigger(availableNow=True).start()
-    q.awaitTermination()
-    want = approved_email(e, "k", "id", "s").select("id", "k", "s", "trusted", "final_spam")
-    assert rows(spark.read.parquet(f"{tmp_path}/out").select("id", "key", "spam", "trusted", "final_spam")) == rows(want)
-
-
-def test_windows_drop_late_rows(spark, tmp_path):
-    e = spark.createDataFrame([(0, "2024-01-01 00:00:01"), (1, "2024-01-01 00:59:00"), (2, "2024-01-01 05:00:00")], "id long, t string").select("id", F.to_timestamp("t").alias("ts"))
-    e.coalesce(1).write.parquet(f"{tmp_path}/in")
-    time.sleep(1.1)
-    e.filter("id = 2").coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
-    time.sleep(1.1)
-    late = spark.createDataFrame([(3, "2024-01-01 00:10:00"), (4, "2024-01-01 09:00:00")], "id long, t string").select("id", F.to_timestamp("t").alias("ts"))
-    late.coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
-    stream = spark.readStream.schema(e.schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
-    q = inc.throughput(stream, "ts", "1 hour", "10 minutes").writeStream.format("memory").queryName("hours").outputMode("append").option("checkpointLocation", f"{tmp_path}/cp").trigger(availableNow=True).start()
+def test_a_batch_that_is_replayed_adds_nothing(spark, tmp_path, rows):
+    c = comments(spark, 0, 30)
+    c.coalesce(1).write.parquet(f"{tmp_path}/in")
+    run = lambda: inc.classify_stream(spark.readStream.schema(c.schema).parquet(f"{tmp_path}/in"), rules.old_rules(), f"{tmp_path}/out", f"{tmp_path}/cp", width=8).awaitTermination()
+    run()
+    before = rows(inc.read_sink(spark, f"{tmp_path}/out"))
+    (tmp_path / "cp/commits/0").unlink()  # written, not committed
+    (tmp_path / "cp/commits/.0.crc").unlink(missing_ok=True)
+    run()
+    assert rows(inc.read_sink(spark, f"{tmp_path}/out")) == before and len(before) == 30
+
+
+def test_what_a_batch_reads_does_not_grow_with_the_sink(spark, tmp_path):
+    schema, read = comments(spark, 0, 1).schema, []
+    for i in range(20):
+        comments(spark, 50 * i, 50 * i + 50).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+        known = inc.known_ids(spark, f"{tmp_path}/out", [50 * i // 100])
+        read.append(0 if known is None else len(known.inputFiles()))
+        inc.classify_stream(spark.readStream.schema(schema).parquet(f"{tmp_path}/in"), rules.old_rules(), f"{tmp_path}/out", f"{tmp_path}/cp", width=100).awaitTermination()
+    assert inc.read_sink(spark, f"{tmp_path}/out").count() == 1000
+    assert max(read[10:]) <= max(read[:4]) <= 8
+
+
+START = datetime(2024, 1, 1)
+EVENT = "id long, k long, s boolean, ts timestamp"
+
+
+def events(n, seed=1, keys=7):
+    r = random.Random(seed)
+    return [(i, r.choice([None, *range(keys)]), r.random() < 0.4, START + timedelta(minutes=i)) for i in range(n)]
+
+
+def run_trust(spark, tmp_path, late, out="out", history=None, **how):
+    stream = spark.readStream.schema(EVENT).options(**how).parquet(f"{tmp_path}/in")
+    o = inc.approved_email_stream(stream, "k", "id", "s", "ts", late, history)
+    q = o.writeStream.format("parquet").option("path", f"{tmp_path}/{out}").option("checkpointLocation", f"{tmp_path}/cp-{out}").trigger(availableNow=True).start()
     q.awaitTermination()
-    got = {r[0].hour: r[1] for r in spark.sql("select * from hours").collect()}
-    assert got[0] == 2 and got[5] == 2  # the row of 00:10 came two batches after the watermark had passed
+    return spark.read.schema("id long, key long, spam boolean, trusted boolean, final_spam boolean").parquet(f"{tmp_path}/{out}")
+
+
+def put(spark, tmp_path, data):
+    spark.createDataFrame(data, EVENT).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+    time.sleep(0.05)  # files are read by age
+
+
+def test_trust_by_state_equals_batch_with_files_in_any_order(spark, tmp_path, rows):
+    data = events(120)
+    mixed = random.Random(4).sample(data, len(data))
+    for i in range(4):
+        put(spark, tmp_path, mixed[i * 30 : i * 30 + 30])
+    assert run_trust(spark, tmp_path, "3 hours", maxFilesPerTrigger=1).count() < 120  # what isn't passed by the watermark is held
+    put(spark, tmp_path, [(None, None, None, START + timedelta(days=9))])
+    got = run_trust(spark, tmp_path, "3 hours", maxFilesPerTrigger=1)
+    want = approved_email(spark.createDataFrame(data, EVENT), "k", "id", "s").select("id", "k", "s", "trusted", "final_spam")
+    assert rows(got.select("id", "key", "spam", "trusted", "final_spam")) == rows(want)
+
+
+def test_trust_goes_on_from_a_batch(spark, tmp_path, rows):
+    data = events(80, seed=3)
+    old, new = spark.createDataFrame(data[:40], EVENT), data[40:]
+    put(spark, tmp_path, new[20:])
+    put(spark, tmp_path, [*new[:20], (None, None, None, START + timedelta(days=9))])
+    got = run_trust(spark, tmp_path, "2 hours", history=first_approved(old, "k", "id", "s").filter("first is not null"))
+    want = approved_email(spark.createDataFrame(data, EVENT), "k", "id", "s").filter("id >= 40").select("id", "k", "s", "trusted", "final_spam")
+    assert rows(got.select("id", "key", "spam", "trusted", "final_spam")) == rows(want)
+
+
+def test_windows_drop_late_rows_and_the_rest_is_counted(spark, tmp_path):
+    seen = inc.RowsSeen()
+    spark.streams.addListener(seen)
+    try:
+        at = lambda *hours: [(i, 1, False, START + timedelta(hours=h)) for i, h in enumerate(hours)]
+        for data in (at(0.01, 0.9, 5), at(0.2, 0.3, 9), at(8, 8.5, 4.9), [(None, None, None, START + timedelta(days=9))]):
+            put(spark, tmp_path, data)
+            stream = spark.readStream.schema(EVENT).parquet(f"{tmp_path}/in")
+            q = inc.throughput(stream, "ts", "1 hour", "2 hours", "id").writeStream.format("parquet").option("path", f"{tmp_path}/out").option("checkpointLocation", f"{tmp_path}/cp").trigger(availableNow=True).start()
+            q.awaitTermination()
+            query = str(q.id)
+        spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    finally:
+        spark.streams.removeListener(seen)
+    got = {r[0].hour: r[1] for r in spark.read.parquet(f"{tmp_path}/out").collect()}
+    assert got == {0: 2, 5: 1, 8: 2, 9: 1}
+    assert seen.seen[query] - sum(got.values()) == 3 and 0 < seen.late_groups[query] <= 3

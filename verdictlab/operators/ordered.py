@@ -11,6 +11,11 @@ from verdictlab.functions.scalars import identity_keys
 from verdictlab.functions.shared import materialise
 
 
+def first_approved(df: DataFrame, key: str, order: str, spam: str) -> DataFrame:
+    """``(key, first)``: the first row of each key, if any, that isn't spam by its content."""
+    return df.filter(F.col(key).isNotNull()).groupBy(F.col(key).alias("key")).agg(F.min(F.when(~F.col(spam), F.col(order))).alias("first"))
+
+
 def approved_email(df: DataFrame, key: str, order: str, spam: str) -> DataFrame:
     """``df`` with ``trusted`` and ``final_spam``: a row is trusted when its key has an earlier row that isn't spam by
     its content (a null key is never trusted); trusted rows aren't spam.
@@ -18,7 +23,7 @@ def approved_email(df: DataFrame, key: str, order: str, spam: str) -> DataFrame:
     The first approved row per key decides, so this is one aggregate and one join: a hot key is folded before the
     shuffle, and no window has to hold all its rows.
     """
-    first = df.filter(F.col(key).isNotNull()).groupBy(F.col(key).alias("__k")).agg(F.min(F.when(~F.col(spam), F.col(order))).alias("__first"))
+    first = first_approved(df, key, order, spam).toDF("__k", "__first")
     j = df.join(first, F.col(key) == F.col("__k"), "left")
     trusted = F.coalesce(F.col("__first") < F.col(order), F.lit(False))
     return j.withColumn("trusted", trusted).withColumn("final_spam", F.col(spam) & ~F.col("trusted")).drop("__k", "__first")

@@ -857,32 +857,79 @@ def _stream(s: SparkSession, d: str, name: str) -> DataFrame:
 def t1(s, d):
     at = _folder(s)
     inc.classify_stream(views.corpus_of(_stream(s, d, "documents")), rules.new_rules(), f"{at}/out", f"{at}/checkpoint").awaitTermination()
-    return s.read.parquet(f"{at}/out")
+    return inc.read_sink(s, f"{at}/out")
 
 
-@query("t2_approved_address_stream", ORACLE["w5_approved_address"])
-def t2(s, d):
-    at, name = _folder(s), "spark.sql.streaming.stateStore.providerClass"
-    e = _stream(s, d, "events").withColumn("spam", F.col("event_type") == "error")
+def _arrive(s: SparkSession, at: str, df: DataFrame, ts: str | None = None) -> None:
+    """More files of a stream; with ``ts``, a heartbeat of that time."""
+    if ts is not None:
+        df = s.createDataFrame([()], "").select(*[(F.lit(ts) if c == "ts" else F.lit(None)).cast(t).alias(c) for c, t in df.dtypes])
+    df.write.mode("append").parquet(f"{at}/in")
+
+
+def _run_to_end(s: SparkSession, at: str, out: DataFrame):
+    """Run a stream until it has read what is there."""
+    name = "spark.sql.streaming.stateStore.providerClass"
     before = s.conf.get(name)
     s.conf.set(name, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     try:
-        out = inc.approved_email_stream(e, "user_id", "event_id", "spam").writeStream.format("parquet").option("path", f"{at}/out")
-        out.option("checkpointLocation", f"{at}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+        q = out.writeStream.format("parquet").option("path", f"{at}/out").option("checkpointLocation", f"{at}/checkpoint").trigger(availableNow=True).start()
+        q.awaitTermination()
     finally:
         s.conf.set(name, before)
+    return q
+
+
+def _trust_stream(s: SparkSession, d: str, key) -> DataFrame:
+    """The events in files that each hold some of all times, then a heartbeat."""
+    at = _folder(s)
+    e = table(s, d, "events").select("event_id", key.alias("user_id"), (F.col("event_type") == "error").alias("spam"), F.col("ts").cast("timestamp").alias("ts"))
+    for k in (2, 0, 1):
+        _arrive(s, at, e.filter(F.pmod(F.hash("event_id"), F.lit(3)) == k))
+    _arrive(s, at, e, "2034-01-01 00:00:00")
+    stream = s.readStream.schema(e.schema).parquet(f"{at}/in")
+    _run_to_end(s, at, inc.approved_email_stream(stream, "user_id", "event_id", "spam", "ts", "60 days"))
     return s.read.parquet(f"{at}/out").select(F.col("id").alias("event_id"), F.col("key").alias("user_id"), "spam", "trusted", "final_spam")
 
 
+@query("t2_approved_address_stream", ORACLE["w5_approved_address"])
+def t2(s, d):
+    return _trust_stream(s, d, F.col("user_id"))
+
+
+@query("t2_rows_without_key", """SELECT event_id, u AS user_id, e AS spam, u IS NOT NULL AND coalesce(f < event_id, false) AS trusted, e AND NOT (u IS NOT NULL AND coalesce(f < event_id, false)) AS final_spam
+  FROM (SELECT event_id, u, event_type = 'error' AS e, min(CASE WHEN event_type <> 'error' THEN event_id END) OVER (PARTITION BY u) AS f FROM (SELECT *, CASE WHEN user_id % 5 <> 0 THEN 'user' || user_id END AS u FROM events))""")
+def t2_keys(s, d):
+    return _trust_stream(s, d, F.when(F.col("user_id") % 5 != 0, F.concat(F.lit("user"), "user_id")))
+
+
 @query("t3_throughput_stream", "SELECT time_bucket(INTERVAL 1 hour, ts) AS window_start, count(*) AS n FROM events GROUP BY 1")
 def t3_stream(s, d):
-    at = _folder(s)
-    put = lambda batch, _: batch.write.mode("overwrite").parquet(f"{at}/out")
-    out = inc.throughput(_stream(s, d, "events"), "ts", "1 hour", "10 minutes").writeStream.outputMode("complete").foreachBatch(put)
-    out.option("checkpointLocation", f"{at}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    at, e = _folder(s), table(s, d, "events").select("event_id", F.col("ts").cast("timestamp").alias("ts"))
+    _arrive(s, at, e)
+    _arrive(s, at, e, "2034-01-01 00:00:00")
+    _run_to_end(s, at, inc.throughput(s.readStream.schema(e.schema).parquet(f"{at}/in"), "ts", "1 hour", "10 minutes", "event_id"))
     return s.read.parquet(f"{at}/out").withColumn("window_start", F.col("window_start").cast("timestamp_ntz"))
 
 
+# rows arrive in three steps; those of a window that ended before the watermark of the steps before are late
+@query("t3_late_rows", sql("SELECT w AS window_start, count(*) FILTER (kept) AS n, (SELECT count(*) FROM k WHERE NOT kept) AS dropped FROM k GROUP BY w HAVING count(*) FILTER (kept) > 0",
+    "e AS (SELECT ts, time_bucket(INTERVAL 1 hour, ts) AS w, CASE WHEN event_id % 10 < 6 AND ts < TIMESTAMP '2024-01-15' THEN 0 WHEN event_id % 10 < 9 THEN 1 ELSE 2 END AS step FROM events)",
+    "m AS (SELECT a.step, max(b.ts) - INTERVAL 2 days AS mark FROM (SELECT DISTINCT step FROM e) a LEFT JOIN (SELECT step, max(ts) AS ts FROM e GROUP BY step) b ON b.step < a.step GROUP BY a.step)",
+    "k AS (SELECT w, mark IS NULL OR w + INTERVAL 1 hour > mark AS kept FROM e JOIN m USING (step))"))
+def t3_late(s, d):
+    at, e, seen = _folder(s), table(s, d, "events").select("event_id", F.col("ts").cast("timestamp").alias("ts")), inc.RowsSeen()
+    step = F.when((F.col("event_id") % 10 < 6) & (F.col("ts") < F.lit("2024-01-15").cast("timestamp")), 0).when(F.col("event_id") % 10 < 9, 1).otherwise(2)
+    for k in range(4):
+        _arrive(s, at, e.filter(step == k), "2034-01-01 00:00:00" if k == 3 else None)
+        q = _run_to_end(s, at, inc.throughput(s.readStream.schema(e.schema).parquet(f"{at}/in"), "ts", "1 hour", "2 days", "event_id"))
+        for p in q.recentProgress:
+            seen.add(p)
+    windows = s.read.parquet(f"{at}/out").withColumn("window_start", F.col("window_start").cast("timestamp_ntz"))
+    kept = windows.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    return windows.withColumn("dropped", F.lit(sum(seen.seen.values()) - kept).cast("long"))
+
+
 # --- time windows ----------------------------------------------------------------------------------------------------
 
 

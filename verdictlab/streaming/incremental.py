@@ -2,65 +2,203 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
+from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery, StreamingQueryListener
 
 from verdictlab.functions.rules import Ruleset, classify
 
+#: Ids of one folder of a sink.
+WIDTH = 1_000_000
 
-def classify_stream(stream: DataFrame, ruleset: Ruleset, sink: str, checkpoint: str) -> StreamingQuery:
+
+def _range(id_, width: int):
+    return F.floor(id_.cast("long") / F.lit(width)).cast("long")
+
+
+def known_ids(spark: SparkSession, sink: str, ranges: list[int]) -> DataFrame | None:
+    """``(id, batch)`` of what a sink of ``classify_stream`` has in some id ranges; other folders are neither listed nor
+    read. None where it has nothing."""
+    conf, hadoop = spark._jsc.hadoopConfiguration(), spark._jvm.org.apache.hadoop.fs.Path
+    paths = [f"{sink}/range={r}" for r in ranges]
+    fs = hadoop(sink).getFileSystem(conf)
+    paths = [p for p in paths if fs.exists(hadoop(p))]
+    if not paths:
+        return None
+    return spark.read.schema("id string, range long, batch string").option("basePath", sink).parquet(*paths).select("id", "batch")
+
+
+def read_sink(spark: SparkSession, sink: str) -> DataFrame:
+    """``(id, status, reason)`` of a sink of ``classify_stream``."""
+    return spark.read.schema("id string, status string, reason string, range long, batch string").parquet(sink).select("id", "status", "reason")
+
+
+def classify_stream(stream: DataFrame, ruleset: Ruleset, sink: str, checkpoint: str, width: int = WIDTH) -> StreamingQuery:
     """Classify what is new and stop; no comment is processed twice.
 
-    The checkpoint remembers the files read; ids that the sink has already (from a batch that was written but not
-    committed, or from another run) are anti-joined away inside each batch, and repeated ids of one batch are folded.
+    The sink has a folder for each range of ``width`` ids, and in it one for each batch. A batch anti-joins what other batches
+    have in the ranges that it touches itself, so what it reads doesn't grow with the sink while ids grow; repeated ids of one
+    batch are folded. A batch that was written but not committed is written again into its own folders: it neither adds
+    rows nor loses any. The checkpoint's path is part of a batch's name, so another run can't overwrite it. The list of
+    ranges that a batch touches goes through the driver; it is as long as its ids are spread, over ``width``.
     """
-
-    def put(batch: DataFrame, _: int) -> None:
-        spark = batch.sparkSession
-        out = classify(batch.dropDuplicates(["comment_id"]), ruleset)
-        path = spark._jvm.org.apache.hadoop.fs.Path(sink)
-        if path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
-            done = spark.read.schema(out.schema).parquet(sink).select("id")
-            out = out.join(done, "id", "left_anti")
-        out.write.mode("append").parquet(sink)
+    run = hashlib.sha256(checkpoint.encode()).hexdigest()[:12]
+
+    def put(batch: DataFrame, no: int) -> None:
+        label = f"{run}-{no}"
+        rows = batch.dropDuplicates(["comment_id"])
+        ranges = [r[0] for r in batch.select(_range(F.col("comment_id"), width).alias("r")).distinct().collect()]
+        known = known_ids(batch.sparkSession, sink, ranges)
+        if known is not None:
+            other = known.filter(F.col("batch") != label).select("id")
+            rows = rows.join(other, rows["comment_id"].cast("string") == other["id"], "left_anti")
+        out = classify(rows, ruleset).withColumn("range", _range(F.col("id"), width)).withColumn("batch", F.lit(label))
+        out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("range", "batch").parquet(sink)
 
     return stream.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def approved_email_stream(stream: DataFrame, key: str, order: str, spam: str) -> DataFrame:
-    """``(id, key, spam, trusted, final_spam)``: the batch rule ``approved_email`` with the first approved id as state.
-    Batches must come in the order of ids; inside a batch rows may come in any order. Rows without a key are left out.
-    Needs the RocksDB state store."""
+def with_heartbeats(stream: DataFrame, ts: str, late: str, order: str) -> DataFrame:
+    """``stream`` with a watermark ``late`` behind the newest ``ts``. Rows without ``order`` are heartbeats: they move the
+    watermark and go."""
+    w = stream.withColumn(ts, F.col(ts).cast("timestamp")).withWatermark(ts, late)
+    # one condition on the time itself, so it isn't pushed below the watermark
+    return w.filter(F.when(F.col(ts).isNull(), F.lit(False)).otherwise(F.col(order).isNotNull()))
+
+
+#: Groups of a key, and rows without one.
+WITH_KEY, ALONE = "k", "n"
+
+
+def approved_email_stream(stream: DataFrame, key: str, order: str, spam: str, ts: str, late: str, history: DataFrame | None = None) -> DataFrame:
+    """``(id, key, spam, trusted, final_spam)``: the batch rule ``approved_email`` over a stream whose files come in any
+    order, as long as rows are no more than ``late`` behind.
+
+    Rows are held as state of their key until the watermark has passed them, for then all earlier ones are known (``order``
+    rises with ``ts``); a timer by key lets them go. The first approved id of each key stays as state. ``history`` gives
+    ``(key, first)`` from a batch (``ordered.first_approved``) to begin with. Rows without a key are held by themselves
+    and never trusted, as in the batch rule. Rows that come too late are dropped and counted by Spark. Rows without
+    ``order`` are heartbeats. Needs the RocksDB state store.
+    """
 
     class Trust(StatefulProcessor):
-        """State by key: the id of the first approved row. Defined here, so that it travels to the workers by value."""
+        """Defined here, so that it travels to the workers by value."""
 
         def init(self, handle: StatefulProcessorHandle) -> None:
+            self.handle = handle
             self.first = handle.getValueState("first", "id long")
+            self.wake = handle.getValueState("wake", "ms long")
+            self.held = handle.getListState("held", "id long, ms long, spam boolean")
 
-        def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-            all_ = pd.concat(list(rows)).sort_values("id")
+        def handleInitialState(self, key, initialState, timerValues) -> None:
+            for first in initialState["first"].dropna().tolist():
+                self._approve(int(first))
+
+        def _approve(self, id_: int | None) -> int | None:
             first = self.first.get()[0] if self.first.exists() else None
-            ok = all_.loc[~all_["spam"], "id"]
-            if len(ok) and (first is None or int(ok.min()) < first):
-                first = int(ok.min())
+            if id_ is not None and (first is None or id_ < first):
+                first = id_
                 self.first.update((first,))
-            trusted = all_["id"] > first if first is not None else pd.Series(False, index=all_.index)
-            yield pd.DataFrame({"id": all_["id"], "key": key[0], "spam": all_["spam"], "trusted": trusted, "final_spam": all_["spam"] & ~trusted})
+            return first
+
+        def _wake_at(self, ms: int) -> None:
+            """One timer a key, at the earliest row that is held."""
+            now = self.wake.get()[0] if self.wake.exists() else None
+            if now is None or ms < now:
+                if now is not None:
+                    self.handle.deleteTimer(now)
+                self.handle.registerTimer(ms)
+                self.wake.update((ms,))
+
+        def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+            for chunk in rows:
+                self.held.appendList([(int(i), int(m), bool(s)) for i, m, s in zip(chunk["id"], chunk["ms"], chunk["spam"], strict=True)])
+                self._wake_at(int(chunk["ms"].min()) + 1)
+            yield from ()
+
+        def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+            now = timerValues.getCurrentWatermarkInMs()
+            least, rest = None, []
+            for id_, ms, bad in self.held.get():
+                if ms >= now:
+                    rest.append((id_, ms, bad))
+                elif not bad and (least is None or id_ < least):
+                    least = id_
+            # a row without a key is alone, and nothing is kept of it
+            first = self._approve(least) if key[0][0] == WITH_KEY else None
+            due: list[tuple] = []
+            for id_, ms, bad in self.held.get():
+                if ms < now:
+                    due.append((id_, key[0], bad, first is not None and first < id_))
+                if len(due) == 10_000:
+                    yield self._frame(due)
+                    due = []
+            if due:
+                yield self._frame(due)
+            self.wake.clear()
+            if rest:
+                self.held.put(rest)
+                self._wake_at(min(r[1] for r in rest) + 1)
+            else:
+                self.held.clear()
+
+        def _frame(self, rows: list[tuple]) -> pd.DataFrame:
+            f = pd.DataFrame(rows, columns=["id", "k", "spam", "trusted"])
+            f["final_spam"] = f["spam"] & ~f["trusted"]
+            return f
 
         def close(self) -> None:
             pass
 
-    rows = stream.filter(F.col(key).isNotNull()).select(F.col(order).alias("id"), F.col(key).alias("key"), F.col(spam).alias("spam"))
-    kind = dict(rows.dtypes)["key"]
-    return rows.groupBy("key").transformWithStateInPandas(Trust(), f"id long, key {kind}, spam boolean, trusted boolean, final_spam boolean", "Append", "None")
+    # a group's key may not be null
+    group = lambda k, alone: F.coalesce(F.concat(F.lit(WITH_KEY), k.cast("string")), F.concat(F.lit(ALONE), alone.cast("string"))).alias("k")
+    rows = with_heartbeats(stream, ts, late, order)
+    kind = rows.schema[key].dataType
+    rows = rows.select(F.col(order).alias("id"), group(F.col(key), F.col(order)), F.col(spam).alias("spam"), F.col(ts).alias("ts"), F.unix_millis(F.col(ts)).alias("ms"))
+    start = None if history is None else history.filter("key is not null").select(group(F.col("key"), F.lit("")), "first").groupBy("k")
+    out = rows.groupBy("k").transformWithStateInPandas(Trust(), "id long, k string, spam boolean, trusted boolean, final_spam boolean", "Append", "EventTime", start)
+    return out.select("id", F.when(F.substring("k", 1, 1) == WITH_KEY, F.expr("substring(k, 2)")).cast(kind).alias("key"), "spam", "trusted", "final_spam")
+
+
+def throughput(stream: DataFrame, ts: str, width: str, late: str, order: str | None = None) -> DataFrame:
+    """``(window_start, n)`` per time window, each given when the watermark has passed its end; rows later than ``late``
+    behind the newest are dropped. With ``order``, rows without it are heartbeats."""
+    rows = with_heartbeats(stream, ts, late, order or ts).observe(OBSERVED, F.count(F.lit(1)).alias("n"))
+    g = rows.groupBy(F.window(ts, width).alias("w")).agg(F.count(F.lit(1)).alias("n"))
+    return g.select(F.col("w.start").alias("window_start"), "n")
 
 
-def throughput(stream: DataFrame, ts: str, width: str, late: str) -> DataFrame:
-    """``(window_start, n)`` per time window; rows later than ``late`` behind the newest are dropped (Spark counts them
-    in the query's progress as ``numRowsDroppedByWatermark``)."""
-    g = stream.withColumn(ts, F.col(ts).cast("timestamp")).withWatermark(ts, late).groupBy(F.window(ts, width).alias("w")).agg(F.count(F.lit(1)).alias("n"))
-    return g.select(F.col("w.start").alias("window_start"), "n")
+#: The name under which ``throughput`` counts the rows that it is given.
+OBSERVED = "throughput_rows"
+
+
+class RowsSeen(StreamingQueryListener):
+    """Counts the rows that ``throughput`` was given, query by query, over restarts; and the late ones as Spark reports
+    them, which are groups of rows where it has aggregated them before."""
+
+    def __init__(self) -> None:
+        self.seen: dict[str, int] = {}
+        self.late_groups: dict[str, int] = {}
+
+    def onQueryStarted(self, event) -> None:
+        pass
+
+    def onQueryIdle(self, event) -> None:
+        pass
+
+    def onQueryTerminated(self, event) -> None:
+        pass
+
+    def onQueryProgress(self, event) -> None:
+        self.add(event.progress)
+
+    def add(self, p) -> None:
+        """One progress report, of a running query or of ``recentProgress``."""
+        got = p.observedMetrics.get(OBSERVED)
+        if got is not None:
+            self.seen[str(p.id)] = self.seen.get(str(p.id), 0) + got["n"]
+        late = sum(s.numRowsDroppedByWatermark for s in p.stateOperators)
+        self.late_groups[str(p.id)] = self.late_groups.get(str(p.id), 0) + late
