@@ -1,3 +1,5 @@
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -99,3 +101,26 @@ def test_baseline_choice(spark):
     t, p = (spark.createDataFrame([(x,) for x in xs], "version string") for xs in (tags, ask))
     got = {r["version"]: r["baseline"] for r in joins.baseline_for(p, t).collect()}
     assert got == {"3.0.0-rc.2": "3.0.0-rc.1", "3.0.0-beta.10": "3.0.0-beta.2", "3.1.0-beta.1": "3.0.0", "3.0.0": "2.11.12", "2.10.0": "v2.9.0", "1.0.0": None, "3.0.1": "3.0.0"}
+
+
+@pytest.mark.parametrize("parts", [1, 13])
+def test_baselines_over_many_ranges(spark, parts):
+    rng = random.Random(parts)
+    names = [f"{rng.randint(0, 3)}.{rng.randint(0, 9)}.{rng.randint(0, 2)}" + rng.choice(["", "", f"-rc.{rng.randint(1, 9)}", f"-beta.{rng.randint(1, 9)}"]) for _ in range(300)]
+    tags = sorted(set(rng.sample(names, 120)))
+    versions = sorted(set(names))
+    p, t = (spark.createDataFrame([(v,) for v in x], "version string").repartition(7) for x in (versions, tags))
+    got = {r["version"]: r["baseline"] for r in joins.baseline_for(p, t, parts).collect()}
+
+    def key(v):
+        core, _, rest = v.partition("-")
+        kind, _, n = rest.partition(".")
+        return (*map(int, core.split(".")), not rest, kind, int(n or 0))
+
+    def want(v):
+        k = key(v)
+        stable = max((x for x in tags if key(x)[3] and key(x) < k), key=key, default=None)
+        pre = max((x for x in tags if not key(x)[3] and key(x)[:3] == k[:3] and key(x) < k), key=key, default=None)
+        return stable if k[3] else pre or stable
+
+    assert got == {v: want(v) for v in versions}

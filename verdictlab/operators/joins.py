@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from verdictlab.functions.scalars import pseudonym, version_key
+from verdictlab.operators.offsets import with_last_before
 
 
 def one_per_id(df: DataFrame, id_: str = "comment_id", order: str = "meta_id") -> DataFrame:
@@ -91,19 +92,20 @@ def missing_ids(a: DataFrame, b: DataFrame) -> DataFrame:
     return a.select("id").exceptAll(b.select("id"))
 
 
-def baseline_for(prepared: DataFrame, tags: DataFrame) -> DataFrame:
+def baseline_for(prepared: DataFrame, tags: DataFrame, partitions: int | None = None) -> DataFrame:
     """``(version, baseline)``: for a prerelease the highest lower prerelease of the same core, else the highest lower
     stable version; for a stable one the highest lower stable version. Null where there is none.
 
-    All versions are sorted once and the last fitting tag before each is carried forward: no pairs are made. Releases
-    of a product are one list by nature, so the window is over that list alone."""
-    core = ["k.major", "k.minor", "k.patch"]
+    All versions are sorted once, in ranges side by side, and the last stable and the last prerelease tag before each are
+    carried forward: no pairs are made, and no task has all versions. The last prerelease counts where its core is the
+    version's own, for then it is the highest of that core."""
+    core = lambda k: F.struct(*[k[c] for c in ("major", "minor", "patch")])
     t = tags.select(F.col("version").alias("tag"), version_key(F.col("version")).alias("k")).filter("k is not null").dropDuplicates(["k"])
     p = prepared.select("version", version_key(F.col("version")).alias("k")).filter("k is not null")
-    rows = p.select("version", F.lit(None).cast("string").alias("tag"), "k", F.lit(0).alias("is_tag")).unionByName(t.select(F.lit(None).cast("string").alias("version"), "tag", "k", F.lit(1).alias("is_tag")))
     # equal versions: the tag itself isn't lower, so it comes after
-    before = lambda w: w.orderBy("k", "is_tag").rowsBetween(Window.unboundedPreceding, -1)
-    stable = F.last(F.when((F.col("is_tag") == 1) & F.col("k.stable"), F.col("tag")), ignorenulls=True).over(before(Window.partitionBy(F.lit(1))))
-    pre = F.last(F.when((F.col("is_tag") == 1) & ~F.col("k.stable"), F.col("tag")), ignorenulls=True).over(before(Window.partitionBy(*core)))
-    found = rows.select("version", "k", F.when(F.col("k.stable"), stable).otherwise(F.coalesce(pre, stable)).alias("baseline"))
-    return found.filter("version is not null").select("version", "baseline")
+    rows = p.select("version", F.lit(None).cast("string").alias("tag"), "k", F.lit(0).alias("is_tag")).unionByName(t.select(F.lit(None).cast("string").alias("version"), "tag", "k", F.lit(1).alias("is_tag")))
+    k = F.col("k")
+    last = with_last_before(rows, ["k", "is_tag"], {"stable": F.when(k["stable"], F.col("tag")), "pre": F.when(~k["stable"] & F.col("tag").isNotNull(), F.struct(core(k).alias("core"), "tag"))}, partitions)
+    pre = F.when(F.col("pre")["core"] == core(k), F.col("pre")["tag"])
+    found = last.select("version", F.when(k["stable"], F.col("stable")).otherwise(F.coalesce(pre, "stable")).alias("baseline"))
+    return found.filter("version is not null")
