@@ -104,9 +104,9 @@ def row_crc(*columns: str) -> Column:
     return F.crc32(F.encode(F.concat_ws("\x1f", *(F.col(c).cast("string") for c in columns)), "UTF-8"))
 
 
-def row_hash(*columns: str) -> Column:
+def row_hash(*columns: str | Column) -> Column:
     """The first 60 bits of the MD5 of the columns joined by the unit separator, as a long."""
-    md5 = F.md5(F.encode(F.concat_ws("\x1f", *(F.col(c).cast("string") for c in columns)), "UTF-8"))
+    md5 = F.md5(F.encode(F.concat_ws("\x1f", *((c if isinstance(c, Column) else F.col(c)).cast("string") for c in columns)), "UTF-8"))
     return F.conv(F.substring(md5, 1, 15), 16, 10).cast("long")
 
 
@@ -161,6 +161,16 @@ def rule_hits(df: DataFrame) -> DataFrame:
     return df.select("id", F.explode_outer(F.split("reason", ",")).alias("rule"))
 
 
+def b64(c: Column) -> Column:
+    """Base64 of a text's UTF-8 bytes in one line (a line of fields can't hold breaks); null as empty."""
+    return F.regexp_replace(F.base64(F.encode(F.coalesce(c, F.lit("")), "UTF-8")), "[\r\n]", "")
+
+
+def unb64(c: Column) -> Column:
+    """The text back; null, and what isn't base64, is empty."""
+    return F.coalesce(F.decode(F.try_to_binary(c, F.lit("base64")), "UTF-8"), F.lit(""))
+
+
 def hard_fp(*columns: str) -> Column:
     """SHA-256 over the conditions that must be equal for two passes to be comparable."""
     return F.sha2(F.concat_ws("|", *(F.col(c).cast("string") for c in columns)), 256)

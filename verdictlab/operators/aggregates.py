@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, Observation, Window, functions as F
 
 from verdictlab.functions.scalars import is_spam, row_crc, row_hash
 from verdictlab.operators.offsets import with_row_number, with_running_sum
@@ -16,6 +18,24 @@ def corpus_fingerprint(df: DataFrame, columns: tuple[str, ...], crc: bool = Fals
     return a.select(F.md5(F.concat_ws(":", *(F.col(c).cast("string") for c in "nsx"))).alias("fingerprint"))
 
 
+def _verdict_hash() -> Column:
+    """A null reason is told from an empty one."""
+    return row_hash(F.col("id"), F.col("status"), F.coalesce(F.concat(F.lit("="), "reason"), F.lit("-")))
+
+
+def digest_parts(verdicts: DataFrame, by: str, *more: Column) -> DataFrame:
+    """``(by, rows, s, x, more)``: count, sum and xor of the row hashes by a column. Parts fold to the digest of the whole
+    (``folded_digest``), whatever the cut."""
+    h = verdicts.withColumn("__h", _verdict_hash())
+    return h.groupBy(by).agg(F.count(F.lit(1)).alias("rows"), F.sum(F.col("__h").cast("decimal(38,0)")).alias("s"), F.bit_xor("__h").alias("x"), *more)
+
+
+def folded_digest(parts: DataFrame) -> DataFrame:
+    """One row ``(fingerprint)``: that of ``content_digest`` of all rows that the parts stand for."""
+    a = parts.agg(F.coalesce(F.sum("rows"), F.lit(0)).alias("n"), F.coalesce(F.sum("s"), F.lit(0)).alias("s"), F.coalesce(F.bit_xor("x"), F.lit(0)).alias("x"))
+    return a.select(F.md5(F.concat_ws(":", *(F.col(c).cast("string") for c in "nsx"))).alias("fingerprint"))
+
+
 def content_digest(verdicts: DataFrame) -> DataFrame:
     """The fingerprint of ``(id, status, reason)``: equal for two passes that gave equal verdicts. A null reason is
     told from an empty one."""
@@ -81,6 +101,17 @@ def run_counters(corpus: DataFrame, verdicts: DataFrame, seconds: float | None =
     return a if seconds is None else a.withColumn("per_minute", F.round(F.col("processed") * 60 / F.lit(seconds), 1))
 
 
+def counted_run(corpus: DataFrame, classify: Callable[[DataFrame], DataFrame], put: Callable[[DataFrame], None]) -> dict[str, int]:
+    """Classify and write, and count on the way: ``seen`` comments, ``processed`` ones with a verdict, ``skipped`` ones
+    (rejected at the door) and ``spam``. The counts are observed by the write itself, so the corpus is read once.
+    ``classify`` has to give a row for each comment that it doesn't reject, without an aggregation between."""
+    before, after = Observation(), Observation()
+    verdicts = classify(corpus.observe(before, F.count(F.lit(1)).alias("seen")))
+    put(verdicts.observe(after, F.count(F.lit(1)).alias("processed"), F.count_if(is_spam(F.col("status"))).alias("spam")))
+    seen, rest = before.get["seen"], after.get
+    return {"seen": seen, "processed": rest["processed"], "skipped": seen - rest["processed"], "spam": rest["spam"]}
+
+
 def row_count(df: DataFrame) -> DataFrame:
     return df.agg(F.count(F.lit(1)).alias("n"))
 

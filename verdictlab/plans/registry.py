@@ -12,7 +12,7 @@ from verdictlab.operators import aggregates as ag, clusters as cl, diff as df_,
 from verdictlab.plans import views
 from verdictlab.plans.views import sql, table
 from verdictlab.streaming import incremental as inc
-from verdictlab.sources import catalog as cat, corpus as src, snapshot as snap
+from verdictlab.sources import catalog as cat, corpus as src, passes, snapshot as snap
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -138,6 +138,14 @@ def s10(s, d):
     return src.register_pass(p.filter("comment_count < 4"), p.filter("comment_count >= 4"))
 
 
+@query("s10_upsert_passes", sql(LATEST, PASSES))
+def s10_upsert(s, d):
+    p, path = _passes(s, d).withColumn("created_at", F.col("created_at").cast("timestamp_ntz")), _folder(s)
+    for k in (2, 0, 1):
+        passes.upsert_passes(s, path, p.filter(F.col("comment_count") % 3 == k))
+    return passes.read_passes(s, path).withColumn("created_at", F.col("created_at").cast(_passes(s, d).schema["created_at"].dataType))
+
+
 @query("s11_write_shards", sql("SELECT comment_id, CASE WHEN e = '' THEN 'c:' || comment_id ELSE 'e:' || e END AS cluster FROM (SELECT comment_id, lower(trim(author_email)) AS e FROM corpus)"))
 def s11(s, d):
     path = _folder(s)
@@ -182,6 +190,14 @@ def s14(s, d):
     return j.select(F.to_json("j").alias("json"))
 
 
+@query("s14_stats_with_origins", sql("SELECT '{\"counts\":{\"old_total\":' || old_total || ',\"new_total\":' || new_total || ',\"compared\":' || compared || ',\"only_in_old\":' || only_in_old || ',\"only_in_new\":' || only_in_new || ',\"spam_flips\":' || spam_flips || ',\"reason_diffs\":' || reason_diffs || '},\"flip_origins\":[' || coalesce((SELECT string_agg('{\"origin\":\"' || origin || '\",\"direction\":\"' || direction || '\",\"n\":' || n || '}', ',' ORDER BY origin, direction) FROM o), '') || ']}' AS json FROM totals",
+    TOTALS.format(a="verdicts_old", b="verdicts_new"), J, f"o AS (SELECT coalesce(r.reason, 'unflagged') AS origin, CASE WHEN new_status = 'spam' THEN '=> spam' ELSE '=> not spam' END AS direction, count(*) AS n FROM j JOIN reasons r ON CAST(r.comment_id AS VARCHAR) = j.id WHERE {FLIPPED} GROUP BY ALL)"))
+def s14_origins(s, d):
+    j = df_.stats_json(_diff(s, d), joins.label_flips(df_.flips(_diff(s, d)), views.reasons(s, d)))
+    kind = "counts struct<old_total: long, new_total: long, compared: long, only_in_old: long, only_in_new: long, spam_flips: long, reason_diffs: long>, flip_origins array<struct<origin: string, direction: string, n: long>>"
+    return j.select(F.to_json(F.from_json("json", kind)).alias("json"))
+
+
 # --- scalar functions ------------------------------------------------------------------------------------------------
 
 KEYS = """keys AS (SELECT comment_id, 'i:' || lower(trim(author_ip)) AS key FROM corpus
@@ -242,7 +258,16 @@ def p9(s, d):
     return table(s, d, "customer").select(F.col("c_custkey").alias("corpus"), F.substring(sc.hmac_sha256(F.concat(F.lit("token:"), "c_custkey"), b"corpus-key"), 1, 8).alias("token"))
 
 
-@query("p10_row_crc")
+#: CRC-32 of a text's UTF-8 bytes, a byte at a time with a table of 256 remainders that SQL makes first.
+CRC_ROW = "concat_ws(chr(31), comment_id, content, author, author_email, author_url, author_ip, agent, type)"
+CRC32_BYTES = (
+    "(SELECT xor(4294967295, list_reduce(list_prepend(CAST(4294967295 AS BIGINT), list_transform(range(1, length(h) // 2 + 1), lambda i: CAST(('0x' || substr(h, CAST(2 * i - 1 AS INTEGER), 2)) AS BIGINT))),"
+    " lambda c, b: xor(c >> 8, t.r[(xor(c, b) & 255) + 1]))) FROM (SELECT hex(encode({0})) AS h), crc_table t)"
+)
+CRC_TABLE = "crc_table AS (SELECT list(list_reduce(list_prepend(n, range(CAST(8 AS BIGINT))), lambda x, k: CASE WHEN x % 2 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END) ORDER BY n) AS r FROM range(CAST(256 AS BIGINT)) AS q(n))"
+
+
+@query("p10_row_crc", sql(f"SELECT comment_id, {CRC32_BYTES.format(CRC_ROW)} AS crc FROM corpus", CRC_TABLE))
 def p10(s, d):
     return views.corpus(s, d).select("comment_id", sc.row_crc(*sc.COLUMNS).alias("crc"))
 
@@ -309,9 +334,8 @@ def p18(s, d):
 
 @query("p20_base64", sql("SELECT comment_id, base64(encode(content)) AS b, content AS back FROM corpus"))
 def p20(s, d):
-    b = views.corpus(s, d).select("comment_id", F.base64(F.encode("content", "UTF-8")).alias("b"))
-    b = b.withColumn("b", F.regexp_replace("b", "[\r\n]", ""))
-    return b.withColumn("back", F.decode(F.unbase64("b"), "UTF-8"))
+    b = views.corpus(s, d).select("comment_id", sc.b64(F.col("content")).alias("b"))
+    return b.withColumn("back", sc.unb64(F.col("b")))
 
 
 @query("p21_hard_fp", sql("SELECT path, sha256(concat_ws('|', schema, commit_sha, corpus_token, shard_mode)) AS fp FROM catalog"))
@@ -360,6 +384,14 @@ def j4(s, d):
     return joins.compared(_big(s, d))
 
 
+@query("j4_bucketed_diff", sql("SELECT * FROM j", JB))
+def j4_bucketed(s, d):
+    old, new = _folder(s), _folder(s)
+    snap.write_snapshot(views.big_old(s, d), old, {}, buckets=8)
+    snap.write_snapshot(views.big_new(s, d), new, {}, buckets=8)
+    return joins.compared(snap.diff_snapshots(s, old, new))
+
+
 @query("j5_only_in", sql("SELECT id, 'old' AS side FROM verdicts_old WHERE id NOT IN (SELECT id FROM big_new) UNION ALL SELECT id, 'new' FROM big_new WHERE id NOT IN (SELECT id FROM verdicts_old)"))
 def j5(s, d):
     a, b = views.verdicts_old(s, d), views.big_new(s, d)
@@ -476,6 +508,13 @@ def a6(s, d):
     return ag.content_digest(views.big_new(s, d))
 
 
+@query("a6_folded_digest", ORACLE["a6_content_digest"])
+def a6_folded(s, d):
+    path = _folder(s)
+    snap.write_snapshot(views.big_new(s, d), path, {})
+    return ag.folded_digest(snap.read_files(s, path))
+
+
 SIZES = "sizes AS (SELECT CAST(g AS INTEGER) AS shard, (SELECT count(*) FROM corpus WHERE comment_id % 12 = g AND comment_id % 12 < 9) AS rows FROM (SELECT unnest(range(12)) AS g))"
 
 
@@ -538,6 +577,13 @@ def a12(s, d):
     return ag.run_counters(views.corpus(s, d), views.verdicts_new(s, d), 120.0)
 
 
+@query("a12_observed_counters", sql("SELECT count(*) AS seen, count(v.id) AS processed, count(*) - count(v.id) AS skipped, count(*) FILTER (status = 'spam') AS spam FROM corpus c LEFT JOIN verdicts_new v ON v.id = CAST(c.comment_id AS VARCHAR)"))
+def a12_observed(s, d):
+    path = _folder(s)
+    got = ag.counted_run(views.corpus(s, d), lambda c: rules.classify(c, rules.new_rules()), lambda v: v.write.parquet(path))
+    return s.createDataFrame([got], "seen long, processed long, skipped long, spam long")
+
+
 @query("a13_reason_distribution", sql("SELECT reason, n, round(n * 100.0 / sum(n) OVER (), 4) AS share FROM (SELECT reason, count(*) AS n FROM big_new GROUP BY reason)"))
 def a13(s, d):
     return ag.reason_distribution(views.big_new(s, d))
@@ -640,6 +686,21 @@ def w9_more(s, d):
     return df_.more_flips(df_.flips(_big(s, d)), 50)
 
 
+@query("w10_bytewise_order", sql("SELECT count(*) AS rows, min(id) AS least, max(id) AS greatest, true AS rising FROM big_new"))
+def w10(s, d):
+    path = _folder(s)
+    snap.write_snapshot(views.big_new(s, d), path, {})
+    return snap.bytewise(snap.read_files(s, path)).select("rows", "least", "greatest", "rising")
+
+
+@query("w10_lookup", sql("SELECT * FROM big_new WHERE id IN (SELECT CAST(max(l_orderkey) AS VARCHAR) FROM lineitem) OR id IN ('1', '7', '33')"))
+def w10_lookup(s, d):
+    path = _folder(s)
+    snap.write_snapshot(views.big_new(s, d), path, {})
+    last = table(s, d, "lineitem").agg(F.max("l_orderkey")).first()[0]
+    return snap.lookup(s, path, ["1", "7", "33", str(last)])
+
+
 @query("w11_systematic_sample", sql(CORPUS8 + " WHERE comment_id % 10 = 0"))
 def w11(s, d):
     return sa.systematic_sample(views.corpus(s, d), 10).select(*sc.COLUMNS)

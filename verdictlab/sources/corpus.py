@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F, types as T
 
-from verdictlab.functions.scalars import COLUMNS
+from verdictlab.functions.scalars import COLUMNS, b64, unb64
 from verdictlab.operators.joins import load_verdicts
 from verdictlab.sources import snapshot
 
@@ -68,16 +68,14 @@ def write_reduced(corpus: DataFrame, meta: DataFrame, chosen: DataFrame, path: s
 
 def write_sample_tsv(df: DataFrame, path: str) -> None:
     """``comment_id, is_ham, type, reason`` and base64 of content, URL and agent, separated by tabs."""
-    # base64 breaks its lines, which a line of fields can't hold
-    b64 = lambda c: F.regexp_replace(F.base64(F.encode(F.coalesce(F.col(c), F.lit("")), "UTF-8")), "[\r\n]", "")
-    line = F.concat_ws("\t", F.col("comment_id").cast("string"), F.col("is_ham").cast("int").cast("string"), "type", F.coalesce("reason", F.lit("")), b64("content"), b64("author_url"), b64("agent"))
+    line = F.concat_ws("\t", F.col("comment_id").cast("string"), F.col("is_ham").cast("int").cast("string"), "type", F.coalesce("reason", F.lit("")), b64(F.col("content")), b64(F.col("author_url")), b64(F.col("agent")))
     df.select(line.alias("value")).write.mode("overwrite").text(path)
 
 
 def read_sample_tsv(spark: SparkSession, path: str) -> DataFrame:
     """The sample back; blank lines and lines of fewer than seven fields are skipped, bad base64 is empty."""
     f = F.split("value", "\t", -1)
-    text = lambda i: F.coalesce(F.decode(F.try_to_binary(F.get(f, F.lit(i)), F.lit("base64")), "UTF-8"), F.lit(""))
+    text = lambda i: unb64(F.get(f, F.lit(i)))
     rows = spark.read.text(path).filter((F.trim("value") != "") & (F.size(f) >= 7))
     return rows.select(
         F.get(f, F.lit(0)).cast("long").alias("comment_id"), (F.get(f, F.lit(1)) == "1").alias("is_ham"), F.get(f, F.lit(2)).alias("type"),
