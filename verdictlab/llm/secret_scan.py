@@ -108,7 +108,8 @@ def samples(docs: DataFrame, text: str = "text", key: str = "doc_id", max_docs:
     n = docs.count()
     draw = F.shiftrightunsigned(F.xxhash64(F.col(key), F.lit(23)), 11) / F.lit(float(1 << 53))
     few = docs.filter(F.col(text).isNotNull() & (draw < min(1.0, max_docs / max(n, 1)))).select(F.col(key).cast("string").alias("k"), F.col(text).alias("t"))
-    few = materialise(few)
+    # the words of few documents are many tokens: all cores shall make them
+    few = materialise(few.repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions", "200")), "k"))
     few = few.withColumn("words", F.regexp_extract_all("t", F.lit(r"(?<![0-9A-Za-z])[A-Za-z]{2,}(?![0-9A-Za-z=])"), F.lit(0)))
     hashed = F.unhex(F.sha2("k", 256))
     made = F.array(
@@ -132,16 +133,18 @@ def train(labelled: DataFrame, smooth: float = 0.5, long: int = 16) -> Model:
     what one in a thousand ordinary and 99 of a hundred random tokens of ``long`` characters or more score. Only the
     counts of character pairs, a table of bounded size, and the two scores reach the driver."""
     k = len(ALPHABET)
+    # equal tokens are counted once, and then stand for as many
+    labelled = materialise(labelled.groupBy("random", "token").agg(F.count(F.lit(1)).alias("times")))
     at = _indexes(F.col("token"))
     pairs = F.zip_with(F.slice(at, 1, F.size(at) - 1), F.slice(at, 2, F.size(at) - 1), lambda a, b: F.struct(a.alias("a"), b.alias("b")))
-    got = labelled.select("random", F.explode(pairs).alias("p")).filter("p.a > 0 and p.b > 0").groupBy("random", "p.a", "p.b").agg(F.count(F.lit(1)).alias("n")).collect()
+    got = labelled.select("random", "times", F.explode(pairs).alias("p")).filter("p.a > 0 and p.b > 0").groupBy("random", "p.a", "p.b").agg(F.sum("times").alias("n")).collect()
     n = {(r["random"], r["a"], r["b"]): r["n"] for r in got}
     ratios = []
     for a in range(1, k + 1):
         total = {z: sum(n.get((z, a, b), 0) for b in range(1, k + 1)) + smooth * k for z in (True, False)}
         ratios += [log((n.get((True, a, b), 0) + smooth) / total[True]) - log((n.get((False, a, b), 0) + smooth) / total[False]) for b in range(1, k + 1)]
-    scored = labelled.filter(F.length("token") >= long).select("random", score(F.col("token"), ratios).alias("s"))
-    at = {r["random"]: r["at"] for r in scored.groupBy("random").agg(F.percentile_approx("s", [0.01, 0.999], 1000).alias("at")).collect()}
+    scored = labelled.filter(F.length("token") >= long).select("random", "times", F.round(score(F.col("token"), ratios), 4).alias("s"))
+    at = {r["random"]: r["at"] for r in scored.groupBy("random").agg(F.percentile("s", F.array(F.lit(0.01), F.lit(0.999)), F.col("times")).alias("at")).collect()}
     low, high = at.get(False, [0.0, 0.0])[1], at.get(True, [0.0, 0.0])[0]
     return Model(ratios, max(0.0, (low + high) / 2))
 
