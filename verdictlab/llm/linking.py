@@ -5,13 +5,20 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from verdictlab.functions.shared import materialise
+from verdictlab.llm.text import list_array
 from verdictlab.operators.components import connected_components
 
 #: Rounds in which the members of a bucket that are unlike its leaders so far get a new leader.
 ROUNDS = 2
+#: Members of a bucket up to which all are compared with each other.
+SMALL = 32
+#: Cells in which tokens are counted.
+CELLS = 1 << 20
 #: Members of a block: what one task of the exact finish pairs with the other members of a token.
 BLOCK = 2000
 
@@ -25,9 +32,10 @@ def classes(signatures: DataFrame, prepare: Callable[[DataFrame], tuple[Callable
     ``(id, toks array<bigint>)`` of some of the ids: sets whose Jaccard similarity is no less than ``s``. ``1 - s`` is
     a metric.
 
-    In each bucket of equal keys the members are compared with one leader, the member that meets most others over all
+    The members of a bucket of up to ``SMALL`` are all compared with each other. In a larger one they are compared with
+    one leader, the member that meets most others over all
     buckets (an original meets its copies more often than they meet each other). So pairs grow with the members, not
-    with their square, and a bucket is never gathered: sizes, leaders and links are aggregates and equi-joins. Members
+    with their square, and no larger bucket is gathered: sizes, leaders and links are aggregates and equi-joins. Members
     that are unlike their leader get a new one among themselves, in up to ``rounds`` rounds. The classes are the
     connected components of all links. What could still be missing is finished exactly (``_finish``): pairs of members
     unlike all leaders; and pairs of a member like a leader with one unlike it. By the triangle inequality the latter
@@ -39,32 +47,34 @@ def classes(signatures: DataFrame, prepare: Callable[[DataFrame], tuple[Callable
     # the keys are written first: a hot one is then split by AQE in the join, which feeds a write only
     n = e.groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).filter("lo <> hi").select("key")
     m = materialise(e.join(materialise(n), "key").distinct())
-    scored = done = score = tokens = None
+    if m.isEmpty():
+        return spark.createDataFrame([], "id bigint, class bigint")
+    score, tokens = prepare(materialise(m.select("id").distinct()))
+    sizes = materialise(m.groupBy("key").agg(F.count(F.lit(1)).alias("n")))
+    pairs = _all_pairs(m.join(sizes.filter(F.col("n") <= SMALL), "key"))
+    m = materialise(m.join(sizes.filter(F.col("n") > SMALL), "key").select("id", "key"))
+    scored = done = None
     like, near = [], []
-    for _ in range(rounds):
-        if m.isEmpty():
+    for k in range(rounds):
+        if k and m.isEmpty():
             break
-        if score is None:
-            score, tokens = prepare(materialise(m.select("id").distinct()))
         n = m.groupBy("key").agg(F.count(F.lit(1)).alias("n"))
         central = m.join(n, "key").groupBy("id").agg(F.sum("n").alias("weight"))
         lead = m.join(central, "id").groupBy("key").agg(F.max(F.struct("weight", (-F.col("id")).alias("neg"))).alias("x"))
-        met = materialise(m.join(lead.select("key", (-F.col("x.neg")).alias("leader")), "key").filter("id <> leader"))
-        pairs = met.select(F.col("id").alias("a"), F.col("leader").alias("b")).distinct()
-        if done is not None:
-            pairs = pairs.join(done, ["a", "b"], "left_anti")
+        met = m.join(lead.select("key", (-F.col("x.neg")).alias("leader")), "key").filter("id <> leader")
+        met = materialise(met.withColumn("a", F.least("id", "leader")).withColumn("b", F.greatest("id", "leader")))
+        own = met.select("a", "b").distinct()
+        pairs = own.unionByName(pairs).distinct() if done is None else own.join(done, ["a", "b"], "left_anti")
         pairs = materialise(pairs)
         new = materialise(score(pairs).select("a", "b", "s"))
         scored = new if scored is None else scored.unionByName(new)
         done = pairs if done is None else done.unionByName(pairs)
-        judged = materialise(met.join(scored.select(F.col("a").alias("id"), F.col("b").alias("leader"), "s"), ["id", "leader"], "left"))
+        judged = materialise(met.join(scored, ["a", "b"], "left").drop("a", "b"))
         like.append(judged.filter(F.col("s") >= similar).select("key", "id", "leader", "s"))
         near.append(judged.filter(F.col("s") < similar).select("key", "id", "leader", "s"))
         unlike = judged.filter(F.col("s").isNull() | (F.col("s") < similar)).select("id", "key")
         two = unlike.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("key")
         m = materialise(unlike.join(two, "key").select("id", "key"))
-    if scored is None:
-        return spark.createDataFrame([], "id bigint, class bigint")
     links = scored.filter(F.col("s") >= similar).select("a", "b")
     found = materialise(connected_components(links))
     open_ = _open(m, reduce(DataFrame.unionByName, like), reduce(DataFrame.unionByName, near), found, 1 - similar)
@@ -72,6 +82,13 @@ def classes(signatures: DataFrame, prepare: Callable[[DataFrame], tuple[Callable
     return found.select(F.col("node").alias("id"), F.col("component").alias("class"))
 
 
+def _all_pairs(m: DataFrame) -> DataFrame:
+    """``(a, b)``, a < b, of all members ``(id, key)`` of each bucket; the buckets are small. Equal buckets are one."""
+    ids = m.groupBy("key").agg(F.array_sort(F.collect_list("id")).alias("ids")).select("ids").distinct()
+    of = F.transform("ids", lambda x, i: F.transform(F.slice("ids", i + 2, F.size("ids")), lambda y: F.struct(x.alias("a"), y.alias("b"))))
+    return ids.select(F.explode(F.flatten(of)).alias("p")).select("p.a", "p.b").distinct()
+
+
 def _open(left: DataFrame, like: DataFrame, near: DataFrame, found: DataFrame, apart: float) -> DataFrame:
     """``(id, c)`` of all that may have a similar partner of another class ``c``: members of a bucket that no leader is
     like (``left``), and members ``near`` a leader of another class with those that are ``like`` it in that bucket, if
@@ -99,29 +116,43 @@ def _named(ids: DataFrame, found: DataFrame) -> DataFrame:
 def _finish(open_: DataFrame, found: DataFrame, verify: Callable, tokens: Callable, similar: float) -> DataFrame:
     """The classes ``(node, component)`` ``found``, and of all links between the members of ``open_(id, c)``. An exact
     prefix-filtered join: tokens are ordered by rarity, and sets of a Jaccard similarity of ``similar`` share one of
-    their first ``n - ceil(similar * n) + 1`` tokens. Only pairs of different classes are made; the members of a token
-    are paired in blocks, so a common token is no single task."""
+    their first ``n - ceil(similar * n) + 1`` tokens. Any order of tokens will do, so rarity is counted in ``CELLS`` cells
+    of their hash, which are broadcast; a token that is alone in its cell is in one set only and isn't sent. Only
+    pairs of different classes are made; the members of a token are paired in blocks, so a common token is no single
+    task."""
     ids = materialise(open_)
     if ids.isEmpty():
         return found
-    e = materialise(tokens(ids.select("id")).select("id", F.size("toks").alias("size"), F.explode("toks").alias("tok")))
-    rarity = e.groupBy("tok").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    # tokens of one set only come first in the order, and can't be shared
-    x = e.join(rarity, "tok").groupBy("id", "size").agg(F.array_sort(F.collect_list(F.struct("n", "tok"))).alias("x"))
-    least = lambda n: F.ceil(n - 1e-9)
-    prefix = (F.col("size") - least(similar * F.col("size")) + 1 - (F.col("size") - F.size("x"))).cast("int")
-    x = x.withColumn("alone", F.col("size") - F.size("x")).withColumn("x", F.slice("x", 1, F.greatest(prefix, F.lit(0))))
-    x = x.select("id", "size", "alone", F.posexplode("x").alias("pos", "x")).select(
-        "id", F.col("x.tok").alias("tok"), "size", (F.col("size") - F.col("alone") - F.col("pos")).alias("left")
-    )
+    spark = ids.sparkSession
+    sets = materialise(tokens(ids.select("id").distinct()).select("id", "toks"))
+    count = np.zeros(CELLS, np.int32)
+    cells = sets.select(F.explode("toks").alias("tok")).groupBy(F.pmod("tok", F.lit(CELLS)).cast("int").alias("cell")).agg(F.count(F.lit(1)).alias("n")).toArrow()
+    count[cells["cell"].to_numpy()] = np.minimum(cells["n"].to_numpy(), np.iinfo(np.int32).max)
+    shared = spark.sparkContext.broadcast(count)
+
+    @F.arrow_udf("array<struct<tok: bigint, left: int>>")
+    def prefix(lists: pa.Array) -> pa.Array:
+        own = lists.flatten().to_numpy(zero_copy_only=False)
+        size = lists.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+        n, row = shared.value[own % CELLS], np.repeat(np.arange(len(size)), size)
+        order = np.lexsort((own, n, row))
+        own, n = own[order], n[order]
+        place = np.arange(len(own)) - np.repeat(np.cumsum(size) - size, size)
+        total = np.repeat(size, size)
+        keep = (n > 1) & (place < total - np.ceil(similar * total - 1e-9) + 1)
+        made = pa.StructArray.from_arrays([pa.array(own[keep].astype(np.int64)), pa.array((total - place)[keep].astype(np.int32))], names=["tok", "left"])
+        return list_array(made, np.bincount(row[keep], minlength=len(size)))
+
+    x = sets.select("id", F.size("toks").alias("size"), F.explode(prefix.asNondeterministic()("toks")).alias("p")).select("id", "size", "p.tok", "p.left")
     x = materialise(x.join(ids, "id"))
     both = x.groupBy("tok").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.ceil(F.count(F.lit(1)) / F.lit(BLOCK)).cast("int").alias("blocks"))
     x = x.join(both.filter("lo <> hi").select("tok", "blocks"), "tok")
     one = x.withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
     two = x.select("tok", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), *[F.col(c).alias(f"{c}_b") for c in ("id", "size", "left", "c")])
-    need = least(similar / (1 + similar) * (F.col("size") + F.col("size_b")))
+    need = F.ceil(similar / (1 + similar) * (F.col("size") + F.col("size_b")) - 1e-9)
     pairs = one.join(two, ["tok", "block"]).filter((F.col("id") < F.col("id_b")) & (F.col("c") != F.col("c_b")) & (F.least("left", "left_b") >= need))
     more = materialise(verify(materialise(pairs.select(F.col("id").alias("a"), F.col("id_b").alias("b")).distinct())).select("a", "b"))
+    shared.destroy()
     if more.isEmpty():
         return found
     return connected_components(more.unionByName(found.select(F.col("node").alias("a"), F.col("component").alias("b"))))
