@@ -252,6 +252,17 @@ def passages_hold(rows, got):
             assert len(norm(t[r["start"] : r["end"]])) == r["n_words"]
 
 
+@pytest.mark.parametrize("letters", [12, 60, 700])
+def test_a_passage_of_long_words_is_covered_whole(spark, letters):
+    rng = np.random.default_rng(letters)
+    word = lambda: "".join(rng.choice(list("abcdefgh"), letters))
+    passage = " ".join(word() for _ in range(60))
+    rows = [(i, f"{word()} {word()} {passage} {word()} {word()}") for i in range(3)]
+    got = sorted((r["doc_id"], r["start"], r["end"], r["n_words"], r["first_doc_id"]) for r in substring_dedup.repeated_spans(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    start = 2 * letters + 2
+    assert got == [(i, start, start + len(passage), 60, 0) for i in (1, 2)]
+
+
 def test_repeated_passages_hold_against_brute_force(spark):
     rng = random.Random(13)
     v = vocabulary(rng)

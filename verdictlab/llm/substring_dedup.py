@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
@@ -13,13 +15,14 @@ from verdictlab.llm.text import blocks, bounded_batches, code_point_ends, list_a
 SEED = 17
 #: Words of the passages that can't be missed: of any so many consecutive words, at least one seed is chosen.
 PASSAGE = 50
-#: Code points on either side of a run of seeds in which the run may be extended word by word.
-MARGIN = 600
+#: Code points on either side of a run of seeds that are read first; a run that isn't at its end there gets ``WIDER`` times
+#: as many, and so on.
+MARGIN, WIDER = 600, 8
 #: A digest with more than this part of all occurrences is hot; so at most 10,000 digests are.
 HOT = 1e-4
 
 UNITS = "array<struct<line: boolean, at: int, n: int, start: int, end: int, digest: bigint>>"
-RUNS = "array<struct<at: int, n: int, start: int, end: int, first_start: int>>"
+RUNS = "struct<open: boolean, runs: array<struct<at: int, n: int, start: int, end: int, first_start: int>>>"
 
 
 def _runs_of(h: np.ndarray, k: int) -> np.ndarray:
@@ -140,33 +143,38 @@ def _equal(a: np.ndarray, b: np.ndarray) -> int:
     return n
 
 
-def _extend(text: str, at: int, more: bool, first: str, first_at: int, first_more: bool, pairs: list[dict]) -> list[dict]:
+def _extend(text: str, at: int, more: bool, first: str, first_at: int, first_more: bool, pairs: list[dict]) -> dict:
     """The maximal runs of equal words around the seeds (``start`` in the text, ``first`` in the original) inside the
-    two pieces, which begin at code points ``at`` and ``first_at``; ``more`` tells that the text goes on behind."""
+    two pieces, which begin at code points ``at`` and ``first_at``; ``more`` tells that the text goes on behind. ``open``
+    tells that a run ends where a piece does, so that it may be longer."""
     a, b = _Slice(text, at), _Slice(first, first_at)
     a.high -= more
     b.high -= first_more
     x = np.searchsorted(a.start, [p["start"] for p in pairs])
     y = np.searchsorted(b.start, [p["first"] for p in pairs])
     base = np.array([p["at"] for p in pairs]) - x
-    out, until = [], -1
+    out, until, open_ = [], -1, False
     for k in np.lexsort((y, x)):
         i, j = int(x[k]), int(y[k])
         if i + SEED <= until:  # inside a run already
             continue
-        back = _equal(a.hash[a.low : i][::-1], b.hash[b.low : j][::-1]) if i >= a.low and j >= b.low else 0
+        if i < a.low or j < b.low or i + SEED > a.high or j + SEED > b.high:  # words longer than the margin
+            open_ = True
+            continue
+        back = _equal(a.hash[a.low : i][::-1], b.hash[b.low : j][::-1])
         ahead = _equal(a.hash[i : a.high], b.hash[j : b.high])
         if ahead < SEED:  # two seeds of one digest, but other words
             continue
         until = max(until, i + ahead)
+        open_ |= (i - back == a.low > 0) or (j - back == b.low > 0) or (more and i + ahead == a.high) or (first_more and j + ahead == b.high)
         out.append({"at": int(base[k]) + i - back, "n": back + ahead, "start": int(a.start[i - back]), "end": int(a.end[i + ahead - 1]), "first_start": int(b.start[j - back])})
-    return out
+    return {"open": open_, "runs": out}
 
 
 def _extended(texts: pa.Array, ats: pa.Array, mores: pa.Array, firsts: pa.Array, first_ats: pa.Array, first_mores: pa.Array, pairs: pa.Array) -> pa.Array:
     rows = zip(texts, ats, mores, firsts, first_ats, first_mores, pairs, strict=True)
     kind = pa.list_(pa.struct([(n, pa.int32()) for n in ("at", "n", "start", "end", "first_start")]))
-    return pa.array([_extend(*(x.as_py() for x in r)) for r in rows], kind)
+    return pa.array([_extend(*(x.as_py() for x in r)) for r in rows], pa.struct([("open", pa.bool_()), ("runs", kind)]))
 
 
 def _firsts(e: DataFrame, rank: list[str]) -> DataFrame:
@@ -239,7 +247,8 @@ def repeated_spans(docs: DataFrame, text: str = "text", key: str = "doc_id", min
 
 def _passages(source: DataFrame, again: DataFrame) -> DataFrame:
     """Runs of equal words around the repeated seeds ``again``. Only pieces of the two texts travel: from ``MARGIN``
-    before the first of the seeds that a text shares with an original to ``MARGIN`` behind the last."""
+    before the first of the seeds that a text shares with an original to ``MARGIN`` behind the last. Where a run goes on to
+    the end of a piece, wider pieces are cut, until words differ or the texts end."""
     pairs = again.groupBy("id", "h", F.col("first.id").alias("fid"), F.col("first.h").alias("fh")).agg(
         F.min("start").alias("low"), F.max("end").alias("high"), F.min("first.start").alias("flow"),
         F.max(F.col("first.start") + F.col("end") - F.col("start")).alias("fhigh"),
@@ -247,17 +256,27 @@ def _passages(source: DataFrame, again: DataFrame) -> DataFrame:
     )
     one = source.join(again.select("id", "h").unionByName(again.select("first.id", "first.h")).distinct(), ["id", "h"], "left_semi")
     one = materialise(one.dropDuplicates(["id", "h"]))
+    extended = F.arrow_udf(_extended, RUNS).asNondeterministic()
+    of = pairs.columns
 
-    def piece(p: DataFrame, low: str, high: str, name: str) -> DataFrame:
-        at = F.greatest(F.col(low) - MARGIN, F.lit(0))
-        p = p.withColumn(f"{name}_at", at).withColumn(f"{name}_more", F.length("t") > F.col(high) + MARGIN)
-        return p.withColumn(name, F.substring("t", at + 1, F.col(high) + MARGIN - at)).drop("t", low, high)
+    def piece(p: DataFrame, margin: int, low: str, high: str, name: str) -> DataFrame:
+        at = F.greatest(F.col(low) - margin, F.lit(0))
+        p = p.withColumn(f"{name}_at", at).withColumn(f"{name}_more", F.length("t") > F.col(high) + margin)
+        return p.withColumn(name, F.substring("t", at + 1, F.col(high) + margin - at)).drop("t")
 
-    p = piece(pairs.join(one, ["id", "h"]), "low", "high", "a")
-    p = piece(p.join(one.select(F.col("id").alias("fid"), F.col("h").alias("fh"), "t"), ["fid", "fh"]), "flow", "fhigh", "b")
-    extended = F.arrow_udf(_extended, RUNS).asNondeterministic()
-    p = p.select("id", "h", "fid", extended("a", "a_at", "a_more", "b", "b_at", "b_more", "pairs").alias("runs"))
-    return p.select("id", "h", "fid", F.inline("runs")).select("id", "h", "at", "n", "start", "end", F.lit("passage").alias("kind"), F.col("fid").alias("first_id"), "first_start")
+    margin, done = MARGIN, []
+    while True:
+        p = piece(pairs.join(one, ["id", "h"]), margin, "low", "high", "a")
+        p = piece(p.join(one.select(F.col("id").alias("fid"), F.col("h").alias("fh"), "t"), ["fid", "fh"]), margin, "flow", "fhigh", "b")
+        p = p.withColumn("x", extended("a", "a_at", "a_more", "b", "b_at", "b_more", "pairs"))
+        p = materialise(p.select(*of[:-1], "x.open", F.when(~F.col("x.open"), F.col("x.runs")).alias("runs"), F.when(F.col("x.open"), F.col("pairs")).alias("pairs")))
+        done.append(p.filter("not open").select("id", "h", "fid", F.inline("runs")))
+        pairs = p.filter("open").select(*of)
+        if pairs.isEmpty():
+            break
+        margin = min(margin * WIDER, 1 << 30)
+    p = reduce(DataFrame.unionByName, done)
+    return p.select("id", "h", "at", "n", "start", "end", F.lit("passage").alias("kind"), F.col("fid").alias("first_id"), "first_start")
 
 
 def remove_spans(docs: DataFrame, spans: DataFrame, text: str = "text", key: str = "doc_id", out: str = "removed_spans") -> DataFrame:
