@@ -6,6 +6,8 @@ import random
 import re
 from collections import Counter
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -240,3 +242,20 @@ def test_url_model_learns(spark):
     test = spark.createDataFrame([(f"http://{h}{p}", v) for h, p, v in (make(i % 2) for i in range(60))], "url string, want string")
     got = url_filter.filter_urls(test, [], train).collect()
     assert sum(r["want"] == r["verdict"] for r in got) >= 57
+
+
+def test_urls_of_any_length_are_judged_whole(spark, monkeypatch):
+    rng = random.Random(5)
+    part = lambda n: "".join(rng.choice("abcdefghij/-") for _ in range(n))
+    paths = [part(3_000_000), part(700), "", "/a", *[part(rng.randrange(40)) for _ in range(50)]]
+    hosts = ["example.org", part(100_000), *[part(9) for _ in paths[2:]]]
+    weights = np.random.default_rng(1).normal(0, 3, url_filter.DIM + 1)
+    df = spark.createDataFrame([(i, h, p) for i, (h, p) in enumerate(zip(hosts, paths, strict=True))], "i long, host string, path string")
+    want = {r["i"]: r["p_block"] for r in url_filter.judge(df, weights).collect()}
+    cells, counts = url_filter._counts(pa.array(hosts), pa.array(paths))
+    for piece in (1 << 22, 1000, 37):
+        monkeypatch.setattr(url_filter, "PIECE", piece)
+        again = url_filter._counts(pa.array(hosts[1:]), pa.array(paths[1:]))
+        keep = cells >= url_filter.DIM
+        assert (again[0] == cells[keep] - url_filter.DIM).all() and (again[1] == counts[keep]).all()
+    assert all(0 <= p <= 1 for p in want.values()) and len(set(want.values())) > 40

@@ -8,11 +8,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from verdictlab.llm.text import blocks, byte_table, mix
+from verdictlab.llm.text import blocks, bounded_batches, byte_table, mix
 
 BITS = 12
 DIM = 1 << BITS
 GRAMS = (3, 4, 5)
+#: Bytes whose n-grams are made at once.
+PIECE = 1 << 18
 _TABLE = byte_table(b"", lower=True)
 
 
@@ -51,36 +53,41 @@ def with_rules(urls: DataFrame, rules: list[Rule], url: str = "url") -> DataFram
     return d.withColumn("rule", fits).withColumn("rule_verdict", verdict)
 
 
-def _grams(data: np.ndarray, offs: np.ndarray, salt: int) -> tuple[np.ndarray, np.ndarray]:
-    """``(document, feature)`` of the n-grams of each text; n-grams don't cross texts."""
+def _grams(data: np.ndarray, offs: np.ndarray, salt: int, most: int) -> np.ndarray:
+    """``document * DIM + feature`` of the n-grams of each text that begin before ``most``; n-grams don't cross texts."""
     c = _TABLE[data].astype(np.uint64) + np.uint64(1)
     doc = np.repeat(np.arange(len(offs) - 1), np.diff(offs))
-    docs, found = [], []
+    found = []
     h = c.copy()
     for n in range(2, max(GRAMS) + 1):
         if len(h) < 2:
             break
         h = h[:-1] * np.uint64(257) + c[n - 1 :]
         if n in GRAMS:
-            whole = doc[: len(h)] == doc[n - 1 :]
-            docs.append(doc[: len(h)][whole])
-            found.append((mix(h[whole] + np.uint64(salt * 1000 + n)) & np.uint64(DIM - 1)).astype(np.int64))
-    return (np.concatenate(docs), np.concatenate(found)) if docs else (np.zeros(0, np.int64), np.zeros(0, np.int64))
-
-
-def _matrix_terms(hosts: pa.Array, paths: pa.Array):
-    """For each block of rows: ``(first row, rows, document, feature)`` of host and path together."""
-    if isinstance(hosts, pa.ChunkedArray):
-        hosts, paths = hosts.combine_chunks(), paths.combine_chunks()
-    for i in range(0, len(hosts), 4096):
-        n = min(4096, len(hosts) - i)
-        docs, found = [], []
-        for salt, col in ((1, hosts), (2, paths)):
-            for first, data, offs in blocks(col.slice(i, n)):
-                d, f = _grams(data, offs, salt)
-                docs.append(d + first)
-                found.append(f)
-        yield i, n, np.concatenate(docs), np.concatenate(found)
+            k = min(len(h), most)
+            whole = doc[:k] == doc[n - 1 : n - 1 + k]
+            feature = (mix(h[:k][whole] + np.uint64(salt * 1000 + n)) & np.uint64(DIM - 1)).astype(np.int64)
+            found.append(doc[:k][whole] * DIM + feature)
+    return np.concatenate(found) if found else np.zeros(0, np.int64)
+
+
+def _counts(hosts: pa.Array, paths: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """``(row * DIM + feature, count)`` of host and path together. Texts are read in blocks and a long one in pieces, each
+    of which leaves its counts."""
+    cells, counts = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for salt, col in ((1, hosts), (2, paths)):
+        for first, data, offs in blocks(col, PIECE):
+            if len(offs) == 2:  # a single text, of any length
+                pieces = [data[p : p + PIECE + max(GRAMS) - 1] for p in range(0, len(data), PIECE)]
+                parts = (_grams(x, np.array([0, len(x)]), salt, PIECE) for x in pieces)
+            else:
+                parts = [_grams(data, offs, salt, len(data))]
+            for found in parts:
+                cell, count = np.unique(found, return_counts=True)
+                cells.append(cell + first * DIM)
+                counts.append(count)
+    cell, back = np.unique(np.concatenate(cells), return_inverse=True)
+    return cell, np.bincount(back, np.concatenate(counts), len(cell))
 
 
 def fit(labelled: DataFrame, max_urls: int = 2000, rounds: int = 300, rate: float = 1.0, ridge: float = 1e-4) -> np.ndarray:
@@ -99,8 +106,7 @@ def fit(labelled: DataFrame, max_urls: int = 2000, rounds: int = 300, rate: floa
         w[-1] = 1.0 if len(y) and y[0] else -1.0
         return w
     # counts of n-grams as (URL, feature, part of the URL's unit vector): few of the features occur in a URL
-    terms = [(d + i) * DIM + f for i, _, d, f in _matrix_terms(pa.array([r["host"] for r in got]), pa.array([r["path"] for r in got]))]
-    cell, count = np.unique(np.concatenate(terms), return_counts=True)
+    cell, count = _counts(pa.array([r["host"] for r in got]), pa.array([r["path"] for r in got]))
     row, feature = cell // DIM, cell % DIM
     part = count / np.sqrt(np.bincount(row, count.astype(float) ** 2, len(got)))[row]
     speed = np.zeros(DIM + 1)
@@ -115,19 +121,17 @@ def fit(labelled: DataFrame, max_urls: int = 2000, rounds: int = 300, rate: floa
 
 def judge(urls: DataFrame, weights: np.ndarray, out: str = "p_block") -> DataFrame:
     """``urls`` (with ``host`` and ``path``) with the probability that the URL is to be blocked."""
+    bounded_batches(urls.sparkSession)
     shared = urls.sparkSession.sparkContext.broadcast(weights)
 
     @F.arrow_udf("double")
     def score(hosts: pa.Array, paths: pa.Array) -> pa.Array:
-        w, out = shared.value, []
-        for _, n, d, f in _matrix_terms(hosts, paths):
-            # counts of equal features of a row together, for the length of its vector
-            key, count = np.unique(d * DIM + f, return_counts=True)
-            row, feature = key // DIM, key % DIM
-            length = np.sqrt(np.bincount(row, count.astype(float) ** 2, n))
-            z = np.bincount(row, w[feature] * count, n) / np.maximum(length, 1e-9) + w[-1]
-            out.append(1 / (1 + np.exp(-z)))
-        return pa.array(np.concatenate(out) if out else [], pa.float64())
+        w, n = shared.value, len(hosts)
+        cell, count = _counts(hosts, paths)
+        row, feature = cell // DIM, cell % DIM
+        length = np.sqrt(np.bincount(row, count**2, n))
+        z = np.bincount(row, w[feature] * count, n) / np.maximum(length, 1e-9) + w[-1]
+        return pa.array(1 / (1 + np.exp(-z)), pa.float64())
 
     return urls.withColumn(out, score.asNondeterministic()(F.col("host"), F.col("path")))
 
@@ -136,7 +140,8 @@ def filter_urls(urls: DataFrame, rules: list[Rule], labelled: DataFrame | None =
     """``urls`` with ``host``, ``path``, ``rule``, ``p_block`` and ``verdict``: the rule's where one fits, else
     ``block`` where the model's probability is over ``limit``. The model is trained from ``labelled(host, path,
     verdict)``, or from the URLs that rules decide. Columns of these names are replaced, others pass through; rows
-    are judged one by one, so repeated rows agree; an empty table stays empty."""
+    are judged one by one, so repeated rows agree; an empty table stays empty. A URL of any length is judged whole, piece by
+    piece."""
     d = with_rules(urls, rules, url)
     if labelled is None:
         labelled = d.filter(F.col("rule").isNotNull()).select("host", "path", F.col("rule_verdict").alias("verdict"))
