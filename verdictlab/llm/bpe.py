@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from verdictlab.llm.text import bounded_batches
 
 #: A worker keeps the ids of so many words, in so many bytes; beyond that it begins anew.
-CACHE_WORDS, CACHE_BYTES = 300_000, 1 << 25
+CACHE_WORDS, CACHE_BYTES = 200_000, 1 << 24
 
 #: Characters of a long text that are split into words at once.
 PIECE = 1 << 20
@@ -249,11 +249,11 @@ def decode(docs: DataFrame, merges: Merges, ids: str = "ids", out: str = "decode
     """``docs`` with the binary column ``out``: the bytes of the tokens, one after the other. Null has none; an id that is
     null or not in the vocabulary stands for no bytes."""
     bounded_batches(docs.sparkSession)
-    shared = docs.sparkSession.sparkContext.broadcast(merges)
+    shared = docs.sparkSession.sparkContext.broadcast([*merges.tokens, b""])
 
     @F.arrow_udf("binary")
     def decoded(lists: pa.Array) -> pa.Array:
-        tokens = [*shared.value.tokens, b""]
+        tokens = shared.value
         offs, values = _lists(lists)
         values = np.where((values >= 0) & (values < len(tokens)), values, len(tokens) - 1)
         texts = [b"".join(b"".join(map(tokens.__getitem__, values[p : min(p + PIECE, b)].tolist())) for p in range(a, b, PIECE)) for a, b in zip(offs[:-1], offs[1:], strict=True)]
