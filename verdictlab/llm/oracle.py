@@ -197,3 +197,25 @@ SELECT ids.conv_id, CAST(coalesce(gaps, 0) AS BIGINT) AS gaps, coalesce(blank, 0
   CAST(coalesce(w.c, 0) AS BIGINT) AS cost, coalesce(w.a, '') AS audit, sha256(coalesce(substr(w.t, 2), '')) AS repaired_sha256
 FROM ids LEFT JOIN counts c ON c.conv_id IS NOT DISTINCT FROM ids.conv_id LEFT JOIN best b ON b.conv_id IS NOT DISTINCT FROM ids.conv_id
 """
+
+
+def _hits(no: int, kind: str, pattern: str, group: int, least: int) -> str:
+    """Matches of one fixed pattern: what stands before each, summed up, gives their places."""
+    p = pattern.replace("'", "''")
+    return (
+        f"SELECT r, {no} AS no, '{kind}' AS kind, own, CAST(sum(length(gap) + length(hit)) OVER (PARTITION BY r ORDER BY i) AS BIGINT) AS stop, length(hit) AS n FROM (SELECT r, unnest(range(len(h))) AS i, unnest(h) AS hit, unnest(o) AS own, unnest(g[1 : len(h)]) AS gap"
+        f" FROM (SELECT r, regexp_extract_all(t, '{p}') AS h, regexp_extract_all(t, '{p}', {group}) AS o, string_split_regex(t, '{p}') AS g FROM d)) QUALIFY length(own) >= {least}"
+    )
+
+
+#: Fixed values of the contract: the patterns of assignments, access keys and hex runs.
+_KEYWORD = "([Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])"
+_BASE_HITS = " UNION ALL ".join([
+    _hits(0, "assign", _KEYWORD + r"""["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 2, 6), _hits(1, "access", "AKIA[A-Z0-9]+", 0, 20), _hits(2, "hex", "[0-9a-f]+", 0, 24),
+])
+SECRET_PATTERNS = f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents),
+hits AS ({_BASE_HITS}),
+g AS (SELECT r, count(*) FILTER (no = 0) AS a, count(*) FILTER (no = 1) AS k, count(*) FILTER (no = 2) AS x, string_agg(kind || ':' || (stop - n) || ':' || stop, ',' ORDER BY stop - n, no) AS listed FROM hits GROUP BY r)
+SELECT doc_id, coalesce(a, 0) AS n_assign, coalesce(k, 0) AS n_access, coalesce(x, 0) AS n_hex, sha256(coalesce(listed, '')) AS base_sha256 FROM d LEFT JOIN g USING (r)
+"""

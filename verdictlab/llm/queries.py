@@ -51,6 +51,13 @@ def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_fixed_patterns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The base spans alone, without a model."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", secret_scan.base_spans(F.coalesce("text", F.lit(""))).alias("base"))
+    base = F.col("base")
+    return docs.select("doc_id", *[secret_scan.count(base, k).alias(f"n_{k}") for k in ("assign", "access", "hex")], F.sha2(secret_scan.listed(base), 256).alias("base_sha256"))
+
+
 def op6_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(_table(spark, sf_dir, "documents"))
 
@@ -138,6 +145,7 @@ def queries() -> dict:
         "op3_sharding": op3_sharding,
         "op4_decontamination": op4_decontamination,
         "op5_secret_scan": op5_secret_scan,
+        "op5_fixed_patterns": op5_fixed_patterns,
         "op6_near_dedup": op6_near_dedup,
         "op7_url_filters": op7_url_filters,
         "op8_quality_rules": op8_quality_rules,
@@ -155,6 +163,7 @@ def oracle_sql() -> dict:
     return {
         "op2_mixing": oracle.MIXING,
         "op4_decontamination": oracle.DECONTAMINATION,
+        "op5_fixed_patterns": oracle.SECRET_PATTERNS,
         "op8_quality_rules": oracle.QUALITY,
         "op9_whole_lines": oracle.WHOLE_LINES,
         "op11_conversation_repair": oracle.CONVERSATIONS,
