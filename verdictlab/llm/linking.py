@@ -45,13 +45,16 @@ def classes(signatures: DataFrame, prepare: Callable[[DataFrame], tuple[Callable
     spark = signatures.sparkSession
     e = signatures.select("id", F.explode("keys").alias("key"))
     # the keys are written first: a hot one is then split by AQE in the join, which feeds a write only
-    n = e.groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).filter("lo <> hi").select("key")
-    m = materialise(e.join(materialise(n), "key").distinct())
-    if m.isEmpty():
+    n = e.groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi"), F.count(F.lit(1)).alias("n")).filter("lo <> hi")
+    n = materialise(n)
+    if n.isEmpty():
         return spark.createDataFrame([], "id bigint, class bigint")
-    score, tokens = prepare(materialise(m.select("id").distinct()))
+    # a bucket of two rows is known by its ends; the members of others are looked up
+    two = n.filter("n = 2").select(F.col("lo").alias("a"), F.col("hi").alias("b")).distinct()
+    m = materialise(e.join(n.filter("n > 2").select("key").hint("merge"), "key").distinct())
+    score, tokens = prepare(materialise(m.select("id").unionByName(two.select(F.explode(F.array("a", "b")).alias("id"))).distinct()))
     sizes = materialise(m.groupBy("key").agg(F.count(F.lit(1)).alias("n")))
-    pairs = _all_pairs(m.join(sizes.filter(F.col("n") <= SMALL), "key"))
+    pairs = _all_pairs(m.join(sizes.filter(F.col("n") <= SMALL), "key")).unionByName(two)
     m = materialise(m.join(sizes.filter(F.col("n") > SMALL), "key").select("id", "key"))
     scored = done = None
     like, near = [], []
@@ -148,7 +151,9 @@ def _finish(open_: DataFrame, found: DataFrame, verify: Callable, tokens: Callab
     both = x.groupBy("tok").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.ceil(F.count(F.lit(1)) / F.lit(BLOCK)).cast("int").alias("blocks"))
     x = x.join(both.filter("lo <> hi").select("tok", "blocks"), "tok")
     one = x.withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-    two = x.select("tok", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), *[F.col(c).alias(f"{c}_b") for c in ("id", "size", "left", "c")])
+    other = ["tok", *[F.col(c).alias(f"{c}_b") for c in ("id", "size", "left", "c")]]
+    many = x.filter("blocks > 1").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    two = x.filter("blocks = 1").select(*other, F.lit(0).alias("block")).unionByName(many.select(*other, "block"))
     need = F.ceil(similar / (1 + similar) * (F.col("size") + F.col("size_b")) - 1e-9)
     pairs = one.join(two, ["tok", "block"]).filter((F.col("id") < F.col("id_b")) & (F.col("c") != F.col("c_b")) & (F.least("left", "left_b") >= need))
     more = materialise(verify(materialise(pairs.select(F.col("id").alias("a"), F.col("id_b").alias("b")).distinct())).select("a", "b"))
