@@ -17,7 +17,7 @@ SEED = 17
 PASSAGE = 50
 #: Code points on either side of a run of seeds that are read first; a run that isn't at its end there gets ``WIDER`` times
 #: as many, and so on.
-MARGIN, WIDER = 600, 8
+MARGIN, WIDER = 600, 16
 #: A digest with more than this part of all occurrences is hot; so at most 10,000 digests are.
 HOT = 1e-4
 
@@ -266,8 +266,9 @@ def _passages(source: DataFrame, again: DataFrame) -> DataFrame:
 
     margin, done = MARGIN, []
     while True:
-        p = piece(pairs.join(one, ["id", "h"]), margin, "low", "high", "a")
-        p = piece(p.join(one.select(F.col("id").alias("fid"), F.col("h").alias("fh"), "t"), ["fid", "fh"]), margin, "flow", "fhigh", "b")
+        # the texts grow with the documents, so these are sort-merge joins at every size
+        p = piece(pairs.join(one.hint("merge"), ["id", "h"]), margin, "low", "high", "a")
+        p = piece(p.join(one.select(F.col("id").alias("fid"), F.col("h").alias("fh"), "t").hint("merge"), ["fid", "fh"]), margin, "flow", "fhigh", "b")
         p = p.withColumn("x", extended("a", "a_at", "a_more", "b", "b_at", "b_more", "pairs"))
         p = materialise(p.select(*of[:-1], "x.open", F.when(~F.col("x.open"), F.col("x.runs")).alias("runs"), F.when(F.col("x.open"), F.col("pairs")).alias("pairs")))
         done.append(p.filter("not open").select("id", "h", "fid", F.inline("runs")))
@@ -275,6 +276,8 @@ def _passages(source: DataFrame, again: DataFrame) -> DataFrame:
         if pairs.isEmpty():
             break
         margin = min(margin * WIDER, 1 << 30)
+        left = pairs.select("id", "h").unionByName(pairs.select(F.col("fid").alias("id"), F.col("fh").alias("h"))).distinct()
+        one = materialise(one.join(left.hint("merge"), ["id", "h"], "left_semi"))
     p = reduce(DataFrame.unionByName, done)
     return p.select("id", "h", "at", "n", "start", "end", F.lit("passage").alias("kind"), F.col("fid").alias("first_id"), "first_start")
 
