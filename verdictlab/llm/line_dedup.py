@@ -138,7 +138,8 @@ def _sets(folded: pa.Array) -> np.ndarray:
         c = _characters(data)
         first, h = _hashes(c, offs if len(c) == len(data) else code_point_ends(data)[offs])
         owner = np.repeat(np.arange(row, row + len(offs) - 1, dtype=np.uint64), np.diff(first))
-        keys.append(np.unique(owner << np.uint64(32) | h))
+        k = np.sort(owner << np.uint64(32) | h)
+        keys.append(k[np.append(True, k[1:] != k[:-1])] if len(k) else k)
     return np.concatenate(keys)
 
 
@@ -150,24 +151,15 @@ def _tokens(folded: pa.Array) -> pa.Array:
 
 
 def _similarity(a: pa.Array, b: pa.Array) -> pa.Array:
-    """Exact Jaccard similarity of the shingle sets of two folded lines each. A line stands in several pairs, so the sets
-    of a batch's lines are made once."""
-    lines = pa.concat_arrays([a.cast(pa.large_string()), b.cast(pa.large_string())]).dictionary_encode()
-    keys = _sets(lines.dictionary)
-    first = np.searchsorted(keys, np.arange(len(lines.dictionary) + 1, dtype=np.uint64) << np.uint64(32))
-    hashes, size = keys & np.uint64(0xFFFFFFFF), np.diff(first)
-    x, y = np.split(lines.indices.to_numpy(zero_copy_only=False), 2)
+    """Exact Jaccard similarity of the shingle sets of two folded lines each."""
     out = [np.zeros(0)]
-    for p in range(0, len(x), 256):
-        own = [(c[p : p + 256], size[c[p : p + 256]]) for c in (x, y)]
-        sets = []
-        for c, n in own:
-            place = np.repeat(first[c] - (np.cumsum(n) - n), n) + np.arange(n.sum())
-            sets.append(np.repeat(np.arange(len(c), dtype=np.uint64) << np.uint64(32), n) | hashes[place])
-        both = np.sort(np.concatenate(sets), kind="stable")
+    for at in range(0, len(a), 256):
+        x, y = _sets(a.slice(at, 256)), _sets(b.slice(at, 256))
+        n = min(256, len(a) - at)
+        both = np.sort(np.concatenate((x, y)))
         both = both[1:][both[1:] == both[:-1]]
-        both = np.bincount((both >> np.uint64(32)).astype(np.int64), minlength=len(own[0][0]))
-        out.append(both / (own[0][1] + own[1][1] - both))
+        x, y, both = (np.bincount((k >> np.uint64(32)).astype(np.int64), minlength=n) for k in (x, y, both))
+        out.append(both / (x + y - both))
     return pa.array(np.concatenate(out))
 
 

@@ -18,7 +18,7 @@ ROUNDS = 2
 #: Members of a bucket up to which all are compared with each other.
 SMALL = 32
 #: Cells in which tokens are counted.
-CELLS = 1 << 20
+CELLS = 1 << 22
 #: Members of a block: what one task of the exact finish pairs with the other members of a token.
 BLOCK = 2000
 
