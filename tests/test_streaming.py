@@ -95,6 +95,28 @@ def test_trust_goes_on_from_a_batch(spark, tmp_path, rows):
     assert rows(got.select("id", "key", "spam", "trusted", "final_spam")) == rows(want)
 
 
+def test_state_of_trust_grows_with_buckets_not_with_keys(spark, tmp_path):
+    n = 12_000  # every second row has no key, all others have one of their own
+    k = F.when(F.col("id") % 2 == 0, F.col("id"))
+    data = spark.range(n).select("id", k.alias("k"), (F.col("id") % 3 == 0).alias("s"), (F.lit(START) + F.make_dt_interval(mins=F.col("id") % 60)).alias("ts"))
+    data.repartition(2).write.parquet(f"{tmp_path}/in")
+    out = inc.approved_email_stream(spark.readStream.schema(EVENT).parquet(f"{tmp_path}/in"), "k", "id", "s", "ts", "9 days")
+    q = out.writeStream.format("parquet").option("path", f"{tmp_path}/out").option("checkpointLocation", f"{tmp_path}/cp-out").trigger(availableNow=True).start()
+    q.awaitTermination()
+    assert max(p.stateOperators[0].numRowsTotal for p in q.recentProgress if p.stateOperators) <= 5 * 1024
+    put(spark, tmp_path, [(None, None, None, START + timedelta(days=30))])
+    assert run_trust(spark, tmp_path, "9 days").filter("not trusted").count() == n
+
+
+def test_trust_with_unknown_spam_equals_batch(spark, tmp_path, rows):
+    data = [(i, k, None if i % 4 == 0 else s, ts) for i, k, s, ts in events(60, seed=5, keys=3)]
+    put(spark, tmp_path, data)
+    put(spark, tmp_path, [(None, None, None, START + timedelta(days=9))])
+    got = run_trust(spark, tmp_path, "2 hours")
+    want = approved_email(spark.createDataFrame(data, EVENT), "k", "id", "s").select("id", "k", "s", "trusted", "final_spam")
+    assert rows(got.select("id", "key", "spam", "trusted", "final_spam")) == rows(want)
+
+
 def test_windows_drop_late_rows_and_the_rest_is_counted(spark, tmp_path):
     seen = inc.RowsSeen()
     spark.streams.addListener(seen)

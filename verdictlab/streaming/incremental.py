@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery, StreamingQueryListener
 
@@ -69,43 +71,62 @@ def with_heartbeats(stream: DataFrame, ts: str, late: str, order: str) -> DataFr
     return w.filter(F.when(F.col(ts).isNull(), F.lit(False)).otherwise(F.col(order).isNotNull()))
 
 
-#: Groups of a key, and rows without one.
-WITH_KEY, ALONE = "k", "n"
+#: Groups in which state is kept, and rows of a pack of it.
+BUCKETS, PACK = 1024, 10_000
 
 
-def approved_email_stream(stream: DataFrame, key: str, order: str, spam: str, ts: str, late: str, history: DataFrame | None = None) -> DataFrame:
+def approved_email_stream(stream: DataFrame, key: str, order: str, spam: str, ts: str, late: str, history: DataFrame | None = None, buckets: int = BUCKETS) -> DataFrame:
     """``(id, key, spam, trusted, final_spam)``: the batch rule ``approved_email`` over a stream whose files come in any
     order, as long as rows are no more than ``late`` behind.
 
-    Rows are held as state of their key until the watermark has passed them, for then all earlier ones are known (``order``
-    rises with ``ts``); a timer by key lets them go. The first approved id of each key stays as state. ``history`` gives
-    ``(key, first)`` from a batch (``ordered.first_approved``) to begin with. Rows without a key are held by themselves
+    Rows are held as state until the watermark has passed them, for then all earlier ones are known (``order``
+    rises with ``ts``); a timer lets them go. The first approved id of each key stays as state. ``history`` gives
+    ``(key, first)`` from a batch (``ordered.first_approved``) to begin with. Rows without a key are held likewise
     and never trusted, as in the batch rule. Rows that come too late are dropped and counted by Spark. Rows without
     ``order`` are heartbeats. Needs the RocksDB state store.
+
+    State is kept by buckets of the key's hash (of ``order``, where there is no key), so calls and timers are as many as ``buckets``,
+    however many keys there are. A bucket's rows are held in packs of Arrow and worked through pack by pack; the first
+    approved ids are looked up key by key, and only those of keys with rows that are let go. ``buckets`` must stay as it is for a
+    checkpoint.
     """
+    kept, pack = pa.schema([("k", pa.string()), ("id", pa.int64()), ("ms", pa.int64()), ("spam", pa.bool_())]), PACK
+
+    def packs(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The same rows in batches of about ``pack`` rows; empty ones are left out."""
+        some: list[pa.RecordBatch] = []
+        for b in batches:
+            some += [b] if len(b) else []
+            if sum(map(len, some)) >= pack:
+                yield pa.concat_batches(some)
+                some = []
+        if some:
+            yield pa.concat_batches(some)
 
     class Trust(StatefulProcessor):
-        """Defined here, so that it travels to the workers by value."""
+        """Defined here, as ``packs`` is, so that it travels to the workers by value."""
 
         def init(self, handle: StatefulProcessorHandle) -> None:
             self.handle = handle
-            self.first = handle.getValueState("first", "id long")
+            self.first = handle.getMapState("first", "k string", "id long")
             self.wake = handle.getValueState("wake", "ms long")
-            self.held = handle.getListState("held", "id long, ms long, spam boolean")
+            self.held = handle.getListState("held", "rows binary")
 
         def handleInitialState(self, key, initialState, timerValues) -> None:
-            for first in initialState["first"].dropna().tolist():
-                self._approve(int(first))
+            known = initialState.dropna(subset=["first"])
+            for k, first in zip(known["k"], known["first"], strict=True):
+                self._approve(k, int(first))
 
-        def _approve(self, id_: int | None) -> int | None:
-            first = self.first.get()[0] if self.first.exists() else None
+        def _approve(self, k: str, id_: int | None) -> int | None:
+            known = self.first.getValue((k,))
+            first = None if known is None else known[0]
             if id_ is not None and (first is None or id_ < first):
                 first = id_
-                self.first.update((first,))
+                self.first.updateValue((k,), (first,))
             return first
 
         def _wake_at(self, ms: int) -> None:
-            """One timer a key, at the earliest row that is held."""
+            """One timer a bucket, at the earliest row that is held."""
             now = self.wake.get()[0] if self.wake.exists() else None
             if now is None or ms < now:
                 if now is not None:
@@ -113,54 +134,59 @@ def approved_email_stream(stream: DataFrame, key: str, order: str, spam: str, ts
                 self.handle.registerTimer(ms)
                 self.wake.update((ms,))
 
+        def _held(self) -> Iterator[pa.RecordBatch]:
+            for (rows,) in self.held.get():
+                yield pa.ipc.read_record_batch(pa.py_buffer(bytes(rows)), kept)
+
         def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-            for chunk in rows:
-                self.held.appendList([(int(i), int(m), bool(s)) for i, m, s in zip(chunk["id"], chunk["ms"], chunk["spam"], strict=True)])
-                self._wake_at(int(chunk["ms"].min()) + 1)
+            least = []
+            for b in packs(pa.RecordBatch.from_pandas(chunk[kept.names], kept, preserve_index=False) for chunk in rows):
+                self.held.appendValue((b.serialize().to_pybytes(),))
+                least.append(pc.min(b["ms"]).as_py())
+            if least:
+                self._wake_at(min(least) + 1)
             yield from ()
 
         def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
             now = timerValues.getCurrentWatermarkInMs()
-            least, rest = None, []
-            for id_, ms, bad in self.held.get():
-                if ms >= now:
-                    rest.append((id_, ms, bad))
-                elif not bad and (least is None or id_ < least):
-                    least = id_
+            due = lambda: packs(b.filter(pc.less(b["ms"], now)) for b in self._held())
+            least: dict[str, int | None] = {}
+            for b in due():
+                good = pc.if_else(pc.fill_null(pc.invert(b["spam"]), False), b["id"], pa.scalar(None, pa.int64()))
+                of = pa.table({"k": b["k"], "id": good}).group_by("k").aggregate([("id", "min")])
+                for k, id_ in zip(of["k"].to_pylist(), of["id_min"].to_pylist(), strict=True):
+                    known = least.get(k)
+                    least[k] = id_ if known is None or id_ is not None and id_ < known else known
             # a row without a key is alone, and nothing is kept of it
-            first = self._approve(least) if key[0][0] == WITH_KEY else None
-            due: list[tuple] = []
-            for id_, ms, bad in self.held.get():
-                if ms < now:
-                    due.append((id_, key[0], bad, first is not None and first < id_))
-                if len(due) == 10_000:
-                    yield self._frame(due)
-                    due = []
-            if due:
-                yield self._frame(due)
+            first = {k: self._approve(k, id_) for k, id_ in least.items() if k is not None}
+            for b in due():
+                k = b["k"].dictionary_encode()
+                approved = pa.array([first.get(x) for x in k.dictionary.to_pylist()], pa.int64()).take(k.indices)
+                trusted = pc.fill_null(pc.less(approved, b["id"]), False)
+                final = pc.and_kleene(b["spam"], pc.invert(trusted))
+                yield pa.table({"id": b["id"], "k": b["k"], "spam": b["spam"], "trusted": trusted, "final_spam": final}).to_pandas()
+            rest = list(packs(b.filter(pc.greater_equal(b["ms"], now)) for b in self._held()))
             self.wake.clear()
             if rest:
-                self.held.put(rest)
-                self._wake_at(min(r[1] for r in rest) + 1)
+                self.held.put([(b.serialize().to_pybytes(),) for b in rest])
+                self._wake_at(min(pc.min(b["ms"]).as_py() for b in rest) + 1)
             else:
                 self.held.clear()
 
-        def _frame(self, rows: list[tuple]) -> pd.DataFrame:
-            f = pd.DataFrame(rows, columns=["id", "k", "spam", "trusted"])
-            f["final_spam"] = f["spam"] & ~f["trusted"]
-            return f
-
         def close(self) -> None:
             pass
 
-    # a group's key may not be null
-    group = lambda k, alone: F.coalesce(F.concat(F.lit(WITH_KEY), k.cast("string")), F.concat(F.lit(ALONE), alone.cast("string"))).alias("k")
+    bucket = lambda k: F.pmod(F.xxhash64(k), F.lit(buckets)).cast("int").alias("bucket")
     rows = with_heartbeats(stream, ts, late, order)
-    kind = rows.schema[key].dataType
-    rows = rows.select(F.col(order).alias("id"), group(F.col(key), F.col(order)), F.col(spam).alias("spam"), F.col(ts).alias("ts"), F.unix_millis(F.col(ts)).alias("ms"))
-    start = None if history is None else history.filter("key is not null").select(group(F.col("key"), F.lit("")), "first").groupBy("k")
-    out = rows.groupBy("k").transformWithStateInPandas(Trust(), "id long, k string, spam boolean, trusted boolean, final_spam boolean", "Append", "EventTime", start)
-    return out.select("id", F.when(F.substring("k", 1, 1) == WITH_KEY, F.expr("substring(k, 2)")).cast(kind).alias("key"), "spam", "trusted", "final_spam")
+    kind, text = rows.schema[key].dataType, F.col(key).cast("string")
+    alone = F.coalesce(text, F.col(order).cast("string"))
+    rows = rows.select(bucket(alone), text.alias("k"), F.col(order).alias("id"), F.col(spam).alias("spam"), F.col(ts).alias("ts"), F.unix_millis(F.col(ts)).alias("ms"))
+    start = None
+    if history is not None:
+        known = F.col("key").cast("string")
+        start = history.filter("key is not null").select(bucket(known), known.alias("k"), "first").groupBy("bucket")
+    out = rows.groupBy("bucket").transformWithStateInPandas(Trust(), "id long, k string, spam boolean, trusted boolean, final_spam boolean", "Append", "EventTime", start)
+    return out.select("id", F.col("k").cast(kind).alias("key"), "spam", "trusted", "final_spam")
 
 
 def throughput(stream: DataFrame, ts: str, width: str, late: str, order: str | None = None) -> DataFrame:
