@@ -1,3 +1,5 @@
+import re
+
 import random
 
 import pytest
@@ -124,3 +126,17 @@ def test_baselines_over_many_ranges(spark, parts):
         return stable if k[3] else pre or stable
 
     assert got == {v: want(v) for v in versions}
+
+
+def test_languages_split_a_text_once_and_count_whole_words(spark):
+    texts = [None, "", "  the  ", "THE\tof\ncan", "der the", "the,", "für FÜR más", "\x00the the", "a the the\x0bthe", "the\x85", "la la le y", "le\r\nles con con"]
+    want = []
+    for t in texts:
+        words = re.findall(r"[^\x20\x09-\x0D]+", (t or "").lower())
+        n = {code: sum(w in own.split() for w in words) for code, own in sorted(rules.STOP_WORDS.items())}
+        best = max(n, key=n.get)
+        want.append(best if n[best] else "und")
+    df = spark.createDataFrame(list(enumerate(texts)), "id int, t string").select("id", rules.detect_language(F.col("t")).alias("found"))
+    assert [r["found"] for r in df.orderBy("id").collect()] == want
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("lower(") == 1

@@ -129,14 +129,17 @@ def new_rules() -> Ruleset:
 
 def detect_language(text: Column) -> Column:
     """The language whose small words the text has most of (ties: the first by code; ``und`` without any)."""
-    words = F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0))
-    found = []
-    for no, (code, listed) in enumerate(sorted(STOP_WORDS.items())):
-        own = F.array(*[F.lit(w) for w in sorted(set(listed.split()))])
-        n = F.size(F.filter(words, lambda w: F.array_contains(own, w)))  # noqa: B023
-        found.append(F.struct(n.alias("n"), F.lit(-no).alias("place"), F.lit(code).alias("code")))
-    best = F.array_max(F.array(*found))
-    return F.when(best["n"] > 0, best["code"]).otherwise("und")
+    once = lambda x, f: F.transform(F.array(x), f)[0]  # noqa: E731  a lambda's argument is computed once
+    # small words have no white space, so empty parts between spaces do no harm
+    parts = F.split(F.translate(F.lower(F.coalesce(text, F.lit(""))), "\t\n\x0b\x0c\r", " " * 5), " ")
+    listed = {code: sorted(set(own.split())) for code, own in sorted(STOP_WORDS.items())}
+    small = F.filter(parts, lambda w: w.isin(*sorted({w for own in listed.values() for w in own})))
+
+    def best(words: Column) -> Column:
+        count = lambda own: F.size(F.filter(words, lambda w: w.isin(*own)))
+        return F.array_max(F.array(*[F.struct(count(own).alias("n"), F.lit(-no).alias("place"), F.lit(code).alias("code")) for no, (code, own) in enumerate(listed.items())]))
+
+    return once(once(small, best), lambda b: F.when(b["n"] > 0, b["code"]).otherwise("und"))
 
 
 def bypass(corpus: DataFrame, column: str) -> DataFrame:
