@@ -11,7 +11,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from verdictlab.llm import line_dedup, mixing, near_dedup, sharding, substring_dedup
+from verdictlab.llm import line_dedup, linking, mixing, near_dedup, sharding, substring_dedup
 
 SIZE = re.compile(r"[^\x20\x09-\x0D]+")
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -412,3 +412,45 @@ def test_groups_are_cut_only_where_they_must():
     over = sharding.pack_groups(np.concatenate((fine, pieces)), np.array([str(i) for i in range(800)] + ["g"] * 40), 8)
     assert len(set(over[800:])) > 1
     assert len(sharding.pack_groups(np.zeros((0, 3)), np.zeros(0, str), 8)) == 0
+
+
+def test_a_sieve_loses_nothing(spark):
+    r = np.random.default_rng(8)
+    mine, other = (r.integers(-(1 << 63), (1 << 63) - 1, 3000) for _ in range(2))
+    one, some = linking.sieve(spark.createDataFrame([(int(x),) for x in mine], "x long"))
+    df = spark.createDataFrame([(i, int(a), [int(b), int(a), int(b)]) for i, (a, b) in enumerate(zip(mine, other, strict=True))], "i int, x long, xs array<long>")
+    got = df.withColumn("kept", some("xs")).filter(one("x")).collect()
+    assert len(got) == 3000 and all(g["x"] in g["kept"] for g in got)
+    assert sum(len(g["kept"]) for g in got) < 3010  # others pass by chance only
+
+
+def test_sets_differ_in_no_fewer_tokens_than_parity_bits():
+    r = np.random.default_rng(9)
+    sets = [set(r.integers(0, 1 << 32, int(n)).tolist()) for n in r.integers(1, 60, 40)] + [set()]
+    sets += [set(list(s)[1:]) | {7} for s in sets]
+    row = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    bits = linking._parity(np.array([x for s in sets for x in s], np.int64), row, len(sets))
+    for i, a in enumerate(sets):
+        for j, b in enumerate(sets):
+            assert sum(int(x ^ y).bit_count() if x ^ y >= 0 else int((x ^ y) & np.int64((1 << 63) - 1)).bit_count() + 1 for x, y in zip(bits[i], bits[j], strict=True)) <= len(a ^ b)
+    assert len(linking._parity(np.zeros(0, np.int64), np.zeros(0, np.int64), 0)) == 0
+
+
+def test_the_exact_finish_makes_few_pairs_of_unlike_sets(spark):
+    r = np.random.default_rng(10)
+    sets = {i: set(r.choice(60, 36, replace=False).tolist()) for i in range(300)}  # they share their tokens, but are unlike
+    sets[300], sets[301] = sets[0] ^ {0}, sets[1] ^ {1, 2}
+    df = spark.createDataFrame([(i, sorted(s)) for i, s in sets.items()], "id long, toks array<long>")
+    made = []
+
+    def verify(pairs):
+        made.extend(tuple(p) for p in pairs.select("a", "b").collect())
+        like = [(a, b) for a, b in made if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
+        return spark.createDataFrame(like, "a long, b long")
+
+    none = spark.createDataFrame([], "node long, component long")
+    got = linking._finish(df.select("id", F.col("id").alias("c")), none, verify, lambda ids: df.join(ids, "id"), 0.8)
+    found = {r["node"]: r["component"] for r in got.collect()}
+    want = [(a, b) for a in sets for b in sets if a < b and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
+    assert {(0, 300), (1, 301)} <= set(want) and all(found[a] == found[b] for a, b in want)
+    assert set(want) <= set(made) and len(made) < 100  # of 45,451

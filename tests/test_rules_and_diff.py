@@ -1,6 +1,5 @@
-import re
-
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F

@@ -8,7 +8,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
 from verdictlab.functions.shared import materialise
-from verdictlab.llm.linking import classes
+from verdictlab.llm.linking import classes, sieve
 from verdictlab.llm.text import blocks, bounded_batches, byte_table, code_point_ends, list_array, mix
 
 #: Characters of a shingle; least Jaccard similarity; bands and minima of a band.
@@ -185,7 +185,8 @@ def fuzzy_lines(docs: DataFrame, text: str = "text", key: str = "doc_id", simila
     signatures = sent.select(F.col("digest").alias("id"), "keys")
 
     def prepare(ids: DataFrame):
-        v = materialise(sent.select(F.col("digest").alias("id"), F.col("folded").alias("x")).join(ids.hint("merge"), "id").dropDuplicates(["id"]))
+        may, _ = sieve(ids.select(F.col("id").alias("x")))
+        v = materialise(sent.filter(may("digest")).select(F.col("digest").alias("id"), F.col("folded").alias("x")).join(ids.hint("merge"), "id").dropDuplicates(["id"]))
         similarity = F.arrow_udf(_similarity, "double").asNondeterministic()
 
         def score(pairs: DataFrame) -> DataFrame:
