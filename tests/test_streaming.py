@@ -2,6 +2,7 @@ import random
 import time
 from datetime import datetime, timedelta
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from verdictlab.functions import rules
@@ -108,6 +109,37 @@ def test_state_of_trust_grows_with_buckets_not_with_keys(spark, tmp_path):
     assert run_trust(spark, tmp_path, "9 days").filter("not trusted").count() == n
 
 
+def test_rows_reach_the_state_in_packs(spark, monkeypatch):
+    monkeypatch.setattr(inc, "PACK", 500)
+    n, buckets = 30_000, 8
+    bucket = F.when(F.col("id") % 1000 == 7, -1).when(F.col("id") % 2 == 0, 3).otherwise(F.col("id") % buckets).cast("int")
+    ts = F.lit(START).cast("timestamp") + F.make_dt_interval(mins=F.col("id") % 60)
+    data = spark.range(n).repartition(2).select(bucket.alias("bucket"), F.when(F.col("id") % 5 > 0, F.col("id").cast("string")).alias("k"), "id", (F.col("id") % 3 == 0).alias("spam"), ts.alias("ts"), F.unix_millis(ts).alias("ms"))
+    got = inc.packed(data).collect()
+    assert len(got) <= 2 * (buckets + 1) + n // 500
+    found = []
+    for p in got:
+        if p["bucket"] < 0:
+            assert p["rows"] is None
+            continue
+        b = pa.ipc.read_record_batch(pa.py_buffer(bytes(p["rows"])), inc.KEPT).to_pylist()
+        assert len(b) <= 500 and p["least"] == min(r["ms"] for r in b) and p["ts"].timestamp() * 1000 == max(r["ms"] for r in b)
+        found += [(p["bucket"], r["k"], r["id"], r["spam"], r["ms"]) for r in b]
+    want = [tuple(r) for r in data.filter("bucket >= 0").select("bucket", "k", "id", "spam", "ms").collect()]
+    key = lambda r: r[2]
+    assert sorted(found, key=key) == sorted(want, key=key)
+
+
+def test_a_late_row_in_a_file_with_new_ones_is_dropped(spark, tmp_path):
+    at = lambda i, hours, s=False: (i, 1, s, START + timedelta(hours=hours))
+    put(spark, tmp_path, [at(10, 1), at(11, 20)])
+    run_trust(spark, tmp_path, "2 hours")  # lets go up to hour 18
+    put(spark, tmp_path, [at(5, 0.5), at(12, 19, True), at(13, 21)])
+    put(spark, tmp_path, [(None, None, None, START + timedelta(days=9))])
+    got = run_trust(spark, tmp_path, "2 hours")
+    assert {r["id"]: r["trusted"] for r in got.collect()} == {10: False, 11: True, 12: True, 13: True}
+
+
 def test_trust_with_unknown_spam_equals_batch(spark, tmp_path, rows):
     data = [(i, k, None if i % 4 == 0 else s, ts) for i, k, s, ts in events(60, seed=5, keys=3)]
     put(spark, tmp_path, data)

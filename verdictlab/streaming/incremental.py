@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import hashlib
+import zlib
 from collections.abc import Iterable, Iterator
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -71,8 +73,49 @@ def with_heartbeats(stream: DataFrame, ts: str, late: str, order: str) -> DataFr
     return w.filter(F.when(F.col(ts).isNull(), F.lit(False)).otherwise(F.col(order).isNotNull()))
 
 
-#: Groups in which state is kept, and rows of a pack of it.
-BUCKETS, PACK = 1024, 10_000
+#: Groups in which state is kept, rows of a pack of it, and cells of a group's first approved ids.
+BUCKETS, PACK, CELLS = 1024, 10_000, 16
+#: Rows, and bytes of them, that a task gathers before it deals them into packs.
+GATHER, GATHER_BYTES = 200_000, 32 << 20
+#: The rows of a pack.
+KEPT = pa.schema([("k", pa.string()), ("id", pa.int64()), ("ms", pa.int64()), ("spam", pa.bool_())])
+
+
+def packed(rows: DataFrame) -> DataFrame:
+    """``(bucket, ts, least, rows)`` of ``rows(bucket, k, id, spam, ts, ms)``: packs of up to ``PACK`` rows of one bucket as
+    Arrow, with their newest ``ts`` and least ``ms``. A negative bucket holds heartbeats; their ``rows`` are null. Rows are dealt
+    in the tasks that read them, up to ``GATHER`` at a time, for Spark hands a state operator its rows one by one."""
+    kept, most, gather, size = KEPT, PACK, GATHER, GATHER_BYTES
+
+    def deal(some: list[pa.RecordBatch]) -> pa.RecordBatch:
+        t = pa.Table.from_batches(some)
+        t = t.take(pc.sort_indices(t["bucket"])).combine_chunks()
+        bucket, ms = t["bucket"].to_numpy(), t["ms"].to_numpy()
+        micros = t["ts"].cast(pa.int64()).to_numpy()
+        place = np.arange(len(bucket))
+        begin = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]])
+        within = place - np.repeat(begin, np.diff(np.r_[begin, len(bucket)]))
+        begin = np.flatnonzero(within % most == 0)
+        body = t.select(kept.names).cast(kept).to_batches()[0]
+        ends = np.r_[begin[1:], len(bucket)]
+        out = [None if bucket[a] < 0 else body.slice(a, b - a).serialize().to_pybytes() for a, b in zip(begin.tolist(), ends.tolist(), strict=True)]
+        newest = pa.array(np.maximum.reduceat(micros, begin)).cast(t["ts"].type)
+        return pa.RecordBatch.from_arrays([pa.array(bucket[begin]), newest, pa.array(np.minimum.reduceat(ms, begin)), pa.array(out, pa.binary())], names=["bucket", "ts", "least", "rows"])
+
+    def pack(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        some: list[pa.RecordBatch] = []
+        n = held = 0
+        for b in batches:
+            if len(b):
+                some.append(b)
+                n, held = n + len(b), held + b.nbytes
+            if n >= gather or held >= size:
+                yield deal(some)
+                some, n, held = [], 0, 0
+        if some:
+            yield deal(some)
+
+    return rows.mapInArrow(pack, "bucket int, ts timestamp, least long, rows binary")
 
 
 def approved_email_stream(stream: DataFrame, key: str, order: str, spam: str, ts: str, late: str, history: DataFrame | None = None, buckets: int = BUCKETS) -> DataFrame:
@@ -82,15 +125,17 @@ def approved_email_stream(stream: DataFrame, key: str, order: str, spam: str, ts
     Rows are held as state until the watermark has passed them, for then all earlier ones are known (``order``
     rises with ``ts``); a timer lets them go. The first approved id of each key stays as state. ``history`` gives
     ``(key, first)`` from a batch (``ordered.first_approved``) to begin with. Rows without a key are held likewise
-    and never trusted, as in the batch rule. Rows that come too late are dropped and counted by Spark. Rows without
-    ``order`` are heartbeats. Needs the RocksDB state store.
+    and never trusted, as in the batch rule. Rows without ``order`` are heartbeats. Needs the RocksDB state store.
+
+    Rows come to the state in packs (``packed``). Spark drops and counts packs of which all rows are too late; late rows of other packs are
+    dropped where their bucket has let rows go up to then, so no row is judged after a later one of its key has gone.
 
     State is kept by buckets of the key's hash (of ``order``, where there is no key), so calls and timers are as many as ``buckets``,
-    however many keys there are. A bucket's rows are held in packs of Arrow and worked through pack by pack; the first
-    approved ids are looked up key by key, and only those of keys with rows that are let go. ``buckets`` must stay as it is for a
+    however many keys there are. A bucket's rows are held in packs of Arrow and worked through pack by pack; its first
+    approved ids lie in ``CELLS`` cells by the key's checksum, and only cells of keys with rows that are let go are read. ``buckets`` must stay as it is for a
     checkpoint.
     """
-    kept, pack = pa.schema([("k", pa.string()), ("id", pa.int64()), ("ms", pa.int64()), ("spam", pa.bool_())]), PACK
+    kept, pack, cells, firsts = KEPT, PACK, CELLS, pa.schema([("k", pa.string()), ("id", pa.int64())])
 
     def packs(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """The same rows in batches of about ``pack`` rows; empty ones are left out."""
@@ -108,21 +153,31 @@ def approved_email_stream(stream: DataFrame, key: str, order: str, spam: str, ts
 
         def init(self, handle: StatefulProcessorHandle) -> None:
             self.handle = handle
-            self.first = handle.getMapState("first", "k string", "id long")
+            self.first = handle.getMapState("first", "cell int", "ids binary")
+            self.past = handle.getValueState("past", "ms long")
             self.wake = handle.getValueState("wake", "ms long")
             self.held = handle.getListState("held", "rows binary")
 
         def handleInitialState(self, key, initialState, timerValues) -> None:
             known = initialState.dropna(subset=["first"])
-            for k, first in zip(known["k"], known["first"], strict=True):
-                self._approve(k, int(first))
-
-        def _approve(self, k: str, id_: int | None) -> int | None:
-            known = self.first.getValue((k,))
-            first = None if known is None else known[0]
-            if id_ is not None and (first is None or id_ < first):
-                first = id_
-                self.first.updateValue((k,), (first,))
+            least = known.groupby("k")["first"].min()
+            self._approve({k: int(first) for k, first in zip(least.index, least, strict=True)})
+
+        def _approve(self, least: dict[str, int | None]) -> dict[str, int | None]:
+            """The first approved id of each key of ``least``, which may hold earlier ones."""
+            by: dict[int, list[str]] = {}
+            for k in least:
+                by.setdefault(zlib.crc32(k.encode()) % cells, []).append(k)
+            first: dict[str, int | None] = {}
+            for cell, keys in by.items():
+                got = self.first.getValue((cell,))
+                ids = {} if got is None else dict(zip(*(c.to_pylist() for c in pa.ipc.read_record_batch(pa.py_buffer(bytes(got[0])), firsts).columns), strict=True))
+                new = {k: least[k] for k in keys if least[k] is not None and (k not in ids or least[k] < ids[k])}
+                if new:
+                    ids |= new
+                    b = pa.RecordBatch.from_arrays([pa.array(list(ids), pa.string()), pa.array(list(ids.values()), pa.int64())], schema=firsts)
+                    self.first.updateValue((cell,), (b.serialize().to_pybytes(),))
+                first |= {k: ids.get(k) for k in keys}
             return first
 
         def _wake_at(self, ms: int) -> None:
@@ -139,8 +194,16 @@ def approved_email_stream(stream: DataFrame, key: str, order: str, spam: str, ts
                 yield pa.ipc.read_record_batch(pa.py_buffer(bytes(rows)), kept)
 
         def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+            past = self.past.get()[0] if self.past.exists() else None
+
+            def taken() -> Iterator[pa.RecordBatch]:
+                for chunk in rows:
+                    for low, one in zip(chunk["least"], chunk["rows"], strict=True):
+                        b = pa.ipc.read_record_batch(pa.py_buffer(bytes(one)), kept)
+                        yield b if past is None or low >= past else b.filter(pc.greater_equal(b["ms"], past))
+
             least = []
-            for b in packs(pa.RecordBatch.from_pandas(chunk[kept.names], kept, preserve_index=False) for chunk in rows):
+            for b in packs(taken()):
                 self.held.appendValue((b.serialize().to_pybytes(),))
                 least.append(pc.min(b["ms"]).as_py())
             if least:
@@ -149,23 +212,33 @@ def approved_email_stream(stream: DataFrame, key: str, order: str, spam: str, ts
 
         def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
             now = timerValues.getCurrentWatermarkInMs()
-            due = lambda: packs(b.filter(pc.less(b["ms"], now)) for b in self._held())
-            least: dict[str, int | None] = {}
-            for b in due():
+            more = False
+
+            def due() -> Iterator[pa.RecordBatch]:
+                nonlocal more
+                for b in self._held():
+                    some = b.filter(pc.less(b["ms"], now))
+                    more = more or len(some) < len(b)
+                    yield some
+
+            least: dict[str | None, int | None] = {}
+            for b in packs(due()):
                 good = pc.if_else(pc.fill_null(pc.invert(b["spam"]), False), b["id"], pa.scalar(None, pa.int64()))
                 of = pa.table({"k": b["k"], "id": good}).group_by("k").aggregate([("id", "min")])
                 for k, id_ in zip(of["k"].to_pylist(), of["id_min"].to_pylist(), strict=True):
                     known = least.get(k)
                     least[k] = id_ if known is None or id_ is not None and id_ < known else known
             # a row without a key is alone, and nothing is kept of it
-            first = {k: self._approve(k, id_) for k, id_ in least.items() if k is not None}
-            for b in due():
+            least.pop(None, None)
+            first = self._approve(least)
+            for b in packs(due()):
                 k = b["k"].dictionary_encode()
                 approved = pa.array([first.get(x) for x in k.dictionary.to_pylist()], pa.int64()).take(k.indices)
                 trusted = pc.fill_null(pc.less(approved, b["id"]), False)
                 final = pc.and_kleene(b["spam"], pc.invert(trusted))
-                yield pa.table({"id": b["id"], "k": b["k"], "spam": b["spam"], "trusted": trusted, "final_spam": final}).to_pandas()
-            rest = list(packs(b.filter(pc.greater_equal(b["ms"], now)) for b in self._held()))
+                yield pa.table({"id": b["id"], "k": b["k"], "spam": b["spam"], "trusted": trusted, "final_spam": final}).to_pandas(types_mapper=pd.ArrowDtype)
+            rest = list(packs(b.filter(pc.greater_equal(b["ms"], now)) for b in self._held())) if more else []
+            self.past.update((now,))
             self.wake.clear()
             if rest:
                 self.held.put([(b.serialize().to_pybytes(),) for b in rest])
@@ -177,10 +250,12 @@ def approved_email_stream(stream: DataFrame, key: str, order: str, spam: str, ts
             pass
 
     bucket = lambda k: F.pmod(F.xxhash64(k), F.lit(buckets)).cast("int").alias("bucket")
-    rows = with_heartbeats(stream, ts, late, order)
-    kind, text = rows.schema[key].dataType, F.col(key).cast("string")
+    at, text = F.col(ts).cast("timestamp"), F.col(key).cast("string")
+    kind, id_ = stream.schema[key].dataType, F.col(order).cast("long")
     alone = F.coalesce(text, F.col(order).cast("string"))
-    rows = rows.select(bucket(alone), text.alias("k"), F.col(order).alias("id"), F.col(spam).alias("spam"), F.col(ts).alias("ts"), F.unix_millis(F.col(ts)).alias("ms"))
+    group = F.when(F.col(order).isNull(), -1).otherwise(bucket(alone)).alias("bucket")
+    rows = stream.filter(at.isNotNull()).select(group, text.alias("k"), id_.alias("id"), F.col(spam).cast("boolean").alias("spam"), at.alias("ts"), F.unix_millis(at).alias("ms"))
+    rows = with_heartbeats(packed(rows), "ts", late, "rows")
     start = None
     if history is not None:
         known = F.col("key").cast("string")
