@@ -436,6 +436,19 @@ def test_sets_differ_in_no_fewer_tokens_than_parity_bits():
     assert len(linking._parity(np.zeros(0, np.int64), np.zeros(0, np.int64), 0)) == 0
 
 
+def test_rarity_is_counted_in_the_tasks_and_by_class(spark):
+    r, cells = random.Random(12), linking.CELLS
+    data = [(i, i % 3, [r.randrange(-(2**62), 2**62) for _ in range(9)] + [5, 5 + cells, -7] * (i % 3 > 0) + [11] * (i % 3 == 0)) for i in range(300)]
+    got = linking._rarity(spark.createDataFrame(data, "id long, c long, toks array<long>").repartition(4))
+    n, of = Counter(), {}
+    for _, c, toks in data:
+        for t in toks:
+            n[t % cells] += 1
+            of.setdefault(t % cells, set()).add(c)
+    assert {int(x): int(got[x]) for x in np.flatnonzero(got)} == {x: k for x, k in n.items() if len(of[x]) > 1}
+    assert got[5] == 400 and got[-7 % cells] == 200 and got[11] == 0  # what one class alone has isn't sent
+
+
 def test_the_exact_finish_makes_few_pairs_of_unlike_sets(spark):
     r = np.random.default_rng(10)
     sets = {i: set(r.choice(60, 36, replace=False).tolist()) for i in range(300)}  # they share their tokens, but are unlike

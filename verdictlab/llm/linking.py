@@ -17,8 +17,8 @@ from verdictlab.operators.components import connected_components
 ROUNDS = 2
 #: Members of a bucket up to which all are compared with each other.
 SMALL = 32
-#: Cells in which tokens are counted.
-CELLS = 1 << 22
+#: Cells in which tokens are counted, and slices of them that are added up side by side.
+CELLS, SLICES = 1 << 22, 64
 #: Bits of a sieve.
 BITS = 1 << 27
 #: Bits in which sets are compared before they are verified, 64 in a number.
@@ -158,22 +158,65 @@ def _named(ids: DataFrame, found: DataFrame) -> DataFrame:
     return ids.join(own, "id", "left").withColumn("c", F.coalesce("component", "id")).drop("component")
 
 
+def _rarity(sets: DataFrame) -> np.ndarray:
+    """How many tokens of ``sets(id, toks, c)`` fall into each of ``CELLS`` cells; 0 where all are of one class ``c``. A batch
+    of sets is counted in its task, so a slice of cells is one row a batch, however many tokens there are, and slices are added up
+    batch by batch."""
+    cells, width = CELLS, CELLS // SLICES
+
+    def tally(batches):
+        for b in batches:
+            cell = b["toks"].flatten().to_numpy(zero_copy_only=False) % cells
+            if not len(cell):
+                continue
+            c = np.repeat(b["c"].to_numpy(), b["toks"].value_lengths().fill_null(0).to_numpy(zero_copy_only=False))
+            order = np.argsort(cell, kind="stable")
+            cell, c = cell[order], c[order]
+            at = np.flatnonzero(np.r_[True, cell[1:] != cell[:-1]])
+            n, lo, hi = np.diff(np.r_[at, len(cell)]), np.minimum.reduceat(c, at), np.maximum.reduceat(c, at)
+            part = cell[at] // width
+            first = np.flatnonzero(np.r_[True, part[1:] != part[:-1]])
+            ends = pa.array(np.r_[first, len(at)], pa.int32())
+            lists = [pa.ListArray.from_arrays(ends, pa.array(x, pa.int64())) for x in (cell[at] % width, n, lo, hi)]
+            yield pa.RecordBatch.from_arrays([pa.array(part[first], pa.int64()), *lists], names=["slice", "cell", "n", "lo", "hi"])
+
+    def add(batches):
+        found: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
+        for b in batches:
+            for i, part in enumerate(b["slice"].to_pylist()):
+                if part not in found:
+                    found[part] = np.zeros(width, np.int64), np.full(width, np.iinfo(np.int64).max), np.full(width, np.iinfo(np.int64).min)
+                at, n, lo, hi = (b[x][i].values.to_numpy() for x in ("cell", "n", "lo", "hi"))
+                total, least, most = found[part]
+                total[at] += n
+                least[at], most[at] = np.minimum(least[at], lo), np.maximum(most[at], hi)
+        for part, (total, least, most) in found.items():
+            at = np.flatnonzero(least < most)
+            ends = pa.array([0, len(at)], pa.int32())
+            lists = [pa.ListArray.from_arrays(ends, pa.array(x, pa.int64())) for x in (part * width + at, total[at])]
+            yield pa.RecordBatch.from_arrays(lists, names=["cell", "n"])
+
+    parts = sets.select("c", "toks").mapInArrow(tally, "slice long, cell array<long>, n array<long>, lo array<long>, hi array<long>")
+    found = parts.repartition(SLICES, "slice").mapInArrow(add, "cell array<long>, n array<long>").toArrow()
+    count = np.zeros(CELLS, np.int32)
+    for cell, n in zip(found["cell"], found["n"], strict=True):
+        count[cell.values.to_numpy()] = np.minimum(n.values.to_numpy(), np.iinfo(np.int32).max)
+    return count
+
+
 def _finish(open_: DataFrame, found: DataFrame, verify: Callable, tokens: Callable, similar: float) -> DataFrame:
     """The classes ``(node, component)`` ``found``, and of all links between the members of ``open_(id, c)``. An exact
     prefix-filtered join: tokens are ordered by rarity, and sets of a Jaccard similarity of ``similar`` share one of
     their first ``n - ceil(similar * n) + 1`` tokens. Pairs whose sets differ in more tokens than they may, by their parity bits, aren't made. Any order of tokens will do, so rarity is counted in ``CELLS`` cells
-    of their hash, which are broadcast; a token that is alone in its cell is in one set only and isn't sent. Only
+    of their hash, which are broadcast; cells that only one class has come first, and their tokens aren't sent. Only
     pairs of different classes are made; the members of a token are paired in blocks, so a common token is no single
     task."""
     ids = materialise(open_)
     if ids.isEmpty():
         return found
     spark = ids.sparkSession
-    sets = materialise(tokens(ids.select("id").distinct()).select("id", "toks"))
-    count = np.zeros(CELLS, np.int32)
-    cells = sets.select(F.explode("toks").alias("tok")).groupBy(F.pmod("tok", F.lit(CELLS)).cast("int").alias("cell")).agg(F.count(F.lit(1)).alias("n")).toArrow()
-    count[cells["cell"].to_numpy()] = np.minimum(cells["n"].to_numpy(), np.iinfo(np.int32).max)
-    shared = spark.sparkContext.broadcast(count)
+    sets = materialise(tokens(ids.select("id").distinct()).select("id", "toks").join(ids, "id"))
+    shared = spark.sparkContext.broadcast(_rarity(sets))
 
     bits = [f"b{i}" for i in range(PARITY // 64)]
 
@@ -187,14 +230,13 @@ def _finish(open_: DataFrame, found: DataFrame, verify: Callable, tokens: Callab
         own, n = own[order], n[order]
         place = np.arange(len(own)) - np.repeat(np.cumsum(size) - size, size)
         total = np.repeat(size, size)
-        keep = (n > 1) & (place < total - np.ceil(similar * total - 1e-9) + 1)
+        keep = (n > 0) & (place < total - np.ceil(similar * total - 1e-9) + 1)
         made = pa.StructArray.from_arrays([pa.array(own[keep].astype(np.int64)), pa.array((total - place)[keep].astype(np.int32))], names=["tok", "left"])
         at = list_array(made, np.bincount(row[keep], minlength=len(size)))
         return pa.StructArray.from_arrays([at, *[pa.array(np.ascontiguousarray(p)) for p in parity.T]], names=["at", *bits])
 
-    x = sets.select("id", F.size("toks").alias("size"), prefix.asNondeterministic()("toks").alias("p")).select("id", "size", "p.*")
-    x = x.select("id", "size", *bits, F.explode("at").alias("p")).select("id", "size", *bits, "p.tok", "p.left")
-    x = materialise(x.join(ids, "id"))
+    x = sets.select("id", "c", F.size("toks").alias("size"), prefix.asNondeterministic()("toks").alias("p")).select("id", "c", "size", "p.*")
+    x = materialise(x.select("id", "c", "size", *bits, F.explode("at").alias("p")).select("id", "c", "size", *bits, "p.tok", "p.left"))
     both = x.groupBy("tok").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.ceil(F.count(F.lit(1)) / F.lit(BLOCK)).cast("int").alias("blocks"))
     x = x.join(both.filter("lo <> hi").select("tok", "blocks"), "tok")
     one = x.withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
