@@ -394,6 +394,38 @@ def test_lines_unlike_their_leader_are_linked(spark, monkeypatch):
     assert got == {i: 20 if i == 21 else i for i in range(22)}
 
 
+def test_lines_without_a_partner_are_not_shuffled_for_the_result(spark, tmp_path):
+    """Only lines that stand twice or more, or are like another one, go through an exchange and a join; documents given twice too."""
+    rng = random.Random(16)
+    v = vocabulary(rng)
+    texts = ["\n".join(prose(rng, v, 12) for _ in range(10)) for _ in range(120)]
+    like = prose(rng, v, 40)
+    texts += [like, like + " x", texts[3].split("\n")[0]]
+    df = spark.createDataFrame([*enumerate(texts), (5, texts[5])], "doc_id long, text string")
+    out = line_dedup.fuzzy_lines(df)
+    got = {(r["doc_id"], r["line_no"]): (r["kept_doc_id"], r["kept_line_no"], r["is_kept"]) for r in out.collect()}
+    other = {(121, 0): (120, 0, False), (122, 0): (3, 0, False)}
+    assert got == {(i, n): other.get((i, n), (i, n, True)) for i, t in enumerate(texts) for n in range(len(t.split("\n")))}
+    assert out.count() == len(got)
+
+    plan = out._jdf.queryExecution().executedPlan()
+    sent = []
+
+    def visit(p):
+        if p.getClass().getSimpleName() == "AdaptiveSparkPlanExec":
+            return visit(p.executedPlan())
+        if p.getClass().getSimpleName().endswith("QueryStageExec"):
+            return visit(p.plan())
+        if p.metrics().contains("shuffleRecordsWritten"):
+            sent.append(p.metrics().apply("shuffleRecordsWritten").value())
+        kids = p.children()
+        for i in range(kids.size()):
+            visit(kids.apply(i))
+
+    visit(plan)
+    assert sum(sent) < 200  # of 1,203 lines
+
+
 def test_groups_that_fit_a_shard_stay_whole(spark):
     """A hundredth of all rows in one group, and pairs in a table of fewer rows than there are bundles."""
     g = F.when(F.col("id") < 20, -1).otherwise(F.col("id") % 1000)

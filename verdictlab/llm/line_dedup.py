@@ -197,16 +197,20 @@ def fuzzy_lines(docs: DataFrame, text: str = "text", key: str = "doc_id", simila
         return score, lambda ids: v.join(ids, "id").select("id", toks("x").alias("toks"))
 
     found = classes(signatures, prepare, similar)
-    first = slim.groupBy("digest").agg(F.min(F.struct("doc", "h", "no")).alias("first"))
-    named = first.join(found, F.col("digest") == F.col("id"), "left").withColumn("class", F.coalesce("class", "digest"))
-    named = materialise(named.select("digest", "class", "first"))
+    this = F.struct("doc", "h", "no")
+    # most lines stand once and have no partner: only the digests of the others are looked up, and only their lines shuffled
+    again = slim.groupBy("digest").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select(F.col("digest").alias("x"))
+    may, _ = sieve(again.unionByName(found.select(F.col("id").alias("x"))))
+    some = materialise(slim.filter(may("digest")).dropDuplicates(["doc", "h", "no"]))
+    named = some.groupBy("digest").agg(F.min(this).alias("first")).join(found, F.col("digest") == F.col("id"), "left")
+    named = materialise(named.select("digest", F.coalesce("class", "digest").alias("class"), "first"))
     keep = named.groupBy("class").agg(F.min("first").alias("keep"))
     named = named.join(keep, "class").select("digest", "keep")
-    out = slim.dropDuplicates(["doc", "h", "no"]).join(named, "digest")
+    out = slim.filter(~may("digest")).withColumn("keep", this).unionByName(some.join(named, "digest"))
     return out.select(
         F.col("doc").alias(key), F.col("h").alias("text_hash"), F.col("no").alias("line_no"), "start", "end",
         F.col("keep.doc").alias(f"kept_{key}"), F.col("keep.h").alias("kept_text_hash"), F.col("keep.no").alias("kept_line_no"),
-        (F.struct("doc", "h", "no") == F.col("keep")).alias("is_kept"),
+        (this == F.col("keep")).alias("is_kept"),
     )
 
 
