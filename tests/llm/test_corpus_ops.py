@@ -468,6 +468,24 @@ def test_sets_differ_in_no_fewer_tokens_than_parity_bits():
     assert len(linking._parity(np.zeros(0, np.int64), np.zeros(0, np.int64), 0)) == 0
 
 
+def test_rows_of_a_prefix_without_a_partner_are_left_out_and_no_pair_is(spark):
+    r = random.Random(13)
+    rows = []
+    for i in range(400):
+        tok = r.randrange(40)
+        size = 40 + 5 * (tok % 7) + r.choice([0, 0, 1, 2, 9])
+        rows.append((i, r.randrange(3), size, tok, size - r.randrange(int(0.2 * size) + 1)))
+    rows.append((1000, 7, 50, 99, 41))
+    rows.append((1001, 8, 50, 99, 41))  # too few left in both, for sets of 50 share 45 at least
+    rows += [(1002, 7, 50, 98, 50), (1003, 7, 50, 98, 50)]  # one class
+    df = spark.createDataFrame(rows, "id long, c long, size int, tok long, left int")
+    got = {x["id"]: x["blocks"] for x in linking._paired(df, 0.8).collect()}
+    fits = lambda a, b: min(a[4], b[4]) >= np.ceil(0.8 / 1.8 * (a[2] + b[2]) - 1e-9)
+    needed = {a[0] for a in rows for b in rows if a[3] == b[3] and a[1] != b[1] and fits(a, b)}
+    assert needed <= set(got) and set(got.values()) == {1}
+    assert len(got) < 0.8 * len(rows) and not {1000, 1001, 1002, 1003} & set(got)
+
+
 def test_rarity_is_counted_in_the_tasks_and_by_class(spark):
     r, cells = random.Random(12), linking.CELLS
     data = [(i, i % 3, [r.randrange(-(2**62), 2**62) for _ in range(9)] + [5, 5 + cells, -7] * (i % 3 > 0) + [11] * (i % 3 == 0)) for i in range(300)]

@@ -204,6 +204,25 @@ def _rarity(sets: DataFrame) -> np.ndarray:
     return count
 
 
+def _need(size: str, other: str, similar: float) -> Column:
+    """The least number of tokens that sets of these sizes share if they are similar."""
+    return F.ceil(similar / (1 + similar) * (F.col(size) + F.col(other)) - 1e-9)
+
+
+def _paired(x: DataFrame, similar: float) -> DataFrame:
+    """The rows of ``x(id, c, size, tok, left, ...)`` that may have a partner in another class, with the number of ``blocks`` of
+    their token. ``left`` counts the tokens of a set from ``tok`` on, which must be as many as similar sets share. Of a pair the
+    smaller set must have as many left as a set of its own size would need (a shorter prefix); so a set with fewer left needs
+    a smaller partner, and the smallest such set of the token tells whether there may be one."""
+    short = F.col("left") >= _need("size", "size", similar)
+    both = x.groupBy("tok").agg(
+        F.min("c").alias("lo"), F.max("c").alias("hi"), F.min(F.when(short, F.col("size"))).alias("small"),
+        F.ceil(F.count(F.lit(1)) / F.lit(BLOCK)).cast("int").alias("blocks"),
+    )
+    both = both.filter("lo <> hi and small is not null").select("tok", "small", "blocks")
+    return x.join(both, "tok").filter(F.col("left") >= _need("size", "small", similar)).drop("small")
+
+
 def _finish(open_: DataFrame, found: DataFrame, verify: Callable, tokens: Callable, similar: float) -> DataFrame:
     """The classes ``(node, component)`` ``found``, and of all links between the members of ``open_(id, c)``. An exact
     prefix-filtered join: tokens are ordered by rarity, and sets of a Jaccard similarity of ``similar`` share one of
@@ -237,13 +256,12 @@ def _finish(open_: DataFrame, found: DataFrame, verify: Callable, tokens: Callab
 
     x = sets.select("id", "c", F.size("toks").alias("size"), prefix.asNondeterministic()("toks").alias("p")).select("id", "c", "size", "p.*")
     x = materialise(x.select("id", "c", "size", *bits, F.explode("at").alias("p")).select("id", "c", "size", *bits, "p.tok", "p.left"))
-    both = x.groupBy("tok").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.ceil(F.count(F.lit(1)) / F.lit(BLOCK)).cast("int").alias("blocks"))
-    x = x.join(both.filter("lo <> hi").select("tok", "blocks"), "tok")
+    x = _paired(x, similar)
     one = x.withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
     other = ["tok", *[F.col(c).alias(f"{c}_b") for c in ("id", "size", "left", "c", *bits)]]
     many = x.filter("blocks > 1").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     two = x.filter("blocks = 1").select(*other, F.lit(0).alias("block")).unionByName(many.select(*other, "block"))
-    need = F.ceil(similar / (1 + similar) * (F.col("size") + F.col("size_b")) - 1e-9)
+    need = _need("size", "size_b", similar)
     apart = reduce(Column.__add__, [F.bit_count(F.col(b).bitwiseXOR(F.col(f"{b}_b"))) for b in bits])
     pairs = one.join(two, ["tok", "block"]).filter((F.col("id") < F.col("id_b")) & (F.col("c") != F.col("c_b")) & (F.least("left", "left_b") >= need) & (apart <= F.col("size") + F.col("size_b") - 2 * need))
     more = materialise(verify(materialise(pairs.select(F.col("id").alias("a"), F.col("id_b").alias("b")).distinct())).select("a", "b"))
