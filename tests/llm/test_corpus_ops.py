@@ -446,6 +446,43 @@ def test_groups_are_cut_only_where_they_must():
     assert len(sharding.pack_groups(np.zeros((0, 3)), np.zeros(0, str), 8)) == 0
 
 
+def test_shared_keys_are_counted_from_packed_runs(spark, monkeypatch):
+    """As by a group-by of a row a key, but with few rows shuffled, whether or not a task adds up in between."""
+    r = np.random.default_rng(11)
+    data = [(int(r.integers(-50, 400)), [*r.integers(-9000, 9000, r.integers(0, 9)).tolist(), 7, -(1 << 62)]) for _ in range(2000)]
+    df = spark.createDataFrame([*data, (5, None), (6, [])], "id long, keys array<long>").coalesce(2)
+    ids = {}
+    for i, keys in data:
+        for k in keys:
+            ids.setdefault(k, []).append(i)
+    for dealt in (linking.DEALT, 300):
+        monkeypatch.setattr(linking, "DEALT", dealt)
+        out = linking._shared(df)
+        got = {x["key"]: (x["lo"], x["hi"], x["n"]) for x in out.collect()}
+        assert got == {k: (min(x), max(x), len(x)) for k, x in ids.items() if min(x) < max(x)}
+        if dealt > 300:
+            parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+            plan = out._jdf.queryExecution().executedPlan().executedPlan()
+            while not plan.metrics().contains("shuffleRecordsWritten"):
+                plan = plan.plan() if plan.getClass().getSimpleName().endswith("QueryStageExec") else plan.children().apply(0)
+            assert plan.metrics().apply("shuffleRecordsWritten").value() <= 2 * 2 * 4 * parts  # of some 12,000 keys
+    assert linking._shared(df.filter("false")).count() == 0
+
+
+def test_lines_are_the_same_in_small_blocks_and_with_bytes_that_are_no_text(monkeypatch):
+    texts = ["Abc dé\n\n \tx\n😀 Long enough line\n", None, "", "plain ASCII text here\nplain ascii TEXT here", "\0\n é"] * 3
+    whole = line_dedup._Lines()(pa.array(texts)).to_pylist()
+    monkeypatch.setattr(line_dedup, "BLOCK", 1)
+    assert line_dedup._Lines()(pa.array(texts)).to_pylist() == whole
+    assert [(x["no"], x["start"], x["end"], x["folded"]) for x in whole[0]] == [(0, 0, 6, "abcdé"), (2, 8, 11, "x"), (3, 12, 30, "😀longenoughline")]
+    assert [x["folded"] for x in whole[3]] == ["plainasciitexthere", None] and whole[3][0]["digest"] == whole[3][1]["digest"]
+    bad = pa.array([b"\x80abc \xff", b"fine"]).view(pa.string())
+    got = line_dedup._Lines()(bad).to_pylist()
+    assert [(x["start"], x["end"], x["folded"]) for r in got for x in r] == [(0, 6, "\ufffdabc\ufffd"), (0, 4, "fine")]
+    twice = line_dedup._similarity(pa.array(["abcabcabcabc", "short"]), pa.array(["abcabcabc", "Short"]))
+    assert twice.to_pylist() == [2 / 3, 0.0]
+
+
 def test_a_sieve_loses_nothing(spark):
     r = np.random.default_rng(8)
     mine, other = (r.integers(-(1 << 63), (1 << 63) - 1, 3000) for _ in range(2))

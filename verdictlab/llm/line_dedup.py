@@ -16,65 +16,68 @@ SHINGLE, SIMILAR, BANDS, ROWS = 8, 0.8, 10, 3
 _HASHES = BANDS * ROWS
 _ODD = (mix(np.arange(1, _HASHES + 1, dtype=np.uint64)) >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
 _XOR = (mix(np.arange(501, _HASHES + 501, dtype=np.uint64)) >> np.uint64(32)).astype(np.uint32)
-#: ASCII characters, folded; white space is 0.
-_FOLD = byte_table(b"\t\n\x0b\x0c\r ")[:128].astype(np.uint32)
+#: White space; bytes of UTF-8, folded, in which it is 0.
+_BLANK = b"\0\t\n\x0b\x0c\r "
+_FOLD = byte_table(_BLANK).tobytes()
+#: Bytes of text, and pairs of lines, worked on at once: few enough for a processor's cache.
+BLOCK, PAIRS = 1 << 16, 64
 #: Digests that a task remembers, so as not to send the signature of a line again.
 REMEMBERED = 1 << 19
 
 LINES = "array<struct<no: int, start: int, end: int, digest: bigint, keys: array<bigint>, folded: string>>"
 
 
-def _characters(data: np.ndarray) -> np.ndarray:
-    """Code points of UTF-8 bytes."""
-    return np.frombuffer(data.tobytes().decode("utf-8", "replace").encode("utf-32-le"), np.uint32)
+def _characters(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Code points of UTF-8 bytes, and the places ``at`` among them."""
+    if not len(data) or data.max() < 128:
+        return data, at
+    return np.frombuffer(data.tobytes().decode("utf-8", "replace").encode("utf-32-le"), np.uint32), code_point_ends(data)[at]
 
 
-def _folded(c: np.ndarray) -> np.ndarray:
-    return np.where(c < 128, _FOLD[np.minimum(c, 127)], c)
-
-
-def _split(c: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, ...]:
-    """``(folded characters, document, number, start, end, first folded character plus the end)`` of the lines that have
-    a visible character; a line's end takes in its line feed. White space is left out of the folded characters."""
-    f = _folded(c)
-    seen = f != 0
-    begin = np.union1d(np.flatnonzero(c == 10) + 1, offs[:-1])
-    begin = begin[begin < len(c)]
-    stop = np.concatenate((begin[1:], [len(c)])).astype(np.int64)
+def _split(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, ...]:
+    """``(folded bytes, document, number, start, end, first folded byte plus the end)`` of the lines that have
+    a visible character; a line's end takes in its line feed. White space is left out of the folded bytes."""
+    raw = data.tobytes()
+    seen = np.frombuffer(raw.translate(_FOLD), np.uint8) != 0
+    begin = np.union1d(np.flatnonzero(data == 10) + 1, offs[:-1])
+    begin = begin[begin < len(data)]
+    stop = np.concatenate((begin[1:], [len(data)])).astype(np.int64)
     doc = np.searchsorted(offs, begin, "right") - 1
     new = np.flatnonzero(np.diff(doc, prepend=-1))
     no = np.arange(len(begin)) - np.repeat(new, np.diff(np.append(new, len(begin))))
-    count = np.concatenate(([0], np.cumsum(seen)))
-    has = count[stop] > count[begin]
-    return f[seen], doc[has], no[has], begin[has], stop[has], np.append(count[begin[has]], count[-1])
+    size = np.add.reduceat(seen.view(np.uint8), begin, dtype=np.int64) if len(begin) else begin
+    has = size > 0
+    return np.frombuffer(raw.translate(_FOLD, _BLANK), np.uint8), doc[has], no[has], begin[has], stop[has], np.concatenate(([0], np.cumsum(size[has])))
 
 
 def _hashes(c: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Shingle hashes of folded lines laid end to end (``at``: first character of each plus the end); a line shorter
-    than a shingle is one shingle. Returns (first shingle of each line plus the end, hashes)."""
+    than a shingle, but not empty, is one shingle. Returns (shingles of each line, hashes)."""
     size = np.diff(at)
-    n = np.maximum(size - SHINGLE + 1, 1)
-    first = np.concatenate(([0], np.cumsum(n)))
-    h = np.concatenate((c, np.zeros(SHINGLE, c.dtype))).astype(np.uint64)
+    h, spare = np.zeros(len(c) + SHINGLE, np.uint64), np.empty(len(c) + SHINGLE, np.uint64)
+    h[: len(c)] = c
     step, base = 1, 0x9E3779B97F4A7C15
     while step < SHINGLE:  # of 2, of 4, of 8 characters
-        h = h[:-step] * np.uint64(base) + h[step:]
+        n = len(h) - step
+        np.multiply(h[:n], np.uint64(base), out=spare[:n])
+        np.add(spare[:n], h[step:], out=spare[:n])
+        h, spare = spare[:n], h
         step, base = 2 * step, base * base % (1 << 64)
-    line = np.repeat(np.arange(len(n)), n)
-    x = h[np.arange(first[-1]) + (at[:-1] - first[:-1])[line]]
-    for i in np.flatnonzero(size < SHINGLE):
-        y = int(size[i])
-        for b in c[at[i] : at[i + 1]].tolist():
-            y = (y * 0x9E3779B97F4A7C15 + b + 1) % (1 << 64)
-        x[first[i]] = y
-    return first, ((x ^ (x >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9) >> np.uint64(32)).astype(np.uint32)
-
-
-def _spread(first: np.ndarray, pick: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Places of all items of the picked groups, end to end, and the first place of each group in that order."""
-    size = np.diff(first)[pick]
-    at = np.cumsum(size) - size
-    return np.arange(size.sum()) + np.repeat(first[:-1][pick] - at, size), at
+    first = np.ones(len(c), bool)  # of a shingle
+    for i in range(1, SHINGLE):
+        first[(at[1:] - i)[size > i]] = False
+    short = np.flatnonzero((size < SHINGLE) & (size > 0))
+    if len(short):
+        y = size[short].astype(np.uint64)
+        for i in range(SHINGLE - 1):
+            more = size[short] > i
+            y[more] = y[more] * np.uint64(0x9E3779B97F4A7C15) + c[at[short[more]] + i] + np.uint64(1)
+        h[at[short]] = y
+    x = h[: len(c)][first]
+    x ^= x >> np.uint64(29)
+    x *= np.uint64(0xBF58476D1CE4E5B9)
+    x >>= np.uint64(32)
+    return np.where(size < SHINGLE, np.minimum(size, 1), size - SHINGLE + 1), x.astype(np.uint32)
 
 
 class _Lines:
@@ -85,20 +88,23 @@ class _Lines:
         self.sent: set[int] = set()
 
     def __call__(self, texts: pa.Array) -> pa.Array:
-        cols: list[list[np.ndarray]] = [[np.zeros(0, np.int64)] for _ in range(4)]
-        sizes, bands, fresh, folded = [np.zeros(0, np.int64)], [np.zeros((0, BANDS), np.uint64)], [np.zeros(0, bool)], []
-        for _, data, offs in blocks(texts, 1 << 18):
-            c = _characters(data)
-            if len(c) < len(data):
-                offs = code_point_ends(data)[offs]
-            f, doc, no, begin, stop, at = _split(c, offs)
+        cols: list[list[np.ndarray]] = [[np.zeros(0, np.int64)] for _ in range(5)]
+        sizes, least, fresh, folded = [np.zeros(0, np.int64)], [np.zeros((_HASHES, 0), np.uint32)], [np.zeros(0, bool)], [np.zeros(0, np.uint8)]
+        try:
+            texts.validate(full=True)
+        except pa.ArrowInvalid:  # bytes that aren't UTF-8
+            texts = pa.array([x if x is None else x.decode("utf-8", "replace") for x in texts.cast(pa.binary()).to_pylist()], pa.string())
+        for _, data, offs in blocks(texts, BLOCK):
+            f, doc, no, begin, stop, at = _split(data, offs)
             sizes.append(np.bincount(doc, minlength=len(offs) - 1))
             if not len(doc):
                 continue
-            first, h = _hashes(f, at)
-            place = np.arange(len(h)) - np.repeat(first[:-1], np.diff(first))
-            turn = mix(np.arange(int(np.diff(first).max()), dtype=np.uint64)) | np.uint64(1)
-            digest = np.add.reduceat(h * turn[place], first[:-1])
+            size = np.diff(at)
+            c, at = _characters(f, at)
+            n, h = _hashes(c, at)
+            first = np.cumsum(n) - n
+            turn = mix(np.arange(int(n.max()), dtype=np.uint64)) | np.uint64(1)
+            digest = np.add.reduceat(h * np.concatenate([turn[:x] for x in n.tolist()]), first)
             digest = mix(digest + np.diff(at).astype(np.uint64)).view(np.int64)
             new = np.zeros(len(digest), bool)
             new[np.unique(digest, return_index=True)[1]] = True
@@ -107,59 +113,74 @@ class _Lines:
             if len(self.sent) > REMEMBERED:
                 self.sent.clear()
             self.sent.update(digest[new].tolist())
-            pick = np.flatnonzero(new)
-            if len(pick):
-                own, start = _spread(first, pick)
-                own = h[own]
-                band = np.tile(np.arange(BANDS, dtype=np.uint64), (len(pick), 1))
+            if not new.all():
+                h, f = h[np.repeat(new, n)], f[np.repeat(new, size)]
+                size, n = np.where(new, size, 0), n[new]
+                first = np.cumsum(n) - n
+            if len(n):
+                low, x = np.empty((_HASHES, len(n)), np.uint32), np.empty_like(h)
                 for i in range(_HASHES):
-                    band[:, i // ROWS] = mix(band[:, i // ROWS] + np.minimum.reduceat((own ^ _XOR[i]) * _ODD[i], start))
-                bands.append(band)
-                own, start = _spread(at, pick)
-                text = f[own].tobytes().decode("utf-32-le", "replace")
-                folded += [text[a:b] for a, b in zip(start.tolist(), [*start[1:].tolist(), len(own)], strict=True)]
+                    np.bitwise_xor(h, _XOR[i], out=x)
+                    np.multiply(x, _ODD[i], out=x)
+                    np.minimum.reduceat(x, first, out=low[i])
+                least.append(low)
+                folded.append(f)
+            stop = stop - (data[stop - 1] == 10)
+            if data.max() > 127:
+                ends = code_point_ends(data)
+                begin, stop, offs = ends[begin], ends[stop], ends[offs]
             base = offs[:-1][doc]
-            for col, x in zip(cols, (no, begin - base, stop - (c[stop - 1] == 10) - base, digest), strict=True):
+            for col, x in zip(cols, (no, begin - base, stop - base, digest, size), strict=True):
                 col.append(x)
-        no, start, end, digest = (np.concatenate(c) for c in cols)
+        no, start, end, digest, size = (np.concatenate(c) for c in cols)
         new = np.concatenate(fresh)
-        keys = list_array(pa.array(np.concatenate(bands).ravel().view(np.int64)), BANDS * new)
-        keys = pc.if_else(pa.array(new), keys, pa.scalar(None, keys.type))
-        at = np.where(new, np.cumsum(new) - 1, 0)
-        text = pa.array(folded or [""], pa.string()).take(pa.array(at, mask=~new))
+        low = np.concatenate(least, axis=1)
+        bands = np.arange(BANDS, dtype=np.uint64)[:, None]
+        for i in range(ROWS):
+            bands = mix(bands + low[i::ROWS])
+        ends = np.concatenate(([0], np.cumsum(BANDS * new)))
+        keys = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(bands.T.ravel().view(np.int64)), mask=pa.array(~new))
+        ends = np.concatenate(([0], np.cumsum(size))).astype(np.int32)
+        text = pa.StringArray.from_buffers(len(new), pa.py_buffer(ends), pa.py_buffer(np.concatenate(folded)), pa.py_buffer(np.packbits(new, bitorder="little")))
         made = [pa.array(x.astype(np.int32)) for x in (no, start, end)] + [pa.array(digest), keys, text]
         return list_array(pa.StructArray.from_arrays(made, names=["no", "start", "end", "digest", "keys", "folded"]), np.concatenate(sizes))
 
 
-def _sets(folded: pa.Array) -> np.ndarray:
-    """The shingle set of each folded line: row number and 32-bit hash in one number, sorted, distinct."""
-    keys = [np.zeros(0, np.uint64)]
-    for row, data, offs in blocks(folded):
-        c = _characters(data)
-        first, h = _hashes(c, offs if len(c) == len(data) else code_point_ends(data)[offs])
-        owner = np.repeat(np.arange(row, row + len(offs) - 1, dtype=np.uint64), np.diff(first))
-        k = np.sort(owner << np.uint64(32) | h)
-        keys.append(k[np.append(True, k[1:] != k[:-1])] if len(k) else k)
-    return np.concatenate(keys)
+def _shingles(folded: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(row of each shingle, shingle hashes) of folded lines."""
+    rows, hashes = [np.zeros(0, np.uint64)], [np.zeros(0, np.uint32)]
+    for row, data, offs in blocks(folded, BLOCK):
+        n, h = _hashes(*_characters(data, offs))
+        rows.append(np.repeat(np.arange(row, row + len(n), dtype=np.uint64), n))
+        hashes.append(h)
+    return np.concatenate(rows), np.concatenate(hashes)
 
 
 def _tokens(folded: pa.Array) -> pa.Array:
     """The shingle set of each line as a list."""
-    keys = _sets(folded)
+    row, h = _shingles(folded)
+    keys = np.sort(row << np.uint64(32) | h)
+    keys = keys[np.append(True, keys[1:] != keys[:-1])] if len(keys) else keys
     sizes = np.bincount((keys >> np.uint64(32)).astype(np.int64), minlength=len(folded))
     return list_array(pa.array((keys & np.uint64(0xFFFFFFFF)).astype(np.int64)), sizes)
 
 
 def _similarity(a: pa.Array, b: pa.Array) -> pa.Array:
-    """Exact Jaccard similarity of the shingle sets of two folded lines each."""
+    """Exact Jaccard similarity of the shingle sets of two folded lines each. Both sets of some pairs are sorted at once, by row, hash
+    and side; a hash of both sides is found beside itself."""
     out = [np.zeros(0)]
-    for at in range(0, len(a), 256):
-        x, y = _sets(a.slice(at, 256)), _sets(b.slice(at, 256))
-        n = min(256, len(a) - at)
-        both = np.sort(np.concatenate((x, y)))
-        both = both[1:][both[1:] == both[:-1]]
-        x, y, both = (np.bincount((k >> np.uint64(32)).astype(np.int64), minlength=n) for k in (x, y, both))
-        out.append(both / (x + y - both))
+    for at in range(0, len(a), PAIRS):
+        n = min(PAIRS, len(a) - at)
+        keys = []
+        for side, x in enumerate((a, b)):
+            row, h = _shingles(x.slice(at, PAIRS))
+            keys.append((row << np.uint64(33)) + (h.astype(np.uint64) << np.uint64(1)) + np.uint64(side))
+        k = np.sort(np.concatenate(keys))
+        k = k[np.append(True, k[1:] != k[:-1])] if len(k) else k
+        twice = k[1:][(k[1:] ^ k[:-1]) == 1]
+        rows = np.arange(n + 1, dtype=np.uint64) << np.uint64(33)
+        every, both = (np.diff(np.searchsorted(x, rows)) for x in (k, twice))
+        out.append(both / (every - both))
     return pa.array(np.concatenate(out))
 
 

@@ -23,6 +23,8 @@ CELLS, SLICES = 1 << 22, 64
 BITS = 1 << 27
 #: Bits in which sets are compared before they are verified, 64 in a number.
 PARITY = 256
+#: Keys that a task sorts and deals out at once, or takes in before it adds them up.
+DEALT = 1 << 20
 #: Members of a block: what one task of the exact finish pairs with the other members of a token.
 BLOCK = 2000
 
@@ -47,9 +49,7 @@ def classes(signatures: DataFrame, prepare: Callable[[DataFrame], tuple[Callable
     and are similar always end in one class; there is no cap on members, leaders or links.
     """
     spark = signatures.sparkSession
-    e = signatures.select("id", F.explode("keys").alias("key"))
-    n = e.groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi"), F.count(F.lit(1)).alias("n")).filter("lo <> hi")
-    n = materialise(n)
+    n = materialise(_shared(signatures))
     if n.isEmpty():
         return spark.createDataFrame([], "id bigint, class bigint")
     # a bucket of two rows is known by its ends; the members of others are looked up
@@ -91,6 +91,77 @@ def classes(signatures: DataFrame, prepare: Callable[[DataFrame], tuple[Callable
     return found.select(F.col("node").alias("id"), F.col("component").alias("class"))
 
 
+def _counted(key: np.ndarray, lo: np.ndarray, hi: np.ndarray, n: np.ndarray) -> tuple[tuple[np.ndarray, ...], tuple[np.ndarray, ...]]:
+    """``(key, lo)`` of the keys that stand once, with ``n`` of 1, and ``(key, least lo, greatest hi, sum of n)`` of others; both in order."""
+    order = np.argsort(key)
+    key = key[order]
+    new = np.r_[True, key[1:] != key[:-1]][: len(key)]
+    alone = new & np.r_[new[1:], True][: len(key)]
+    alone[alone] = n[order[alone]] == 1
+    rest = order[~alone]
+    at = np.flatnonzero(new[~alone])
+    if len(at):
+        more = key[~alone][at], np.minimum.reduceat(lo[rest], at), np.maximum.reduceat(hi[rest], at), np.add.reduceat(n[rest], at)
+    else:
+        more = key[:0], lo[:0], hi[:0], n[:0]
+    return (key[alone], lo[order[alone]]), more
+
+
+def _shared(signatures: DataFrame) -> DataFrame:
+    """``(key, lo, hi, n)`` of the keys that two ids or more have: the least and greatest of them, and the rows. A group-by of
+    keys of which nearly all stand once, so tasks send sorted runs of them, one row a slice of the hashed keys, instead of a row each. A
+    run has a key once, so a common key is a few numbers a task; only a key's first id is sent where it has no other."""
+    slices = 4 * int(signatures.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+    def deal(batches):
+        def runs(key, row):
+            for cols in _counted(key.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15), row, row, np.ones(len(row), np.int64)):
+                of = ((cols[0] >> np.uint64(32)) * np.uint64(slices) >> np.uint64(32)).astype(np.int64)
+                first = np.flatnonzero(np.diff(of, prepend=-1))
+                if len(first):
+                    ends = pa.py_buffer((8 * np.r_[first, len(of)]).astype(np.int32))
+                    lists = [pa.BinaryArray.from_buffers(pa.binary(), len(first), [None, ends, pa.py_buffer(x)]) for x in cols]
+                    lists += [pa.array([b""] * len(first), pa.binary())] * (4 - len(cols))
+                    yield pa.RecordBatch.from_arrays([pa.array(of[first]), *lists], names=["slice", "key", "lo", "hi", "n"])
+
+        keys, ids, size = [], [], 0
+        for b in batches:
+            keys.append(b["keys"].flatten().to_numpy(zero_copy_only=False))
+            ids.append(np.repeat(b["id"].to_numpy(), b["keys"].value_lengths().fill_null(0).to_numpy(zero_copy_only=False)))
+            size += len(keys[-1])
+            if size >= DEALT:
+                yield from runs(np.concatenate(keys), np.concatenate(ids))
+                keys, ids, size = [], [], 0
+        if size:
+            yield from runs(np.concatenate(keys), np.concatenate(ids))
+
+    def add(batches):
+        none = np.zeros(0, np.int64)
+        new, size, most = [(none.view(np.uint64), none, none, none)], 0, DEALT
+
+        def added():
+            return _counted(*(np.concatenate(x) for x in zip(*new, strict=True)))
+
+        for b in batches:
+            for key, lo, hi, n in zip(*(b[x] for x in ("key", "lo", "hi", "n")), strict=True):
+                key, lo, hi, n = (np.frombuffer(x.as_buffer(), np.int64) for x in (key, lo, hi, n))
+                new.append((key.view(np.uint64), lo, hi if len(hi) else lo, n if len(n) else np.ones(len(key), np.int64)))
+                size += len(key)
+                if size > most:
+                    (key, lo), more = added()
+                    new = [(key, lo, lo, np.ones(len(key), np.int64)), more]
+                    size = len(key) + len(more[0])
+                    most = max(DEALT, 2 * size)
+        _, (key, lo, hi, n) = added()
+        own = lo < hi
+        key = key[own] * np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
+        for at in range(0, len(key), 1 << 16):
+            yield pa.RecordBatch.from_arrays([pa.array(x[at : at + (1 << 16)]) for x in (key.view(np.int64), lo[own], hi[own], n[own])], names=["key", "lo", "hi", "n"])
+
+    runs = signatures.select("id", "keys").mapInArrow(deal, "slice long, key binary, lo binary, hi binary, n binary")
+    return runs.repartition(slices // 4, "slice").mapInArrow(add, "key long, lo long, hi long, n long")
+
+
 def sieve(values: DataFrame) -> tuple[Callable[[Column], Column], Callable[[Column], Column]]:
     """Two functions of a column of numbers and of one of lists of numbers: whether a number may be among ``values(x)``, and
     those of a list that may be. A number that is among them always passes; of others some do, by chance, so a join or a
